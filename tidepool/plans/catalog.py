@@ -46,3 +46,223 @@ def triage_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 __all__ = ["QUERIES", "X"]
+
+
+# ---- sources / scans --------------------------------------------------------
+
+@query
+def posts_search(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return gates.posts_search(t.posts, P.SEARCH_TAG).select("post_id", "author_id", "full_text")
+
+
+@query
+def posts_by_ids(spark, sf_dir):
+    """Look up posts for an id list that is itself a table (labelled docs)."""
+    t = Tables(spark, sf_dir)
+    return dedup.semi_exists(t.posts, "post_id", t.labels, "doc_id").select("post_id", "lang")
+
+
+@query
+def mentions_fingerprinted(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return t.mentions.select("mention_id", "user_id", X.sha256_hex("full_text").alias("full_text_hash"))
+
+
+# ---- gates ------------------------------------------------------------------
+
+@query
+def post_metrics(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    m = gates.post_metrics(t.posts)
+    return m.select("post_id", F.round("ffratio", 6).alias("ffratio"),
+                    F.round("frt_ratio", 6).alias("frt_ratio"))
+
+
+@query
+def post_gate(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return gates.post_gate(t.posts).select("post_id")
+
+
+@query
+def post_blocklist(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return gates.post_blocklist(t.posts, phrases=P.BLOCK_PHRASES).select("post_id")
+
+
+@query
+def hashtag_ratio_gate(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return t.posts.select("post_id", F.round(X.hashtag_ratio("full_text"), 6).alias("hashtag_ratio"),
+                          X.hashtag_ratio_ok("full_text").alias("passed"))
+
+
+@query
+def news_blocklist(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return gates.news_blocklist(t.news, P.NEWS_BLOCK_WORDS).select("news_id")
+
+
+@query
+def news_age_filter(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return gates.news_age_filter(t.news, P.NEWS_MAX_AGE_HOURS).select("news_id", "age_minutes")
+
+
+@query
+def lexicon_flag(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    out = gates.lexicon_flag(t.posts, "full_text", P.LEXICON)
+    return out.select("post_id", "flagged",
+                      F.when(F.col("flagged"), F.lit("careful")).otherwise(F.lit("default")).alias("mood"))
+
+
+@query
+def question_intent(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return gates.question_intent(t.conversations, "text", "with an answer", "default") \
+        .select("conv_id", "turn", "route")
+
+
+@query
+def mention_text_status(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return gates.mention_text_status(t.mentions).select("mention_id", "prompt_text", "status")
+
+
+@query
+def topic_category(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    terms = F.array(*[F.lit(s) for s in P.SEARCH_TERMS])
+    n = t.news.select("news_id", F.element_at(terms, (F.col("news_id") % len(P.SEARCH_TERMS) + 1)
+                                               .cast("int")).alias("search_term"))
+    return gates.topic_category(n, "search_term", "news_id", P.SEED)
+
+
+@query
+def response_length_gate(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return gates.response_length_gate(t.responses, gates.MAX_LEN_POSTS).select(
+        "prompt_id", "attempt", "response_len", "length_ok")
+
+
+@query
+def response_flags(spark, sf_dir):
+    from tidepool.operators import responses as R
+    t = Tables(spark, sf_dir)
+    return R.response_flags(t.responses, "response", P.RESPONSE_FILTER_PHRASES).select(
+        "prompt_id", "attempt", "phrase_flag", "not_comply_flag", "flagged")
+
+
+# ---- text jobs ----------------------------------------------------------------
+
+@query
+def clean_posts(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return t.posts.select("post_id", X.clean_post("full_text").alias("clean_text"))
+
+
+@query
+def redact_phrases(spark, sf_dir):
+    from tidepool.operators import responses as R
+    t = Tables(spark, sf_dir)
+    return t.responses.select("prompt_id", "attempt",
+                              R.redact("response", P.REDACT_MAP, P.REMOVE_PHRASES).alias("redacted"))
+
+
+@query
+def shorten_overlong(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return t.responses.select("prompt_id", "attempt",
+                              X.shorten_overlong("response", gates.MAX_LEN_POSTS).alias("shortened"))
+
+
+@query
+def cut_between_markers(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    c = F.col("response")
+    for s, e in P.CUT_MARKERS:
+        c = X.cut_between_markers(c, s, e)
+    return t.responses.select("prompt_id", "attempt", c.alias("cut"))
+
+
+@query
+def extract_between_markers(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    s, e = P.EXTRACT_MARKERS
+    return t.responses.select("prompt_id", "attempt",
+                              X.extract_between_markers("response", s, e).alias("extracted"))
+
+
+@query
+def trim_leading_punct(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return t.mentions.select("mention_id", X.trim_leading_punct("full_text").alias("trimmed"))
+
+
+@query
+def fingerprint_posts(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return t.posts.select("post_id", X.sha256_hex("full_text").alias("full_text_hash"))
+
+
+@query
+def normalize_unicode(spark, sf_dir):
+    from tidepool.operators import responses as R
+    t = Tables(spark, sf_dir)
+    return t.posts.select("post_id", R.prompt_content("full_text").alias("normalized"))
+
+
+@query
+def extract_symbols(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return t.posts.select("post_id", F.array_join(X.symbols("full_text"), ",").alias("symbols"))
+
+
+@query
+def longest_hashtag(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return (t.responses.select("prompt_id", "attempt", X.longest_hashtag("response").alias("longest"))
+            .where(F.col("longest").isNotNull()))
+
+
+@query
+def hashtag_counts(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return (t.posts.select(F.explode(X.hashtags("full_text")).alias("tag"))
+            .groupBy("tag").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query
+def mention_edges(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return (t.posts.select("author_id", F.explode(X.mentions("full_text")).alias("handle"))
+            .groupBy("author_id", "handle").agg(F.count(F.lit(1)).alias("n")))
+
+
+# ---- dates ------------------------------------------------------------------
+
+@query
+def parse_created_at(spark, sf_dir):
+    from tidepool.functions import dates as D
+    t = Tables(spark, sf_dir)
+    off = F.when(F.col("user_id") % 2 == 0, F.lit("+0000")).otherwise(F.lit("+0130"))
+    ev = t.events.select("event_id", F.concat(
+        F.date_format("ts", "EEE MMM dd HH:mm:ss "), off, F.date_format("ts", " yyyy")).alias("created_at"))
+    return ev.withColumn("created_epoch", D.created_at_epoch("created_at"))
+
+
+@query
+def activity_by_hour(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return t.events.groupBy(F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def since_filter(spark, sf_dir):
+    from tidepool.functions import dates as D
+    t = Tables(spark, sf_dir)
+    since = D.days_before(P.AS_OF, P.SINCE_DAYS)
+    return (t.events.where(F.col("ts") >= since.cast("timestamp_ntz"))
+            .groupBy("event_type").agg(F.count(F.lit(1)).alias("n")))

@@ -49,3 +49,167 @@ from (select *, row_number() over (partition by full_text_hash order by post_id
       from cand) where rn = 1
 order by post_id desc limit {P.TRIAGE_N}""", "posts", "replied_tweets",
                                      extra={"cand": TRIAGE_CANDIDATES})
+
+# ---- sources / scans --------------------------------------------------------
+
+ORACLES["posts_search"] = with_views(
+    f"select post_id, author_id, full_text from posts where {SEARCH}", "posts")
+
+ORACLES["posts_by_ids"] = with_views(
+    "select post_id, lang from posts where post_id in (select doc_id from labels where doc_id is not null)",
+    "posts")
+
+ORACLES["mentions_fingerprinted"] = with_views(
+    "select mention_id, user_id, sha256(full_text) as full_text_hash from mentions", "mentions")
+
+# ---- gates ------------------------------------------------------------------
+
+FFRATIO = "cast(coalesce(followers_count, 0) as double) / greatest(coalesce(friends_count, 1), 1)"
+FRTRATIO = "cast(coalesce(followers_count, 0) as double) / greatest(coalesce(statuses_count, 1), 1)"
+
+ORACLES["post_metrics"] = with_views(
+    f"select post_id, round({FFRATIO}, 6) as ffratio, round({FRTRATIO}, 6) as frt_ratio from posts",
+    "posts")
+
+ORACLES["post_gate"] = with_views(f"select post_id from posts where {POST_GATE}", "posts")
+
+ORACLES["post_blocklist"] = with_views(f"select post_id from posts where {blocklist()}", "posts")
+
+ORACLES["hashtag_ratio_gate"] = with_views(
+    f"select post_id, round({S.hashtag_ratio('full_text')}, 6) as hashtag_ratio, "
+    f"{S.hashtag_ratio_ok('full_text')} as passed from posts", "posts")
+
+ORACLES["news_blocklist"] = with_views(
+    "select news_id from news where " + " AND ".join(
+        f"NOT contains(body, {q(w)})" for w in P.NEWS_BLOCK_WORDS), "news")
+
+AGE_MIN = """(CASE string_split(age_text, ' ')[2]
+   WHEN 'minute' THEN 1 WHEN 'minutes' THEN 1 WHEN 'hour' THEN 60 WHEN 'hours' THEN 60
+   WHEN 'day' THEN 1440 WHEN 'days' THEN 1440 END) * try_cast(string_split(age_text, ' ')[1] as bigint)"""
+
+ORACLES["news_age_filter"] = with_views(
+    f"select news_id, age_minutes from (select news_id, {AGE_MIN} as age_minutes from news) "
+    f"where age_minutes <= {60 * P.NEWS_MAX_AGE_HOURS}", "news")
+
+LEX_WORDS = S.words("lower(replace(full_text, '#', ''))")
+ORACLES["lexicon_flag"] = with_views(
+    f"select post_id, list_has_any({LEX_WORDS}, {_list([w.lower() for w in P.LEXICON])}) as flagged, "
+    f"case when list_has_any({LEX_WORDS}, {_list([w.lower() for w in P.LEXICON])}) "
+    f"then 'careful' else 'default' end as mood from posts", "posts")
+
+ORACLES["question_intent"] = """
+select conv_id, turn, case when contains(lower(text), 'have questions')
+  or contains(lower(text), 'have a question') then 'with an answer' else 'default' end as route
+from conversations"""
+
+ORACLES["mention_text_status"] = with_views(
+    f"select mention_id, {S.remove_mentions('full_text')} as prompt_text, "
+    f"case when {S.strip_ws(S.remove_mentions(S.clean_links('full_text')))} <> '' then 'ok' "
+    f"else 'no text' end as status from mentions", "mentions")
+
+
+def seeded_choice_sql(options, seed: str, key: str) -> str:
+    """Smallest md5(seed:key:option) among the options."""
+    # pairwise: option with the smallest hash (ties impossible for distinct options)
+    hs = [(f"md5(concat({q(seed + ':')}, cast({key} as varchar), {q(':' + o)}))", o) for o in options]
+    expr = q(hs[-1][1])
+    for i in range(len(hs) - 2, -1, -1):
+        h, o = hs[i]
+        others = " AND ".join(f"{h} <= {h2}" for h2, _ in hs[i + 1:])
+        expr = f"CASE WHEN {others} THEN {q(o)} ELSE {expr} END"
+    return expr
+
+
+_TERMS = _list(P.SEARCH_TERMS)
+ORACLES["topic_category"] = with_views(f"""
+select news_id, search_term,
+  case when search_term in ('Investing', 'management', 'Finance', 'Risk', 'Economy') then 'business'
+       when search_term = 'Discoveries' then {seeded_choice_sql(('general', 'technology'), P.SEED, 'news_id')}
+       else 'business' end as category
+from (select news_id, {_TERMS}[cast(news_id % {len(P.SEARCH_TERMS)} as int) + 1] as search_term from news)""",
+                                       "news")
+
+ORACLES["response_length_gate"] = with_views(
+    "select prompt_id, attempt, length(response) as response_len, length(response) <= 280 as length_ok "
+    "from responses", "responses")
+
+NOT_COMPLY = "(contains(response, 'AI') AND contains(lower(response), 'i cannot'))"
+PHRASE_FLAG = S.any_phrase("response", P.RESPONSE_FILTER_PHRASES)
+ORACLES["response_flags"] = with_views(
+    f"select prompt_id, attempt, {PHRASE_FLAG} as phrase_flag, {NOT_COMPLY} as not_comply_flag, "
+    f"({PHRASE_FLAG} OR {NOT_COMPLY}) as flagged from responses", "responses")
+
+# ---- text jobs ----------------------------------------------------------------
+
+ORACLES["clean_posts"] = with_views(
+    f"select post_id, {S.clean_post('full_text')} as clean_text from posts", "posts")
+
+REDACTED = S.remove_phrases_if_present(S.replace_phrases_lowercasing("response", P.REDACT_MAP),
+                                       P.REMOVE_PHRASES)
+ORACLES["redact_phrases"] = with_views(
+    f"select prompt_id, attempt, {REDACTED} as redacted from responses", "responses")
+
+ORACLES["shorten_overlong"] = with_views(
+    f"select prompt_id, attempt, {S.shorten_overlong('response', 280)} as shortened from responses",
+    "responses")
+
+
+def _cut_all(x: str) -> str:
+    for s, e in P.CUT_MARKERS:
+        x = S.cut_between_markers(x, s, e)
+    return x
+
+
+ORACLES["cut_between_markers"] = with_views(
+    f"select prompt_id, attempt, {_cut_all('response')} as cut from responses", "responses")
+
+_s, _e = P.EXTRACT_MARKERS
+_sp = f"strpos(response, {q(_s)})"
+_b = f"({_sp} + {len(_s)})"
+_ep = f"(CASE WHEN strpos(substr(response, {_b}), {q(_e)}) > 0 THEN strpos(substr(response, {_b}), {q(_e)}) + {_b} - 1 ELSE 0 END)"
+ORACLES["extract_between_markers"] = with_views(
+    f"select prompt_id, attempt, CASE WHEN {_sp} > 0 AND {_ep} > 0 THEN "
+    f"{S.strip_ws(f'substr(response, {_b}, {_ep} - {_b})')} END as extracted from responses",
+    "responses")
+
+ORACLES["trim_leading_punct"] = with_views(
+    "select mention_id, regexp_replace(full_text, '^[[:punct:]]+', '') as trimmed from mentions",
+    "mentions")
+
+ORACLES["fingerprint_posts"] = with_views(
+    "select post_id, sha256(full_text) as full_text_hash from posts", "posts")
+
+ORACLES["extract_symbols"] = with_views(
+    "select post_id, array_to_string(list_filter(string_split(full_text, ' '), lambda w: length(w) > 1 "
+    r"AND contains(w, '$') AND NOT regexp_matches(substr(w, 2, 1), '^\p{Nd}$')), ',') as symbols from posts",
+    "posts")
+
+ORACLES["longest_hashtag"] = with_views(
+    f"select * from (select prompt_id, attempt, {S.longest_hashtag('response')} as longest "
+    f"from responses) where longest is not null", "responses")
+
+ORACLES["hashtag_counts"] = with_views(
+    f"select tag, count(*) as n from (select unnest({S.hashtags('full_text')}) as tag from posts) "
+    f"group by tag", "posts")
+
+ORACLES["mention_edges"] = with_views(
+    "select author_id, handle, count(*) as n from (select author_id, "
+    "unnest(regexp_extract_all(full_text, '@([a-zA-Z0-9_]{1,50})', 1)) as handle from posts) "
+    "group by author_id, handle", "posts")
+
+# ---- dates ------------------------------------------------------------------
+
+ORACLES["parse_created_at"] = """
+select event_id, created_at,
+  cast(epoch(strptime(substr(created_at, 5), '%b %d %H:%M:%S %z %Y')) as bigint) as created_epoch
+from (select event_id, strftime(ts, '%a %b %d %H:%M:%S ')
+        || case when user_id % 2 = 0 then '+0000' else '+0130' end || strftime(ts, ' %Y') as created_at
+      from events)"""
+
+ORACLES["activity_by_hour"] = """
+select cast(hour(ts) as int) as hour, count(*) as n from events group by 1"""
+
+ORACLES["since_filter"] = f"""
+select event_type, count(*) as n from events
+where ts >= cast(cast({q(P.AS_OF)} as timestamp) as date) - interval {P.SINCE_DAYS} day
+group by event_type"""

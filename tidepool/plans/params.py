@@ -25,10 +25,11 @@ RESPONSE_FILTER_PHRASES = ("as an ai", "i cannot follow", "my programming", "sor
 # not-comply rule: "AI" (case-sensitive) together with "i cannot" (any case)
 REDACT_MAP = (("#sarcasm", "#nooffense"), ("#grumpy", ""), ("#sarcastic", ""), ("#motivation", ""))
 REMOVE_PHRASES = ("respectfully ", "it is important to ", "possible response:", "thanks for sharing")
-CUT_MARKERS = (("Let's", "#"),)
+CUT_MARKERS = (("As an AI", "#"), ("Let's", "#"))
 SEARCH_TERMS = ("Investing", "Money", "management", "Finance", "Risk management", "Economy",
                 "Discoveries")
 TOPICS = ("topic0", "topic1", "topic2", "topic3", "topic4", "topic5", "topic6")
 REQUESTED_TOPIC = "topic6"
 KEYWORDS = ("topic1", "topic3", "Trend_1", "deal", "bitcoin")
 MAX_ATTEMPTS = 3
+EXTRACT_MARKERS = ("As an AI", ".")

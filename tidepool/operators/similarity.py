@@ -30,13 +30,14 @@ def sum_sq_counts(toks: Column) -> Column:
 
     No shuffle: each row's norm comes from its own token array.
     """
-    init = F.struct(F.lit("").alias("p"), F.lit(0).cast("bigint").alias("r"),
-                    F.lit(0).cast("bigint").alias("s"))
+    def acc_of(p, r, s):
+        return F.named_struct(F.lit("p"), p, F.lit("r"), r.cast("bigint"), F.lit("s"), s.cast("bigint"))
+
+    init = acc_of(F.lit(""), F.lit(0), F.lit(0))
 
     def step(acc, x):
-        return F.when(x == acc["p"], F.struct(x.alias("p"), (acc["r"] + 1).alias("r"), acc["s"].alias("s"))) \
-            .otherwise(F.struct(x.alias("p"), F.lit(1).cast("bigint").alias("r"),
-                                (acc["s"] + acc["r"] * acc["r"]).alias("s")))
+        return F.when(x == acc["p"], acc_of(x, acc["r"] + 1, acc["s"])) \
+            .otherwise(acc_of(x, F.lit(1), acc["s"] + acc["r"] * acc["r"]))
 
     return F.aggregate(F.array_sort(toks), init, step, lambda acc: acc["s"] + acc["r"] * acc["r"])
 

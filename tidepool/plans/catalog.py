@@ -266,3 +266,283 @@ def since_filter(spark, sf_dir):
     since = D.days_before(P.AS_OF, P.SINCE_DAYS)
     return (t.events.where(F.col("ts") >= since.cast("timestamp_ntz"))
             .groupBy("event_type").agg(F.count(F.lit(1)).alias("n")))
+
+
+# ---- history: scans, appends, evolution, snapshots, sync ---------------------
+
+def _ts_text(c: str) -> F.Column:
+    return F.date_format(F.col(c), "yyyy-MM-dd HH:mm:ss").alias(c)
+
+
+@query
+def history_latest(spark, sf_dir):
+    from tidepool.sources import history as H
+    t = Tables(spark, sf_dir)
+    return H.latest_records(t.timeline_posts, ["body", "news_id"], P.LATEST_N,
+                            [F.col("news_id").desc()])
+
+
+@query
+def history_append(spark, sf_dir):
+    """Triage rows written to ``replied_tweets``: aligned by name (unknown
+    keys dropped, missing ones defaulted), stamped with the run time."""
+    from tidepool.session import shared_dir
+    from tidepool.sources import history as H
+    t = Tables(spark, sf_dir)
+    rows = (triage_candidates(t)
+            .select(F.lit(P.SEARCH_TAG).alias("hashtag"), F.col("full_text").alias("input_tweet"),
+                    F.col("full_text_hash").alias("input_tweet_hash"),
+                    F.col("post_id").alias("input_tweet_id"),
+                    F.concat(F.lit("user_"), F.col("author_id").cast("string")).alias("output_to_username"),
+                    F.lit("200").alias("status"), F.col("ffratio").alias("not_a_column")))
+    path = shared_dir(spark, "replied_tweets")
+    H.append_history(rows, path, "replied_tweets", P.RUN_TS)
+    back = H.read_history(spark, path, "replied_tweets")
+    return back.select(_ts_text("date"), *[c for c in H.HISTORY_FIELDS["replied_tweets"]])
+
+
+@query
+def schema_evolve(spark, sf_dir):
+    from tidepool.sources import history as H
+    t = Tables(spark, sf_dir)
+    out = H.evolve_schema(t.replied_tweets, H.HISTORY_FIELDS["replied_tweets"])
+    return out.withColumn("date", F.col("date").cast("string")).drop("input_tweet")
+
+
+@query
+def history_backup(spark, sf_dir):
+    from tidepool.session import shared_dir
+    from tidepool.sources import history as H
+    t = Tables(spark, sf_dir)
+    root = shared_dir(spark, "backup")
+    H.history_backup(t.replied_tweets.drop("input_tweet"), root, P.BACKUP_AS_OF)
+    return spark.read.parquet(root).select("snapshot_ts", "input_tweet_id", "input_tweet_hash", "status")
+
+
+@query
+def snapshot_write(spark, sf_dir):
+    from tidepool.session import shared_dir
+    from tidepool.sources import history as H
+    t = Tables(spark, sf_dir)
+    path = shared_dir(spark, "snapshot")
+    found = gates.posts_search(t.posts, P.SEARCH_TAG).select("post_id", "author_id")
+    H.snapshot_write(found, path, tag=P.SEARCH_TAG)
+    return spark.read.parquet(path)
+
+
+@query
+def fresh_snapshot(spark, sf_dir):
+    """Rows of a snapshot younger than 5 hours (file modification time)."""
+    import time
+    from tidepool.session import shared_dir
+    from tidepool.sources import history as H
+    t = Tables(spark, sf_dir)
+    path = shared_dir(spark, "snapshot")
+    H.snapshot_write(gates.posts_search(t.posts, P.SEARCH_TAG).select("post_id"), path, P.SEARCH_TAG)
+    return H.fresh_snapshot(spark, path, 5, time.time()).select("post_id", "hashtag")
+
+
+def _sync_copies(t: Tables):
+    def copy(mod):
+        return (t.posts.where(F.col("post_id") % mod == 0)
+                .select(F.col("post_id").alias("input_tweet_id"),
+                        X.sha256_hex("full_text").alias("input_tweet_hash"),
+                        F.when(F.col("post_id") % 20 == 0, F.lit(None).cast("string"))
+                        .otherwise(F.lit("ok")).alias("status")))
+    a = copy(10)
+    a = a.unionByName(a.where(F.col("input_tweet_id") % 40 == 0))   # a duplicated row
+    return a, copy(15)
+
+
+@query
+def sync_tables(spark, sf_dir):
+    from tidepool.sources import history as H
+    a, b = _sync_copies(Tables(spark, sf_dir))
+    new_a, new_b = H.sync_tables(a, b, two_way=True)
+    return (new_a.withColumn("side", F.lit("a"))
+            .unionByName(new_b.withColumn("side", F.lit("b"))))
+
+
+@query
+def dim_settings(spark, sf_dir):
+    """Configured keywords as a broadcast dimension: posts per keyword tag."""
+    t = Tables(spark, sf_dir)
+    dim = spark.createDataFrame([(k,) for k in P.KEYWORDS], "keyword string")
+    tags = t.posts.select(F.explode(F.array_distinct(X.hashtags("full_text"))).alias("tag"))
+    hits = (tags.join(F.broadcast(dim), tags["tag"] == dim["keyword"])   # dim: caller list, bounded
+            .groupBy("keyword").agg(F.count(F.lit(1)).alias("n_posts")))
+    return (dim.join(hits, "keyword", "left")
+            .select("keyword", F.coalesce(F.col("n_posts"), F.lit(0)).alias("n_posts")))
+
+
+# ---- joins --------------------------------------------------------------------
+
+@query
+def anti_seen_hash(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    c = dedup.with_hash(t.posts, "full_text", "full_text_hash")
+    return dedup.anti_seen_hash(c, t.replied_tweets).select("post_id")
+
+
+@query
+def anti_seen_news(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    n = dedup.with_hash(t.news, "description", "description_hash")
+    return dedup.anti_seen_news(n, t.timeline_posts).select("news_id")
+
+
+@query
+def anti_seen_mention(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return dedup.anti_seen_mention(t.mentions, t.mentions_history).select("mention_id")
+
+
+@query
+def semi_exists(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    c = dedup.with_hash(t.posts, "full_text", "full_text_hash")
+    return dedup.semi_exists(c, "full_text_hash", t.replied_tweets, "input_tweet_hash").select("post_id")
+
+
+@query
+def mention_reply_join(spark, sf_dir):
+    from tidepool.operators import replies as RP
+    t = Tables(spark, sf_dir)
+    return RP.mention_reply_join(t.mentions, t.replies).select("mention_id", "reply_id")
+
+
+@query
+def mention_replied(spark, sf_dir):
+    from tidepool.operators import replies as RP
+    t = Tables(spark, sf_dir)
+    return RP.has_reply(t.mentions, t.replies).select("mention_id", "replied", "n_replies")
+
+
+@query
+def mention_backfill(spark, sf_dir):
+    from tidepool.operators import replies as RP
+    t = Tables(spark, sf_dir)
+    return RP.mention_backfill(t.mentions, t.replies, t.mentions_history)
+
+
+@query
+def parent_lookup(spark, sf_dir):
+    from tidepool.operators import replies as RP
+    t = Tables(spark, sf_dir)
+    out = RP.parent_lookup(t.replies, t.mentions, "in_reply_to_id", "mention_id")
+    return out.select("reply_id", "in_reply_to_id", F.col("full_text").alias("parent_text"))
+
+
+# ---- aggregates / windows -------------------------------------------------------
+
+@query
+def duplicate_keys(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return dedup.duplicate_keys(t.documents.select(X.sha256_hex("text").alias("text_hash")), "text_hash")
+
+
+@query
+def multi_reply_report(spark, sf_dir):
+    from tidepool.operators import replies as RP
+    return RP.multi_reply_report(Tables(spark, sf_dir).replies)
+
+
+@query
+def keep_one_reply(spark, sf_dir):
+    from tidepool.operators import replies as RP
+    return RP.keep_one_reply(Tables(spark, sf_dir).replies).select("reply_id", "in_reply_to_id", "action")
+
+
+@query
+def first_accepted_attempt(spark, sf_dir):
+    from tidepool.operators import responses as R
+    t = Tables(spark, sf_dir)
+    return R.first_accepted_attempt(t.responses, "prompt_id", "attempt", "response",
+                                    P.RESPONSE_FILTER_PHRASES, P.REDACT_MAP, P.REMOVE_PHRASES,
+                                    P.CUT_MARKERS, gates.MAX_LEN_POSTS, P.MAX_ATTEMPTS)
+
+
+@query
+def seeded_pick(spark, sf_dir):
+    from tidepool.operators import responses as R
+    t = Tables(spark, sf_dir)
+    return R.seeded_pick(t.news.select("feed", "news_id"), "feed", "news_id", P.SEED)
+
+
+@query
+def topic_fallback(spark, sf_dir):
+    """Gated posts of the requested topic, else of a seeded non-empty topic."""
+    from tidepool.operators import responses as R
+    t = Tables(spark, sf_dir)
+    g = gates.post_blocklist(gates.post_gate(t.posts), phrases=P.BLOCK_PHRASES)
+    g = g.withColumn("topic", F.regexp_extract("full_text", r"#(topic[0-9]+)", 1))
+    return R.topic_fallback(g.select("post_id", "topic"), "topic", P.FALLBACK_TOPIC, P.SEED)
+
+
+@query
+def response_audit(spark, sf_dir):
+    from tidepool.operators import responses as R
+    t = Tables(spark, sf_dir)
+    f = R.response_flags(t.responses, "response", P.RESPONSE_FILTER_PHRASES)
+    return R.response_audit(f, ["attempt"], "response")
+
+
+# ---- similarity -----------------------------------------------------------------
+
+@query
+def term_frequencies(spark, sf_dir):
+    from tidepool.operators import similarity as SIM
+    return SIM.term_frequencies(Tables(spark, sf_dir).documents, "doc_id", "text")
+
+
+@query
+def cosine_score(spark, sf_dir):
+    """Similarity of each reply to the mention it answers."""
+    from tidepool.operators import similarity as SIM
+    t = Tables(spark, sf_dir)
+    out = SIM.cosine_pairs(t.replies, "reply_id", "in_reply_to_id", t.replies, t.mentions,
+                           "reply_id", "reply_text", "mention_id", "full_text")
+    return out.select("reply_id", F.col("in_reply_to_id").alias("mention_id"),
+                      F.round("cosine", 6).alias("cosine"))
+
+
+@query
+def near_dup_vs_latest(spark, sf_dir):
+    from tidepool.operators import similarity as SIM
+    from tidepool.sources import history as H
+    t = Tables(spark, sf_dir)
+    latest = H.latest_records(t.timeline_posts, ["news_id", "body"], P.LATEST_N,
+                              [F.col("news_id").desc()])
+    return SIM.near_dup_vs_latest(t.news, "news_id", "body", latest, "news_id", "body",
+                                  P.NEAR_DUP_MAX_COS).select("news_id")
+
+
+@query
+def near_dup_pairs(spark, sf_dir):
+    from tidepool.operators import similarity as SIM
+    t = Tables(spark, sf_dir)
+    out = SIM.near_dup_pairs(t.documents, "doc_id", "text", P.PAIR_MIN_COS)
+    return out.withColumn("cosine", F.round("cosine", 6))
+
+
+# ---- news ---------------------------------------------------------------------
+
+@query
+def news_normalized(spark, sf_dir):
+    from tidepool.operators import news as N
+    t = Tables(spark, sf_dir)
+    f1, f2, f3 = N.raw_feeds_from_pages(t.pages)
+    return N.news_union(N.normalize_search_feed(f1, "Finance"),
+                        N.normalize_snippet_feed(f2, "Finance"),
+                        N.normalize_article_feed(f3, "Finance"))
+
+
+@query
+def news_union(spark, sf_dir):
+    """Headlines + articles (UNION ALL: the same article may come twice)."""
+    from tidepool.operators import news as N
+    t = Tables(spark, sf_dir)
+    _, _, f3 = N.raw_feeds_from_pages(t.pages)
+    headlines = N.normalize_article_feed(f3, "Finance", feed="top_headlines")
+    articles = N.normalize_article_feed(f3.where(F.length("url") % 2 == 0), "Finance", feed="all_articles")
+    return N.news_union(headlines, articles).select("feed", "url", "search_term", "description_hash")

@@ -213,3 +213,227 @@ ORACLES["since_filter"] = f"""
 select event_type, count(*) as n from events
 where ts >= cast(cast({q(P.AS_OF)} as timestamp) as date) - interval {P.SINCE_DAYS} day
 group by event_type"""
+
+# ---- history ------------------------------------------------------------------
+
+ORACLES["history_latest"] = with_views(
+    f"select body, news_id from timeline_posts order by news_id desc limit {P.LATEST_N}", "timeline_posts")
+
+ORACLES["history_append"] = with_views(f"""
+select {q(P.RUN_TS)} as date, {q(P.SEARCH_TAG)} as hashtag, full_text as input_tweet,
+  full_text_hash as input_tweet_hash, post_id as input_tweet_id,
+  cast(null as varchar) as output_tweet, cast(null as varchar) as raw_model_response,
+  cast(0 as bigint) as output_tweet_id, 'user_' || cast(author_id as varchar) as output_to_username,
+  '200' as status
+from cand""", "posts", "replied_tweets", extra={"cand": TRIAGE_CANDIDATES})
+
+ORACLES["schema_evolve"] = with_views("""
+select input_tweet_id, author_id, status, input_tweet_hash, cast(null as varchar) as date,
+  cast(null as varchar) as hashtag, cast(null as varchar) as output_tweet,
+  cast(null as varchar) as raw_model_response, cast(0 as bigint) as output_tweet_id,
+  cast(null as varchar) as output_to_username
+from replied_tweets""", "replied_tweets")
+
+ORACLES["history_backup"] = with_views(
+    "select '2024_01_02_08_01' as snapshot_ts, input_tweet_id, input_tweet_hash, status from replied_tweets",
+    "replied_tweets")
+
+ORACLES["snapshot_write"] = with_views(
+    f"select post_id, author_id, {q(P.SEARCH_TAG)} as hashtag from posts where {SEARCH}", "posts")
+
+_COPY = """select post_id as input_tweet_id, sha256(full_text) as input_tweet_hash,
+  case when post_id % 20 = 0 then null else 'ok' end as status from posts where post_id % {m} = 0"""
+_SAME = ("x.input_tweet_id IS NOT DISTINCT FROM y.input_tweet_id AND "
+         "x.input_tweet_hash IS NOT DISTINCT FROM y.input_tweet_hash AND x.status IS NOT DISTINCT FROM y.status")
+ORACLES["sync_tables"] = with_views(f"""
+select 'a' as side, * from a
+union all select 'a', * from b x where not exists (select 1 from a y where {_SAME})
+union all select 'b', * from b
+union all select 'b', * from a x where not exists (select 1 from b y where {_SAME})""",
+                                    "posts", extra={
+                                        "a0": _COPY.format(m=10),
+                                        "a": "select * from a0 union all select * from a0 where input_tweet_id % 40 = 0",
+                                        "b": _COPY.format(m=15)})
+
+ORACLES["dim_settings"] = with_views(f"""
+select d.keyword, coalesce(h.n, 0) as n_posts
+from (select unnest({_list(P.KEYWORDS)}) as keyword) d
+left join (select tag, count(*) as n from (select unnest(list_distinct({S.hashtags('full_text')})) as tag
+           from posts) group by tag) h on h.tag = d.keyword""", "posts")
+
+# ---- joins --------------------------------------------------------------------
+
+ORACLES["anti_seen_hash"] = with_views("""
+select post_id from posts p where not exists (
+  select 1 from replied_tweets h where h.input_tweet_hash = sha256(p.full_text))""", "posts", "replied_tweets")
+
+ORACLES["anti_seen_news"] = with_views("""
+select news_id from news n
+where not exists (select 1 from timeline_posts h where h.description_hash = sha256(n.description))
+  and not exists (select 1 from timeline_posts h where h.input_text_url = n.url)""", "news", "timeline_posts")
+
+ORACLES["anti_seen_mention"] = with_views("""
+select mention_id from mentions m where not exists (
+  select 1 from mentions_history h where h.in_reply_to_status_id = m.mention_id)""",
+                                          "mentions", "mentions_history")
+
+ORACLES["semi_exists"] = with_views("""
+select post_id from posts p where exists (
+  select 1 from replied_tweets h where h.input_tweet_hash = sha256(p.full_text))""", "posts", "replied_tweets")
+
+ORACLES["mention_reply_join"] = with_views(
+    "select m.mention_id, r.reply_id from mentions m join replies r on r.in_reply_to_id = m.mention_id",
+    "mentions", "replies")
+
+ORACLES["mention_replied"] = with_views("""
+select m.mention_id, c.n is not null as replied, coalesce(c.n, 0) as n_replies
+from mentions m left join (select in_reply_to_id, count(*) as n from replies
+                           where in_reply_to_id is not null group by 1) c
+  on c.in_reply_to_id = m.mention_id""", "mentions", "replies")
+
+ORACLES["mention_backfill"] = with_views("""
+select in_reply_to_status_id, in_reply_to_text, in_reply_to_text_hash, in_reply_to_user_id,
+  replay_text, replay_tweet_id, status from (
+  select m.mention_id as in_reply_to_status_id, m.full_text as in_reply_to_text,
+    sha256(m.full_text) as in_reply_to_text_hash, m.user_id as in_reply_to_user_id,
+    r.reply_text as replay_text, r.reply_id as replay_tweet_id,
+    case when c.n > 1 then 'deleted' else '200' end as status,
+    row_number() over (partition by sha256(m.full_text) order by m.mention_id desc, r.reply_id desc) as rn
+  from mentions m join replies r on r.in_reply_to_id = m.mention_id
+  left join (select in_reply_to_id, count(*) as n from replies group by 1) c on c.in_reply_to_id = m.mention_id
+  where not exists (select 1 from mentions_history h where h.in_reply_to_text_hash = sha256(m.full_text))
+) where rn = 1""", "mentions", "replies", "mentions_history")
+
+ORACLES["parent_lookup"] = with_views(
+    "select r.reply_id, r.in_reply_to_id, m.full_text as parent_text "
+    "from replies r join mentions m on r.in_reply_to_id = m.mention_id", "replies", "mentions")
+
+# ---- aggregates / windows -------------------------------------------------------
+
+ORACLES["duplicate_keys"] = """
+select sha256(text) as text_hash, count(*) as n from documents group by 1 having count(*) > 1"""
+
+ORACLES["multi_reply_report"] = with_views(
+    "select in_reply_to_id, count(*) as n_replies from replies where in_reply_to_id is not null "
+    "group by 1 having count(*) > 1", "replies")
+
+ORACLES["keep_one_reply"] = with_views("""
+select reply_id, in_reply_to_id,
+  case when in_reply_to_id is null or reply_id = max(reply_id) over (partition by in_reply_to_id)
+       then 'keep' else 'duplicate' end as action
+from replies""", "replies")
+
+_FINAL = S.shorten_overlong(
+    S.remove_phrases_if_present(S.replace_phrases_lowercasing(_cut_all("response"), P.REDACT_MAP),
+                                P.REMOVE_PHRASES), 280)
+ORACLES["first_accepted_attempt"] = with_views(f"""
+select prompt_id, min(attempt) filter (where ok) as accepted_attempt,
+  arg_min(final, attempt) filter (where ok) as final_response, count(*) as n_attempts,
+  case when min(attempt) filter (where ok) is null then 'not_passed' else 'passed' end as status
+from (select prompt_id, attempt, f as final,
+        (NOT flagged) AND length(f) <= 280 AND attempt <= {P.MAX_ATTEMPTS} as ok
+      from (select prompt_id, attempt, {_FINAL} as f, ({PHRASE_FLAG} OR {NOT_COMPLY}) as flagged
+            from responses))
+group by prompt_id""", "responses")
+
+ORACLES["seeded_pick"] = with_views(f"""
+select feed, arg_min(news_id, md5({q(P.SEED + ':')} || cast(news_id as varchar))) as news_id
+from news group by feed""", "news")
+
+ORACLES["topic_fallback"] = with_views(f"""
+select post_id, topic from g where topic = (
+  select topic from (select topic, count(*) as n from g group by topic) where n > 0
+  order by topic <> {q(P.FALLBACK_TOPIC)}, md5({q(P.SEED + ':')} || topic) limit 1)""",
+                                       "posts", extra={"g": f"""
+select post_id, regexp_extract(full_text, '#(topic[0-9]+)', 1) as topic from posts
+where {POST_GATE} AND {blocklist()}"""})
+
+ORACLES["response_audit"] = with_views(f"""
+select attempt, count(*) as n, count_if({PHRASE_FLAG} OR {NOT_COMPLY}) as n_flagged,
+  count_if({NOT_COMPLY}) as n_not_comply, round(avg(length(response)), 6) as avg_len,
+  max(length(response)) as max_len
+from responses group by attempt""", "responses")
+
+# ---- similarity -----------------------------------------------------------------
+
+ORACLES["term_frequencies"] = f"""
+select doc_id, token, count(*) as tf
+from (select doc_id, unnest({S.tokens('text')}) as token from documents) group by doc_id, token"""
+
+
+def _tv(name: str, id_expr: str, text: str, src: str) -> str:
+    return (f"select {id_expr} as {name}, tok, count(*) as tf from "
+            f"(select {id_expr}, unnest({S.tokens(text)}) as tok from {src}) group by all")
+
+
+def _cos(dot: str, a: str, b: str) -> str:
+    den = f"(sqrt(cast({a} as double)) * sqrt(cast({b} as double)))"
+    return f"(CASE WHEN {den} > 0 THEN cast({dot} as double) / {den} ELSE 0.0 END)"
+
+
+ORACLES["cosine_score"] = with_views(f"""
+select p.a as reply_id, p.b as mention_id,
+  round({_cos('coalesce(d.dot, 0)', 'coalesce(na.n2, 0)', 'coalesce(nb.n2, 0)')}, 6) as cosine
+from p left join d on d.a = p.a and d.b = p.b
+left join na on na.a = p.a left join nb on nb.b = p.b""", "replies", "mentions", extra={
+    "p": "select distinct reply_id as a, in_reply_to_id as b from replies",
+    "ta": _tv("a", "reply_id", "reply_text", "replies"),
+    "tb": _tv("b", "mention_id", "full_text", "mentions"),
+    "na": "select a, sum(tf * tf) as n2 from ta group by a",
+    "nb": "select b, sum(tf * tf) as n2 from tb group by b",
+    "d": "select p.a, p.b, sum(ta.tf * tb.tf) as dot from p join ta on ta.a = p.a "
+         "join tb on tb.b = p.b and tb.tok = ta.tok group by p.a, p.b"})
+
+ORACLES["near_dup_vs_latest"] = with_views(f"""
+select news_id from news where news_id not in (
+  select c.c from d join cn c on c.c = d.c join hn h on h.h = d.h
+  where {_cos('d.dot', 'c.n2', 'h.n2')} > {P.NEAR_DUP_MAX_COS})""", "news", "timeline_posts", extra={
+    "hist": f"select news_id, body from timeline_posts order by news_id desc limit {P.LATEST_N}",
+    "htv": _tv("h", "news_id", "body", "hist"),
+    "hn": "select h, sum(tf * tf) as n2 from htv group by h",
+    "ctv": _tv("c", "news_id", "body", "news"),
+    "cn": "select c, sum(tf * tf) as n2 from ctv group by c",
+    "d": "select ctv.c, htv.h, sum(ctv.tf * htv.tf) as dot from ctv join htv on ctv.tok = htv.tok "
+         "group by ctv.c, htv.h"})
+
+ORACLES["near_dup_pairs"] = with_views(f"""
+select d.a as a_id, d.b as b_id, round({_cos('d.dot', 'na.n2', 'nb.n2')}, 6) as cosine,
+  ra.copies as a_copies, rb.copies as b_copies
+from d join n na on na.rep = d.a join n nb on nb.rep = d.b
+join reps ra on ra.rep = d.a join reps rb on rb.rep = d.b
+where {_cos('d.dot', 'na.n2', 'nb.n2')} >= {P.PAIR_MIN_COS}""", extra={
+    "reps": "select sha256(text) as h, min(doc_id) as rep, count(*) as copies, arg_min(text, doc_id) as t "
+            "from documents where text is not null group by 1",
+    "tv": _tv("rep", "rep", "t", "reps"),
+    "n": "select rep, sum(tf * tf) as n2 from tv group by rep",
+    "d": "select x.rep as a, y.rep as b, sum(x.tf * y.tf) as dot from tv x join tv y "
+         "on x.tok = y.tok and x.rep < y.rep group by 1, 2"})
+
+# ---- news ---------------------------------------------------------------------
+
+_BASE = """select page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) as title,
+  regexp_replace(regexp_extract(html, '<p>(.*?)</p>', 1), '<[^>]+>', '', 'g') as para,
+  cast(1 + page_id % 30 as varchar) || case page_id % 3 when 0 then ' minutes ago'
+    when 1 then ' hours ago' else ' days ago' end as age
+from pages"""
+_ART = """select url, title, case when para <> '' then para end as description,
+  printf('2024-01-%02d', cast(1 + page_id % 28 as int)) as published_at from base where page_id % 3 = 2"""
+_NULLS = "cast(null as varchar)"
+ORACLES["news_normalized"] = with_views(f"""
+select 'news_search' as feed, url, {_NULLS} as title, {_NULLS} as description, para as body,
+  {_NULLS} as published_at, {_NULLS} as age_text, 'Finance' as search_term, sha256(para) as body_hash,
+  {_NULLS} as description_hash from base where page_id % 3 = 0
+union all
+select 'news_snippets', url, {_NULLS}, {_NULLS}, para, {_NULLS}, age, 'Finance', sha256(para), {_NULLS}
+from base where page_id % 3 = 1
+union all
+select 'news_articles', url, title, description, string_split(title, ' -')[1] || '. ' || description,
+  published_at, {_NULLS}, 'Finance', {_NULLS}, sha256(description)
+from art where description is not null""", extra={"base": _BASE, "art": _ART})
+
+ORACLES["news_union"] = with_views("""
+select 'top_headlines' as feed, url, 'Finance' as search_term, sha256(description) as description_hash
+from art where description is not null
+union all
+select 'all_articles', url, 'Finance', sha256(description) from art
+where description is not null and length(url) % 2 = 0""", extra={"base": _BASE, "art": _ART})

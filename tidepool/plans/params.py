@@ -33,3 +33,4 @@ REQUESTED_TOPIC = "topic6"
 KEYWORDS = ("topic1", "topic3", "Trend_1", "deal", "bitcoin")
 MAX_ATTEMPTS = 3
 EXTRACT_MARKERS = ("As an AI", ".")
+FALLBACK_TOPIC = "topic9"   # not present: exercises the fallback branch

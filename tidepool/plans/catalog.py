@@ -546,3 +546,152 @@ def news_union(spark, sf_dir):
     headlines = N.normalize_article_feed(f3, "Finance", feed="top_headlines")
     articles = N.normalize_article_feed(f3.where(F.length("url") % 2 == 0), "Finance", feed="all_articles")
     return N.news_union(headlines, articles).select("feed", "url", "search_term", "description_hash")
+
+
+# ---- chat logs, log records, reports, nested fields --------------------------------
+
+def _first_user_turns(t: Tables) -> DataFrame:
+    """The opening user message of every conversation (its prompt)."""
+    c = t.conversations.where(F.col("role") == "user")
+    return (c.groupBy("conv_id")
+            .agg(F.min_by(F.col("text"), F.col("turn")).alias("prompt"))
+            .withColumnRenamed("conv_id", "prompt_id"))
+
+
+@query
+def chat_log_build(spark, sf_dir):
+    from tidepool.operators import responses as R
+    t = Tables(spark, sf_dir)
+    return R.chat_log_build(_first_user_turns(t), "prompt_id", "prompt", P.SYSTEM_TEXT, P.SETUP_TURNS)
+
+
+@query
+def chat_log_append(spark, sf_dir):
+    """Continue each conversation: turns after the first two are appended
+    (cleaned) after the log's last position."""
+    from tidepool.operators import responses as R
+    c = Tables(spark, sf_dir).conversations.select(
+        "conv_id", F.col("turn").alias("position"), "role", F.col("text").alias("content"))
+    history = c.where(F.col("position") <= 1)
+    new = c.where(F.col("position") > 1).withColumn("position", F.col("position") - 2)
+    return R.chat_log_append(history, new, "conv_id", "position", "role", "content")
+
+
+@query
+def response_log_record(spark, sf_dir):
+    from tidepool.operators import responses as R
+    t = Tables(spark, sf_dir)
+    log = R.chat_log_build(_first_user_turns(t), "prompt_id", "prompt", P.SYSTEM_TEXT, P.SETUP_TURNS)
+    answers = first_accepted_attempt(spark, sf_dir).select(
+        "prompt_id", F.col("final_response").alias("response"), F.col("status").alias("filter"))
+    return R.response_log_record(log, "prompt_id", "position", "content", answers, P.LOG_SETTINGS)
+
+
+@query
+def response_report(spark, sf_dir):
+    from tidepool.operators import responses as R
+    t = Tables(spark, sf_dir)
+    temps = F.array(*[F.lit(x) for x in P.TEMPERATURES])
+    df = t.responses.select(
+        "prompt_id", "attempt", "response",
+        F.element_at(temps, (F.col("attempt") % len(P.TEMPERATURES) + 1).cast("int")).alias("temperature"),
+        F.when(F.col("prompt_id") % 2 == 0, F.lit(P.LOG_SETTINGS["model"])).alias("model"),
+        F.when(F.col("prompt_id") % 3 == 0, F.lit("curious")).alias("mood"))
+    return R.response_report(df, "response", {"Mood": "mood", "Temp": "temperature", "Model": "model"}) \
+        .select("prompt_id", "attempt", "report")
+
+
+@query
+def post_flatten(spark, sf_dir):
+    """Posts carrying a nested ``user`` struct, flattened with the defaults
+    (followers 0, friends and statuses 1 when missing)."""
+    t = Tables(spark, sf_dir)
+    nested = t.posts.select(
+        "post_id",
+        F.struct(F.col("author_id").alias("id"),
+                 F.concat(F.lit("user_"), F.col("author_id").cast("string")).alias("screen_name"),
+                 F.when(F.col("post_id") % 7 != 0, F.col("followers_count")).alias("followers_count"),
+                 F.when(F.col("post_id") % 9 != 0, F.col("friends_count")).alias("friends_count"),
+                 F.col("statuses_count").alias("statuses_count")).alias("user"))
+    return nested.select(
+        "post_id", F.col("user.id").alias("user_id"), F.col("user.screen_name").alias("screen_name"),
+        F.coalesce(F.col("user.followers_count"), F.lit(0)).alias("followers"),
+        F.coalesce(F.col("user.friends_count"), F.lit(1)).alias("friends"),
+        F.coalesce(F.col("user.statuses_count"), F.lit(1)).alias("statuses"))
+
+
+@query
+def event_props(spark, sf_dir):
+    """JSON text column parsed with a declared schema (no inference)."""
+    t = Tables(spark, sf_dir)
+    return t.events.select("event_id", F.from_json("props", "k bigint").getField("k").alias("k"))
+
+
+# ---- streaming ------------------------------------------------------------------------
+
+def _stream_of(spark, df: DataFrame, run: dict, bucket, n_files: int = 3):
+    from tidepool.streaming import jobs as J
+    J.stage_files(df, run["input"], bucket, n_files)
+    return J.read_arrivals(spark, run["input"], df.schema)
+
+
+def _hash_bucket(col: str, n: int):
+    return F.pmod(F.conv(F.substring(X.sha256_hex(col), 1, 6), 16, 10).cast("bigint"), F.lit(n))
+
+
+@query
+def stream_length_gate(spark, sf_dir):
+    from tidepool.streaming import jobs as J
+    t = Tables(spark, sf_dir)
+    run = J.new_run(spark, "stream_length_gate")
+    s = _stream_of(spark, t.mentions, run, F.col("mention_id") % 3)
+    J.run_available(J.stream_length_gate(s, "full_text").select("mention_id", "route"),
+                    run["checkpoint"], sink=run["sink"], partition_by="route")
+    return spark.read.parquet(run["sink"]).select("mention_id", "route")
+
+
+@query
+def stream_triage(spark, sf_dir):
+    from tidepool.streaming import jobs as J
+    t = Tables(spark, sf_dir)
+    run = J.new_run(spark, "stream_triage")
+    s = _stream_of(spark, t.posts, run, _hash_bucket("full_text", 3))
+    J.run_available(s, run["checkpoint"],
+                    J.triage_batch_fn(spark, t.replied_tweets, run["sink"], P.BLOCK_PHRASES))
+    return spark.read.parquet(run["sink"]).select("post_id", "author_id", "full_text_hash")
+
+
+@query
+def stream_mentions(spark, sf_dir):
+    from tidepool.streaming import jobs as J
+    t = Tables(spark, sf_dir)
+    run = J.new_run(spark, "stream_mentions")
+    s = _stream_of(spark, t.mentions, run, F.col("mention_id") % 3)
+    J.run_available(s, run["checkpoint"], J.mentions_batch_fn(spark, t.mentions_history, run["sink"]))
+    return spark.read.parquet(run["sink"]).select("in_reply_to_status_id", "in_reply_to_text_hash", "status")
+
+
+@query
+def stream_news(spark, sf_dir):
+    from tidepool.streaming import jobs as J
+    t = Tables(spark, sf_dir)
+    run = J.new_run(spark, "stream_news")
+    s = _stream_of(spark, t.news, run, F.col("news_id") % 3)
+    J.run_available(s, run["checkpoint"],
+                    J.news_batch_fn(spark, t.timeline_posts, run["sink"], P.LATEST_N,
+                                    P.NEAR_DUP_MAX_COS, P.SEED))
+    return spark.read.parquet(run["sink"]).select("batch_id", "news_id")
+
+
+@query
+def stream_dedup(spark, sf_dir):
+    """Events arriving in several files, 1 in 200 of them re-sent later."""
+    from tidepool.streaming import jobs as J
+    t = Tables(spark, sf_dir)
+    run = J.new_run(spark, "stream_dedup")
+    ev = t.events.select("event_id", "user_id", "event_type", "value")
+    J.stage_files(ev, run["input"], F.col("event_id") % 3, 3)
+    J.stage_files(ev.where(F.col("event_id") % 200 == 7), run["input"], F.lit(0), 1)
+    s = J.read_arrivals(spark, run["input"], ev.schema)
+    J.run_available(s, run["checkpoint"], J.dedup_batch_fn(spark, run["sink"], "event_id"))
+    return spark.read.parquet(run["sink"]).select("event_id", "user_id", "event_type", "value")

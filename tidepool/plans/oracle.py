@@ -437,3 +437,54 @@ from art where description is not null
 union all
 select 'all_articles', url, 'Finance', sha256(description) from art
 where description is not null and length(url) % 2 = 0""", extra={"base": _BASE, "art": _ART})
+
+# ---- reports, nested fields ----------------------------------------------------------
+
+_TEMPS = "[" + ", ".join(str(x) for x in P.TEMPERATURES) + "]"
+ORACLES["response_report"] = with_views(f"""
+select prompt_id, attempt,
+  coalesce(case when response is not null and response <> '' then
+    'Model Response: ' || response || chr(10) || 'Response Len: ' || cast(length(response) as varchar) || chr(10)
+    end, '')
+  || coalesce(case when mood is not null and mood <> '' then 'Mood: ' || mood || chr(10) end, '')
+  || coalesce(case when temperature is not null and temperature <> 0 then
+       'Temp: ' || cast(temperature as varchar) || chr(10) end, '')
+  || coalesce(case when model is not null and model <> '' then 'Model: ' || model || chr(10) end, '')
+  || '-------------------------------' as report
+from (select prompt_id, attempt, response,
+        {_TEMPS}[cast(attempt % {len(P.TEMPERATURES)} as int) + 1] as temperature,
+        case when prompt_id % 2 = 0 then {q(P.LOG_SETTINGS['model'])} end as model,
+        case when prompt_id % 3 = 0 then 'curious' end as mood
+      from responses)""", "responses")
+
+ORACLES["post_flatten"] = with_views("""
+select post_id, author_id as user_id, 'user_' || cast(author_id as varchar) as screen_name,
+  coalesce(case when post_id % 7 <> 0 then followers_count end, 0) as followers,
+  coalesce(case when post_id % 9 <> 0 then friends_count end, 1) as friends,
+  coalesce(statuses_count, 1) as statuses
+from posts""", "posts")
+
+ORACLES["event_props"] = """
+select event_id, cast(json_extract(props, '$.k') as bigint) as k from events"""
+
+# ---- streaming (compared on the sink after all files are processed) -------------------
+
+ORACLES["stream_length_gate"] = with_views(
+    f"select mention_id, case when length({S.clean_links('full_text')}) > 10 then 'long' else 'short' end "
+    f"as route from mentions", "mentions")
+
+ORACLES["stream_triage"] = with_views("""
+select post_id, author_id, full_text_hash from (
+  select *, row_number() over (partition by full_text_hash order by post_id) as rn from g) where rn = 1""",
+                                      "posts", "replied_tweets", extra={"g": f"""
+select post_id, author_id, sha256(full_text) as full_text_hash from posts
+where {POST_GATE} AND {blocklist()} AND {S.hashtag_ratio_ok('full_text')}
+  AND NOT EXISTS (select 1 from replied_tweets h where h.input_tweet_hash = sha256(posts.full_text))"""})
+
+ORACLES["stream_mentions"] = with_views(f"""
+select mention_id as in_reply_to_status_id, sha256(full_text) as in_reply_to_text_hash,
+  case when {S.strip_ws(S.remove_mentions(S.clean_links('full_text')))} <> '' then 'ok' else 'no text' end as status
+from mentions m where not exists (
+  select 1 from mentions_history h where h.in_reply_to_status_id = m.mention_id)""", "mentions", "mentions_history")
+
+ORACLES["stream_dedup"] = "select event_id, user_id, event_type, value from events"

@@ -34,3 +34,9 @@ KEYWORDS = ("topic1", "topic3", "Trend_1", "deal", "bitcoin")
 MAX_ATTEMPTS = 3
 EXTRACT_MARKERS = ("As an AI", ".")
 FALLBACK_TOPIC = "topic9"   # not present: exercises the fallback branch
+# Chat-log template supplied by the caller (neutral wording).
+SYSTEM_TEXT = "You are a helpful assistant."
+SETUP_TURNS = (("user", "Reply in at most 280 characters; answer OK when ready."),
+               ("assistant", "OK"))
+LOG_SETTINGS = {"model": "model-a", "temperature": 0.7, "ability": "reply_to_mentions"}
+TEMPERATURES = (0.7, 0.8, 0.9, 1.0)

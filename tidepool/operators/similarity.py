@@ -39,7 +39,7 @@ def sum_sq_counts(toks: Column) -> Column:
         return F.when(x == acc["p"], acc_of(x, acc["r"] + 1, acc["s"])) \
             .otherwise(acc_of(x, F.lit(1), acc["s"] + acc["r"] * acc["r"]))
 
-    return F.aggregate(F.array_sort(toks), init, step, lambda acc: acc["s"] + acc["r"] * acc["r"])
+    return F.aggregate(F.sort_array(toks), init, step, lambda acc: acc["s"] + acc["r"] * acc["r"])
 
 
 def term_frequencies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -89,9 +89,10 @@ def near_dup_vs_latest(candidates: DataFrame, cand_id: str, cand_text: str,
         F.col(latest_id).alias("__h"), "token", F.col("tf").alias("tfh"))
     hn = htv.groupBy("__h").agg(F.sum(F.col("tfh") * F.col("tfh")).alias("n2h"))
     htv_n = F.broadcast(htv.join(hn, "__h"))
-    occ = (candidates.select(F.col(cand_id).alias("__c"), tokens(cand_text).alias("__toks"))
-           .select("__c", sum_sq_counts(F.col("__toks")).alias("n2c"),
-                   F.explode("__toks").alias("token")))
+    # the norm is computed once per row, before the explode multiplies rows
+    vec = (candidates.select(F.col(cand_id).alias("__c"), tokens(cand_text).alias("__toks"))
+           .withColumn("n2c", sum_sq_counts(F.col("__toks"))))
+    occ = vec.select("__c", "n2c", F.explode("__toks").alias("token"))
     scores = (occ.join(htv_n, "token")
               .groupBy("__c", "n2c", "__h", "n2h").agg(F.sum("tfh").alias("dot")))
     near = (scores.where(cosine_expr(F.col("dot"), F.col("n2c"), F.col("n2h")) > F.lit(max_cos))
@@ -99,15 +100,28 @@ def near_dup_vs_latest(candidates: DataFrame, cand_id: str, cand_text: str,
     return candidates.join(near, candidates[cand_id] == near["__c"], "left_anti")
 
 
-def near_dup_pairs(docs: DataFrame, id_col: str, text_col: str, min_cos: float) -> DataFrame:
-    """All pairs of distinct texts with cosine >= ``min_cos``.
-
-    Exact copies are collapsed to one representative (smallest id) carrying
-    its copy count, so a text repeated a million times costs one vector and
-    no quadratic fan-out; pairs are reported between representatives with
-    their counts (``a_copies``, ``b_copies``).
+def near_dup_pairs(docs: DataFrame, id_col: str, text_col: str, min_cos: float,
+                   index_mass: float | None = None, hot_df: int = 2048,
+                   max_salt: int = 64) -> DataFrame:
+    """All pairs of distinct texts with cosine >= ``min_cos`` (exact).
+
+    1. Exact copies collapse to one representative (smallest id) carrying a
+       copy count: a text repeated a million times costs one vector and no
+       quadratic fan-out.  Pairs are reported between representatives.
+    2. Tokens are ordered globally by document frequency (rare first).  The
+       *prefix* of a vector is its leading tokens while the remaining squared
+       mass is >= ``index_mass`` (default ``min_cos**2``); the rest is its
+       *suffix* (common tokens, norm < sqrt(index_mass) <= min_cos).
+    3. Candidates: pairs sharing a prefix token (lossless: without one, the
+       dot product lives in a suffix and is < min_cos).  The prefix self-join
+       also accumulates the exact dot over shared prefix tokens.
+    4. Bound: the rest of the dot lies in the suffix of the vector whose
+       suffix starts first (x), so dot <= pp + |suffix(x)| * sqrt(1 - py);
+       candidates under ``min_cos`` are dropped without further work.
+    5. Verify survivors exactly over suffix(x) only (common tokens; short),
+       then score from integer sums exactly as the reference does.
     """
-    t2 = min_cos * min_cos - 1e-9
+    s2 = (min_cos * min_cos if index_mass is None else index_mass) - 1e-9
     reps = (docs.where(F.col(text_col).isNotNull())
             .groupBy(sha256_hex(text_col).alias("__hash"))
             .agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("copies"),
@@ -116,28 +130,57 @@ def near_dup_pairs(docs: DataFrame, id_col: str, text_col: str, min_cos: float)
           .groupBy("rep", "token").agg(F.count(F.lit(1)).alias("tf")))
     dfreq = tv.groupBy("token").agg(F.count(F.lit(1)).alias("dfreq"))
     whole = Window.partitionBy("rep")
-    suffix = (Window.partitionBy("rep").orderBy(F.col("dfreq").desc(), F.col("token").desc())
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rest = (Window.partitionBy("rep").orderBy(F.col("dfreq").desc(), F.col("token").desc())
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     sq = F.col("tf") * F.col("tf")
     tvd = (tv.join(dfreq, "token")
            .withColumn("norm2", F.sum(sq).over(whole))
-           .withColumn("rest2", F.sum(sq).over(suffix)))
-    prefix = tvd.where(F.col("rest2").cast("double") >= F.col("norm2").cast("double") * F.lit(t2)) \
-        .select("rep", "token")
-    pa = prefix.select(F.col("rep").alias("a"), "token")
-    pb = prefix.select(F.col("rep").alias("b"), "token")
-    cands = pa.join(pb, "token").where(F.col("a") < F.col("b")).select("a", "b").distinct()
-    tva = tv.select(F.col("rep").alias("a"), "token", F.col("tf").alias("tfa"))
-    tvb = tv.select(F.col("rep").alias("b"), "token", F.col("tf").alias("tfb"))
-    dots = (cands.join(tva, "a").join(tvb, ["b", "token"])
-            .groupBy("a", "b").agg(F.sum(F.col("tfa") * F.col("tfb")).alias("dot")))
-    n = tvd.select("rep", "norm2").distinct()
-    info = reps.select("rep", "copies")
-    scored = (dots.join(n.select(F.col("rep").alias("a"), F.col("norm2").alias("n2a")), "a")
-              .join(n.select(F.col("rep").alias("b"), F.col("norm2").alias("n2b")), "b")
-              .withColumn("cosine", cosine_expr(F.col("dot"), F.col("n2a"), F.col("n2b")))
+           .withColumn("rest2", F.sum(sq).over(rest))
+           .withColumn("w", F.col("tf") / F.sqrt(F.col("norm2").cast("double")))
+           .withColumn("in_prefix", F.col("rest2").cast("double") >= F.col("norm2").cast("double") * s2))
+    # per representative: squared norm, where its suffix starts, suffix mass
+    no_suffix = F.struct(F.lit(1 << 62).cast("bigint").alias("d"), F.lit("").alias("t"))
+    info = (tvd.groupBy("rep").agg(
+        F.first("norm2").alias("norm2"),
+        F.min(F.when(~F.col("in_prefix"), F.struct(F.col("dfreq").alias("d"), F.col("token").alias("t"))))
+        .alias("__g"),
+        F.max(F.when(~F.col("in_prefix"), F.col("rest2") / F.col("norm2"))).alias("__smass"))
+        .select("rep", "norm2", F.coalesce("__g", no_suffix).alias("g"),
+                F.coalesce("__smass", F.lit(0.0)).alias("smass"))
+        .join(reps.select("rep", "copies"), "rep"))
+    # hot tokens (many documents) are salted: the probe side is split into
+    # ``k`` groups by document hash, the build side replicated ``k`` times,
+    # so no single task pairs all holders of a common token.
+    k = F.least(F.lit(max_salt), F.ceil(F.col("dfreq") / F.lit(hot_df)).cast("int"))
+    prefix = tvd.where("in_prefix").select("rep", "token", "tf", "w", k.alias("k"))
+    pa = prefix.select(F.col("rep").alias("a"), "token", F.col("tf").alias("tfa"), F.col("w").alias("wa"),
+                       F.pmod(F.xxhash64("rep"), F.col("k")).cast("int").alias("salt"))
+    pb = prefix.select(F.col("rep").alias("b"), "token", F.col("tf").alias("tfb"), F.col("w").alias("wb"),
+                       F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"))
+    cands = (pa.join(pb, ["token", "salt"]).where(F.col("a") < F.col("b"))
+             .groupBy("a", "b").agg(F.sum(F.col("tfa") * F.col("tfb")).alias("pp"),
+                                    F.sum(F.col("wa") * F.col("wb")).alias("ppw"),
+                                    F.sum(F.col("wa") * F.col("wa")).alias("pa2"),
+                                    F.sum(F.col("wb") * F.col("wb")).alias("pb2")))
+    ia = info.select(*[F.col(c).alias(f"{c}_a") for c in info.columns])
+    ib = info.select(*[F.col(c).alias(f"{c}_b") for c in info.columns])
+    c = cands.join(ia, F.col("a") == F.col("rep_a")).join(ib, F.col("b") == F.col("rep_b"))
+    a_first = F.col("g_a") <= F.col("g_b")
+    x = F.when(a_first, F.col("a")).otherwise(F.col("b"))
+    y = F.when(a_first, F.col("b")).otherwise(F.col("a"))
+    smass_x = F.when(a_first, F.col("smass_a")).otherwise(F.col("smass_b"))
+    py = F.when(a_first, F.col("pb2")).otherwise(F.col("pa2"))
+    bound = F.col("ppw") + F.sqrt(smass_x) * F.sqrt(F.greatest(F.lit(0.0), 1 - py))
+    surv = (c.where(bound >= F.lit(min_cos - 1e-9))
+            .select("a", "b", "pp", x.alias("x"), y.alias("y"), "norm2_a", "norm2_b",
+                    "copies_a", "copies_b"))
+    sx = tvd.where(~F.col("in_prefix")).select(F.col("rep").alias("x"), "token", F.col("tf").alias("tfx"))
+    ty = tv.select(F.col("rep").alias("y"), "token", F.col("tf").alias("tfy"))
+    rest_dot = (surv.select("x", "y").join(sx, "x").join(ty, ["y", "token"])
+                .groupBy("x", "y").agg(F.sum(F.col("tfx") * F.col("tfy")).alias("rest")))
+    scored = (surv.join(rest_dot, ["x", "y"], "left")
+              .withColumn("cosine", cosine_expr(F.col("pp") + F.coalesce(F.col("rest"), F.lit(0)),
+                                                F.col("norm2_a"), F.col("norm2_b")))
               .where(F.col("cosine") >= F.lit(min_cos)))
-    return (scored.join(info.select(F.col("rep").alias("a"), F.col("copies").alias("a_copies")), "a")
-            .join(info.select(F.col("rep").alias("b"), F.col("copies").alias("b_copies")), "b")
-            .select(F.col("a").alias("a_id"), F.col("b").alias("b_id"), "cosine",
-                    "a_copies", "b_copies"))
+    return scored.select(F.col("a").alias("a_id"), F.col("b").alias("b_id"), "cosine",
+                         F.col("copies_a").alias("a_copies"), F.col("copies_b").alias("b_copies"))

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from tidepool.functions.text import sha256_hex
 
@@ -77,7 +76,3 @@ def dedup_within_batch(df: DataFrame, key: str, order_col: str) -> DataFrame:
     """Keep the first row per key inside one batch (before the history check)."""
     return first_per_key(df, key, order_col, ascending=True)
 
-
-__all__ = ["with_hash", "first_per_key", "anti_seen_hash", "anti_seen_news",
-           "anti_seen_mention", "semi_exists", "duplicate_keys", "dedup_within_batch",
-           "Window"]

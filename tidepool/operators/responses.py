@@ -15,6 +15,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidepool.functions import text as X
 
@@ -88,8 +89,8 @@ def topic_fallback(survivors: DataFrame, topic_col: str, requested: str, seed: s
     """Rows of the requested topic if it has any, else of the first non-empty
     topic in a seeded order (the reference retries random topics).
 
-    One aggregate over topics (tiny), then a broadcast-free semi-join: the
-    chosen topic is a one-row DataFrame.
+    One partial aggregate over topics, then a semi-join against the chosen
+    topic: a global aggregate, so exactly one row (a proven broadcast bound).
     """
     counts = survivors.groupBy(topic_col).agg(F.count(F.lit(1)).alias("n"))
     order = F.struct((F.col(topic_col) != F.lit(requested)).alias("not_req"),
@@ -100,7 +101,7 @@ def topic_fallback(survivors: DataFrame, topic_col: str, requested: str, seed: s
 
 # ---- chat logs ---------------------------------------------------------------
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkd(s: pd.Series) -> pd.Series:
     """Unicode NFKD (no Spark built-in); ASCII rows pass through untouched."""
     def one(v):

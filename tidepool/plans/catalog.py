@@ -45,8 +45,6 @@ def triage_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("hashtag", F.lit(P.SEARCH_TAG)))
 
 
-__all__ = ["QUERIES", "X"]
-
 
 # ---- sources / scans --------------------------------------------------------
 

@@ -94,7 +94,8 @@ def post_blocklist(posts: DataFrame, stop_tokens: Sequence[str] = DEFAULT_STOP_T
 def hashtag_ratio_gate(posts: DataFrame, text_col: str = "full_text",
                        min_ratio: float = 0.5) -> DataFrame:
     """Keep posts whose words-per-hashtag ratio is above ``min_ratio``."""
-    return posts.where(T.hashtag_ratio_ok(text_col, min_ratio))
+    scored = T.with_hashtag_ratio(posts, text_col, "__ratio")
+    return scored.where(F.col("__ratio") > F.lit(min_ratio)).drop("__ratio")
 
 
 def posts_search(posts: DataFrame, hashtag: str, lang: str = "en") -> DataFrame:

@@ -92,8 +92,9 @@ def post_blocklist(spark, sf_dir):
 @query
 def hashtag_ratio_gate(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return t.posts.select("post_id", F.round(X.hashtag_ratio("full_text"), 6).alias("hashtag_ratio"),
-                          X.hashtag_ratio_ok("full_text").alias("passed"))
+    r = X.with_hashtag_ratio(t.posts.select("post_id", "full_text"), "full_text", "r")
+    return r.select("post_id", F.round("r", 6).alias("hashtag_ratio"),
+                    F.coalesce(F.col("r") > F.lit(0.5), F.lit(False)).alias("passed"))
 
 
 @query

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import sha256_hex, tokens
+from tidepool.session import checkpoint_root
 
 
 def sum_sq_counts(toks: Column) -> Column:
@@ -102,7 +103,7 @@ def near_dup_vs_latest(candidates: DataFrame, cand_id: str, cand_text: str,
 
 def near_dup_pairs(docs: DataFrame, id_col: str, text_col: str, min_cos: float,
                    index_mass: float | None = None, hot_df: int = 2048,
-                   max_salt: int = 64) -> DataFrame:
+                   max_salt: int = 64, cut_base: float = 1.5, n_cuts: int = 60) -> DataFrame:
     """All pairs of distinct texts with cosine >= ``min_cos`` (exact).
 
     1. Exact copies collapse to one representative (smallest id) carrying a
@@ -116,8 +117,10 @@ def near_dup_pairs(docs: DataFrame, id_col: str, text_col: str, min_cos: float,
        dot product lives in a suffix and is < min_cos).  The prefix self-join
        also accumulates the exact dot over shared prefix tokens.
     4. Bound: the rest of the dot lies in the suffix of the vector whose
-       suffix starts first (x), so dot <= pp + |suffix(x)| * sqrt(1 - py);
-       candidates under ``min_cos`` are dropped without further work.
+       suffix starts first (x), so dot <= pp + |suffix(x)| * |y after x's
+       suffix start|; the second factor is bounded by y's mass beyond the
+       nearest document-frequency cut (``cut_base`` log-spaced cuts) and by
+       sqrt(1 - py).  Candidates under ``min_cos`` are dropped here.
     5. Verify survivors exactly over suffix(x) only (common tokens; short),
        then score from integer sums exactly as the reference does.
     """
@@ -138,15 +141,29 @@ def near_dup_pairs(docs: DataFrame, id_col: str, text_col: str, min_cos: float,
            .withColumn("rest2", F.sum(sq).over(rest))
            .withColumn("w", F.col("tf") / F.sqrt(F.col("norm2").cast("double")))
            .withColumn("in_prefix", F.col("rest2").cast("double") >= F.col("norm2").cast("double") * s2))
-    # per representative: squared norm, where its suffix starts, suffix mass
+    # Three branches read these weighted vectors; materialise them once in
+    # the shared checkpoint folder (reliable, lineage cut) instead of
+    # re-running the two windows per branch.
+    # (persisted only while the checkpoint is written, so it is computed once)
+    checkpoint_root(docs.sparkSession)
+    cached = tvd.persist()
+    tvd = cached.checkpoint(eager=True)
+    cached.unpersist()
+    # per representative: squared norm, where its suffix starts, suffix mass,
+    # and its unit mass beyond each document-frequency cut (log-spaced), an
+    # upper bound for "its mass after another vector's suffix start".
+    jdf = F.least(F.lit(n_cuts - 1), F.floor(F.log(float(cut_base), F.col("dfreq"))).cast("int"))
+    w2 = F.col("w") * F.col("w")
     no_suffix = F.struct(F.lit(1 << 62).cast("bigint").alias("d"), F.lit("").alias("t"))
-    info = (tvd.groupBy("rep").agg(
+    info = (tvd.withColumn("jdf", jdf).groupBy("rep").agg(
         F.first("norm2").alias("norm2"),
         F.min(F.when(~F.col("in_prefix"), F.struct(F.col("dfreq").alias("d"), F.col("token").alias("t"))))
         .alias("__g"),
-        F.max(F.when(~F.col("in_prefix"), F.col("rest2") / F.col("norm2"))).alias("__smass"))
+        F.max(F.when(~F.col("in_prefix"), F.col("rest2") / F.col("norm2"))).alias("__smass"),
+        *[F.sum(F.when(F.col("jdf") >= j, w2).otherwise(F.lit(0.0))).alias(f"__m{j}") for j in range(n_cuts)])
         .select("rep", "norm2", F.coalesce("__g", no_suffix).alias("g"),
-                F.coalesce("__smass", F.lit(0.0)).alias("smass"))
+                F.coalesce("__smass", F.lit(0.0)).alias("smass"),
+                F.array(*[F.col(f"__m{j}") for j in range(n_cuts)]).alias("beyond"))
         .join(reps.select("rep", "copies"), "rep"))
     # hot tokens (many documents) are salted: the probe side is split into
     # ``k`` groups by document hash, the build side replicated ``k`` times,
@@ -170,7 +187,143 @@ def near_dup_pairs(docs: DataFrame, id_col: str, text_col: str, min_cos: float,
     y = F.when(a_first, F.col("b")).otherwise(F.col("a"))
     smass_x = F.when(a_first, F.col("smass_a")).otherwise(F.col("smass_b"))
     py = F.when(a_first, F.col("pb2")).otherwise(F.col("pa2"))
-    bound = F.col("ppw") + F.sqrt(smass_x) * F.sqrt(F.greatest(F.lit(0.0), 1 - py))
+    g_x = F.when(a_first, F.col("g_a")).otherwise(F.col("g_b"))
+    beyond_y = F.when(a_first, F.col("beyond_b")).otherwise(F.col("beyond_a"))
+    j_x = F.least(F.lit(n_cuts - 1), F.floor(F.log(float(cut_base), g_x["d"])).cast("int"))
+    y_after = F.least(1 - py, F.element_at(beyond_y, j_x + 1))
+    bound = F.col("ppw") + F.sqrt(smass_x) * F.sqrt(F.greatest(F.lit(0.0), y_after))
+    surv = (c.where(bound >= F.lit(min_cos - 1e-9))
+            .select("a", "b", "pp", x.alias("x"), y.alias("y"), "norm2_a", "norm2_b",
+                    "copies_a", "copies_b"))
+    sx = tvd.where(~F.col("in_prefix")).select(F.col("rep").alias("x"), "token", F.col("tf").alias("tfx"))
+    ty = tv.select(F.col("rep").alias("y"), "token", F.col("tf").alias("tfy"))
+    # one pass over the survivors: left joins keep pairs without suffix overlap
+    keys = ["x", "y", "a", "b", "pp", "norm2_a", "norm2_b", "copies_a", "copies_b"]
+    scored = (surv.join(sx, "x", "left").join(ty, ["y", "token"], "left")
+              .groupBy(*keys).agg(F.sum(F.col("tfx") * F.col("tfy")).alias("rest"))
+              .withColumn("cosine", cosine_expr(F.col("pp") + F.coalesce(F.col("rest"), F.lit(0)),
+                                                F.col("norm2_a"), F.col("norm2_b")))
+              .where(F.col("cosine") >= F.lit(min_cos)))
+    return scored.select(
+        F.col("__a").alias(a_col), F.col("__b").alias(b_col),
+        cosine_expr(F.coalesce(F.col("dot"), F.lit(0)), F.coalesce(F.col("n2a"), F.lit(0)),
+                    F.coalesce(F.col("n2b"), F.lit(0))).alias("cosine"))
+
+
+def near_dup_vs_latest(candidates: DataFrame, cand_id: str, cand_text: str,
+                       latest: DataFrame, latest_id: str, latest_text: str,
+                       max_cos: float) -> DataFrame:
+    """Keep candidates whose cosine with *every* latest text is <= ``max_cos``.
+
+    ``latest`` must already be bounded (the last ``n`` history rows): its
+    vectors are broadcast, a size fixed by ``n``.  Empty history keeps all.
+    """
+    htv = term_frequencies(latest, latest_id, latest_text).select(
+        F.col(latest_id).alias("__h"), "token", F.col("tf").alias("tfh"))
+    hn = htv.groupBy("__h").agg(F.sum(F.col("tfh") * F.col("tfh")).alias("n2h"))
+    htv_n = F.broadcast(htv.join(hn, "__h"))
+    # the norm is computed once per row, before the explode multiplies rows
+    vec = (candidates.select(F.col(cand_id).alias("__c"), tokens(cand_text).alias("__toks"))
+           .withColumn("n2c", sum_sq_counts(F.col("__toks"))))
+    occ = vec.select("__c", "n2c", F.explode("__toks").alias("token"))
+    scores = (occ.join(htv_n, "token")
+              .groupBy("__c", "n2c", "__h", "n2h").agg(F.sum("tfh").alias("dot")))
+    near = (scores.where(cosine_expr(F.col("dot"), F.col("n2c"), F.col("n2h")) > F.lit(max_cos))
+            .select("__c").distinct())
+    return candidates.join(near, candidates[cand_id] == near["__c"], "left_anti")
+
+
+def near_dup_pairs(docs: DataFrame, id_col: str, text_col: str, min_cos: float,
+                   index_mass: float | None = None, hot_df: int = 2048,
+                   max_salt: int = 64, cut_base: float = 1.5, n_cuts: int = 60) -> DataFrame:
+    """All pairs of distinct texts with cosine >= ``min_cos`` (exact).
+
+    1. Exact copies collapse to one representative (smallest id) carrying a
+       copy count: a text repeated a million times costs one vector and no
+       quadratic fan-out.  Pairs are reported between representatives.
+    2. Tokens are ordered globally by document frequency (rare first).  The
+       *prefix* of a vector is its leading tokens while the remaining squared
+       mass is >= ``index_mass`` (default ``min_cos**2``); the rest is its
+       *suffix* (common tokens, norm < sqrt(index_mass) <= min_cos).
+    3. Candidates: pairs sharing a prefix token (lossless: without one, the
+       dot product lives in a suffix and is < min_cos).  The prefix self-join
+       also accumulates the exact dot over shared prefix tokens.
+    4. Bound: the rest of the dot lies in the suffix of the vector whose
+       suffix starts first (x), so dot <= pp + |suffix(x)| * |y after x's
+       suffix start|; the second factor is bounded by y's mass beyond the
+       nearest document-frequency cut (``cut_base`` log-spaced cuts) and by
+       sqrt(1 - py).  Candidates under ``min_cos`` are dropped here.
+    5. Verify survivors exactly over suffix(x) only (common tokens; short),
+       then score from integer sums exactly as the reference does.
+    """
+    s2 = (min_cos * min_cos if index_mass is None else index_mass) - 1e-9
+    reps = (docs.where(F.col(text_col).isNotNull())
+            .groupBy(sha256_hex(text_col).alias("__hash"))
+            .agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("copies"),
+                 F.min_by(F.col(text_col), F.col(id_col)).alias("__t")))
+    tv = (reps.select("rep", F.explode(tokens("__t")).alias("token"))
+          .groupBy("rep", "token").agg(F.count(F.lit(1)).alias("tf")))
+    dfreq = tv.groupBy("token").agg(F.count(F.lit(1)).alias("dfreq"))
+    whole = Window.partitionBy("rep")
+    rest = (Window.partitionBy("rep").orderBy(F.col("dfreq").desc(), F.col("token").desc())
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sq = F.col("tf") * F.col("tf")
+    tvd = (tv.join(dfreq, "token")
+           .withColumn("norm2", F.sum(sq).over(whole))
+           .withColumn("rest2", F.sum(sq).over(rest))
+           .withColumn("w", F.col("tf") / F.sqrt(F.col("norm2").cast("double")))
+           .withColumn("in_prefix", F.col("rest2").cast("double") >= F.col("norm2").cast("double") * s2))
+    # Three branches read these weighted vectors; materialise them once in
+    # the shared checkpoint folder (reliable, lineage cut) instead of
+    # re-running the two windows per branch.
+    # (persisted only while the checkpoint is written, so it is computed once)
+    checkpoint_root(docs.sparkSession)
+    cached = tvd.persist()
+    tvd = cached.checkpoint(eager=True)
+    cached.unpersist()
+    # per representative: squared norm, where its suffix starts, suffix mass,
+    # and its unit mass beyond each document-frequency cut (log-spaced), an
+    # upper bound for "its mass after another vector's suffix start".
+    jdf = F.least(F.lit(n_cuts - 1), F.floor(F.log(float(cut_base), F.col("dfreq"))).cast("int"))
+    w2 = F.col("w") * F.col("w")
+    no_suffix = F.struct(F.lit(1 << 62).cast("bigint").alias("d"), F.lit("").alias("t"))
+    info = (tvd.withColumn("jdf", jdf).groupBy("rep").agg(
+        F.first("norm2").alias("norm2"),
+        F.min(F.when(~F.col("in_prefix"), F.struct(F.col("dfreq").alias("d"), F.col("token").alias("t"))))
+        .alias("__g"),
+        F.max(F.when(~F.col("in_prefix"), F.col("rest2") / F.col("norm2"))).alias("__smass"),
+        *[F.sum(F.when(F.col("jdf") >= j, w2).otherwise(F.lit(0.0))).alias(f"__m{j}") for j in range(n_cuts)])
+        .select("rep", "norm2", F.coalesce("__g", no_suffix).alias("g"),
+                F.coalesce("__smass", F.lit(0.0)).alias("smass"),
+                F.array(*[F.col(f"__m{j}") for j in range(n_cuts)]).alias("beyond"))
+        .join(reps.select("rep", "copies"), "rep"))
+    # hot tokens (many documents) are salted: the probe side is split into
+    # ``k`` groups by document hash, the build side replicated ``k`` times,
+    # so no single task pairs all holders of a common token.
+    k = F.least(F.lit(max_salt), F.ceil(F.col("dfreq") / F.lit(hot_df)).cast("int"))
+    prefix = tvd.where("in_prefix").select("rep", "token", "tf", "w", k.alias("k"))
+    pa = prefix.select(F.col("rep").alias("a"), "token", F.col("tf").alias("tfa"), F.col("w").alias("wa"),
+                       F.pmod(F.xxhash64("rep"), F.col("k")).cast("int").alias("salt"))
+    pb = prefix.select(F.col("rep").alias("b"), "token", F.col("tf").alias("tfb"), F.col("w").alias("wb"),
+                       F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"))
+    cands = (pa.join(pb, ["token", "salt"]).where(F.col("a") < F.col("b"))
+             .groupBy("a", "b").agg(F.sum(F.col("tfa") * F.col("tfb")).alias("pp"),
+                                    F.sum(F.col("wa") * F.col("wb")).alias("ppw"),
+                                    F.sum(F.col("wa") * F.col("wa")).alias("pa2"),
+                                    F.sum(F.col("wb") * F.col("wb")).alias("pb2")))
+    ia = info.select(*[F.col(c).alias(f"{c}_a") for c in info.columns])
+    ib = info.select(*[F.col(c).alias(f"{c}_b") for c in info.columns])
+    c = cands.join(ia, F.col("a") == F.col("rep_a")).join(ib, F.col("b") == F.col("rep_b"))
+    a_first = F.col("g_a") <= F.col("g_b")
+    x = F.when(a_first, F.col("a")).otherwise(F.col("b"))
+    y = F.when(a_first, F.col("b")).otherwise(F.col("a"))
+    smass_x = F.when(a_first, F.col("smass_a")).otherwise(F.col("smass_b"))
+    py = F.when(a_first, F.col("pb2")).otherwise(F.col("pa2"))
+    g_x = F.when(a_first, F.col("g_a")).otherwise(F.col("g_b"))
+    beyond_y = F.when(a_first, F.col("beyond_b")).otherwise(F.col("beyond_a"))
+    j_x = F.least(F.lit(n_cuts - 1), F.floor(F.log(float(cut_base), g_x["d"])).cast("int"))
+    y_after = F.least(1 - py, F.element_at(beyond_y, j_x + 1))
+    bound = F.col("ppw") + F.sqrt(smass_x) * F.sqrt(F.greatest(F.lit(0.0), y_after))
     surv = (c.where(bound >= F.lit(min_cos - 1e-9))
             .select("a", "b", "pp", x.alias("x"), y.alias("y"), "norm2_a", "norm2_b",
                     "copies_a", "copies_b"))

@@ -42,6 +42,20 @@ def digest(columns, rows) -> str:
     return h.hexdigest()
 
 
+SPARK_TYPES = {"int": "int32", "bigint": "int64", "double": "float64", "string": "string",
+               "boolean": "bool", "smallint": "int16", "tinyint": "int8", "float": "float32",
+               "timestamp": "timestamp", "timestamp_ntz": "timestamp", "date": "date"}
+DUCK_TYPES = {"INTEGER": "int32", "BIGINT": "int64", "DOUBLE": "float64", "VARCHAR": "string",
+              "BOOLEAN": "bool", "SMALLINT": "int16", "TINYINT": "int8", "FLOAT": "float32",
+              "TIMESTAMP": "timestamp", "DATE": "date", "HUGEINT": "int128"}
+
+
+def type_diffs(spark_dtypes, duck_desc):
+    s = {n: SPARK_TYPES.get(t, t) for n, t in spark_dtypes}
+    d = {x[0]: DUCK_TYPES.get(str(x[1]), str(x[1])) for x in duck_desc}
+    return {n: (s[n], d.get(n)) for n in s if n in d and s[n] != d[n]}
+
+
 def duck(sf_dir: str):
     con = duckdb.connect()
     for t in TABLES:
@@ -74,9 +88,10 @@ def compare(spark, sf_dir: str, keys=None, verbose=True):
                 print(f"{k:28s} rows-only  rows={len(rows)}  {ts:.1f}s", flush=True)
             continue
         try:
-            cur = con.execute(os_[k])
-            ocols = [d[0] for d in cur.description]
-            orows = cur.fetchall()
+            rel = con.sql(os_[k])
+            ocols = rel.columns
+            otypes = list(zip(rel.columns, rel.types))
+            orows = rel.fetchall()
         except Exception as e:  # noqa: BLE001
             results[k] = ("sql-error", repr(e)[:800])
             if verbose:
@@ -85,10 +100,12 @@ def compare(spark, sf_dir: str, keys=None, verbose=True):
         ok_cols = sorted(cols) == sorted(ocols)
         ok_n = len(rows) == len(orows)
         ok_h = ok_cols and digest(cols, rows) == digest(ocols, orows)
+        tdiff = type_diffs(df.dtypes, otypes)
         status = "OK" if (ok_cols and ok_n and ok_h) else "MISMATCH"
-        results[k] = (status, len(rows), len(orows))
+        results[k] = (status, len(rows), len(orows), tdiff)
         if verbose:
             extra = "" if ok_cols else f" cols spark={sorted(cols)} sql={sorted(ocols)}"
+            extra += f" TYPES {tdiff}" if tdiff else ""
             print(f"{k:28s} {status:8s} rows={len(rows)}/{len(orows)} hash={ok_h} {ts:.1f}s{extra}",
                   flush=True)
     return results

@@ -35,3 +35,5 @@ def results(spark):
 def test_oracle(results, key):
     status = results[key]
     assert status[0] in ("OK", "rows-only"), status
+    if status[0] == "OK":
+        assert not status[3], f"column types differ: {status[3]}"

@@ -130,7 +130,7 @@ from (select news_id, {_TERMS}[cast(news_id % {len(P.SEARCH_TERMS)} as int) + 1]
                                        "news")
 
 ORACLES["response_length_gate"] = with_views(
-    "select prompt_id, attempt, length(response) as response_len, length(response) <= 280 as length_ok "
+    "select prompt_id, attempt, cast(length(response) as int) as response_len, length(response) <= 280 as length_ok "
     "from responses", "responses")
 
 NOT_COMPLY = "(contains(response, 'AI') AND contains(lower(response), 'i cannot'))"
@@ -349,9 +349,9 @@ select post_id, regexp_extract(full_text, '#(topic[0-9]+)', 1) as topic from pos
 where {POST_GATE} AND {blocklist()}"""})
 
 ORACLES["response_audit"] = with_views(f"""
-select attempt, count(*) as n, count_if({PHRASE_FLAG} OR {NOT_COMPLY}) as n_flagged,
-  count_if({NOT_COMPLY}) as n_not_comply, round(avg(length(response)), 6) as avg_len,
-  max(length(response)) as max_len
+select attempt, count(*) as n, cast(count_if({PHRASE_FLAG} OR {NOT_COMPLY}) as bigint) as n_flagged,
+  cast(count_if({NOT_COMPLY}) as bigint) as n_not_comply, round(avg(length(response)), 6) as avg_len,
+  cast(max(length(response)) as int) as max_len
 from responses group by attempt""", "responses")
 
 # ---- similarity -----------------------------------------------------------------

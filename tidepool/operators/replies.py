@@ -42,13 +42,18 @@ def multi_reply_report(replies: DataFrame, reply_to: str = "in_reply_to_id") ->
 
 
 def keep_one_reply(replies: DataFrame, reply_to: str = "in_reply_to_id",
-                   order_col: str = "reply_id") -> DataFrame:
-    """Of several replies to one mention keep the last by ``order_col``;
-    mark the others ``duplicate`` (the reference deletes them)."""
-    last = (replies.where(F.col(reply_to).isNotNull())
-            .groupBy(reply_to).agg(F.max(order_col).alias("__keep"),
-                                   F.count(F.lit(1)).alias("n_replies")))
-    out = replies.join(last, reply_to, "left")
+                   order_col: str = "reply_id", keep: str = "oldest") -> DataFrame:
+    """Of several replies to one mention keep one and mark the others
+    ``duplicate`` (the reference deletes them).
+
+    The reference keeps the last item of the timeline list, which the
+    service returns newest first, i.e. the oldest reply: ``keep="oldest"``
+    (smallest ``order_col``); ``keep="newest"`` keeps the largest.
+    """
+    pick = F.min(order_col) if keep == "oldest" else F.max(order_col)
+    chosen = (replies.where(F.col(reply_to).isNotNull())
+              .groupBy(reply_to).agg(pick.alias("__keep")))
+    out = replies.join(chosen, reply_to, "left")
     return out.withColumn(
         "action",
         F.when(F.col("__keep").isNull() | (F.col(order_col) == F.col("__keep")), F.lit("keep"))

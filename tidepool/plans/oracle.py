@@ -319,7 +319,7 @@ ORACLES["multi_reply_report"] = with_views(
 
 ORACLES["keep_one_reply"] = with_views("""
 select reply_id, in_reply_to_id,
-  case when in_reply_to_id is null or reply_id = max(reply_id) over (partition by in_reply_to_id)
+  case when in_reply_to_id is null or reply_id = min(reply_id) over (partition by in_reply_to_id)
        then 'keep' else 'duplicate' end as action
 from replies""", "replies")
 

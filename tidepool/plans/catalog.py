@@ -666,7 +666,7 @@ def stream_mentions(spark, sf_dir):
     t = Tables(spark, sf_dir)
     run = J.new_run(spark, "stream_mentions")
     s = _stream_of(spark, t.mentions, run, F.col("mention_id") % 3)
-    J.run_available(s, run["checkpoint"], J.mentions_batch_fn(spark, t.mentions_history, run["sink"]))
+    J.run_available(J.mentions_stream(s, t.mentions_history), run["checkpoint"], sink=run["sink"])
     return spark.read.parquet(run["sink"]).select("in_reply_to_status_id", "in_reply_to_text_hash", "status")
 
 
@@ -692,5 +692,5 @@ def stream_dedup(spark, sf_dir):
     J.stage_files(ev, run["input"], F.col("event_id") % 3, 3)
     J.stage_files(ev.where(F.col("event_id") % 200 == 7), run["input"], F.lit(0), 1)
     s = J.read_arrivals(spark, run["input"], ev.schema)
-    J.run_available(s, run["checkpoint"], J.dedup_batch_fn(spark, run["sink"], "event_id"))
+    J.run_available(J.dedup_stream(s, "event_id"), run["checkpoint"], sink=run["sink"])
     return spark.read.parquet(run["sink"]).select("event_id", "user_id", "event_type", "value")

@@ -102,9 +102,18 @@ def triage_batch_fn(spark: SparkSession, history: DataFrame, sink: str, blocklis
 
 # ---- R3: mentions loop -----------------------------------------------------------
 
+def mentions_stream(stream: DataFrame, history: DataFrame) -> DataFrame:
+    """Arriving mentions: drop re-sent ids (state store), drop mentions the
+    static history already answered (stream-static anti-join), give each a
+    text status.  Declarative end to end; the file sink is exactly-once."""
+    fresh = dedup.anti_seen_mention(stream.dropDuplicates(["mention_id"]), history)
+    return gates.mention_text_status(fresh).select(
+        F.col("mention_id").alias("in_reply_to_status_id"),
+        X.sha256_hex("full_text").alias("in_reply_to_text_hash"), "status")
+
+
 def mentions_batch_fn(spark: SparkSession, history: DataFrame, sink: str):
-    """Per micro-batch: drop answered mentions (history + earlier batches),
-    give each a text status, record."""
+    """``foreachBatch`` variant (history = static table + earlier batches)."""
     def fn(batch: DataFrame, batch_id: int) -> None:
         c = dedup.anti_seen_mention(batch, history)
         prev = sink_before(spark, sink, batch_id)
@@ -142,13 +151,24 @@ def news_batch_fn(spark: SparkSession, history: DataFrame, sink: str, latest_n:
 
 # ---- R5: exact de-duplication of an event stream ------------------------------------
 
+def dedup_stream(stream: DataFrame, key: str) -> DataFrame:
+    """Exact streaming de-duplication on ``key``: ``dropDuplicates`` without a
+    watermark keeps every key seen in the state store (partitioned by key
+    hash, persisted with the checkpoint), so each trigger only probes its
+    own keys and a re-send months later is still dropped.
+
+    ``withWatermark`` + ``dropDuplicatesWithinWatermark`` would bound the
+    state but silently drops rows older than the watermark, so it is not
+    used: results must stay whole.
+    """
+    return stream.dropDuplicates([key])
+
+
 def dedup_batch_fn(spark: SparkSession, sink: str, key: str):
-    """Per micro-batch: first row per key, minus keys written by earlier batches.
+    """Alternative without a state store: the sink is the state.
 
-    No streaming state store at all: the sink is the state, so a duplicate
-    arriving days later is still caught and nothing is dropped as "late".
-    (``withWatermark`` + ``dropDuplicatesWithinWatermark`` would bound a
-    state store instead, but silently drops rows older than the watermark.)
+    Per micro-batch: first row per key, minus keys written by earlier
+    batches (reads the sink's key column each trigger).
     """
     def fn(batch: DataFrame, batch_id: int) -> None:
         c = dedup.first_per_key(batch, key, key)

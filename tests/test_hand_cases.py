@@ -148,3 +148,15 @@ def test_align_and_evolve(spark):
 
 def test_nfkd(spark):
     assert one(spark, responses.prompt_content, "ﬁne é http://x.y") == "fine é "
+
+
+def test_append_history_idempotent_per_run(spark):
+    from tidepool.session import shared_dir
+    path = shared_dir(spark, "test_append")
+    rows = spark.createDataFrame([("t1", 1), ("t2", 2)], "input_tweet string, input_tweet_id long")
+    H.append_history(rows, path, "replied_tweets", "2024-01-02 03:04:05")
+    H.append_history(rows, path, "replied_tweets", "2024-01-02 03:04:05")   # retried run
+    H.append_history(rows.limit(1), path, "replied_tweets", "2024-01-03 00:00:00")   # next run
+    back = H.read_history(spark, path, "replied_tweets")
+    assert back.count() == 3
+    assert back.where("run = '20240102030405'").count() == 2

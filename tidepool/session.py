@@ -21,6 +21,11 @@ SCALE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # One side of a join is broadcast only when AQE has *measured* it below this.
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
+    # Partition sizing: scans split at 256 MB; shuffles start from
+    # spark.sql.shuffle.partitions (set it high on a cluster, e.g. 4000+ for
+    # 100 TB) and AQE coalesces them towards 128 MB, or splits skewed ones.
+    "spark.sql.files.maxPartitionBytes": "256MB",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",

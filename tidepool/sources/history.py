@@ -88,8 +88,16 @@ def evolve_schema(existing: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def append_history(df: DataFrame, path: str, table: str, run_ts: str) -> None:
-    """Align to the table's schema and append (parquet, by name)."""
-    align_to_schema(df, history_schema(table), run_ts).write.mode("append").parquet(path)
+    """Align to the table's schema and append this run's rows.
+
+    Each run writes its own ``run=<yyyyMMddHHmmss>`` partition with dynamic
+    partition overwrite: a job retried after a failure replaces its own
+    partition instead of appending the same rows twice.
+    """
+    run = run_ts.replace("-", "").replace(":", "").replace(" ", "")
+    (align_to_schema(df, history_schema(table), run_ts).withColumn("run", F.lit(run))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run").parquet(path))
 
 
 def read_history(spark: SparkSession, path: str, table: str) -> DataFrame:

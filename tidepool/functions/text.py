@@ -22,6 +22,7 @@ LINK_RE = r"(?U)http\S+"
 AT_WORD_RE = r"(?U)@\S+"
 WS_RE = r"(?U)\s+"
 TOKEN_RE = r"([\p{L}\p{N}_]+)"
+NON_TOKEN_RE = r"[^\p{L}\p{N}_]+"
 # ASCII punctuation, the same set as Python's string.punctuation.
 LEADING_PUNCT_RE = r"^\p{Punct}+"
 
@@ -94,6 +95,16 @@ def tokens(text) -> Column:
     return F.regexp_extract_all(_c(text), F.lit(TOKEN_RE), 1)
 
 
+def explode_tokens(text) -> Column:
+    """One row per token occurrence; rows to drop come out as ''.
+
+    ``split`` on runs of non-token characters yields the same tokens as
+    :func:`tokens` (the complement of the matches) and is cheaper; callers
+    filter ``token != ''`` after the generator.
+    """
+    return F.explode(F.split(_c(text), NON_TOKEN_RE))
+
+
 def hashtag_ratio(text) -> Column:
     """Words per hashtag / 10 after cleaning; NULL when under 20 chars.
 

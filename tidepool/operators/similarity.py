@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.functions.text import sha256_hex, tokens
+from tidepool.functions.text import explode_tokens, sha256_hex, tokens
 from tidepool.session import checkpoint_root
 
 
@@ -45,7 +45,8 @@ def sum_sq_counts(toks: Column) -> Column:
 
 def term_frequencies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Long-form term vectors ``(id, token, tf)``."""
-    return (df.select(F.col(id_col).alias(id_col), F.explode(tokens(text_col)).alias("token"))
+    return (df.select(F.col(id_col).alias(id_col), explode_tokens(text_col).alias("token"))
+            .where(F.col("token") != "")
             .groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -129,8 +130,7 @@ def near_dup_pairs(docs: DataFrame, id_col: str, text_col: str, min_cos: float,
             .groupBy(sha256_hex(text_col).alias("__hash"))
             .agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("copies"),
                  F.min_by(F.col(text_col), F.col(id_col)).alias("__t")))
-    tv = (reps.select("rep", F.explode(tokens("__t")).alias("token"))
-          .groupBy("rep", "token").agg(F.count(F.lit(1)).alias("tf")))
+    tv = term_frequencies(reps, "rep", "__t")
     dfreq = tv.groupBy("token").agg(F.count(F.lit(1)).alias("dfreq"))
     whole = Window.partitionBy("rep")
     rest = (Window.partitionBy("rep").orderBy(F.col("dfreq").desc(), F.col("token").desc())
@@ -261,8 +261,7 @@ def near_dup_pairs(docs: DataFrame, id_col: str, text_col: str, min_cos: float,
             .groupBy(sha256_hex(text_col).alias("__hash"))
             .agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("copies"),
                  F.min_by(F.col(text_col), F.col(id_col)).alias("__t")))
-    tv = (reps.select("rep", F.explode(tokens("__t")).alias("token"))
-          .groupBy("rep", "token").agg(F.count(F.lit(1)).alias("tf")))
+    tv = term_frequencies(reps, "rep", "__t")
     dfreq = tv.groupBy("token").agg(F.count(F.lit(1)).alias("dfreq"))
     whole = Window.partitionBy("rep")
     rest = (Window.partitionBy("rep").orderBy(F.col("dfreq").desc(), F.col("token").desc())

@@ -23,7 +23,7 @@ def test_entry(spark):
 def test_every_key_has_sql_or_is_declared_rows_only():
     rows_only = set(E.queries()) - set(E.oracle_sql())
     assert rows_only == {"chat_log_build", "chat_log_append", "response_log_record",
-                         "normalize_unicode", "fresh_snapshot", "stream_news"}
+                         "normalize_unicode", "fresh_snapshot"}
 
 
 @pytest.fixture(scope="module")

@@ -488,3 +488,39 @@ from mentions m where not exists (
   select 1 from mentions_history h where h.in_reply_to_status_id = m.mention_id)""", "mentions", "mentions_history")
 
 ORACLES["stream_dedup"] = "select event_id, user_id, event_type, value from events"
+
+
+def _stream_news_sql(n_batches: int = 3) -> str:
+    """The news loop unrolled: batch b holds the news with news_id % n = b
+    (files are staged in that order); each batch sees the history plus the
+    picks of earlier batches."""
+    ctes = {"h0": "select news_id, body, description_hash, input_text_url from timeline_posts"}
+    for b in range(n_batches):
+        posted = " union all ".join(
+            ["select * from h0"] + [f"select news_id, body, dh as description_hash, url as input_text_url "
+                                    f"from pick{i}" for i in range(b)])
+        ctes[f"posted{b}"] = posted
+        ctes[f"cand{b}"] = (f"select news_id, body, sha256(description) as dh, url from news "
+                            f"where news_id % {n_batches} = {b}")
+        ctes[f"latest{b}"] = f"select news_id, body from posted{b} order by news_id desc limit {P.LATEST_N}"
+        ctes[f"htv{b}"] = _tv("h", "news_id", "body", f"latest{b}")
+        ctes[f"hn{b}"] = f"select h, sum(tf * tf) as n2 from htv{b} group by h"
+        ctes[f"ctv{b}"] = _tv("c", "news_id", "body", f"cand{b}")
+        ctes[f"cn{b}"] = f"select c, sum(tf * tf) as n2 from ctv{b} group by c"
+        ctes[f"near{b}"] = (
+            f"select d.c from (select ctv{b}.c, htv{b}.h, sum(ctv{b}.tf * htv{b}.tf) as dot "
+            f"from ctv{b} join htv{b} on ctv{b}.tok = htv{b}.tok group by ctv{b}.c, htv{b}.h) d "
+            f"join cn{b} c on c.c = d.c join hn{b} h on h.h = d.h "
+            f"where {_cos('d.dot', 'c.n2', 'h.n2')} > {P.NEAR_DUP_MAX_COS}")
+        ctes[f"pick{b}"] = (
+            f"select news_id, body, dh, url from cand{b} k "
+            f"where news_id not in (select c from near{b}) "
+            f"and not exists (select 1 from posted{b} p where p.description_hash = k.dh) "
+            f"and not exists (select 1 from posted{b} p where p.input_text_url = k.url) "
+            f"order by md5({q(P.SEED + ':')} || cast({b} as varchar) || ':' || cast(news_id as varchar)), "
+            f"news_id limit 1")
+    body = " union all ".join(f"select {b} as batch_id, news_id from pick{b}" for b in range(n_batches))
+    return with_views(body, "news", "timeline_posts", extra=ctes)
+
+
+ORACLES["stream_news"] = _stream_news_sql()

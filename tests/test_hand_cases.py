@@ -160,3 +160,43 @@ def test_append_history_idempotent_per_run(spark):
     back = H.read_history(spark, path, "replied_tweets")
     assert back.count() == 3
     assert back.where("run = '20240102030405'").count() == 2
+
+
+def test_lexicon_long_list_uses_table(spark):
+    df = spark.createDataFrame([(1, "a giveaway here"), (2, "nothing")], "id long, t string")
+    lex = [f"w{i}" for i in range(2000)] + ["giveaway"]
+    got = {r["id"]: r["flagged"] for r in gates.lexicon_flag(df, "t", lex, id_col="id").collect()}
+    assert got == {1: True, 2: False}
+
+
+def test_news_feeds_and_union(spark):
+    from tidepool.operators import news as N
+    arts = spark.createDataFrame(
+        [("u1", "Big news - Site", "desc one", "2024-01-01"), ("u2", "Other - X", None, "2024-01-02")],
+        "url string, title string, description string, publishedAt string")
+    a = N.normalize_article_feed(arts, "Finance").collect()
+    assert len(a) == 1 and a[0]["body"] == "Big news. desc one" and a[0]["feed"] == "news_articles"
+    snip = spark.createDataFrame([("s", "l", "3 hours ago")], "snippet string, link string, date string")
+    u = N.news_union(N.normalize_article_feed(arts, "Finance"), N.normalize_snippet_feed(snip, "Finance"))
+    assert u.count() == 2 and u.columns == list(N.NEWS_COLUMNS)
+
+
+def test_topic_category_and_seeded_pick(spark):
+    df = spark.createDataFrame([(1, "Finance"), (2, "Money"), (3, "Discoveries")], "id long, term string")
+    cats = {r["id"]: r["category"] for r in gates.topic_category(df, "term", "id", "s").collect()}
+    assert cats[1] == "business" and cats[2] == "business" and cats[3] in ("general", "technology")
+    again = {r["id"]: r["category"] for r in gates.topic_category(df, "term", "id", "s").collect()}
+    assert again == cats   # repeatable
+    rows = spark.createDataFrame([("g", i) for i in range(50)], "g string, i long")
+    p1 = responses.seeded_pick(rows, "g", "i", "seed").first()["i"]
+    assert p1 == responses.seeded_pick(rows, "g", "i", "seed").first()["i"]
+
+
+def test_first_accepted_attempt(spark):
+    df = spark.createDataFrame([(1, 1, "As an AI I cannot"), (1, 2, "fine answer"), (2, 1, "x" * 400),
+                                (2, 2, "y" * 400), (2, 3, "z" * 400), (2, 4, "ok")],
+                               "p long, a long, r string")
+    out = {r["p"]: r for r in responses.first_accepted_attempt(
+        df, "p", "a", "r", ["as an ai"], [], [], [], 280, 3).collect()}
+    assert out[1]["accepted_attempt"] == 2 and out[1]["final_response"] == "fine answer"
+    assert out[2]["status"] == "not_passed" and out[2]["accepted_attempt"] is None   # 4th try not allowed

@@ -31,6 +31,8 @@ QUESTION_PHRASES = ("have questions", "have a question")
 BUSINESS_TERMS = ("Investing", "management", "Finance", "Risk", "Economy")
 RANDOM_CATEGORY_TERMS = {"Discoveries": ("general", "technology")}
 DEFAULT_CATEGORY = "business"
+# Lexicons longer than this are joined as a table rather than inlined.
+INLINE_LEXICON_MAX = 1000
 # Response length limits per job: posts 280, mentions 280, news 250.
 MAX_LEN_POSTS = 280
 MAX_LEN_MENTIONS = 280
@@ -117,6 +119,9 @@ def lexicon_flag(df: DataFrame, text_col: str, lexicon, flag_col: str = "flagged
     match a single word.
     """
     low_words = T.words(F.lower(F.replace(_col(text_col), F.lit("#"), F.lit(""))))
+    if not isinstance(lexicon, DataFrame) and len(lexicon) > INLINE_LEXICON_MAX and id_col:
+        # a long caller list becomes a table: no giant array literal per row
+        lexicon = df.sparkSession.createDataFrame([(t,) for t in lexicon], "term string")
     if isinstance(lexicon, DataFrame):
         if id_col is None:
             raise ValueError("a DataFrame lexicon needs id_col")

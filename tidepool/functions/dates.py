@@ -24,9 +24,11 @@ def created_at_epoch(created_at) -> Column:
     return F.unix_timestamp(body, "MMM dd HH:mm:ss Z yyyy")
 
 
-def format_created_at(ts, offset: str = "+0000") -> Column:
-    """Timestamp -> ``"EEE MMM dd HH:mm:ss +hhmm yyyy"`` text (as posts carry it)."""
-    return F.concat(F.date_format(_c(ts), "EEE MMM dd HH:mm:ss "), F.lit(offset),
+def format_created_at(ts, offset="+0000") -> Column:
+    """Wall-clock timestamp -> ``"EEE MMM dd HH:mm:ss +hhmm yyyy"`` text (as
+    posts carry it); ``offset`` is a literal or a Column of ``+hhmm`` text."""
+    off = offset if isinstance(offset, Column) else F.lit(offset)
+    return F.concat(F.date_format(_c(ts), "EEE MMM dd HH:mm:ss "), off,
                     F.date_format(_c(ts), " yyyy"))
 
 

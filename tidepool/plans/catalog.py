@@ -247,8 +247,7 @@ def parse_created_at(spark, sf_dir):
     from tidepool.functions import dates as D
     t = Tables(spark, sf_dir)
     off = F.when(F.col("user_id") % 2 == 0, F.lit("+0000")).otherwise(F.lit("+0130"))
-    ev = t.events.select("event_id", F.concat(
-        F.date_format("ts", "EEE MMM dd HH:mm:ss "), off, F.date_format("ts", " yyyy")).alias("created_at"))
+    ev = t.events.select("event_id", D.format_created_at("ts", off).alias("created_at"))
     return ev.withColumn("created_epoch", D.created_at_epoch("created_at"))
 
 

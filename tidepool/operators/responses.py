@@ -48,7 +48,11 @@ def redact(text, mapping: Sequence[tuple[str, str]], remove: Sequence[str]) -> C
 
 
 def post_process(text, mapping, remove, markers: Sequence[tuple[str, str]], max_len: int) -> Column:
-    """The answer as it would be posted: cut marker spans, redact, shorten."""
+    """The answer as it would be posted: cut marker spans, redact, shorten.
+
+    Column form; on a DataFrame prefer :func:`with_post_processed`, which
+    materialises each step once instead of re-deriving nested inputs.
+    """
     t = _col(text)
     for start, end in markers:
         t = X.cut_between_markers(t, start, end)
@@ -56,6 +60,23 @@ def post_process(text, mapping, remove, markers: Sequence[tuple[str, str]], max_
     return X.shorten_overlong(t, max_len)
 
 
+def with_post_processed(df: DataFrame, text_col: str, out_col: str, mapping, remove,
+                        markers: Sequence[tuple[str, str]], max_len: int,
+                        replacement: str = "") -> DataFrame:
+    """:func:`post_process` as a chain of projections: every step reads the
+    previous step's column, so each intermediate text is computed once per
+    row (the nested form re-derives inner steps for every reference)."""
+    out = df.withColumn(out_col, F.col(text_col))
+    for start, end in markers:
+        out = out.withColumn(out_col, X.cut_between_markers(out_col, start, end))
+    out = out.withColumn(out_col, redact(out_col, mapping, remove))
+    out = out.withColumn("__longest", F.when(F.length(out_col) > max_len, X.longest_hashtag(out_col)))
+    return out.withColumn(
+        out_col, F.when(F.col("__longest").isNull(), F.col(out_col))
+        .otherwise(X.collapse_ws(F.replace(F.col(out_col), F.col("__longest"), F.lit(replacement))))
+    ).drop("__longest")
+
+
 def first_accepted_attempt(responses: DataFrame, prompt_col: str, attempt_col: str,
                            text_col: str, phrases: Sequence[str], mapping, remove, markers,
                            max_len: int, max_attempts: int) -> DataFrame:
@@ -65,8 +86,8 @@ def first_accepted_attempt(responses: DataFrame, prompt_col: str, attempt_col: s
     ``min``/``min_by`` aggregates: combined map-side, so a prompt with many
     attempts never sits whole in one task.
     """
-    final = post_process(text_col, mapping, remove, markers, max_len)
-    scored = response_flags(responses, text_col, phrases).withColumn("__final", final)
+    scored = with_post_processed(response_flags(responses, text_col, phrases), text_col, "__final",
+                                 mapping, remove, markers, max_len)
     ok = (~F.col("flagged")) & (F.length("__final") <= max_len) & (F.col(attempt_col) <= max_attempts)
     first = F.min(F.when(ok, F.col(attempt_col)))
     return (scored.groupBy(prompt_col)

@@ -102,3 +102,13 @@ def test_first_per_key_hot_key(spark):
     out = dedup.first_per_key(df, "k", "id")
     assert out.count() == 2001
     assert out.where("k = 'hot'").first()["id"] == 0
+
+
+def test_rank_within_group_hot_group(spark):
+    # one group holds a third of the rows; ranks equal a plain row_number
+    from pyspark.sql import Window
+    df = spark.range(0, 3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 50).alias("g"), "id")
+    got = dedup.rank_within_group(df, "g", "id", "r", num_partitions=8)
+    want = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("id")).cast("bigint"))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

@@ -9,7 +9,7 @@ column of the history is read (column pruning reaches the parquet scan).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import sha256_hex
@@ -76,3 +76,30 @@ def dedup_within_batch(df: DataFrame, key: str, order_col: str) -> DataFrame:
     """Keep the first row per key inside one batch (before the history check)."""
     return first_per_key(df, key, order_col, ascending=True)
 
+
+
+def rank_within_group(df: DataFrame, group_col: str, order_col: str, out_col: str,
+                      num_partitions: int | None = None) -> DataFrame:
+    """``row_number() over (partition by group order by order)`` that never
+    puts a whole group into one task.
+
+    Range partitioning on (group, order) splits a hot group into contiguous
+    pieces across tasks; each (group, piece) is ranked locally, and the piece
+    offsets come from a per-(group, piece) count (at most one row per group
+    per partition) summed over the earlier pieces of the same group.
+    ``order_col`` must be unique within a group (ties would make the split
+    point arbitrary).
+    """
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = (df.repartitionByRange(n, group_col, order_col)
+             .withColumn("__piece", F.spark_partition_id()))
+    local = parts.withColumn(
+        "__local", F.row_number().over(Window.partitionBy(group_col, "__piece").orderBy(order_col)))
+    counts = parts.groupBy(group_col, "__piece").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = counts.withColumn(
+        "__offset",
+        F.coalesce(F.sum("__n").over(Window.partitionBy(group_col).orderBy("__piece")
+                                     .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return (local.join(offsets.drop("__n"), [group_col, "__piece"])
+            .withColumn(out_col, (F.col("__local") + F.col("__offset")).cast("bigint"))
+            .drop("__local", "__offset", "__piece"))

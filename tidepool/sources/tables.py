@@ -3,8 +3,9 @@
 The views stand in for the reference's feeds: ``posts`` (searched posts),
 ``mentions``, ``replies`` (own timeline), ``responses`` (logged model answers)
 and ``news``.  All are narrow projections of one table except ``replies``
-(one aggregate + join) and ``responses`` (one window), so they stay cheap at
-any scale: no view shuffles whole texts.
+(one partial aggregate + join) and ``responses`` (a skew-safe per-
+conversation rank), so they stay cheap at any scale and no hot
+conversation lands whole in one task.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from tidepool.functions.text import sha256_hex
 
@@ -74,18 +74,23 @@ def replies_view(conversations: DataFrame) -> DataFrame:
 
 
 def responses_view(conversations: DataFrame) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn")
+    # attempt = rank of the assistant turn within its conversation; a
+    # skew-safe rank, so a conversation with a third of all rows is split
+    # across tasks instead of sorted in one.
+    from tidepool.operators.dedup import rank_within_group
+
     c, t = F.col("conv_id"), F.col("turn")
     body = F.col("text").substr(F.lit(1), (F.lit(150) + (c * 7 + t * 31) % 160).cast("int"))
-    return (conversations.where(F.col("role") == "assistant")
-            .select(
-                c.alias("prompt_id"),
-                F.row_number().over(w).cast("bigint").alias("attempt"),
-                F.concat(
-                    F.when((c + t) % 4 == 0, F.lit("As an AI I cannot do that. ")).otherwise(F.lit("")),
-                    body,
-                    F.when(c % 5 == 0, F.lit(" #sarcasm#averyverylongtag #tag")).otherwise(F.lit("")),
-                ).alias("response")))
+    ranked = rank_within_group(
+        conversations.where(F.col("role") == "assistant").select("conv_id", "turn", "text"),
+        "conv_id", "turn", "attempt")
+    return ranked.select(
+        c.alias("prompt_id"), "attempt",
+        F.concat(
+            F.when((c + t) % 4 == 0, F.lit("As an AI I cannot do that. ")).otherwise(F.lit("")),
+            body,
+            F.when(c % 5 == 0, F.lit(" #sarcasm#averyverylongtag #tag")).otherwise(F.lit("")),
+        ).alias("response"))
 
 
 def news_view(pages: DataFrame) -> DataFrame:

@@ -200,3 +200,10 @@ def test_first_accepted_attempt(spark):
         df, "p", "a", "r", ["as an ai"], [], [], [], 280, 3).collect()}
     assert out[1]["accepted_attempt"] == 2 and out[1]["final_response"] == "fine answer"
     assert out[2]["status"] == "not_passed" and out[2]["accepted_attempt"] is None   # 4th try not allowed
+
+
+def test_python_digit_and_whitespace_rules(spark):
+    # str.isdigit() accepts superscripts; str.split() breaks on \x1c-\x1f
+    assert one(spark, X.remove_symbols, "a² b¹c ok") == "ok"
+    assert one(spark, lambda c: F.array_join(X.words(c), "|"), "a\x1cb　c") == "a|b|c"
+    assert one(spark, X.clean_links, "x http://a.b\x1fy") == "x \x1fy"

@@ -10,6 +10,7 @@ classes differ we spell the class out:
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -18,15 +19,36 @@ from pyspark.sql import functions as F
 # ---- fixed patterns (values the results depend on) -----------------------
 HASHTAG_RE = r"#([a-zA-Z0-9_]{1,50})"
 MENTION_RE = r"@([a-zA-Z0-9_]{1,50})"
-LINK_RE = r"(?U)http\S+"
-AT_WORD_RE = r"(?U)@\S+"
-WS_RE = r"(?U)\s+"
+# Python's white space = Unicode White_Space plus the four separators \x1c-\x1f.
+_WS = r"\s\x1C-\x1F"
+LINK_RE = r"(?U)http[^" + _WS + r"]+"
+AT_WORD_RE = r"(?U)@[^" + _WS + r"]+"
+WS_RE = r"(?U)[" + _WS + r"]+"
 TOKEN_RE = r"([\p{L}\p{N}_]+)"
 NON_TOKEN_RE = r"[^\p{L}\p{N}_]+"
 # ASCII punctuation, the same set as Python's string.punctuation.
 LEADING_PUNCT_RE = r"^\p{Punct}+"
 
 
+def _python_digit_class() -> str:
+    """Regex class of the characters Python's ``str.isdigit()`` accepts:
+    decimal digits plus other digit characters (superscripts, circled...),
+    derived from the Unicode database rather than listed by hand."""
+    extra = [c for c in range(0x110000)
+             if chr(c).isdigit() and unicodedata.category(chr(c)) != "Nd"]
+    runs: list[list[int]] = []          # consecutive code points as ranges
+    for c in extra:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    parts = [f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs]
+    return r"[\p{Nd}" + "".join(parts) + "]"
+
+
+DIGIT_CLASS = _python_digit_class()
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -58,7 +80,7 @@ def remove_mentions(text) -> Column:
 
 def _keep_symbol_free(w: Column) -> Column:
     # kept: longer than one char, no '$', second char not a digit.
-    return (F.length(w) > 1) & ~w.contains("$") & ~F.substring(w, 2, 1).rlike(r"^\p{Nd}$")
+    return (F.length(w) > 1) & ~w.contains("$") & ~F.substring(w, 2, 1).rlike("^" + DIGIT_CLASS + "$")
 
 
 def symbol_free_words(text) -> Column:
@@ -181,7 +203,7 @@ def cut_between_markers(text, start: str, end: str) -> Column:
 
 def strip_ws(c: Column) -> Column:
     """Python ``str.strip()`` (Unicode white space both ends)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^[" + _WS + r"]+|[" + _WS + r"]+$", "")
 
 
 def extract_between_markers(text, start: str, end: str) -> Column:
@@ -201,7 +223,7 @@ def symbols(text) -> Column:
     """``$CASHTAG``-like words of a single-space split (the intended rule)."""
     return F.filter(split_single_space(text),
                     lambda w: (F.length(w) > 1) & w.contains("$")
-                    & ~F.substring(w, 2, 1).rlike(r"^\p{Nd}$"))
+                    & ~F.substring(w, 2, 1).rlike("^" + DIGIT_CLASS + "$"))
 
 
 def any_phrase(text, phrases: Sequence[str], case_insensitive: bool = True,

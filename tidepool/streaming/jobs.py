@@ -37,8 +37,12 @@ from tidepool.sources import history as H
 def stage_files(df: DataFrame, folder: str, bucket: F.Column, n_files: int) -> str:
     """Write ``df`` as ``n_files`` separate arrivals (one write job each, so
     file modification times follow the bucket order)."""
-    for i in range(n_files):
-        df.where(bucket == i).coalesce(1).write.mode("append").parquet(folder)
+    src = df.persist()        # one read of the source for all arrivals
+    try:
+        for i in range(n_files):
+            src.where(bucket == i).coalesce(1).write.mode("append").parquet(folder)
+    finally:
+        src.unpersist()
     return folder
 
 

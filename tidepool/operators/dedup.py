@@ -88,7 +88,11 @@ def rank_within_group(df: DataFrame, group_col: str, order_col: str, out_col: st
     offsets come from a per-(group, piece) count (at most one row per group
     per partition) summed over the earlier pieces of the same group.
     ``order_col`` must be unique within a group (ties would make the split
-    point arbitrary).
+    point arbitrary).  The count branch re-derives the same range
+    partitioning from the two key columns only (a cheap second exchange);
+    both agree because range bounds come from deterministic sampling of the
+    same keys over the same input splits, also on recomputation after an
+    executor loss.
     """
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = (df.repartitionByRange(n, group_col, order_col)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import bpe_forced, token_counts, token_frames
+from tidepool.llm import bpe_forced, simhash_vptree, token_counts, token_frames
 from tidepool.llm.common import table
 from tidepool.session import shared_dir
 
@@ -17,6 +17,10 @@ def vocab_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_vptree.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_forced.round_trip_digests(table(spark, sf_dir, "documents"), vocab_path())
 
@@ -32,6 +36,6 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_bpe_round_trip, op8_token_counts, op9_token_files)}
+    f.__name__: f for f in (op1_simhash_near_dedup, op4_bpe_round_trip, op8_token_counts, op9_token_files)}
 
 ORACLES: dict[str, str] = {}

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidepool.llm import bpe_forced, simhash_vptree, token_counts, token_frames
+from tidepool.llm import ann_rpforest, bpe_forced, simhash_vptree, token_counts, token_frames, topk_branch_bound
 from tidepool.llm.common import table
 from tidepool.session import shared_dir
 
@@ -25,6 +26,10 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_forced.round_trip_digests(table(spark, sf_dir, "documents"), vocab_path())
 
 
+def op6_rp_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_rpforest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocab_path(), limit=512)
 
@@ -35,7 +40,29 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.read_token_files(manifest)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op4_bpe_round_trip, op8_token_counts, op9_token_files)}
+def op10_branch_bound_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_branch_bound.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
-ORACLES: dict[str, str] = {}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (
+        op1_simhash_near_dedup, op4_bpe_round_trip, op6_rp_forest_neighbours, op8_token_counts, op9_token_files,
+        op10_branch_bound_top_k)}
+
+ORACLES: dict[str, str] = {
+    "op10_branch_bound_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings
+            WHERE embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e)
+            WHERE q.vec_id % 50 = 0),
+        ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+            FROM pairs)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+}

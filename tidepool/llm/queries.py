@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import ann_rpforest, bpe_forced, simhash_vptree, token_counts, token_frames, topk_branch_bound
+from tidepool.llm import ann_rpforest, bpe_forced, mixing, simhash_vptree, token_counts, token_frames, topk_branch_bound
 from tidepool.llm.common import table
 from tidepool.session import shared_dir
 
@@ -26,6 +26,10 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_forced.round_trip_digests(table(spark, sf_dir, "documents"), vocab_path())
 
 
+def op5_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op6_rp_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_rpforest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -46,7 +50,7 @@ def op10_branch_bound_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_simhash_near_dedup, op4_bpe_round_trip, op6_rp_forest_neighbours, op8_token_counts, op9_token_files,
+        op1_simhash_near_dedup, op4_bpe_round_trip, op5_mix_to_targets, op6_rp_forest_neighbours, op8_token_counts, op9_token_files,
         op10_branch_bound_top_k)}
 
 ORACLES: dict[str, str] = {

@@ -111,6 +111,12 @@ def encoder(path: str) -> ForcedBoundaryEncoder:
     return ForcedBoundaryEncoder(load_byte_bpe(path))
 
 
+def _ragged(ids: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
 def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
     """(doc_id, token_ids array<int>), one row per row; null text counts as empty
@@ -118,10 +124,7 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id",
 
     def encode(texts: list) -> dict:
         enc = encoder(vocab_path)
-        ids = [enc.encode(t) for t in texts]
-        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-        flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
-        return {"token_ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
+        return {"token_ids": _ragged([enc.encode(t) for t in texts])}
 
     return map_texts(docs, encode, "token_ids array<int>", id_col, text_col)
 
@@ -143,23 +146,28 @@ def decode_documents(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id"
 
 
 def round_trip_digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id",
-                       text_col: str = "text") -> DataFrame:
+                       text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text is encoded, then
     decoded from its ids, and both are digested in the same task, so that neither
-    ids nor texts leave it.  Null text counts as empty."""
+    ids nor texts leave it (``keep_ids``: with a column token_ids array<int> after
+    the id).  Null text counts as empty."""
 
     def digest(texts: list) -> dict:
         enc = encoder(vocab_path)
         decimal = _decimal_commas(vocab_path)
-        n, of_ids, of_text = [], [], []
+        n, of_ids, of_text, kept = [], [], [], []
         for t in texts:
-            ids = enc.encode(t).tolist()
+            array = enc.encode(t)
+            ids = array.tolist()
+            kept += [array] if keep_ids else []
             n.append(len(ids))
             of_ids.append(hashlib.sha256(b"".join([decimal[i] for i in ids])[:-1]).hexdigest())
             of_text.append(hashlib.sha256(enc.bpe.decode(ids).encode("utf-8")).hexdigest())
-        return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": of_ids, "decoded_sha256": of_text}
+        return {**({"token_ids": _ragged(kept)} if keep_ids else {}),
+                "n_tokens": pa.array(n, pa.int64()), "ids_sha256": of_ids, "decoded_sha256": of_text}
 
-    return map_texts(docs, digest, "n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col)
+    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return map_texts(docs, digest, "token_ids array<int>, " * keep_ids + fields, id_col, text_col)
 
 
 @lru_cache(maxsize=4)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.session import checkpoint_root
+from tidepool.session import checkpoint_root, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,3 +48,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that no column of df has (names differ in more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_row_ids(df: DataFrame) -> tuple[DataFrame, str]:
+    """df with a number of its own for every row, written down in the shared folder,
+    so that each later job sees the same numbers; and that column's name."""
+    name = fresh_name(df, "row_id")
+    at = shared_dir(df.sparkSession, "rows")
+    df.withColumn(name, F.monotonically_increasing_id()).write.parquet(at)
+    return df.sparkSession.read.parquet(at), name

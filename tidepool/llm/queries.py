@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import ann_rpforest, bpe_forced, mixing, simhash_vptree, token_counts, token_frames, topk_branch_bound
+from tidepool.llm import (
+    ann_rpforest, bpe_forced, license_positional, mixing, secret_lexer, simhash_vptree, token_counts, token_frames,
+    topk_branch_bound, toxicity_channel)
 from tidepool.llm.common import table
 from tidepool.session import shared_dir
 
@@ -22,6 +24,15 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vptree.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
 
+def op2_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_lexer.digests(secret_lexer.find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op3_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_channel.score_documents(docs, toxicity_channel.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_forced.round_trip_digests(table(spark, sf_dir, "documents"), vocab_path())
 
@@ -34,6 +45,10 @@ def op6_rp_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_rpforest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op7_license_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_positional.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocab_path(), limit=512)
 
@@ -50,8 +65,8 @@ def op10_branch_bound_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_simhash_near_dedup, op4_bpe_round_trip, op5_mix_to_targets, op6_rp_forest_neighbours, op8_token_counts, op9_token_files,
-        op10_branch_bound_top_k)}
+        op1_simhash_near_dedup, op2_secret_spans, op3_toxicity_scores, op4_bpe_round_trip, op5_mix_to_targets,
+        op6_rp_forest_neighbours, op7_license_labels, op8_token_counts, op9_token_files, op10_branch_bound_top_k)}
 
 ORACLES: dict[str, str] = {
     "op10_branch_bound_top_k": """

@@ -26,7 +26,7 @@ from tidepool.llm.common import cut_lineage, shuffle_partitions
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words that the dynamic programme fits exactly; rows a rank bucket should hold.
-FIT_WORDS, BUCKET_ROWS = 8192, 8192
+FIT_WORDS, BUCKET_ROWS = 8192, 512
 
 
 def targets(sizes: DataFrame, share: float, cap: float, weights: tuple[int, ...]) -> DataFrame:

@@ -12,6 +12,7 @@ from tests.conftest import SF_SMALL
 from tidepool.functions import text as X
 from tidepool.operators import dedup, replies
 from tidepool.operators import similarity as SIM
+from tidepool.session import shared_dir
 from tidepool.sources.tables import Tables
 
 
@@ -104,11 +105,64 @@ def test_first_per_key_hot_key(spark):
     assert out.where("k = 'hot'").first()["id"] == 0
 
 
-def test_rank_within_group_hot_group(spark):
-    # one group holds a third of the rows; ranks equal a plain row_number
+def test_first_per_key_nulls(spark):
+    df = spark.createDataFrame([("a", None, 1), (None, 1, 2), (None, 2, 3), ("b", None, 4), ("b", 5, 5)],
+                               "k string, o int, v int")
+    got = {r["v"] for r in dedup.first_per_key(df, "k", "o").collect()}
+    assert got == {1, 2, 3, 5}     # a's only row, every row without a key, b's row with an order
+    assert {r["v"] for r in dedup.first_per_key(df, "k", "o", ascending=False).collect()} == got
+
+
+def test_rank_within_group_large_hot_group(spark):
+    # 240,000 rows with a text column, one group a third of them: equals row_number
     from pyspark.sql import Window
-    df = spark.range(0, 3000).select(
-        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 50).alias("g"), "id")
-    got = dedup.rank_within_group(df, "g", "id", "r", num_partitions=8)
-    want = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("id")).cast("bigint"))
+    path = shared_dir(spark, "test_rank")
+    spark.range(0, 240000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 700).alias("g"),
+        (F.col("id") * 7919 % 240007).alias("o"), F.repeat(F.lit("text "), 20).alias("t")).write.parquet(path)
+    df = spark.read.parquet(path)
+    got = dedup.rank_within_group(df, "g", "o", "r", width=1000)
+    want = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("o")).cast("bigint"))
+    assert got.count() == 240000
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_rank_within_group_nulls(spark):
+    df = spark.createDataFrame([(None, 1), (None, None), (1, 5000), (1, 1)], "g int, o int")
+    got = {(r["g"], r["o"]): r["r"] for r in dedup.rank_within_group(df, "g", "o", "r").collect()}
+    assert got == {(None, None): 1, (None, 1): 2, (1, 1): 1, (1, 5000): 2}
+
+
+def test_views_keep_whole_texts(spark):
+    t = Tables(spark, SF_SMALL)
+
+    def chars(df, c):
+        return df.agg(F.sum(F.length(c))).first()[0]
+
+    assert chars(t.posts, "full_text") > chars(t.documents, "text")
+    users = t.conversations.where("role = 'user'")
+    assert chars(t.mentions, "full_text") >= chars(users, "text") + 8 * users.count()
+    answers = t.conversations.where("role = 'assistant'")
+    assert chars(t.responses, "response") >= chars(answers, "text")
+    lost = t.posts.join(t.documents.select("doc_id", "text"), F.col("post_id") == F.col("doc_id")).where(
+        ~F.col("full_text").startswith(F.col("text")))
+    assert lost.count() == 0
+    # news: every paragraph of every page
+    pages = {r["page_id"]: r["html"] for r in t.pages.collect()}
+    for r in t.news.collect():
+        found = re.findall(r"(?s)<p>(.*?)</p>", pages[r["news_id"]])
+        assert r["description"] == re.sub(r"<[^>]+>", "", " ".join(found))
+
+
+def test_term_counts_match_python(spark):
+    docs = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None), (4, "été x été x x")], "id long, t string")
+    got = {(r["id"], r["token"]): r["tf"] for r in SIM.term_frequencies(docs, "id", "t").collect()}
+    assert got == {(1, "a"): 1, (1, "b"): 2, (4, "été"): 2, (4, "x"): 3}
+
+
+def test_near_dup_pairs_hot_token_blocks(spark):
+    # a token in all texts, cut into many blocks: the same pairs as without cutting
+    docs = Tables(spark, SF_SMALL).documents.select("doc_id", F.concat(F.lit("the "), "text").alias("text"))
+    few = SIM.near_dup_pairs(docs, "doc_id", "text", 0.8)
+    many = SIM.near_dup_pairs(docs, "doc_id", "text", 0.8, hot_df=8)
+    assert few.exceptAll(many).count() == 0 and many.exceptAll(few).count() == 0

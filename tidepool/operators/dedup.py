@@ -2,8 +2,8 @@
 
 The reference asks SQLite one ``EXISTS`` per candidate.  Here each check is a
 single anti/semi join: Spark shuffles both sides on the key, or broadcasts
-the history side only when AQE has measured it under
-``spark.sql.adaptive.autoBroadcastJoinThreshold`` at run time.  Only the key
+the history side when its size, estimated from its files or measured by AQE,
+is under Spark's broadcast thresholds (``session.py``).  Only the key
 column of the history is read (column pruning reaches the parquet scan).
 """
 
@@ -20,16 +20,19 @@ def with_hash(df: DataFrame, text_col: str, hash_col: str) -> DataFrame:
 
 
 def first_per_key(df: DataFrame, key: str, order_col: str, ascending: bool = True) -> DataFrame:
-    """One row per ``key`` (the first by ``order_col``).
+    """One row per ``key`` (the first by ``order_col``, a NULL order value last).
 
-    A ``max_by``/``min_by`` aggregate over a struct of the row: partial
-    aggregation runs map-side, so a hot key (one third of all rows) is reduced
-    before the shuffle instead of landing whole in one task.
+    A NULL key equals no other key: all its rows stay.  A ``max_by``/``min_by``
+    aggregate over a struct of the row: partial aggregation runs map-side, so
+    a hot key (one third of all rows) is reduced before the shuffle instead of
+    landing whole in one task.
     """
-    cols = [c for c in df.columns]
-    row = F.struct(*[F.col(c) for c in cols])
-    pick = F.min_by(row, F.col(order_col)) if ascending else F.max_by(row, F.col(order_col))
-    return df.groupBy(key).agg(pick.alias("__r")).select("__r.*")
+    row = F.struct(*[F.col(c) for c in df.columns])
+    order = F.col(order_col)
+    pick = F.min_by(row, F.struct(order.isNull(), order)) if ascending \
+        else F.max_by(row, F.struct(order.isNotNull(), order))
+    own = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    return df.groupBy(F.col(key).alias("__k"), own.alias("__own")).agg(pick.alias("__r")).select("__r.*")
 
 
 def anti_seen_hash(candidates: DataFrame, history: DataFrame, cand_hash: str = "full_text_hash",
@@ -72,38 +75,28 @@ def duplicate_keys(df: DataFrame, key: str, count_col: str = "n") -> DataFrame:
             .where(F.col(count_col) > 1))
 
 
-def dedup_within_batch(df: DataFrame, key: str, order_col: str) -> DataFrame:
-    """Keep the first row per key inside one batch (before the history check)."""
-    return first_per_key(df, key, order_col, ascending=True)
-
-
-
 def rank_within_group(df: DataFrame, group_col: str, order_col: str, out_col: str,
-                      num_partitions: int | None = None) -> DataFrame:
+                      width: int = 4096) -> DataFrame:
     """``row_number() over (partition by group order by order)`` that never
     puts a whole group into one task.
 
-    Range partitioning on (group, order) splits a hot group into contiguous
-    pieces across tasks; each (group, piece) is ranked locally, and the piece
-    offsets come from a per-(group, piece) count (at most one row per group
-    per partition) summed over the earlier pieces of the same group.
-    ``order_col`` must be unique within a group (ties would make the split
-    point arbitrary).  The count branch re-derives the same range
-    partitioning from the two key columns only (a cheap second exchange);
-    both agree because range bounds come from deterministic sampling of the
-    same keys over the same input splits, also on recomputation after an
-    executor loss.
+    A numeric ``order_col`` cuts every group into pieces of ``width`` order
+    values.  The piece follows from the row alone, so both branches agree on
+    it, also on recomputation: rows are ranked within (group, piece), and a
+    piece's offset is the count of its group's earlier pieces (one row per
+    piece, combined map-side).  ``order_col`` must be unique within a group;
+    a NULL order value comes first.
     """
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = (df.repartitionByRange(n, group_col, order_col)
-             .withColumn("__piece", F.spark_partition_id()))
+    piece = F.floor(F.col(order_col) / F.lit(width))
+    parts = df.withColumn("__piece", piece)
     local = parts.withColumn(
         "__local", F.row_number().over(Window.partitionBy(group_col, "__piece").orderBy(order_col)))
-    counts = parts.groupBy(group_col, "__piece").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.withColumn(
-        "__offset",
-        F.coalesce(F.sum("__n").over(Window.partitionBy(group_col).orderBy("__piece")
-                                     .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return (local.join(offsets.drop("__n"), [group_col, "__piece"])
+    before = (Window.partitionBy("__g").orderBy(F.col("__p").asc_nulls_first())
+              .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = (parts.groupBy(F.col(group_col).alias("__g"), F.col("__piece").alias("__p"))
+               .agg(F.count(F.lit(1)).alias("__n"))
+               .withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n"))
+    same = local[group_col].eqNullSafe(offsets["__g"]) & local["__piece"].eqNullSafe(offsets["__p"])
+    return (local.join(offsets, same)
             .withColumn(out_col, (F.col("__local") + F.col("__offset")).cast("bigint"))
-            .drop("__local", "__offset", "__piece"))
+            .drop("__local", "__offset", "__piece", "__g", "__p"))

@@ -6,11 +6,11 @@ Scores are computed from integer sums, ``dot / (sqrt(|a|^2) * sqrt(|b|^2))``,
 0.0 when a norm is zero -- the same arithmetic as the reference.
 
 Scale notes
-* term vectors are the long form ``(id, token, tf)``: the explode stays in
-  the scan stage and the ``(id, token)`` aggregate combines map-side;
-* ``near_dup_vs_latest`` broadcasts only the last ``n`` history vectors (a
-  bound fixed by ``n``), joins candidate *occurrences* to them and sums per
-  (candidate, history) pair map-side -- no shuffle of candidate vectors;
+* term vectors are the long form ``(id, token, tf)``, counted inside the row
+  from its sorted tokens: no exchange, one row is one text;
+* ``near_dup_vs_latest`` takes the last ``n`` history rows itself and broadcasts
+  only their vectors (a bound fixed by ``n``), joins candidate *occurrences* to
+  them and sums per (candidate, history) pair map-side;
 * ``near_dup_pairs`` is an all-pairs similarity join: exact copies are
   collapsed first, then a lossless prefix filter (Bayardo et al., 2007)
   keeps only the rare-token prefix of each vector for candidate generation,
@@ -19,10 +19,12 @@ Scale notes
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.functions.text import explode_tokens, sha256_hex, tokens
+from tidepool.functions.text import sha256_hex, tokens
 from tidepool.session import checkpoint_root
 
 
@@ -43,15 +45,29 @@ def sum_sq_counts(toks: Column) -> Column:
     return F.aggregate(F.sort_array(toks), init, step, lambda acc: acc["s"] + acc["r"] * acc["r"])
 
 
-def term_frequencies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Long-form term vectors ``(id, token, tf)``."""
-    return (df.select(F.col(id_col).alias(id_col), explode_tokens(text_col).alias("token"))
-            .where(F.col("token") != "")
-            .groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf")))
+def term_counts(text_col) -> Column:
+    """``array<struct<token, tf>>`` of a text, in-row and in linear time: sort the
+    tokens, find where each run starts, and take the distance to the next run."""
+    def bind(value: Column, body) -> Column:
+        """``body(value)`` with value computed once: a lambda variable is a name."""
+        return F.element_at(F.transform(F.array(value), body), 1)
+
+    def runs(toks: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(toks) - 1),
+                          lambda i: (i == 0) | (F.get(toks, i) != F.get(toks, i - 1)))
+        return bind(starts, lambda at: F.transform(at, lambda s, i: F.struct(
+            F.get(toks, s).alias("token"),
+            (F.coalesce(F.get(at, i + 1), F.size(toks)) - s).cast("bigint").alias("tf"))))
 
+    kept = F.sort_array(F.filter(tokens(text_col), lambda w: w != ""))
+    return bind(kept, lambda toks: F.when(F.size(toks) > 0, runs(toks)))
 
-def norms2(tv: DataFrame, id_col: str) -> DataFrame:
-    return tv.groupBy(id_col).agg(F.sum(F.col("tf") * F.col("tf")).alias("norm2"))
+
+def term_frequencies(df: DataFrame, id_col: str, text_col: str, *carry: str) -> DataFrame:
+    """Long-form term vectors ``(id, token, tf)`` of one text per row; ``carry``
+    columns come along.  A text without tokens has no rows."""
+    return (df.select(id_col, *carry, F.explode(term_counts(text_col)).alias("__t"))
+            .select(id_col, *carry, F.col("__t.token").alias("token"), F.col("__t.tf").alias("tf")))
 
 
 def cosine_expr(dot: Column, n2a: Column, n2b: Column) -> Column:
@@ -61,167 +77,45 @@ def cosine_expr(dot: Column, n2a: Column, n2b: Column) -> Column:
 
 def cosine_pairs(pairs: DataFrame, a_col: str, b_col: str, texts_a: DataFrame,
                  texts_b: DataFrame, a_id: str, a_text: str, b_id: str, b_text: str) -> DataFrame:
-    """Cosine score for each given (a, b) pair of texts (0.0 when nothing is shared)."""
-    tva = term_frequencies(texts_a, a_id, a_text).select(
-        F.col(a_id).alias("__a"), "token", F.col("tf").alias("tfa"))
-    tvb = term_frequencies(texts_b, b_id, b_text).select(
-        F.col(b_id).alias("__b"), "token", F.col("tf").alias("tfb"))
-    na = norms2(tva.withColumnRenamed("tfa", "tf"), "__a").withColumnRenamed("norm2", "n2a")
-    nb = norms2(tvb.withColumnRenamed("tfb", "tf"), "__b").withColumnRenamed("norm2", "n2b")
-    p = pairs.select(F.col(a_col).alias("__a"), F.col(b_col).alias("__b")).distinct()
-    dots = (p.join(tva, "__a").join(tvb, ["__b", "token"])
-            .groupBy("__a", "__b").agg(F.sum(F.col("tfa") * F.col("tfb")).alias("dot")))
-    scored = (p.join(dots, ["__a", "__b"], "left")
-              .join(na, "__a", "left").join(nb, "__b", "left"))
-    return scored.select(
-        F.col("__a").alias(a_col), F.col("__b").alias(b_col),
-        cosine_expr(F.coalesce(F.col("dot"), F.lit(0)), F.coalesce(F.col("n2a"), F.lit(0)),
-                    F.coalesce(F.col("n2b"), F.lit(0))).alias("cosine"))
-
-
-def near_dup_vs_latest(candidates: DataFrame, cand_id: str, cand_text: str,
-                       latest: DataFrame, latest_id: str, latest_text: str,
-                       max_cos: float) -> DataFrame:
-    """Keep candidates whose cosine with *every* latest text is <= ``max_cos``.
+    """Cosine score for each given (a, b) pair of texts (0.0 when nothing is shared).
 
-    ``latest`` must already be bounded (the last ``n`` history rows): its
-    vectors are broadcast, a size fixed by ``n``.  Empty history keeps all.
+    Only texts that stand in a pair are tokenised; norms come from their own rows.
     """
-    htv = term_frequencies(latest, latest_id, latest_text).select(
-        F.col(latest_id).alias("__h"), "token", F.col("tf").alias("tfh"))
-    hn = htv.groupBy("__h").agg(F.sum(F.col("tfh") * F.col("tfh")).alias("n2h"))
-    htv_n = F.broadcast(htv.join(hn, "__h"))
-    # the norm is computed once per row, before the explode multiplies rows
-    vec = (candidates.select(F.col(cand_id).alias("__c"), tokens(cand_text).alias("__toks"))
-           .withColumn("n2c", sum_sq_counts(F.col("__toks"))))
-    occ = vec.select("__c", "n2c", F.explode("__toks").alias("token"))
-    scores = (occ.join(htv_n, "token")
-              .groupBy("__c", "n2c", "__h", "n2h").agg(F.sum("tfh").alias("dot")))
-    near = (scores.where(cosine_expr(F.col("dot"), F.col("n2c"), F.col("n2h")) > F.lit(max_cos))
-            .select("__c").distinct())
-    return candidates.join(near, candidates[cand_id] == near["__c"], "left_anti")
+    p = pairs.select(F.col(a_col).alias("__a"), F.col(b_col).alias("__b")).distinct()
 
+    def vectors(texts: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
+        used = texts.select(F.col(id_col).alias(key), F.col(text_col).alias("__text")).join(
+            p.select(key).distinct(), key, "left_semi")
+        return used.select(key, F.coalesce(term_counts("__text"), F.array()).alias(f"{key}v"))
 
-def near_dup_pairs(docs: DataFrame, id_col: str, text_col: str, min_cos: float,
-                   index_mass: float | None = None, hot_df: int = 2048,
-                   max_salt: int = 64, cut_base: float = 1.5, n_cuts: int = 60) -> DataFrame:
-    """All pairs of distinct texts with cosine >= ``min_cos`` (exact).
+    both = (p.join(vectors(texts_a, a_id, a_text, "__a"), "__a", "left")
+            .join(vectors(texts_b, b_id, b_text, "__b"), "__b", "left"))
 
-    1. Exact copies collapse to one representative (smallest id) carrying a
-       copy count: a text repeated a million times costs one vector and no
-       quadratic fan-out.  Pairs are reported between representatives.
-    2. Tokens are ordered globally by document frequency (rare first).  The
-       *prefix* of a vector is its leading tokens while the remaining squared
-       mass is >= ``index_mass`` (default ``min_cos**2``); the rest is its
-       *suffix* (common tokens, norm < sqrt(index_mass) <= min_cos).
-    3. Candidates: pairs sharing a prefix token (lossless: without one, the
-       dot product lives in a suffix and is < min_cos).  The prefix self-join
-       also accumulates the exact dot over shared prefix tokens.
-    4. Bound: the rest of the dot lies in the suffix of the vector whose
-       suffix starts first (x), so dot <= pp + |suffix(x)| * |y after x's
-       suffix start|; the second factor is bounded by y's mass beyond the
-       nearest document-frequency cut (``cut_base`` log-spaced cuts) and by
-       sqrt(1 - py).  Candidates under ``min_cos`` are dropped here.
-    5. Verify survivors exactly over suffix(x) only (common tokens; short),
-       then score from integer sums exactly as the reference does.
-    """
-    s2 = (min_cos * min_cos if index_mass is None else index_mass) - 1e-9
-    reps = (docs.where(F.col(text_col).isNotNull())
-            .groupBy(sha256_hex(text_col).alias("__hash"))
-            .agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("copies"),
-                 F.min_by(F.col(text_col), F.col(id_col)).alias("__t")))
-    tv = term_frequencies(reps, "rep", "__t")
-    dfreq = tv.groupBy("token").agg(F.count(F.lit(1)).alias("dfreq"))
-    whole = Window.partitionBy("rep")
-    rest = (Window.partitionBy("rep").orderBy(F.col("dfreq").desc(), F.col("token").desc())
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    sq = F.col("tf") * F.col("tf")
-    tvd = (tv.join(dfreq, "token")
-           .withColumn("norm2", F.sum(sq).over(whole))
-           .withColumn("rest2", F.sum(sq).over(rest))
-           .withColumn("w", F.col("tf") / F.sqrt(F.col("norm2").cast("double")))
-           .withColumn("in_prefix", F.col("rest2").cast("double") >= F.col("norm2").cast("double") * s2))
-    # Three branches read these weighted vectors; materialise them once in
-    # the shared checkpoint folder (reliable, lineage cut) instead of
-    # re-running the two windows per branch.
-    # (persisted only while the checkpoint is written, so it is computed once)
-    checkpoint_root(docs.sparkSession)
-    cached = tvd.persist()
-    tvd = cached.checkpoint(eager=True)
-    cached.unpersist()
-    # per representative: squared norm, where its suffix starts, suffix mass,
-    # and its unit mass beyond each document-frequency cut (log-spaced), an
-    # upper bound for "its mass after another vector's suffix start".
-    jdf = F.least(F.lit(n_cuts - 1), F.floor(F.log(float(cut_base), F.col("dfreq"))).cast("int"))
-    w2 = F.col("w") * F.col("w")
-    no_suffix = F.struct(F.lit(1 << 62).cast("bigint").alias("d"), F.lit("").alias("t"))
-    info = (tvd.withColumn("jdf", jdf).groupBy("rep").agg(
-        F.first("norm2").alias("norm2"),
-        F.min(F.when(~F.col("in_prefix"), F.struct(F.col("dfreq").alias("d"), F.col("token").alias("t"))))
-        .alias("__g"),
-        F.max(F.when(~F.col("in_prefix"), F.col("rest2") / F.col("norm2"))).alias("__smass"),
-        *[F.sum(F.when(F.col("jdf") >= j, w2).otherwise(F.lit(0.0))).alias(f"__m{j}") for j in range(n_cuts)])
-        .select("rep", "norm2", F.coalesce("__g", no_suffix).alias("g"),
-                F.coalesce("__smass", F.lit(0.0)).alias("smass"),
-                F.array(*[F.col(f"__m{j}") for j in range(n_cuts)]).alias("beyond"))
-        .join(reps.select("rep", "copies"), "rep"))
-    # hot tokens (many documents) are salted: the probe side is split into
-    # ``k`` groups by document hash, the build side replicated ``k`` times,
-    # so no single task pairs all holders of a common token.
-    k = F.least(F.lit(max_salt), F.ceil(F.col("dfreq") / F.lit(hot_df)).cast("int"))
-    prefix = tvd.where("in_prefix").select("rep", "token", "tf", "w", k.alias("k"))
-    pa = prefix.select(F.col("rep").alias("a"), "token", F.col("tf").alias("tfa"), F.col("w").alias("wa"),
-                       F.pmod(F.xxhash64("rep"), F.col("k")).cast("int").alias("salt"))
-    pb = prefix.select(F.col("rep").alias("b"), "token", F.col("tf").alias("tfb"), F.col("w").alias("wb"),
-                       F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"))
-    cands = (pa.join(pb, ["token", "salt"]).where(F.col("a") < F.col("b"))
-             .groupBy("a", "b").agg(F.sum(F.col("tfa") * F.col("tfb")).alias("pp"),
-                                    F.sum(F.col("wa") * F.col("wb")).alias("ppw"),
-                                    F.sum(F.col("wa") * F.col("wa")).alias("pa2"),
-                                    F.sum(F.col("wb") * F.col("wb")).alias("pb2")))
-    ia = info.select(*[F.col(c).alias(f"{c}_a") for c in info.columns])
-    ib = info.select(*[F.col(c).alias(f"{c}_b") for c in info.columns])
-    c = cands.join(ia, F.col("a") == F.col("rep_a")).join(ib, F.col("b") == F.col("rep_b"))
-    a_first = F.col("g_a") <= F.col("g_b")
-    x = F.when(a_first, F.col("a")).otherwise(F.col("b"))
-    y = F.when(a_first, F.col("b")).otherwise(F.col("a"))
-    smass_x = F.when(a_first, F.col("smass_a")).otherwise(F.col("smass_b"))
-    py = F.when(a_first, F.col("pb2")).otherwise(F.col("pa2"))
-    g_x = F.when(a_first, F.col("g_a")).otherwise(F.col("g_b"))
-    beyond_y = F.when(a_first, F.col("beyond_b")).otherwise(F.col("beyond_a"))
-    j_x = F.least(F.lit(n_cuts - 1), F.floor(F.log(float(cut_base), g_x["d"])).cast("int"))
-    y_after = F.least(1 - py, F.element_at(beyond_y, j_x + 1))
-    bound = F.col("ppw") + F.sqrt(smass_x) * F.sqrt(F.greatest(F.lit(0.0), y_after))
-    surv = (c.where(bound >= F.lit(min_cos - 1e-9))
-            .select("a", "b", "pp", x.alias("x"), y.alias("y"), "norm2_a", "norm2_b",
-                    "copies_a", "copies_b"))
-    sx = tvd.where(~F.col("in_prefix")).select(F.col("rep").alias("x"), "token", F.col("tf").alias("tfx"))
-    ty = tv.select(F.col("rep").alias("y"), "token", F.col("tf").alias("tfy"))
-    # one pass over the survivors: left joins keep pairs without suffix overlap
-    keys = ["x", "y", "a", "b", "pp", "norm2_a", "norm2_b", "copies_a", "copies_b"]
-    scored = (surv.join(sx, "x", "left").join(ty, ["y", "token"], "left")
-              .groupBy(*keys).agg(F.sum(F.col("tfx") * F.col("tfy")).alias("rest"))
-              .withColumn("cosine", cosine_expr(F.col("pp") + F.coalesce(F.col("rest"), F.lit(0)),
-                                                F.col("norm2_a"), F.col("norm2_b")))
-              .where(F.col("cosine") >= F.lit(min_cos)))
-    return scored.select(
+    def norm2(v: str) -> Column:
+        return F.coalesce(F.aggregate(v, F.lit(0).cast("bigint"), lambda s, t: s + t["tf"] * t["tf"]), F.lit(0))
+
+    # b's counts as a map: each of a's tokens is looked up, in-row.
+    counts_b = F.map_from_entries("__bv")
+    dot = F.coalesce(F.aggregate(
+        "__av", F.lit(0).cast("bigint"),
+        lambda s, t: s + t["tf"] * F.coalesce(F.try_element_at("__bm", t["token"]), F.lit(0))), F.lit(0))
+    return both.withColumn("__bm", counts_b).select(
         F.col("__a").alias(a_col), F.col("__b").alias(b_col),
-        cosine_expr(F.coalesce(F.col("dot"), F.lit(0)), F.coalesce(F.col("n2a"), F.lit(0)),
-                    F.coalesce(F.col("n2b"), F.lit(0))).alias("cosine"))
+        cosine_expr(dot, norm2("__av"), norm2("__bv")).alias("cosine"))
 
 
 def near_dup_vs_latest(candidates: DataFrame, cand_id: str, cand_text: str,
-                       latest: DataFrame, latest_id: str, latest_text: str,
-                       max_cos: float) -> DataFrame:
-    """Keep candidates whose cosine with *every* latest text is <= ``max_cos``.
+                       history: DataFrame, hist_id: str, hist_text: str,
+                       max_cos: float, n: int, order: Sequence[Column]) -> DataFrame:
+    """Keep candidates whose cosine with *every* one of the latest ``n`` history
+    texts (first by ``order``) is <= ``max_cos``.  Empty history keeps all.
 
-    ``latest`` must already be bounded (the last ``n`` history rows): its
-    vectors are broadcast, a size fixed by ``n``.  Empty history keeps all.
+    The ``n`` rows are taken here, so the broadcast side is bounded by ``n``.
     """
-    htv = term_frequencies(latest, latest_id, latest_text).select(
-        F.col(latest_id).alias("__h"), "token", F.col("tf").alias("tfh"))
-    hn = htv.groupBy("__h").agg(F.sum(F.col("tfh") * F.col("tfh")).alias("n2h"))
-    htv_n = F.broadcast(htv.join(hn, "__h"))
+    latest = history.orderBy(*order).limit(n).select(hist_id, hist_text)
+    htv = (latest.select(F.col(hist_id).alias("__h"), tokens(hist_text).alias("__toks"), hist_text)
+           .withColumn("n2h", sum_sq_counts(F.col("__toks"))))
+    htv_n = F.broadcast(term_frequencies(htv, "__h", hist_text, "n2h").withColumnRenamed("tf", "tfh"))
     # the norm is computed once per row, before the explode multiplies rows
     vec = (candidates.select(F.col(cand_id).alias("__c"), tokens(cand_text).alias("__toks"))
            .withColumn("n2c", sum_sq_counts(F.col("__toks"))))
@@ -235,7 +129,7 @@ def near_dup_vs_latest(candidates: DataFrame, cand_id: str, cand_text: str,
 
 def near_dup_pairs(docs: DataFrame, id_col: str, text_col: str, min_cos: float,
                    index_mass: float | None = None, hot_df: int = 2048,
-                   max_salt: int = 64, cut_base: float = 1.5, n_cuts: int = 60) -> DataFrame:
+                   cut_base: float = 1.5, n_cuts: int = 60) -> DataFrame:
     """All pairs of distinct texts with cosine >= ``min_cos`` (exact).
 
     1. Exact copies collapse to one representative (smallest id) carrying a
@@ -261,7 +155,7 @@ def near_dup_pairs(docs: DataFrame, id_col: str, text_col: str, min_cos: float,
             .groupBy(sha256_hex(text_col).alias("__hash"))
             .agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("copies"),
                  F.min_by(F.col(text_col), F.col(id_col)).alias("__t")))
-    tv = term_frequencies(reps, "rep", "__t")
+    tv = term_frequencies(reps, "rep", "__t", "copies")
     dfreq = tv.groupBy("token").agg(F.count(F.lit(1)).alias("dfreq"))
     whole = Window.partitionBy("rep")
     rest = (Window.partitionBy("rep").orderBy(F.col("dfreq").desc(), F.col("token").desc())
@@ -275,11 +169,8 @@ def near_dup_pairs(docs: DataFrame, id_col: str, text_col: str, min_cos: float,
     # Three branches read these weighted vectors; materialise them once in
     # the shared checkpoint folder (reliable, lineage cut) instead of
     # re-running the two windows per branch.
-    # (persisted only while the checkpoint is written, so it is computed once)
     checkpoint_root(docs.sparkSession)
-    cached = tvd.persist()
-    tvd = cached.checkpoint(eager=True)
-    cached.unpersist()
+    tvd = tvd.checkpoint()
     # per representative: squared norm, where its suffix starts, suffix mass,
     # and its unit mass beyond each document-frequency cut (log-spaced), an
     # upper bound for "its mass after another vector's suffix start".
@@ -287,25 +178,26 @@ def near_dup_pairs(docs: DataFrame, id_col: str, text_col: str, min_cos: float,
     w2 = F.col("w") * F.col("w")
     no_suffix = F.struct(F.lit(1 << 62).cast("bigint").alias("d"), F.lit("").alias("t"))
     info = (tvd.withColumn("jdf", jdf).groupBy("rep").agg(
-        F.first("norm2").alias("norm2"),
+        F.first("norm2").alias("norm2"), F.first("copies").alias("copies"),
         F.min(F.when(~F.col("in_prefix"), F.struct(F.col("dfreq").alias("d"), F.col("token").alias("t"))))
         .alias("__g"),
         F.max(F.when(~F.col("in_prefix"), F.col("rest2") / F.col("norm2"))).alias("__smass"),
         *[F.sum(F.when(F.col("jdf") >= j, w2).otherwise(F.lit(0.0))).alias(f"__m{j}") for j in range(n_cuts)])
-        .select("rep", "norm2", F.coalesce("__g", no_suffix).alias("g"),
+        .select("rep", "norm2", "copies", F.coalesce("__g", no_suffix).alias("g"),
                 F.coalesce("__smass", F.lit(0.0)).alias("smass"),
-                F.array(*[F.col(f"__m{j}") for j in range(n_cuts)]).alias("beyond"))
-        .join(reps.select("rep", "copies"), "rep"))
-    # hot tokens (many documents) are salted: the probe side is split into
-    # ``k`` groups by document hash, the build side replicated ``k`` times,
-    # so no single task pairs all holders of a common token.
-    k = F.least(F.lit(max_salt), F.ceil(F.col("dfreq") / F.lit(hot_df)).cast("int"))
+                F.array(*[F.col(f"__m{j}") for j in range(n_cuts)]).alias("beyond")))
+    # A hot token's holders are cut into ``k`` blocks by document hash; block i
+    # meets block j in a task of its own, so no task pairs more than about
+    # ``hot_df`` holders with as many others, however frequent the token.
+    k = F.ceil(F.col("dfreq") / F.lit(hot_df)).cast("int")
+    block = F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
     prefix = tvd.where("in_prefix").select("rep", "token", "tf", "w", k.alias("k"))
     pa = prefix.select(F.col("rep").alias("a"), "token", F.col("tf").alias("tfa"), F.col("w").alias("wa"),
-                       F.pmod(F.xxhash64("rep"), F.col("k")).cast("int").alias("salt"))
+                       block.alias("i"), others.alias("j"))
     pb = prefix.select(F.col("rep").alias("b"), "token", F.col("tf").alias("tfb"), F.col("w").alias("wb"),
-                       F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"))
-    cands = (pa.join(pb, ["token", "salt"]).where(F.col("a") < F.col("b"))
+                       others.alias("i"), block.alias("j"))
+    cands = (pa.join(pb, ["token", "i", "j"]).where(F.col("a") < F.col("b"))
              .groupBy("a", "b").agg(F.sum(F.col("tfa") * F.col("tfb")).alias("pp"),
                                     F.sum(F.col("wa") * F.col("wb")).alias("ppw"),
                                     F.sum(F.col("wa") * F.col("wa")).alias("pa2"),
@@ -327,10 +219,11 @@ def near_dup_pairs(docs: DataFrame, id_col: str, text_col: str, min_cos: float,
             .select("a", "b", "pp", x.alias("x"), y.alias("y"), "norm2_a", "norm2_b",
                     "copies_a", "copies_b"))
     sx = tvd.where(~F.col("in_prefix")).select(F.col("rep").alias("x"), "token", F.col("tf").alias("tfx"))
-    ty = tv.select(F.col("rep").alias("y"), "token", F.col("tf").alias("tfy"))
-    rest_dot = (surv.select("x", "y").join(sx, "x").join(ty, ["y", "token"])
-                .groupBy("x", "y").agg(F.sum(F.col("tfx") * F.col("tfy")).alias("rest")))
-    scored = (surv.join(rest_dot, ["x", "y"], "left")
+    ty = tvd.select(F.col("rep").alias("y"), "token", F.col("tf").alias("tfy"))
+    # one pass over the survivors: left joins keep pairs without suffix overlap
+    keys = ["x", "y", "a", "b", "pp", "norm2_a", "norm2_b", "copies_a", "copies_b"]
+    scored = (surv.join(sx, "x", "left").join(ty, ["y", "token"], "left")
+              .groupBy(*keys).agg(F.sum(F.col("tfx") * F.col("tfy")).alias("rest"))
               .withColumn("cosine", cosine_expr(F.col("pp") + F.coalesce(F.col("rest"), F.lit(0)),
                                                 F.col("norm2_a"), F.col("norm2_b")))
               .where(F.col("cosine") >= F.lit(min_cos)))

@@ -4,6 +4,7 @@ Expected values are worked out by hand from the documented semantics; the
 inputs are literal DataFrames of a few rows.
 """
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidepool.functions import dates as D
@@ -150,23 +151,87 @@ def test_nfkd(spark):
     assert one(spark, responses.prompt_content, "ﬁne é http://x.y") == "fine é "
 
 
-def test_append_history_idempotent_per_run(spark):
+def test_append_history_runs(spark):
     from tidepool.session import shared_dir
-    path = shared_dir(spark, "test_append")
+    path, at = shared_dir(spark, "test_append"), "2024-01-02 03:04:05"
     rows = spark.createDataFrame([("t1", 1), ("t2", 2)], "input_tweet string, input_tweet_id long")
-    H.append_history(rows, path, "replied_tweets", "2024-01-02 03:04:05")
-    H.append_history(rows, path, "replied_tweets", "2024-01-02 03:04:05")   # retried run
-    H.append_history(rows.limit(1), path, "replied_tweets", "2024-01-03 00:00:00")   # next run
+    H.append_history(rows, path, "replied_tweets", at, "a")
+    H.append_history(rows, path, "replied_tweets", at, "a")              # retried run
+    H.append_history(rows.limit(1), path, "replied_tweets", at, "b")     # another run of the same second
     back = H.read_history(spark, path, "replied_tweets")
     assert back.count() == 3
-    assert back.where("run = '20240102030405'").count() == 2
+    assert back.where("run = '20240102030405-a'").count() == 2
 
 
-def test_lexicon_long_list_uses_table(spark):
-    df = spark.createDataFrame([(1, "a giveaway here"), (2, "nothing")], "id long, t string")
+def test_old_history_files_read_back_defaults(spark):
+    from tidepool.session import shared_dir
+    path = shared_dir(spark, "test_old")
+    spark.createDataFrame([("t1",)], "input_tweet string").write.parquet(f"{path}/run=old-a")
+    spark.createDataFrame([("t2", "junk")], "input_tweet string, input_tweet_id string").createOrReplaceTempView("v")
+    H.append_history(spark.table("v"), path, "replied_tweets", "2024-01-02 03:04:05", "b")   # not a number: default
+    got = {r["input_tweet"]: (r["input_tweet_id"], r["status"]) for r in
+           H.read_history(spark, path, "replied_tweets").collect()}
+    assert got == {"t1": (0, None), "t2": (0, None)}
+
+
+def test_lexicon_list_and_table_agree(spark):
+    df = spark.createDataFrame([(1, "a giveaway here"), (2, "nothing"), (3, None)], "id long, t string")
     lex = [f"w{i}" for i in range(2000)] + ["giveaway"]
-    got = {r["id"]: r["flagged"] for r in gates.lexicon_flag(df, "t", lex, id_col="id").collect()}
-    assert got == {1: True, 2: False}
+    table = spark.createDataFrame([(w,) for w in lex], "term string")
+    for lexicon in (lex, table):
+        got = {r["id"]: r["flagged"] for r in gates.lexicon_flag(df, "t", lexicon, id_col="id").collect()}
+        assert got == {1: True, 2: False, 3: False}
+
+
+def test_short_and_empty_mentions(spark):
+    # branches that whole conversation texts do not reach
+    df = spark.createDataFrame([(1, "@user_9 http://x.y"), (2, "@user_9 hello")], "id long, full_text string")
+    got = {r["id"]: r["status"] for r in gates.mention_text_status(df).collect()}
+    assert got == {1: "no text", 2: "ok"}
+
+
+def test_topic_fallback_both_branches(spark):
+    df = spark.createDataFrame([(1, "a"), (2, ""), (3, "b")], "id long, topic string")
+    assert [r["id"] for r in responses.topic_fallback(df, "topic", "b", "s").collect()] == [3]
+    assert responses.topic_fallback(df, "topic", "zzz", "s").first()["topic"] in ("a", "b")   # never the empty one
+
+
+def test_near_dup_vs_latest_takes_n(spark):
+    hist = spark.createDataFrame([(1, "a b c", 1), (2, "x y z", 2)], "hid long, body string, d int")
+    cand = spark.createDataFrame([(7, "a b c"), (8, "x y z")], "id long, body string")
+    out = SIM.near_dup_vs_latest(cand, "id", "body", hist, "hid", "body", 0.45, 1, [F.col("d").desc()])
+    assert [r["id"] for r in out.collect()] == [7]   # only the latest one counts
+
+
+def test_history_backup_due(spark):
+    from tidepool.session import shared_dir
+    df, root = spark.createDataFrame([(1,)], "a int"), shared_dir(spark, "test_backup")
+    assert H.history_backup(df, root, "2024-01-02 08:01:00") and not H.history_backup(df, root, "2024-01-02 09:01:00")
+    assert [r["snapshot_ts"] for r in spark.read.parquet(root).collect()] == ["2024_01_02_08_01"]
+
+
+def test_sync_all_creates_missing_tables(spark):
+    a = spark.createDataFrame([(1, "x"), (2, None)], "k int, v string")
+    synced = H.sync_all({"t": a, "u": a}, {"t": a.where("k = 1")})
+    assert sorted(r["k"] for r in synced["t"][1].collect()) == [1, 2]
+    assert synced["u"][1].count() == 2 and synced["u"][0].count() == 2
+
+
+def test_no_silent_local_folder():
+    from tidepool.session import checkpoint_root
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        checkpoint_root(Session())
 
 
 def test_news_feeds_and_union(spark):

@@ -6,7 +6,7 @@ from tests.conftest import SF_SMALL
 from tidepool.plans.catalog import QUERIES
 
 BATCH_KEYS = sorted(k for k in QUERIES if not k.startswith("stream_"))
-PYTHON_OK = {"normalize_unicode", "chat_log_build", "chat_log_append", "response_log_record"}
+PYTHON_OK = {"normalize_unicode"}
 
 
 def plan_of(spark, key):
@@ -31,3 +31,19 @@ def test_history_side_reads_few_columns(spark):
     plan = plan_of(spark, "anti_seen_news")
     scans = [ln for ln in plan.splitlines() if "FileScan parquet" in ln]
     assert any("[page_id" in s and ",url" in s and "html" not in s for s in scans)
+
+
+def final_plan(spark, key):
+    df = QUERIES[key](spark, SF_SMALL)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.split("== Initial Plan ==")[0]
+
+
+# scans and exchanges of the plans that ran
+@pytest.mark.parametrize("key,scans,exchanges", [
+    ("term_frequencies", 1, 0), ("sync_tables", 6, 4), ("post_gate", 1, 0), ("duplicate_keys", 1, 1)])
+def test_scan_and_exchange_counts(spark, key, scans, exchanges):
+    plan = final_plan(spark, key)
+    assert plan.count("FileScan parquet") <= scans
+    assert plan.count("Exchange hashpartitioning") <= exchanges

@@ -1,5 +1,7 @@
 """Streaming = batch, restart adds nothing, replayed batches do not duplicate."""
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
@@ -7,14 +9,17 @@ from tidepool.sources.tables import Tables
 from tidepool.streaming import jobs as J
 
 
+def thirds(df, key):
+    return [df.where(F.col(key) % 3 == i) for i in range(3)]
+
+
 def test_dedup_stream_cross_batch_and_restart(spark):
     t = Tables(spark, SF_SMALL)
     run = J.new_run(spark, "test_dedup")
     ev = t.events.select("event_id", "event_type")
-    J.stage_files(ev, run["input"], F.col("event_id") % 3, 3)
-    J.stage_files(ev.where(F.col("event_id") < 25), run["input"], F.lit(0), 1)   # late re-sends
-    s = J.read_arrivals(spark, run["input"], ev.schema)
-    J.run_available(s, run["checkpoint"], J.dedup_batch_fn(spark, run["sink"], "event_id"))
+    again = ev.where(F.col("event_id") < 25)   # late re-sends
+    J.run_rounds(spark, [*thirds(ev, "event_id"), again], run,
+                 batch_fn=J.dedup_batch_fn(spark, run["sink"], "event_id"))
     first = spark.read.parquet(run["sink"])
     assert first.count() == ev.count() == first.select("event_id").distinct().count()
     # restart from the checkpoint with nothing new: no new rows
@@ -27,18 +32,62 @@ def test_state_store_dedup_and_restart(spark):
     t = Tables(spark, SF_SMALL)
     run = J.new_run(spark, "test_state_dedup")
     ev = t.events.select("event_id", "event_type")
-    J.stage_files(ev, run["input"], F.col("event_id") % 2, 2)
-    s = J.read_arrivals(spark, run["input"], ev.schema)
-    J.run_available(J.dedup_stream(s, "event_id"), run["checkpoint"], sink=run["sink"])
+
+    def job(s):
+        return J.dedup_stream(s, "event_id")
+
+    J.run_rounds(spark, thirds(ev, "event_id"), run, job)
     assert spark.read.parquet(run["sink"]).count() == ev.count()
     # a late re-send of old keys after a restart is still dropped
-    J.stage_files(ev.where(F.col("event_id") < 30), run["input"], F.lit(0), 1)
-    s2 = J.read_arrivals(spark, run["input"], ev.schema)
-    J.run_available(J.dedup_stream(s2, "event_id"), run["checkpoint"], sink=run["sink"])
+    J.run_rounds(spark, [ev.where(F.col("event_id") < 30)], run, job)
     out = spark.read.parquet(run["sink"])
     assert out.count() == ev.count() == out.select("event_id").distinct().count()
 
 
+def test_mentions_sent_again_are_dropped(spark):
+    t = Tables(spark, SF_SMALL)
+    run = J.new_run(spark, "test_mentions")
+    J.run_rounds(spark, [t.mentions, t.mentions], run, lambda s: J.mentions_stream(s, t.mentions_history))
+    out = spark.read.parquet(run["sink"])
+    assert out.count() == out.select("in_reply_to_status_id").distinct().count() > 0
+
+
+def test_a_broken_sink_is_an_error(spark):
+    run = J.new_run(spark, "test_sink")
+    assert J.sink_before(spark, run["sink"], 1) is None          # nothing written yet
+    spark.range(3).write.parquet(run["sink"])                    # no batch_id column
+    with pytest.raises(AnalysisException):
+        J.sink_before(spark, run["sink"], 1).count()
+
+
+def test_news_latest_is_by_posting_time(spark):
+    # ten older posts with higher ids; round 0 posts news 1, round 1 offers a near copy of it
+    words = "one two three four five six seven eight nine ten"
+    history = spark.createDataFrame([(100 + i, f"h{i} x{i} y{i} z{i}", f"d{i}", f"u{i}") for i in range(10)],
+                                    "news_id long, body string, description_hash string, input_text_url string") \
+        .withColumn("date", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+    run = J.new_run(spark, "test_news")
+    fn = J.news_batch_fn(spark, history, run["sink"], 10, 0.45, "s", ["blocked"], 24, "2024-02-01 00:00:00")
+    columns = "news_id long, body string, description string, url string, age_text string"
+    fn(spark.createDataFrame([(1, words, "a", "a", "1 hours ago"), (3, "blocked", "c", "c", "1 hours ago"),
+                              (4, "old", "d", "d", "3 days ago")], columns), 0)
+    fn(spark.createDataFrame([(2, words + " more", "b", "b", "1 hours ago")], columns), 1)
+    assert [r["news_id"] for r in spark.read.parquet(run["sink"]).collect()] == [1]
+
+
+def test_processing_time_trigger(spark):
+    t = Tables(spark, SF_SMALL)
+    run = J.new_run(spark, "test_trigger")
+    t.mentions.write.parquet(run["input"])
+    q = J.start(J.stream_length_gate(J.read_arrivals(spark, run["input"], t.mentions.schema), "full_text")
+                .select("mention_id", "route"), run["checkpoint"], sink=run["sink"],
+                trigger={"processingTime": "1 second"})
+    q.processAllAvailable()
+    assert q.isActive
+    q.stop()
+    assert spark.read.parquet(run["sink"]).count() == t.mentions.count()
+
+
 def test_replayed_batch_overwrites_itself(spark):
     run = J.new_run(spark, "test_replay")
     fn = J.dedup_batch_fn(spark, run["sink"], "k")
@@ -54,11 +103,11 @@ def test_replayed_batch_overwrites_itself(spark):
 def test_length_gate_stream_equals_batch(spark):
     t = Tables(spark, SF_SMALL)
     run = J.new_run(spark, "test_gate")
-    J.stage_files(t.mentions, run["input"], F.col("mention_id") % 3, 3)
-    s = J.read_arrivals(spark, run["input"], t.mentions.schema)
-    J.run_available(J.stream_length_gate(s, "full_text").select("mention_id", "route"),
-                    run["checkpoint"], sink=run["sink"], partition_by="route")
+    short = spark.createDataFrame([(-3, 1, "u", "tiny")], t.mentions.schema)
+    rows = t.mentions.unionByName(short)
+    J.run_rounds(spark, thirds(rows, "mention_id"), run,
+                 lambda s: J.stream_length_gate(s, "full_text").select("mention_id", "route"), partition_by="route")
     streamed = spark.read.parquet(run["sink"]).select("mention_id", "route")
-    batch = J.stream_length_gate(t.mentions, "full_text").select("mention_id", "route")
+    batch = J.stream_length_gate(rows, "full_text").select("mention_id", "route")
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
     assert streamed.where("route = 'short'").count() > 0

@@ -32,10 +32,5 @@ def format_created_at(ts, offset="+0000") -> Column:
                     F.date_format(_c(ts), " yyyy"))
 
 
-def hour_of_day(seconds) -> Column:
-    """``(s mod 86400) div 3600``."""
-    return F.floor(F.pmod(_c(seconds), F.lit(86400)) / 3600).cast("int")
-
-
 def days_before(as_of: str, days: int) -> Column:
     return F.date_sub(F.to_date(F.lit(as_of)), days)

@@ -31,8 +31,6 @@ QUESTION_PHRASES = ("have questions", "have a question")
 BUSINESS_TERMS = ("Investing", "management", "Finance", "Risk", "Economy")
 RANDOM_CATEGORY_TERMS = {"Discoveries": ("general", "technology")}
 DEFAULT_CATEGORY = "business"
-# Lexicons longer than this are joined as a table rather than inlined.
-INLINE_LEXICON_MAX = 1000
 # Response length limits per job: posts 280, mentions 280, news 250.
 MAX_LEN_POSTS = 280
 MAX_LEN_MENTIONS = 280
@@ -101,7 +99,7 @@ def hashtag_ratio_gate(posts: DataFrame, text_col: str = "full_text",
 
 
 def posts_search(posts: DataFrame, hashtag: str, lang: str = "en") -> DataFrame:
-    """``#tag -filter:retweets -filter:reply`` in one language, newest first."""
+    """``#tag -filter:retweets -filter:reply`` in one language."""
     tag = hashtag.replace("#", "")
     return (posts
             .where((F.col("lang") == lang) & ~F.col("is_retweet") & ~F.col("is_reply"))
@@ -112,16 +110,13 @@ def lexicon_flag(df: DataFrame, text_col: str, lexicon, flag_col: str = "flagged
                  id_col: str | None = None) -> DataFrame:
     """Flag rows whose '#'-stripped, lowercased words meet ``lexicon``.
 
-    ``lexicon`` is a caller list (checked inline with ``arrays_overlap``) or,
-    when large, a one-column DataFrame ``term``: the distinct words of each
-    row are semi-joined to it (Spark broadcasts it only when AQE measures it
-    small) and the hits joined back on ``id_col``.  Multi-word entries never
-    match a single word.
+    ``lexicon`` is the caller's choice of a list (checked inline with
+    ``arrays_overlap``) or a one-column DataFrame ``term``: the distinct words
+    of each row are semi-joined to it and the hits joined back on ``id_col``.
+    Both give the same flags; a NULL text is not flagged.  Multi-word entries
+    never match a single word.
     """
     low_words = T.words(F.lower(F.replace(_col(text_col), F.lit("#"), F.lit(""))))
-    if not isinstance(lexicon, DataFrame) and len(lexicon) > INLINE_LEXICON_MAX and id_col:
-        # a long caller list becomes a table: no giant array literal per row
-        lexicon = df.sparkSession.createDataFrame([(t,) for t in lexicon], "term string")
     if isinstance(lexicon, DataFrame):
         if id_col is None:
             raise ValueError("a DataFrame lexicon needs id_col")
@@ -133,7 +128,8 @@ def lexicon_flag(df: DataFrame, text_col: str, lexicon, flag_col: str = "flagged
     terms = [t.lower() for t in lexicon]
     if not terms:
         return df.withColumn(flag_col, F.lit(False))
-    return df.withColumn(flag_col, F.arrays_overlap(low_words, F.array(*[F.lit(t) for t in terms])))
+    hit = F.arrays_overlap(low_words, F.array(*[F.lit(t) for t in terms]))
+    return df.withColumn(flag_col, F.coalesce(hit, F.lit(False)))
 
 
 def question_intent(df: DataFrame, text_col: str, answer_route: str, default_route: str,

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import sha256_hex
+from tidepool.sources.tables import page_text
 
 NEWS_COLUMNS = ("feed", "url", "title", "description", "body", "published_at", "age_text",
                 "search_term", "body_hash", "description_hash")
@@ -63,21 +64,30 @@ def news_union(*feeds: DataFrame) -> DataFrame:
     return out
 
 
-def raw_feeds_from_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Fixture: three raw feed shapes cut from ``pages`` by ``page_id % 3``."""
-    title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
-    para = F.regexp_replace(F.regexp_extract("html", r"<p>(.*?)</p>", 1), r"<[^>]+>", "")
+def _page_fields(pages: DataFrame) -> DataFrame:
     p = F.col("page_id")
     unit = (F.when(p % 3 == 0, F.lit(" minutes ago"))
             .when(p % 3 == 1, F.lit(" hours ago")).otherwise(F.lit(" days ago")))
-    age = F.concat((1 + p % 30).cast("string"), unit)
-    base = pages.select(p.alias("page_id"), "url", title.alias("title"), para.alias("para"),
-                        age.alias("age"))
+    return pages.select(
+        p.alias("page_id"), "url", F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("title"),
+        page_text("html").alias("para"), F.concat((1 + p % 30).cast("string"), unit).alias("age"))
+
+
+def _articles(fields: DataFrame) -> DataFrame:
+    return fields.select(
+        "url", "title", F.when(F.col("para") != "", F.col("para")).alias("description"),
+        F.format_string("2024-01-%02d", (1 + F.col("page_id") % 28).cast("int")).alias("publishedAt"))
+
+
+def article_feed_from_pages(pages: DataFrame) -> DataFrame:
+    """Fixture: every page as a raw article."""
+    return _articles(_page_fields(pages))
+
+
+def raw_feeds_from_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fixture: three raw feed shapes cut from ``pages`` by ``page_id % 3``."""
+    base, p = _page_fields(pages), F.col("page_id")
     f1 = base.where(p % 3 == 0).select("url", F.col("para").alias("body"))
     f2 = base.where(p % 3 == 1).select(F.col("para").alias("snippet"), F.col("url").alias("link"),
                                        F.col("age").alias("date"))
-    f3 = base.where(p % 3 == 2).select(
-        "url", "title",
-        F.when(F.col("para") != "", F.col("para")).alias("description"),
-        F.format_string("2024-01-%02d", (1 + F.col("page_id") % 28).cast("int")).alias("publishedAt"))
-    return f1, f2, f3
+    return f1, f2, _articles(base.where(p % 3 == 2))

@@ -79,13 +79,14 @@ def mention_backfill(mentions: DataFrame, replies: DataFrame, history: DataFrame
         F.col("mention_id").alias("in_reply_to_status_id"),
         F.col(text_col).alias("in_reply_to_text"),
         F.col("user_id").alias("in_reply_to_user_id"),
+        F.col("user_name").alias("in_reply_to_user_name"),
         F.col("reply_text").alias("replay_text"),
         F.col("reply_id").alias("replay_tweet_id"),
         F.when(F.col("n_replies") > 1, F.lit("deleted")).otherwise(F.lit("200")).alias("status"))
     first = F.max_by(row, F.struct(F.col("mention_id"), F.col("reply_id")))
     return (fresh.groupBy("in_reply_to_text_hash").agg(first.alias("r"))
             .select("r.in_reply_to_status_id", "r.in_reply_to_text", "in_reply_to_text_hash",
-                    "r.in_reply_to_user_id", "r.replay_text", "r.replay_tweet_id", "r.status"))
+                    "r.in_reply_to_user_id", "r.in_reply_to_user_name", "r.replay_text", "r.replay_tweet_id", "r.status"))
 
 
 def parent_lookup(children: DataFrame, parents: DataFrame, child_ref: str, parent_id: str) -> DataFrame:

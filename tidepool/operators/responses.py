@@ -47,25 +47,13 @@ def redact(text, mapping: Sequence[tuple[str, str]], remove: Sequence[str]) -> C
     return X.remove_phrases_if_present(X.replace_phrases_lowercasing(text, mapping), remove)
 
 
-def post_process(text, mapping, remove, markers: Sequence[tuple[str, str]], max_len: int) -> Column:
-    """The answer as it would be posted: cut marker spans, redact, shorten.
-
-    Column form; on a DataFrame prefer :func:`with_post_processed`, which
-    materialises each step once instead of re-deriving nested inputs.
-    """
-    t = _col(text)
-    for start, end in markers:
-        t = X.cut_between_markers(t, start, end)
-    t = redact(t, mapping, remove)
-    return X.shorten_overlong(t, max_len)
-
-
 def with_post_processed(df: DataFrame, text_col: str, out_col: str, mapping, remove,
                         markers: Sequence[tuple[str, str]], max_len: int,
                         replacement: str = "") -> DataFrame:
-    """:func:`post_process` as a chain of projections: every step reads the
-    previous step's column, so each intermediate text is computed once per
-    row (the nested form re-derives inner steps for every reference)."""
+    """The answer as it would be posted: cut marker spans, redact, shorten.
+
+    A chain of projections: every step reads the previous step's column, so
+    each intermediate text is computed once per row."""
     out = df.withColumn(out_col, F.col(text_col))
     for start, end in markers:
         out = out.withColumn(out_col, X.cut_between_markers(out_col, start, end))
@@ -113,6 +101,7 @@ def topic_fallback(survivors: DataFrame, topic_col: str, requested: str, seed: s
     One partial aggregate over topics, then a semi-join against the chosen
     topic: a global aggregate, so exactly one row (a proven broadcast bound).
     """
+    survivors = survivors.where(F.col(topic_col) != "")   # a post without a tag has no topic
     counts = survivors.groupBy(topic_col).agg(F.count(F.lit(1)).alias("n"))
     order = F.struct((F.col(topic_col) != F.lit(requested)).alias("not_req"),
                      F.md5(F.concat(F.lit(seed + ":"), F.col(topic_col))).alias("h"))
@@ -132,13 +121,13 @@ def nfkd(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-def prompt_content(text) -> Column:
-    """What the user turn carries: NFKD-normalised, links removed."""
-    return X.clean_links(nfkd(_col(text)))
+def prompt_content(text, normalize: bool = True) -> Column:
+    """What the user turn carries: links removed, NFKD-normalised on request."""
+    return X.clean_links(nfkd(_col(text)) if normalize else _col(text))
 
 
 def chat_log_build(df: DataFrame, id_col: str, text_col: str, system_text: str,
-                   setup_turns: Sequence[tuple[str, str]]) -> DataFrame:
+                   setup_turns: Sequence[tuple[str, str]], normalize: bool = True) -> DataFrame:
     """Long-form chat log per prompt: (id, position, role, content).
 
     Position 0 is the system row, then the caller's fixed setup turns, then
@@ -152,13 +141,13 @@ def chat_log_build(df: DataFrame, id_col: str, text_col: str, system_text: str,
         turns.append(F.struct(F.lit(i).alias("position"), F.lit(role).alias("role"),
                               F.lit(content).alias("content")))
     turns.append(F.struct(F.lit(len(setup_turns) + 1).alias("position"), F.lit(USER).alias("role"),
-                          prompt_content(text_col).alias("content")))
+                          prompt_content(text_col, normalize).alias("content")))
     return (df.select(F.col(id_col), F.explode(F.array(*turns)).alias("t"))
             .select(id_col, "t.position", "t.role", "t.content"))
 
 
 def chat_log_append(history: DataFrame, new: DataFrame, key: str, pos_col: str,
-                    role_col: str, content_col: str) -> DataFrame:
+                    role_col: str, content_col: str, normalize: bool = True) -> DataFrame:
     """Append new turns after each log's last position, cleaned like prompts.
 
     ``new`` carries its own order in ``pos_col`` (0, 1, ...); the history's
@@ -168,17 +157,19 @@ def chat_log_append(history: DataFrame, new: DataFrame, key: str, pos_col: str,
     last = history.groupBy(key).agg(F.max(pos_col).alias("__last"))
     appended = (new.join(last, key, "left")
                 .select(key, (F.coalesce(F.col("__last"), F.lit(-1)) + 1 + F.col(pos_col)).alias(pos_col),
-                        role_col, prompt_content(content_col).alias(content_col)))
+                        role_col, prompt_content(content_col, normalize).alias(content_col)))
     return history.select(key, pos_col, role_col, content_col).unionByName(appended)
 
 
 def response_log_record(chat_log: DataFrame, key: str, pos_col: str, content_col: str,
                         answers: DataFrame, settings: dict[str, object]) -> DataFrame:
-    """The ``ai_params`` row: last chat message as ``question`` + answer + settings."""
-    last_q = (chat_log.groupBy(key)
-              .agg(F.max_by(F.col(content_col), F.col(pos_col)).alias("question")))
-    out = last_q.join(answers, key, "inner")
-    return out.withColumns({k: F.lit(v) for k, v in settings.items()})
+    """The ``ai_params`` row: first and last chat message as ``prompt`` and
+    ``question``, the answer, and the run's settings (personality, nuance, mood,
+    rules, model, ...).  ``append_history`` aligns it to the table."""
+    ends = (chat_log.groupBy(key)
+            .agg(F.max_by(F.col(content_col), F.col(pos_col)).alias("question"),
+                 F.min_by(F.col(content_col), F.col(pos_col)).alias("prompt")))
+    return ends.join(answers, key, "inner").withColumns({k: F.lit(v) for k, v in settings.items()})
 
 
 def response_report(df: DataFrame, response_col: str | None, fields: dict[str, str]) -> DataFrame:

@@ -17,6 +17,14 @@ from tidepool.operators import dedup, gates
 from tidepool.plans import params as P
 from tidepool.sources.tables import Tables
 
+#: History rows by posting time; ids only break ties.
+LATEST = ("date", "news_id")
+
+
+def latest_order():
+    return [F.col(c).desc() for c in LATEST]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -276,8 +284,7 @@ def _ts_text(c: str) -> F.Column:
 def history_latest(spark, sf_dir):
     from tidepool.sources import history as H
     t = Tables(spark, sf_dir)
-    return H.latest_records(t.timeline_posts, ["body", "news_id"], P.LATEST_N,
-                            [F.col("news_id").desc()])
+    return H.latest_records(t.timeline_posts, ["body", "news_id"], P.LATEST_N, latest_order())
 
 
 @query
@@ -285,7 +292,6 @@ def history_append(spark, sf_dir):
     """Triage rows written to ``replied_tweets``: aligned by name (unknown
     keys dropped, missing ones defaulted), stamped with the run time."""
     from tidepool.session import shared_dir
-    from tidepool.sources import history as H
     t = Tables(spark, sf_dir)
     rows = (triage_candidates(t)
             .select(F.lit(P.SEARCH_TAG).alias("hashtag"), F.col("full_text").alias("input_tweet"),
@@ -294,9 +300,43 @@ def history_append(spark, sf_dir):
                     F.concat(F.lit("user_"), F.col("author_id").cast("string")).alias("output_to_username"),
                     F.lit("200").alias("status"), F.col("ffratio").alias("not_a_column")))
     path = shared_dir(spark, "replied_tweets")
-    H.append_history(rows, path, "replied_tweets", P.RUN_TS)
-    back = H.read_history(spark, path, "replied_tweets")
-    return back.select(_ts_text("date"), *[c for c in H.HISTORY_FIELDS["replied_tweets"]])
+    return _appended(spark, rows, path, "replied_tweets")
+
+
+def _appended(spark, rows: DataFrame, path: str, table: str) -> DataFrame:
+    """Append as this run, read the table back."""
+    from tidepool.sources import history as H
+    H.append_history(rows, path, table, P.RUN_TS, P.RUN_ID)
+    return H.read_history(spark, path, table).select(_ts_text("date"), *H.HISTORY_FIELDS[table])
+
+
+@query
+def history_append_mentions(spark, sf_dir):
+    """Mentions answered on the timeline but missing from the history."""
+    from tidepool.session import shared_dir
+    rows = mention_backfill(spark, sf_dir)
+    return _appended(spark, rows, shared_dir(spark, "mentions"), "mentions")
+
+
+@query
+def history_append_timeline(spark, sf_dir):
+    """Unseen news recorded as posted."""
+    from tidepool.session import shared_dir
+    t = Tables(spark, sf_dir)
+    n = dedup.with_hash(t.news, "description", "description_hash")
+    rows = dedup.anti_seen_news(n, t.timeline_posts).select(
+        F.lit("Finance").alias("search_term"), "body", X.sha256_hex("body").alias("body_hash"),
+        "description_hash", F.col("url").alias("input_text_url"), F.col("news_id").alias("post_tweet_id"),
+        F.lit("200").alias("status"))
+    return _appended(spark, rows, shared_dir(spark, "timeline_posts"), "timeline_posts")
+
+
+@query
+def history_append_ai_params(spark, sf_dir):
+    """The log record of every answered prompt."""
+    from tidepool.session import shared_dir
+    rows = response_log_record(spark, sf_dir).drop("prompt_id")
+    return _appended(spark, rows, shared_dir(spark, "ai_params"), "ai_params")
 
 
 @query
@@ -330,26 +370,43 @@ def snapshot_write(spark, sf_dir):
 
 @query
 def fresh_snapshot(spark, sf_dir):
-    """Rows of a snapshot younger than 5 hours (file modification time)."""
+    """Rows of a snapshot's files that are younger than 5 hours (by file
+    modification time) at a given time: the part written before it is stale."""
     import time
     from tidepool.session import shared_dir
     from tidepool.sources import history as H
     t = Tables(spark, sf_dir)
+    path, posts = shared_dir(spark, "snapshot"), t.posts.select("post_id", "lang")
+    posts.where(F.col("lang") != "en").withColumn("hashtag", F.lit("stale")).write.parquet(path)
+    time.sleep(1.1)
+    as_of = H.newest_file_time(spark, path) + 0.5 + 5 * 3600
+    posts.where(F.col("lang") == "en").withColumn("hashtag", F.lit(P.SEARCH_TAG)).write.mode("append").parquet(path)
+    return H.fresh_snapshot(spark, path, 5, as_of).select("post_id", "hashtag")
+
+
+@query
+def snapshot_or_recompute(spark, sf_dir):
+    """A snapshot too old to use is recomputed and rewritten, then read."""
+    from tidepool.session import shared_dir
+    from tidepool.sources import history as H
+    t = Tables(spark, sf_dir)
     path = shared_dir(spark, "snapshot")
-    H.snapshot_write(gates.posts_search(t.posts, P.SEARCH_TAG).select("post_id"), path, P.SEARCH_TAG)
-    return H.fresh_snapshot(spark, path, 5, time.time()).select("post_id", "hashtag")
+    t.posts.select("post_id", F.lit("stale").alias("hashtag")).write.parquet(path)
+    late = H.newest_file_time(spark, path) + 6 * 3600
+    return H.snapshot_or_recompute(spark, path, 5, late,
+                                   lambda: gates.posts_search(t.posts, P.SEARCH_TAG).select("post_id"), P.SEARCH_TAG)
 
 
 def _sync_copies(t: Tables):
+    """Two whole copies of the posts' history, each with rows of its own changed."""
     def copy(mod):
-        return (t.posts.where(F.col("post_id") % mod == 0)
-                .select(F.col("post_id").alias("input_tweet_id"),
-                        X.sha256_hex("full_text").alias("input_tweet_hash"),
-                        F.when(F.col("post_id") % 20 == 0, F.lit(None).cast("string"))
-                        .otherwise(F.lit("ok")).alias("status")))
+        return t.posts.select(
+            F.col("post_id").alias("input_tweet_id"), X.sha256_hex("full_text").alias("input_tweet_hash"),
+            F.when(F.col("post_id") % 20 == 0, F.lit(None).cast("string"))
+            .when(F.col("post_id") % mod == 0, F.lit("changed")).otherwise(F.lit("ok")).alias("status"))
     a = copy(10)
-    a = a.unionByName(a.where(F.col("input_tweet_id") % 40 == 0))   # a duplicated row
-    return a, copy(15)
+    twice = F.when(F.col("input_tweet_id") % 40 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return a.withColumn("turn", F.explode(twice)).drop("turn"), copy(15)   # a has duplicated rows
 
 
 @query
@@ -361,6 +418,25 @@ def sync_tables(spark, sf_dir):
             .unionByName(new_b.withColumn("side", F.lit("b"))))
 
 
+@query
+def sync_all_tables(spark, sf_dir):
+    """Every history table of one store against the other store's: mentions and
+    timeline rows that one side lacks; the second store has no mentions table."""
+    from tidepool.sources import history as H
+    t = Tables(spark, sf_dir)
+    m = t.mentions_history.select("in_reply_to_status_id", "in_reply_to_text_hash")
+    p = t.timeline_posts.select("news_id", "description_hash")
+    synced = H.sync_all({"mentions": m, "timeline_posts": p},
+                        {"timeline_posts": t.news.select("news_id", X.sha256_hex("description").alias("description_hash"))})
+    out = None
+    for name, (a, b) in synced.items():
+        for side, df in (("a", a), ("b", b)):
+            part = df.toDF("row_key", "row_hash").select(F.lit(name).alias("table_name"), F.lit(side).alias("side"),
+                                                         "row_key", "row_hash")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query
 def dim_settings(spark, sf_dir):
     """Configured keywords as a broadcast dimension: posts per keyword tag."""
@@ -507,12 +583,9 @@ def cosine_score(spark, sf_dir):
 @query
 def near_dup_vs_latest(spark, sf_dir):
     from tidepool.operators import similarity as SIM
-    from tidepool.sources import history as H
     t = Tables(spark, sf_dir)
-    latest = H.latest_records(t.timeline_posts, ["news_id", "body"], P.LATEST_N,
-                              [F.col("news_id").desc()])
-    return SIM.near_dup_vs_latest(t.news, "news_id", "body", latest, "news_id", "body",
-                                  P.NEAR_DUP_MAX_COS).select("news_id")
+    return SIM.near_dup_vs_latest(t.news, "news_id", "body", t.timeline_posts, "news_id", "body",
+                                  P.NEAR_DUP_MAX_COS, P.LATEST_N, latest_order()).select("news_id")
 
 
 @query
@@ -540,9 +613,9 @@ def news_union(spark, sf_dir):
     """Headlines + articles (UNION ALL: the same article may come twice)."""
     from tidepool.operators import news as N
     t = Tables(spark, sf_dir)
-    _, _, f3 = N.raw_feeds_from_pages(t.pages)
-    headlines = N.normalize_article_feed(f3, "Finance", feed="top_headlines")
-    articles = N.normalize_article_feed(f3.where(F.length("url") % 2 == 0), "Finance", feed="all_articles")
+    articles_feed = N.article_feed_from_pages(t.pages)
+    headlines = N.normalize_article_feed(articles_feed, "Finance", feed="top_headlines")
+    articles = N.normalize_article_feed(articles_feed, "Finance", feed="all_articles")
     return N.news_union(headlines, articles).select("feed", "url", "search_term", "description_hash")
 
 
@@ -560,7 +633,7 @@ def _first_user_turns(t: Tables) -> DataFrame:
 def chat_log_build(spark, sf_dir):
     from tidepool.operators import responses as R
     t = Tables(spark, sf_dir)
-    return R.chat_log_build(_first_user_turns(t), "prompt_id", "prompt", P.SYSTEM_TEXT, P.SETUP_TURNS)
+    return R.chat_log_build(_first_user_turns(t), "prompt_id", "prompt", P.SYSTEM_TEXT, P.SETUP_TURNS, normalize=False)
 
 
 @query
@@ -572,14 +645,13 @@ def chat_log_append(spark, sf_dir):
         "conv_id", F.col("turn").alias("position"), "role", F.col("text").alias("content"))
     history = c.where(F.col("position") <= 1)
     new = c.where(F.col("position") > 1).withColumn("position", F.col("position") - 2)
-    return R.chat_log_append(history, new, "conv_id", "position", "role", "content")
+    return R.chat_log_append(history, new, "conv_id", "position", "role", "content", normalize=False)
 
 
 @query
 def response_log_record(spark, sf_dir):
     from tidepool.operators import responses as R
-    t = Tables(spark, sf_dir)
-    log = R.chat_log_build(_first_user_turns(t), "prompt_id", "prompt", P.SYSTEM_TEXT, P.SETUP_TURNS)
+    log = chat_log_build(spark, sf_dir)
     answers = first_accepted_attempt(spark, sf_dir).select(
         "prompt_id", F.col("final_response").alias("response"), F.col("status").alias("filter"))
     return R.response_log_record(log, "prompt_id", "position", "content", answers, P.LOG_SETTINGS)
@@ -627,14 +699,13 @@ def event_props(spark, sf_dir):
 
 # ---- streaming ------------------------------------------------------------------------
 
-def _stream_of(spark, df: DataFrame, run: dict, bucket, n_files: int = 3):
-    from tidepool.streaming import jobs as J
-    J.stage_files(df, run["input"], bucket, n_files)
-    return J.read_arrivals(spark, run["input"], df.schema)
+def _sink(spark, run: dict, *columns: str) -> DataFrame:
+    return spark.read.parquet(run["sink"]).select(*columns)
 
 
-def _hash_bucket(col: str, n: int):
-    return F.pmod(F.conv(F.substring(X.sha256_hex(col), 1, 6), 16, 10).cast("bigint"), F.lit(n))
+def _thirds(df: DataFrame, key: str) -> list[DataFrame]:
+    """Three arrivals, by the key's remainder."""
+    return [df.where(F.col(key) % 3 == i) for i in range(3)]
 
 
 @query
@@ -642,31 +713,34 @@ def stream_length_gate(spark, sf_dir):
     from tidepool.streaming import jobs as J
     t = Tables(spark, sf_dir)
     run = J.new_run(spark, "stream_length_gate")
-    s = _stream_of(spark, t.mentions, run, F.col("mention_id") % 3)
-    J.run_available(J.stream_length_gate(s, "full_text").select("mention_id", "route"),
-                    run["checkpoint"], sink=run["sink"], partition_by="route")
-    return spark.read.parquet(run["sink"]).select("mention_id", "route")
+    J.run_rounds(spark, _thirds(t.mentions, "mention_id"), run,
+                 lambda s: J.stream_length_gate(s, "full_text", P.STREAM_MIN_LEN).select("mention_id", "route"),
+                 partition_by="route")
+    return _sink(spark, run, "mention_id", "route")
 
 
 @query
 def stream_triage(spark, sf_dir):
+    """Equal texts arrive in different rounds: only the first round's row stays."""
     from tidepool.streaming import jobs as J
     t = Tables(spark, sf_dir)
     run = J.new_run(spark, "stream_triage")
-    s = _stream_of(spark, t.posts, run, _hash_bucket("full_text", 3))
-    J.run_available(s, run["checkpoint"],
-                    J.triage_batch_fn(spark, t.replied_tweets, run["sink"], P.BLOCK_PHRASES))
-    return spark.read.parquet(run["sink"]).select("post_id", "author_id", "full_text_hash")
+    J.run_rounds(spark, _thirds(t.posts, "post_id"), run,
+                 batch_fn=J.triage_batch_fn(spark, t.replied_tweets, run["sink"], P.BLOCK_PHRASES))
+    return _sink(spark, run, "post_id", "author_id", "full_text_hash")
 
 
 @query
 def stream_mentions(spark, sf_dir):
+    """The last round sends a part of the first again."""
     from tidepool.streaming import jobs as J
     t = Tables(spark, sf_dir)
     run = J.new_run(spark, "stream_mentions")
-    s = _stream_of(spark, t.mentions, run, F.col("mention_id") % 3)
-    J.run_available(J.mentions_stream(s, t.mentions_history), run["checkpoint"], sink=run["sink"])
-    return spark.read.parquet(run["sink"]).select("in_reply_to_status_id", "in_reply_to_text_hash", "status")
+    first, second, third = _thirds(t.mentions, "mention_id")
+    again = first.where(F.col("user_id") % 2 == 0)
+    J.run_rounds(spark, [first, second, third.unionByName(again)], run,
+                 lambda s: J.mentions_stream(s, t.mentions_history))
+    return _sink(spark, run, "in_reply_to_status_id", "in_reply_to_text_hash", "status")
 
 
 @query
@@ -674,22 +748,19 @@ def stream_news(spark, sf_dir):
     from tidepool.streaming import jobs as J
     t = Tables(spark, sf_dir)
     run = J.new_run(spark, "stream_news")
-    s = _stream_of(spark, t.news, run, F.col("news_id") % 3)
-    J.run_available(s, run["checkpoint"],
-                    J.news_batch_fn(spark, t.timeline_posts, run["sink"], P.LATEST_N,
-                                    P.NEAR_DUP_MAX_COS, P.SEED))
-    return spark.read.parquet(run["sink"]).select("batch_id", "news_id")
+    pick = J.news_batch_fn(spark, t.timeline_posts, run["sink"], P.LATEST_N, P.NEAR_DUP_MAX_COS, P.SEED,
+                           P.STREAM_BLOCK_WORDS, P.STREAM_MAX_AGE_HOURS, P.FIRST_ROUND)
+    J.run_rounds(spark, _thirds(t.news, "news_id"), run, batch_fn=pick)
+    return _sink(spark, run, "batch_id", "news_id")
 
 
 @query
 def stream_dedup(spark, sf_dir):
-    """Events arriving in several files, 1 in 200 of them re-sent later."""
+    """Events in three rounds, 1 in 200 of them sent again in a fourth."""
     from tidepool.streaming import jobs as J
     t = Tables(spark, sf_dir)
     run = J.new_run(spark, "stream_dedup")
     ev = t.events.select("event_id", "user_id", "event_type", "value")
-    J.stage_files(ev, run["input"], F.col("event_id") % 3, 3)
-    J.stage_files(ev.where(F.col("event_id") % 200 == 7), run["input"], F.lit(0), 1)
-    s = J.read_arrivals(spark, run["input"], ev.schema)
-    J.run_available(J.dedup_stream(s, "event_id"), run["checkpoint"], sink=run["sink"])
-    return spark.read.parquet(run["sink"]).select("event_id", "user_id", "event_type", "value")
+    again = ev.where(F.col("event_id") % 200 == 7)
+    J.run_rounds(spark, [*_thirds(ev, "event_id"), again], run, batch_fn=J.dedup_batch_fn(spark, run["sink"], "event_id"))
+    return _sink(spark, run, "event_id", "user_id", "event_type", "value")

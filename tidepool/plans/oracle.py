@@ -217,7 +217,7 @@ group by event_type"""
 # ---- history ------------------------------------------------------------------
 
 ORACLES["history_latest"] = with_views(
-    f"select body, news_id from timeline_posts order by news_id desc limit {P.LATEST_N}", "timeline_posts")
+    f"select body, news_id from timeline_posts order by date desc, news_id desc limit {P.LATEST_N}", "timeline_posts")
 
 ORACLES["history_append"] = with_views(f"""
 select {q(P.RUN_TS)} as date, {q(P.SEARCH_TAG)} as hashtag, full_text as input_tweet,
@@ -241,8 +241,23 @@ ORACLES["history_backup"] = with_views(
 ORACLES["snapshot_write"] = with_views(
     f"select post_id, author_id, {q(P.SEARCH_TAG)} as hashtag from posts where {SEARCH}", "posts")
 
+ORACLES["fresh_snapshot"] = with_views(
+    f"select post_id, {q(P.SEARCH_TAG)} as hashtag from posts where lang = 'en'", "posts")
+
+ORACLES["snapshot_or_recompute"] = with_views(
+    f"select post_id, {q(P.SEARCH_TAG)} as hashtag from posts where {SEARCH}", "posts")
+
+ORACLES["sync_all_tables"] = with_views("""
+select 'mentions' as table_name, side, in_reply_to_status_id as row_key, in_reply_to_text_hash as row_hash
+from mentions_history, (select unnest(['a', 'b']) as side)
+union all select 'timeline_posts', 'a', news_id, description_hash from timeline_posts
+union all select 'timeline_posts', 'a', news_id, sha256(description) from news n where not exists (
+  select 1 from timeline_posts h where h.news_id = n.news_id and h.description_hash = sha256(n.description))
+union all select 'timeline_posts', 'b', news_id, sha256(description) from news""",
+                                        "news", "timeline_posts", "mentions_history")
+
 _COPY = """select post_id as input_tweet_id, sha256(full_text) as input_tweet_hash,
-  case when post_id % 20 = 0 then null else 'ok' end as status from posts where post_id % {m} = 0"""
+  case when post_id % 20 = 0 then null when post_id % {m} = 0 then 'changed' else 'ok' end as status from posts"""
 _SAME = ("x.input_tweet_id IS NOT DISTINCT FROM y.input_tweet_id AND "
          "x.input_tweet_hash IS NOT DISTINCT FROM y.input_tweet_hash AND x.status IS NOT DISTINCT FROM y.status")
 ORACLES["sync_tables"] = with_views(f"""
@@ -291,18 +306,30 @@ from mentions m left join (select in_reply_to_id, count(*) as n from replies
                            where in_reply_to_id is not null group by 1) c
   on c.in_reply_to_id = m.mention_id""", "mentions", "replies")
 
-ORACLES["mention_backfill"] = with_views("""
+MENTION_BACKFILL = """
 select in_reply_to_status_id, in_reply_to_text, in_reply_to_text_hash, in_reply_to_user_id,
-  replay_text, replay_tweet_id, status from (
+  in_reply_to_user_name, replay_text, replay_tweet_id, status from (
   select m.mention_id as in_reply_to_status_id, m.full_text as in_reply_to_text,
-    sha256(m.full_text) as in_reply_to_text_hash, m.user_id as in_reply_to_user_id,
+    sha256(m.full_text) as in_reply_to_text_hash, m.user_id as in_reply_to_user_id, m.user_name as in_reply_to_user_name,
     r.reply_text as replay_text, r.reply_id as replay_tweet_id,
     case when c.n > 1 then 'deleted' else '200' end as status,
     row_number() over (partition by sha256(m.full_text) order by m.mention_id desc, r.reply_id desc) as rn
   from mentions m join replies r on r.in_reply_to_id = m.mention_id
   left join (select in_reply_to_id, count(*) as n from replies group by 1) c on c.in_reply_to_id = m.mention_id
   where not exists (select 1 from mentions_history h where h.in_reply_to_text_hash = sha256(m.full_text))
-) where rn = 1""", "mentions", "replies", "mentions_history")
+) where rn = 1"""
+ORACLES["mention_backfill"] = with_views(MENTION_BACKFILL, "mentions", "replies", "mentions_history")
+
+ORACLES["history_append_mentions"] = with_views(
+    f"select {q(P.RUN_TS)} as date, * from ({MENTION_BACKFILL})", "mentions", "replies", "mentions_history")
+
+ORACLES["history_append_timeline"] = with_views(f"""
+select {q(P.RUN_TS)} as date, 'Finance' as search_term, cast(null as varchar) as news_date, body,
+  sha256(body) as body_hash, sha256(description) as description_hash, url as input_text_url,
+  cast(null as varchar) as output_text, news_id as post_tweet_id, '200' as status
+from news n
+where not exists (select 1 from timeline_posts h where h.description_hash = sha256(n.description))
+  and not exists (select 1 from timeline_posts h where h.input_text_url = n.url)""", "news", "timeline_posts")
 
 ORACLES["parent_lookup"] = with_views(
     "select r.reply_id, r.in_reply_to_id, m.full_text as parent_text "
@@ -326,7 +353,7 @@ from replies""", "replies")
 _FINAL = S.shorten_overlong(
     S.remove_phrases_if_present(S.replace_phrases_lowercasing(_cut_all("response"), P.REDACT_MAP),
                                 P.REMOVE_PHRASES), 280)
-ORACLES["first_accepted_attempt"] = with_views(f"""
+FIRST_ACCEPTED = f"""
 select prompt_id, min(attempt) filter (where ok) as accepted_attempt,
   arg_min(final, attempt) filter (where ok) as final_response, count(*) as n_attempts,
   case when min(attempt) filter (where ok) is null then 'not_passed' else 'passed' end as status
@@ -334,7 +361,8 @@ from (select prompt_id, attempt, f as final,
         (NOT flagged) AND length(f) <= 280 AND attempt <= {P.MAX_ATTEMPTS} as ok
       from (select prompt_id, attempt, {_FINAL} as f, ({PHRASE_FLAG} OR {NOT_COMPLY}) as flagged
             from responses))
-group by prompt_id""", "responses")
+group by prompt_id"""
+ORACLES["first_accepted_attempt"] = with_views(FIRST_ACCEPTED, "responses")
 
 ORACLES["seeded_pick"] = with_views(f"""
 select feed, arg_min(news_id, md5({q(P.SEED + ':')} || cast(news_id as varchar))) as news_id
@@ -354,6 +382,33 @@ select attempt, count(*) as n, cast(count_if({PHRASE_FLAG} OR {NOT_COMPLY}) as b
   cast(max(length(response)) as int) as max_len
 from responses group by attempt""", "responses")
 
+# ---- chat logs ------------------------------------------------------------------
+
+_PROMPTS = "select conv_id as prompt_id, arg_min(text, turn) as prompt from conversations where role = 'user' group by 1"
+_SETUP = "".join(f" union all select prompt_id, {i}, {q(r)}, {q(c)} from prompts" for i, (r, c) in enumerate(P.SETUP_TURNS, 1))
+CHAT_LOG = f"""select prompt_id, 0 as position, 'system' as role, {q(P.SYSTEM_TEXT)} as content from prompts{_SETUP}
+union all select prompt_id, {len(P.SETUP_TURNS) + 1}, 'user', {S.clean_links('prompt')} from prompts"""
+ORACLES["chat_log_build"] = with_views(CHAT_LOG, extra={"prompts": _PROMPTS})
+
+ORACLES["chat_log_append"] = f"""
+select conv_id, turn as position, role, text as content from conversations where turn <= 1
+union all
+select c.conv_id, coalesce(h.last, -1) + 1 + c.turn - 2, c.role, {S.clean_links('c.text')}
+from conversations c
+left join (select conv_id, max(turn) as last from conversations where turn <= 1 group by 1) h on h.conv_id = c.conv_id
+where c.turn > 1"""
+
+_SETTINGS = ", ".join(f"{v if isinstance(v, float) else q(v)} as {k}" for k, v in P.LOG_SETTINGS.items())
+_SETTINGS = _SETTINGS.replace("0.7 as temperature", "cast(0.7 as double) as temperature")
+LOG_RECORD = f"""
+select p.prompt_id, {S.clean_links('p.prompt')} as question, {q(P.SYSTEM_TEXT)} as prompt,
+  f.final_response as response, f.status as filter, {_SETTINGS}
+from prompts p join first_ok f on f.prompt_id = p.prompt_id"""
+ORACLES["response_log_record"] = with_views(LOG_RECORD, "responses", extra={"prompts": _PROMPTS, "first_ok": FIRST_ACCEPTED})
+ORACLES["history_append_ai_params"] = with_views(
+    f"select {q(P.RUN_TS)} as date, * exclude (prompt_id) from ({LOG_RECORD})", "responses",
+    extra={"prompts": _PROMPTS, "first_ok": FIRST_ACCEPTED})
+
 # ---- similarity -----------------------------------------------------------------
 
 ORACLES["term_frequencies"] = f"""
@@ -388,7 +443,7 @@ ORACLES["near_dup_vs_latest"] = with_views(f"""
 select news_id from news where news_id not in (
   select c.c from d join cn c on c.c = d.c join hn h on h.h = d.h
   where {_cos('d.dot', 'c.n2', 'h.n2')} > {P.NEAR_DUP_MAX_COS})""", "news", "timeline_posts", extra={
-    "hist": f"select news_id, body from timeline_posts order by news_id desc limit {P.LATEST_N}",
+    "hist": f"select news_id, body from timeline_posts order by date desc, news_id desc limit {P.LATEST_N}",
     "htv": _tv("h", "news_id", "body", "hist"),
     "hn": "select h, sum(tf * tf) as n2 from htv group by h",
     "ctv": _tv("c", "news_id", "body", "news"),
@@ -411,8 +466,8 @@ where {_cos('d.dot', 'na.n2', 'nb.n2')} >= {P.PAIR_MIN_COS}""", extra={
 
 # ---- news ---------------------------------------------------------------------
 
-_BASE = """select page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) as title,
-  regexp_replace(regexp_extract(html, '<p>(.*?)</p>', 1), '<[^>]+>', '', 'g') as para,
+_BASE = f"""select page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) as title,
+  {S.PAGE_TEXT} as para,
   cast(1 + page_id % 30 as varchar) || case page_id % 3 when 0 then ' minutes ago'
     when 1 then ' hours ago' else ' days ago' end as age
 from pages"""
@@ -436,7 +491,7 @@ select 'top_headlines' as feed, url, 'Finance' as search_term, sha256(descriptio
 from art where description is not null
 union all
 select 'all_articles', url, 'Finance', sha256(description) from art
-where description is not null and length(url) % 2 = 0""", extra={"base": _BASE, "art": _ART})
+where description is not null""", extra={"base": _BASE, "art": _ART.replace(" where page_id % 3 = 2", "")})
 
 # ---- reports, nested fields ----------------------------------------------------------
 
@@ -470,12 +525,12 @@ select event_id, cast(json_extract(props, '$.k') as bigint) as k from events"""
 # ---- streaming (compared on the sink after all files are processed) -------------------
 
 ORACLES["stream_length_gate"] = with_views(
-    f"select mention_id, case when length({S.clean_links('full_text')}) > 10 then 'long' else 'short' end "
+    f"select mention_id, case when length({S.clean_links('full_text')}) > {P.STREAM_MIN_LEN} then 'long' else 'short' end "
     f"as route from mentions", "mentions")
 
 ORACLES["stream_triage"] = with_views("""
 select post_id, author_id, full_text_hash from (
-  select *, row_number() over (partition by full_text_hash order by post_id) as rn from g) where rn = 1""",
+  select *, row_number() over (partition by full_text_hash order by post_id % 3, post_id) as rn from g) where rn = 1""",
                                       "posts", "replied_tweets", extra={"g": f"""
 select post_id, author_id, sha256(full_text) as full_text_hash from posts
 where {POST_GATE} AND {blocklist()} AND {S.hashtag_ratio_ok('full_text')}
@@ -490,19 +545,23 @@ from mentions m where not exists (
 ORACLES["stream_dedup"] = "select event_id, user_id, event_type, value from events"
 
 
+_NO_BLOCKED = " AND ".join(f"NOT contains(body, {q(w)})" for w in P.STREAM_BLOCK_WORDS)
+
+
 def _stream_news_sql(n_batches: int = 3) -> str:
     """The news loop unrolled: batch b holds the news with news_id % n = b
     (files are staged in that order); each batch sees the history plus the
     picks of earlier batches."""
-    ctes = {"h0": "select news_id, body, description_hash, input_text_url from timeline_posts"}
+    ctes = {"h0": "select date, news_id, body, description_hash, input_text_url from timeline_posts"}
     for b in range(n_batches):
         posted = " union all ".join(
-            ["select * from h0"] + [f"select news_id, body, dh as description_hash, url as input_text_url "
+            ["select * from h0"] + [f"select timestamp {q(P.FIRST_ROUND)} + to_hours({i}) as date, "
+                                    f"news_id, body, dh as description_hash, url as input_text_url "
                                     f"from pick{i}" for i in range(b)])
         ctes[f"posted{b}"] = posted
         ctes[f"cand{b}"] = (f"select news_id, body, sha256(description) as dh, url from news "
-                            f"where news_id % {n_batches} = {b}")
-        ctes[f"latest{b}"] = f"select news_id, body from posted{b} order by news_id desc limit {P.LATEST_N}"
+                            f"where news_id % {n_batches} = {b} and {_NO_BLOCKED} and {AGE_MIN} <= {60 * P.STREAM_MAX_AGE_HOURS}")
+        ctes[f"latest{b}"] = f"select news_id, body from posted{b} order by date desc, news_id desc limit {P.LATEST_N}"
         ctes[f"htv{b}"] = _tv("h", "news_id", "body", f"latest{b}")
         ctes[f"hn{b}"] = f"select h, sum(tf * tf) as n2 from htv{b} group by h"
         ctes[f"ctv{b}"] = _tv("c", "news_id", "body", f"cand{b}")

@@ -28,8 +28,6 @@ REMOVE_PHRASES = ("respectfully ", "it is important to ", "possible response:",
 CUT_MARKERS = (("As an AI", "#"), ("Let's", "#"))
 SEARCH_TERMS = ("Investing", "Money", "management", "Finance", "Risk management", "Economy",
                 "Discoveries")
-TOPICS = ("topic0", "topic1", "topic2", "topic3", "topic4", "topic5", "topic6")
-REQUESTED_TOPIC = "topic6"
 KEYWORDS = ("topic1", "topic3", "Trend_1", "deal", "bitcoin")
 MAX_ATTEMPTS = 3
 EXTRACT_MARKERS = ("As an AI", ".")
@@ -38,5 +36,11 @@ FALLBACK_TOPIC = "topic9"   # not present: exercises the fallback branch
 SYSTEM_TEXT = "You are a helpful assistant."
 SETUP_TURNS = (("user", "Reply in at most 280 characters; answer OK when ready."),
                ("assistant", "OK"))
-LOG_SETTINGS = {"model": "model-a", "temperature": 0.7, "ability": "reply_to_mentions"}
+LOG_SETTINGS = {"model": "model-a", "temperature": 0.7, "ability": "reply_to_mentions",
+                "personality": "plain", "nuance": "short", "mood": "default", "rules": "none"}
+RUN_ID = "job-1"                # names the run in the history's partition
+FIRST_ROUND = "2024-01-08 00:00:00"   # news rounds post hourly from here on
 TEMPERATURES = (0.7, 0.8, 0.9, 1.0)
+STREAM_MIN_LEN = 300             # stream_length_gate
+STREAM_BLOCK_WORDS = ("Thheouble",)   # stream_news
+STREAM_MAX_AGE_HOURS = 24 * 15

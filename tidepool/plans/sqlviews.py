@@ -7,10 +7,14 @@ order).  Fragments mirror the Spark column functions with RE2 syntax.
 
 from __future__ import annotations
 
+#: The text of all paragraphs of a page, joined by single spaces.
+PAGE_TEXT = ("regexp_replace(array_to_string(regexp_extract_all(html, '<p>(.*?)</p>', 1, 's'), ' '), "
+             "'<[^>]+>', '', 'g')")
+
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "posts": ((), """
 select doc_id as post_id, n_chars % 150 as author_id, lang, source,
-  concat(substr(text, 1, 200 + cast(n_chars % 80 as int)),
+  concat(text,
          ' #topic', cast(n_chars % 7 as varchar),
          case when n_chars % 3 = 0 then ' #Trend_1#deal' else '' end,
          case when n_chars % 5 = 0 then ' @user_9 giveaway' else '' end,
@@ -23,7 +27,8 @@ select doc_id as post_id, n_chars % 150 as author_id, lang, source,
 from documents"""),
     "mentions": ((), """
 select conv_id * 100 + turn as mention_id, conv_id % 150 as user_id,
-  concat('@user_9 ', case when turn % 4 = 0 then 'http://news.example.org/1' else text end) as full_text
+  'user_' || cast(conv_id % 150 as varchar) as user_name,
+  concat('@user_9 ', text, case when turn % 4 = 0 then ' http://news.example.org/1' else '' end) as full_text
 from conversations where role = 'user'"""),
     "replies": ((), """
 select r.conv_id * 100 + r.turn as reply_id,
@@ -37,14 +42,14 @@ where r.role = 'assistant'"""),
 select conv_id as prompt_id,
   cast(row_number() over (partition by conv_id order by turn) as bigint) as attempt,
   concat(case when (conv_id + turn) % 4 = 0 then 'As an AI I cannot do that. ' else '' end,
-         substr(text, 1, cast(150 + (conv_id * 7 + turn * 31) % 160 as int)),
+         text,
          case when conv_id % 5 = 0 then ' #sarcasm#averyverylongtag #tag' else '' end) as response
 from conversations where role = 'assistant'"""),
-    "news": ((), """
+    "news": ((), f"""
 select page_id as news_id, url,
   concat(string_split(regexp_extract(html, '<title>([^<]*)</title>', 1), ' -')[1], '. ',
-         regexp_replace(regexp_extract(html, '<p>(.*?)</p>', 1), '<[^>]+>', '', 'g')) as body,
-  regexp_replace(regexp_extract(html, '<p>(.*?)</p>', 1), '<[^>]+>', '', 'g') as description,
+         {PAGE_TEXT}) as body,
+  {PAGE_TEXT} as description,
   concat(cast(1 + page_id % 30 as varchar),
          case page_id % 3 when 0 then ' minutes ago' when 1 then ' hours ago' else ' days ago' end) as age_text,
   'news_' || cast(page_id % 2 as varchar) as feed
@@ -54,7 +59,8 @@ select full_text as input_tweet, post_id as input_tweet_id, author_id, 'ok' as s
   sha256(full_text) as input_tweet_hash
 from posts where post_id % 10 = 0"""),
     "timeline_posts": (("news",), """
-select body, url as input_text_url, news_id, description, sha256(description) as description_hash
+select timestamp '2024-01-01 00:00:00' + to_minutes(cast(news_id * 7919 % 10007 as int)) as date,
+  body, url as input_text_url, news_id, description, sha256(description) as description_hash
 from news where news_id % 10 = 0"""),
     "mentions_history": (("mentions", "replies"), """
 select m.mention_id as in_reply_to_status_id, sha256(m.full_text) as in_reply_to_text_hash,

@@ -19,7 +19,8 @@ SCALE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # One side of a join is broadcast only when AQE has *measured* it below this.
+    # AQE turns a join into a broadcast join when it has measured one side below
+    # this; at planning time Spark's own estimate threshold (10 MB) holds.
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
     # Partition sizing: scans split at 256 MB; shuffles start from
     # spark.sql.shuffle.partitions (set it high on a cluster, e.g. 4000+ for
@@ -53,11 +54,14 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; created only when the session has none."""
+    """The cluster's shared folder; created only when a local session has none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         # Unset: a local test session.  Remember it on the SparkContext.
         root = tempfile.mkdtemp(prefix="tidepool-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     # Dataset.checkpoint() needs the SparkContext to know it as well.

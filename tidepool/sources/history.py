@@ -7,7 +7,8 @@ job never overwrites the files it reads (snapshots go to new partitions).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,10 @@ HISTORY_FIELDS = {
 }
 
 
+# Backups are due in the first minutes of every so many hours (UTC).
+BACKUP_MINUTES, BACKUP_HOURS = 2, 8
+
+
 def field_type(name: str) -> tuple[T.DataType, object]:
     """Type rule of the history tables: an ``id`` word -> bigint default 0,
     ``temperature`` -> double default 0.0, anything else string (NULL)."""
@@ -87,24 +92,29 @@ def evolve_schema(existing: DataFrame, fields: Sequence[str]) -> DataFrame:
     return out.withColumns(adds) if adds else out
 
 
-def append_history(df: DataFrame, path: str, table: str, run_ts: str) -> None:
+def append_history(df: DataFrame, path: str, table: str, run_ts: str, run_id: str) -> None:
     """Align to the table's schema and append this run's rows.
 
-    Each run writes its own ``run=<yyyyMMddHHmmss>`` partition with dynamic
-    partition overwrite: a job retried after a failure replaces its own
-    partition instead of appending the same rows twice.
+    Each run writes its own ``run=<yyyyMMddHHmmss>-<run_id>`` partition with
+    dynamic partition overwrite: a job retried after a failure (same run_id)
+    replaces its own partition instead of appending the same rows twice, and
+    another run of the same second never touches it.
     """
-    run = run_ts.replace("-", "").replace(":", "").replace(" ", "")
+    run = run_ts.replace("-", "").replace(":", "").replace(" ", "") + "-" + run_id
     (align_to_schema(df, history_schema(table), run_ts).withColumn("run", F.lit(run))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("run").parquet(path))
 
 
 def read_history(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """Read with schema merging, then align to the current expected schema so
-    old files written before a column existed read back with its default."""
-    df = spark.read.option("mergeSchema", "true").parquet(path)
-    return evolve_schema(df, HISTORY_FIELDS[table])
+    """Read with the declared schema (no footer is opened to infer one): a file
+    written before a column existed reads back with the column's default."""
+    schema = history_schema(table)
+    stored = T.StructType([*schema.fields, T.StructField("run", T.StringType(), True)])
+    df = spark.read.schema(stored).parquet(path)
+    filled = {f.name: F.coalesce(F.col(f.name), _default(f.name, f.dataType))
+              for f in schema.fields if f.name != "date" and field_type(f.name)[1] is not None}
+    return df.withColumns(filled)
 
 
 def latest_records(df: DataFrame, columns: Sequence[str], n: int,
@@ -129,20 +139,32 @@ def fresh_snapshot(spark: SparkSession, path: str, max_age_hours: float,
     return (df.where(F.unix_micros(F.col("_metadata.file_modification_time")) / 1e6 >= cutoff))
 
 
+def newest_file_time(spark: SparkSession, path: str) -> float:
+    """Modification time (epoch seconds) of the newest file under a path."""
+    newest = F.max(F.unix_micros(F.col("_metadata.file_modification_time")))
+    return (spark.read.parquet(path).agg(newest).first()[0] or 0) / 1e6
+
+
+def snapshot_or_recompute(spark: SparkSession, path: str, max_age_hours: float, as_of_epoch: float,
+                          compute: Callable[[], DataFrame], tag: str | None = None) -> DataFrame:
+    """The snapshot if its newest file is young enough; otherwise it is computed
+    anew, written over the old one, and read back."""
+    if newest_file_time(spark, path) < as_of_epoch - max_age_hours * 3600.0:
+        snapshot_write(compute(), path, tag)
+    return spark.read.parquet(path)
+
+
 def backup_due(ts: Column) -> Column:
     """Backups run in the first 3 minutes of every 8th UTC hour."""
-    return (F.minute(ts) <= 2) & (F.hour(ts) % 8 == 0)
+    return (F.minute(ts) <= BACKUP_MINUTES) & (F.hour(ts) % BACKUP_HOURS == 0)
 
 
 def history_backup(df: DataFrame, backup_root: str, as_of: str) -> bool:
     """Write a full copy under ``snapshot_ts=yyyy_MM_dd_HH_mm`` when due."""
-    spark = df.sparkSession
-    row = spark.range(1).select(
-        backup_due(F.to_timestamp(F.lit(as_of))).alias("due"),
-        F.date_format(F.to_timestamp(F.lit(as_of)), "yyyy_MM_dd_HH_mm").alias("stamp")).first()
-    if not row["due"]:
+    at = datetime.strptime(as_of, "%Y-%m-%d %H:%M:%S")
+    if not (at.minute <= BACKUP_MINUTES and at.hour % BACKUP_HOURS == 0):
         return False
-    (df.withColumn("snapshot_ts", F.lit(row["stamp"]))
+    (df.withColumn("snapshot_ts", F.lit(at.strftime("%Y_%m_%d_%H_%M")))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("snapshot_ts").parquet(backup_root))
     return True
@@ -169,3 +191,10 @@ def sync_tables(a: DataFrame, b: DataFrame, two_way: bool = True) -> tuple[DataF
     new_b = b.unionByName(missing_rows(a, b).toDF(*b.columns))
     new_a = a.unionByName(missing_rows(b, a).toDF(*a.columns)) if two_way else a
     return new_a, new_b
+
+
+def sync_all(a: dict[str, DataFrame], b: dict[str, DataFrame], two_way: bool = True) \
+        -> dict[str, tuple[DataFrame, DataFrame]]:
+    """:func:`sync_tables` for every table of ``a``; a table that ``b`` lacks
+    starts empty there (as a copy of ``a``'s columns)."""
+    return {name: sync_tables(df, b.get(name, df.limit(0)), two_way) for name, df in a.items()}

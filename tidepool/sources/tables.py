@@ -29,7 +29,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def posts_view(documents: DataFrame) -> DataFrame:
     n = F.col("n_chars")
     full_text = F.concat(
-        F.col("text").substr(F.lit(1), (F.lit(200) + n % 80).cast("int")),
+        F.col("text"),
         F.lit(" #topic"), (n % 7).cast("string"),
         F.when(n % 3 == 0, F.lit(" #Trend_1#deal")).otherwise(F.lit("")),
         F.when(n % 5 == 0, F.lit(" @user_9 giveaway")).otherwise(F.lit("")),
@@ -52,9 +52,10 @@ def mentions_view(conversations: DataFrame) -> DataFrame:
     return conversations.where(F.col("role") == "user").select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("mention_id"),
         (F.col("conv_id") % 150).alias("user_id"),
-        F.concat(F.lit("@user_9 "),
-                 F.when(F.col("turn") % 4 == 0, F.lit("http://news.example.org/1"))
-                 .otherwise(F.col("text"))).alias("full_text"),
+        F.concat(F.lit("user_"), (F.col("conv_id") % 150).cast("string")).alias("user_name"),
+        F.concat(F.lit("@user_9 "), F.col("text"),
+                 F.when(F.col("turn") % 4 == 0, F.lit(" http://news.example.org/1"))
+                 .otherwise(F.lit(""))).alias("full_text"),
     )
 
 
@@ -80,7 +81,6 @@ def responses_view(conversations: DataFrame) -> DataFrame:
     from tidepool.operators.dedup import rank_within_group
 
     c, t = F.col("conv_id"), F.col("turn")
-    body = F.col("text").substr(F.lit(1), (F.lit(150) + (c * 7 + t * 31) % 160).cast("int"))
     ranked = rank_within_group(
         conversations.where(F.col("role") == "assistant").select("conv_id", "turn", "text"),
         "conv_id", "turn", "attempt")
@@ -88,14 +88,20 @@ def responses_view(conversations: DataFrame) -> DataFrame:
         c.alias("prompt_id"), "attempt",
         F.concat(
             F.when((c + t) % 4 == 0, F.lit("As an AI I cannot do that. ")).otherwise(F.lit("")),
-            body,
+            F.col("text"),
             F.when(c % 5 == 0, F.lit(" #sarcasm#averyverylongtag #tag")).otherwise(F.lit("")),
         ).alias("response"))
 
 
+def page_text(html: str):
+    """The text of all paragraphs of a page, joined by single spaces."""
+    paragraphs = F.regexp_extract_all(html, F.lit(r"(?s)<p>(.*?)</p>"), F.lit(1))
+    return F.regexp_replace(F.array_join(paragraphs, " "), r"<[^>]+>", "")
+
+
 def news_view(pages: DataFrame) -> DataFrame:
     title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
-    para = F.regexp_replace(F.regexp_extract("html", r"<p>(.*?)</p>", 1), r"<[^>]+>", "")
+    para = page_text("html")
     p = F.col("page_id")
     unit = (F.when(p % 3 == 0, F.lit(" minutes ago"))
             .when(p % 3 == 1, F.lit(" hours ago")).otherwise(F.lit(" days ago")))
@@ -118,7 +124,10 @@ def replied_tweets_history(posts: DataFrame) -> DataFrame:
 
 
 def timeline_posts_history(news: DataFrame) -> DataFrame:
+    # posted at a time of its own: the newest id is not the latest post
+    posted = F.timestamp_seconds(F.lit(1704067200) + F.col("news_id") * 7919 % 10007 * 60)
     return news.where(F.col("news_id") % 10 == 0).select(
+        posted.alias("date"),
         "body", F.col("url").alias("input_text_url"), "news_id", "description",
         sha256_hex("description").alias("description_hash"))
 

@@ -1,62 +1,57 @@
 """Structured Streaming versions of the reference's polling loops
 (SURVEY R1-R5).
 
-* Input is a folder of arriving parquet files: ``readStream`` with a
-  declared schema, and ``maxFilesPerTrigger`` bounds each micro-batch.
-  ``trigger(availableNow=True)`` processes what has arrived, then stops.
-* Declarative jobs (R1 length gate, R3 mentions, R5 dedup) write to the
-  exactly-once file sink. Exact de-duplication is ``dropDuplicates(key)``
-  without a watermark: every key seen stays in the state store (partitioned
-  by key hash, saved with the checkpoint), so each trigger probes only its
-  own keys. Static history is a stream-static anti-join.
-* Jobs that need a per-batch choice (R2 first post per text hash, R4 one
-  seeded pick against what was already posted) use ``foreachBatch``. They
-  write partition ``batch_id=N`` with dynamic partition overwrite, so a
-  micro-batch replayed after a failure replaces its own output. Their
-  history check reads only partitions ``batch_id < N``, never the batch's
-  own earlier attempt. Cost: one read of the sink's key column per trigger.
+* Input is a folder of arriving parquet files, read by ``readStream`` with a
+  declared schema.  A scheduled round (:func:`run_rounds`) processes what has
+  arrived, then stops (``availableNow``); a long-running job passes
+  ``{"processingTime": "1 hour"}`` to :func:`start` instead.
+* R1 (length gate) and R3 (mentions) are declarative and write to the
+  exactly-once file sink.  R3's ``dropDuplicates`` keeps every id in the state
+  store (partitioned by key hash, saved with the checkpoint).
+* R2, R4 and R5 use ``foreachBatch``: their state is what they have written.
+  They write partition ``batch_id=N`` with dynamic partition overwrite, so a
+  micro-batch replayed after a failure replaces its own output; their check
+  against what is written reads only partitions ``batch_id < N``.  Executors
+  keep no state that grows; the cost is one read of the sink's key column per
+  trigger.
 * Checkpoints and sinks live under the cluster's shared checkpoint folder.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql.streaming.query import StreamingQuery
 
 from tidepool.functions import text as X
 from tidepool.operators import dedup, gates, similarity
+from tidepool.operators.responses import seeded_pick
 from tidepool.session import shared_dir
-from tidepool.sources import history as H
 
 
 # ---- arriving files ---------------------------------------------------------
 
-def stage_files(df: DataFrame, folder: str, bucket: F.Column, n_files: int) -> str:
-    """Write ``df`` as ``n_files`` separate arrivals (one write job each, so
-    file modification times follow the bucket order)."""
-    src = df.persist()        # one read of the source for all arrivals
-    try:
-        for i in range(n_files):
-            src.where(bucket == i).coalesce(1).write.mode("append").parquet(folder)
-    finally:
-        src.unpersist()
-    return folder
+def read_arrivals(spark: SparkSession, folder: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """The stream of a folder's files; all that has arrived, or a bounded number
+    of files per micro-batch."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(folder)
 
 
-def read_arrivals(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-            .parquet(folder))
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def sink_before(spark: SparkSession, sink: str, batch_id: int) -> DataFrame | None:
     """Rows the job wrote in earlier micro-batches (None before the first)."""
-    try:
-        return spark.read.parquet(sink).where(F.col("batch_id") < batch_id)
-    except AnalysisException:
+    if not path_exists(spark, sink):
         return None
+    return spark.read.parquet(sink).where(F.col("batch_id") < batch_id)
 
 
 def write_batch(df: DataFrame, sink: str, batch_id: int) -> None:
@@ -65,18 +60,35 @@ def write_batch(df: DataFrame, sink: str, batch_id: int) -> None:
      .partitionBy("batch_id").parquet(sink))
 
 
-def run_available(stream: DataFrame, checkpoint: str,
-                  batch_fn: Callable[[DataFrame, int], None] | None = None,
-                  sink: str | None = None, partition_by: str | None = None) -> None:
-    """Process everything that has arrived, then stop (``availableNow``)."""
-    w = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+def start(stream: DataFrame, checkpoint: str,
+          batch_fn: Callable[[DataFrame, int], None] | None = None,
+          sink: str | None = None, partition_by: str | None = None,
+          trigger: dict | None = None) -> StreamingQuery:
+    """Start the job: ``availableNow`` by default, or any other trigger."""
+    w = stream.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
     if batch_fn is not None:
-        q = w.foreachBatch(batch_fn).start()
-    else:
-        if partition_by:
-            w = w.partitionBy(partition_by)
-        q = w.format("parquet").outputMode("append").start(sink)
-    q.awaitTermination()
+        return w.foreachBatch(batch_fn).start()
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    return w.format("parquet").outputMode("append").start(sink)
+
+
+def run_available(stream: DataFrame, checkpoint: str, batch_fn=None, sink: str | None = None,
+                  partition_by: str | None = None) -> None:
+    """Process everything that has arrived, then stop."""
+    start(stream, checkpoint, batch_fn, sink, partition_by).awaitTermination()
+
+
+def run_rounds(spark: SparkSession, arrivals: Iterable[DataFrame], run: dict[str, str],
+               job: Callable[[DataFrame], DataFrame] = lambda s: s, batch_fn=None,
+               partition_by: str | None = None) -> None:
+    """Scheduled rounds: each arrival is written by as many tasks as it has
+    partitions, then the job runs from its checkpoint over what is new (one
+    micro-batch), as a process started by a timer would."""
+    for df in arrivals:
+        df.write.mode("append").parquet(run["input"])
+        stream = job(read_arrivals(spark, run["input"], df.schema))
+        run_available(stream, run["checkpoint"], batch_fn, None if batch_fn else run["sink"], partition_by)
 
 
 # ---- R1: length gate on a stream ----------------------------------------------
@@ -120,40 +132,30 @@ def mentions_stream(stream: DataFrame, history: DataFrame) -> DataFrame:
         X.sha256_hex("full_text").alias("in_reply_to_text_hash"), "status")
 
 
-def mentions_batch_fn(spark: SparkSession, history: DataFrame, sink: str):
-    """``foreachBatch`` variant (history = static table + earlier batches)."""
-    def fn(batch: DataFrame, batch_id: int) -> None:
-        c = dedup.anti_seen_mention(batch, history)
-        prev = sink_before(spark, sink, batch_id)
-        if prev is not None:
-            c = dedup.anti_seen_mention(c, prev, "mention_id", "in_reply_to_status_id")
-        c = gates.mention_text_status(c).select(
-            F.col("mention_id").alias("in_reply_to_status_id"),
-            X.sha256_hex("full_text").alias("in_reply_to_text_hash"), "status")
-        write_batch(c, sink, batch_id)
-    return fn
-
-
 # ---- R4: news loop ---------------------------------------------------------------
 
 def news_batch_fn(spark: SparkSession, history: DataFrame, sink: str, latest_n: int,
-                  max_cos: float, seed: str):
-    """Per micro-batch: near-dup vs the latest ``n`` posted bodies, drop
-    posted hashes/urls, pick one (seeded), record it as posted."""
+                  max_cos: float, seed: str, block_words: Sequence[str], max_age_hours: int,
+                  first_round: str, round_hours: int = 1):
+    """Per micro-batch: word and age filters, near-dup vs the latest ``n`` posted
+    bodies (by posting time), drop posted hashes/urls, pick one (seeded), record
+    it as posted.  Batch N posts ``round_hours`` * N after ``first_round``."""
+    columns = ["date", "news_id", "body", "description_hash", "input_text_url"]
+
     def fn(batch: DataFrame, batch_id: int) -> None:
-        posted = history.select("news_id", "body", "description_hash", "input_text_url")
+        posted = history.select(columns)
         prev = sink_before(spark, sink, batch_id)
         if prev is not None:
-            posted = posted.unionByName(prev.select("news_id", "body", "description_hash",
-                                                    F.col("url").alias("input_text_url")))
-        latest = H.latest_records(posted, ["news_id", "body"], latest_n, [F.col("news_id").desc()])
-        c = dedup.with_hash(batch, "description", "description_hash")
-        c = similarity.near_dup_vs_latest(c, "news_id", "body", latest, "news_id", "body", max_cos)
+            posted = posted.unionByName(prev.withColumnRenamed("url", "input_text_url").select(columns))
+        c = gates.news_age_filter(gates.news_blocklist(batch, block_words), max_age_hours)
+        c = dedup.with_hash(c, "description", "description_hash")
+        c = similarity.near_dup_vs_latest(c, "news_id", "body", posted, "news_id", "body", max_cos, latest_n,
+                                          [F.col("date").desc(), F.col("news_id").desc()])
         c = dedup.anti_seen_news(c, posted)
-        from tidepool.operators.responses import seeded_pick
         pick = seeded_pick(c.select("news_id", "body", "description_hash", "url")
                            .withColumn("__g", F.lit(1)), "__g", "news_id", f"{seed}:{batch_id}")
-        write_batch(pick.drop("__g"), sink, batch_id)
+        date = F.to_timestamp(F.lit(first_round)) + F.make_dt_interval(hours=F.lit(batch_id * round_hours))
+        write_batch(pick.drop("__g").withColumn("date", date), sink, batch_id)
     return fn
 
 
@@ -163,17 +165,15 @@ def dedup_stream(stream: DataFrame, key: str) -> DataFrame:
     """Exact streaming de-duplication on ``key``: ``dropDuplicates`` without a
     watermark keeps every key seen in the state store (partitioned by key
     hash, persisted with the checkpoint), so each trigger only probes its
-    own keys and a re-send months later is still dropped.
-
-    ``withWatermark`` + ``dropDuplicatesWithinWatermark`` would bound the
-    state but silently drops rows older than the watermark, so it is not
-    used: results must stay whole.
+    own keys and a re-send months later is still dropped.  The state grows
+    with the number of keys; :func:`dedup_batch_fn` keeps none.  (A watermark
+    would bound it but drop rows older than the watermark: not whole.)
     """
     return stream.dropDuplicates([key])
 
 
 def dedup_batch_fn(spark: SparkSession, sink: str, key: str):
-    """Alternative without a state store: the sink is the state.
+    """Without a state store: the sink is the state.
 
     Per micro-batch: first row per key, minus keys written by earlier
     batches (reads the sink's key column each trigger).

@@ -293,7 +293,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, bands:
     named = roots.join(distinct.withColumnRenamed("fp", "node"), "node")
     lows = named.groupBy("root").agg(F.min("low").alias("reached"))
     reach = roots.join(lows, "root").select(F.col("node").alias("fp"), "reached")
-    classes = distinct.join(reach, "fp", "left").select(
-        F.col("fp"), F.coalesce("reached", "low").alias("component_id"))
+    # Written down, so that the join below has a plain exchange on both sides and
+    # Spark can split a fingerprint that very many rows share.
+    classes = cut_lineage(distinct.join(reach, "fp", "left").select(
+        F.col("fp"), F.coalesce("reached", "low").alias("component_id")))
     return prints.join(classes, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -7,7 +7,7 @@
    first; what is left of its target is a budget for one more, partial pass.
 3. The budget is spread over the sizes in proportion to their counts, largest first,
    each size taking up the rounding of those before it.  A bounded-knapsack dynamic
-   programme over the sizes still open then fits the last few thousand words.
+   programme over the sizes still open then fits the last words.
 4. Of each size the wanted number of documents is taken in a seeded order.
 
 Only (source, size) counts reach a fitting task.  A group of one source and size may
@@ -26,7 +26,7 @@ from tidepool.llm.common import cut_lineage, shuffle_partitions
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words that the dynamic programme fits exactly; rows a rank bucket should hold.
-FIT_WORDS, BUCKET_ROWS = 8192, 512
+FIT_WORDS, BUCKET_ROWS = 32768, 512
 
 
 def targets(sizes: DataFrame, share: float, cap: float, weights: tuple[int, ...]) -> DataFrame:
@@ -69,7 +69,7 @@ def targets(sizes: DataFrame, share: float, cap: float, weights: tuple[int, ...]
 
 def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, fit_words: int = FIT_WORDS) -> np.ndarray:
     """How many documents of each size to take, at most ``counts``, so that their
-    words come to the budget, or as near below it as the programme finds."""
+    words come to the budget, or as near to it as the programme finds."""
     take = np.zeros(len(sizes), dtype=np.int64)
     open_ = sizes > 0
     all_words = int((sizes * counts).sum())
@@ -96,27 +96,30 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, fit_words: in
 
 
 def _knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Bounded subset sum: counts whose words come nearest to the budget from below.
-    A size with count n stands as lots of 1, 2, 4, ... documents; for each sum the
-    first lot that reached it is kept, which is enough to walk back."""
-    first = np.full(budget + 1, -1, dtype=np.int32)
-    reached = np.zeros(budget + 1, dtype=bool)
+    """Bounded subset sum: counts whose words come nearest to the budget (of two
+    equally near, the one below).  A size with count n stands as lots of 1, 2, 4, ...
+    documents; for each sum the first lot that reached it is kept, which is enough to
+    walk back.  No sum beyond twice the budget is nearer than none."""
+    end = 2 * budget
+    first = np.full(end + 1, -1, dtype=np.int32)
+    reached = np.zeros(end + 1, dtype=bool)
     reached[0] = True
     lots: list[tuple[int, int]] = []
     for i in np.argsort(sizes, kind="stable"):
         size, left = int(sizes[i]), int(counts[i])
-        if not 0 < size <= budget:
+        if not 0 < size <= end:
             continue
-        left, lot = min(left, budget // size), 1
+        left, lot = min(left, end // size), 1
         while left > 0 and not reached[budget]:
             n = min(lot, left)
             step = n * size
-            new = np.flatnonzero(reached[:budget + 1 - step] & ~reached[step:]) + step
+            new = np.flatnonzero(reached[:end + 1 - step] & ~reached[step:]) + step
             reached[new], first[new] = True, len(lots)
             lots.append((int(i), n))
             left, lot = left - n, lot * 2
     out = np.zeros(len(sizes), dtype=np.int64)
-    at = int(np.flatnonzero(reached)[-1])
+    sums = np.flatnonzero(reached)
+    at = int(sums[np.argmin(np.abs(sums - budget))])
     while at:
         i, n = lots[first[at]]
         out[i] += n

@@ -246,6 +246,16 @@ def test_news_feeds_and_union(spark):
     assert u.count() == 2 and u.columns == list(N.NEWS_COLUMNS)
 
 
+def test_choose_feed(spark):
+    from tidepool.operators import news as N
+    snips = spark.createDataFrame([("a", "u1", "2 hours ago"), ("b", "u2", "3 days ago")], "snippet string, link string, date string")
+    search = N.normalize_search_feed(spark.createDataFrame([("s", "u3")], "body string, url string"), "Money")
+    snippet = N.normalize_snippet_feed(snips, "Money")
+    assert [r["url"] for r in N.choose_feed(search, snippet, "Money", "x").collect()] == ["u1"]
+    assert [r["url"] for r in N.choose_feed(search, snippet, "Other", "x").collect()] == ["u1"]   # falls back to a term with news
+    assert [r["url"] for r in N.choose_feed(search, snippet, "Money", "x", use_snippets=False).collect()] == ["u3"]
+
+
 def test_topic_category_and_seeded_pick(spark):
     df = spark.createDataFrame([(1, "Finance"), (2, "Money"), (3, "Discoveries")], "id long, term string")
     cats = {r["id"]: r["category"] for r in gates.topic_category(df, "term", "id", "s").collect()}

@@ -7,10 +7,12 @@ Each feed is one ``select`` (renames, hashes, derived body); the union is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import sha256_hex
+from tidepool.operators.gates import news_age_filter
+from tidepool.operators.responses import topic_fallback
 from tidepool.sources.tables import page_text
 
 NEWS_COLUMNS = ("feed", "url", "title", "description", "body", "published_at", "age_text",
@@ -30,7 +32,7 @@ def normalize_search_feed(df: DataFrame, search_term: str, feed: str = "news_sea
         sha256_hex("body").alias("body_hash")))
 
 
-def normalize_snippet_feed(df: DataFrame, search_term: str, feed: str = "news_snippets") -> DataFrame:
+def normalize_snippet_feed(df: DataFrame, search_term: str | Column, feed: str = "news_snippets") -> DataFrame:
     """Feed with ``snippet``/``link``/``date``: snippet -> body, link -> url."""
     return _unified(df.select(
         F.lit(feed).alias("feed"), F.col("link").alias("url"), F.col("snippet").alias("body"),
@@ -57,6 +59,20 @@ def normalize_article_feed(df: DataFrame, search_term: str, feed: str = "news_ar
     return _unified(out.where(F.col("body").isNotNull()))
 
 
+def choose_feed(search_feed: DataFrame, snippet_feed: DataFrame, requested: str, seed: str,
+                use_snippets: bool = True, max_age_hours: int = 8) -> DataFrame:
+    """News of one search term from the preferred feed (both normalised).
+
+    With ``use_snippets`` the snippet feed, young news only: the requested term if it
+    has any, else the first other term in a seeded order that has.  Without, the
+    search feed's news of the requested term, of any age.
+    """
+    if not use_snippets:
+        return search_feed.where(F.col("search_term") == requested)
+    young = news_age_filter(snippet_feed, max_age_hours).drop("age_minutes")
+    return topic_fallback(young, "search_term", requested, seed)
+
+
 def news_union(*feeds: DataFrame) -> DataFrame:
     out = feeds[0]
     for f in feeds[1:]:

@@ -608,6 +608,18 @@ def news_normalized(spark, sf_dir):
                         N.normalize_article_feed(f3, "Finance"))
 
 
+@query
+def news_feed_choice(spark, sf_dir):
+    """Young snippets of the requested term; it has none, so a seeded other term."""
+    from tidepool.operators import news as N
+    f1, f2, _ = N.raw_feeds_from_pages(Tables(spark, sf_dir).pages)
+    terms = F.array(*[F.lit(s) for s in P.SEARCH_TERMS])
+    term = F.element_at(terms, (F.length("snippet") % len(P.SEARCH_TERMS) + 1).cast("int"))
+    chosen = N.choose_feed(N.normalize_search_feed(f1, "Finance"), N.normalize_snippet_feed(f2, term),
+                           P.FALLBACK_TOPIC, P.SEED, max_age_hours=P.NEWS_MAX_AGE_HOURS)
+    return chosen.select("feed", "url", "search_term", "age_text", "body_hash")
+
+
 @query
 def news_union(spark, sf_dir):
     """Headlines + articles (UNION ALL: the same article may come twice)."""

@@ -486,6 +486,14 @@ select 'news_articles', url, title, description, string_split(title, ' -')[1] ||
   published_at, {_NULLS}, 'Finance', {_NULLS}, sha256(description)
 from art where description is not null""", extra={"base": _BASE, "art": _ART})
 
+ORACLES["news_feed_choice"] = with_views(f"""
+select 'news_snippets' as feed, url, term as search_term, age_text, sha256(para) as body_hash
+from young where term = (select term from (select distinct term from young)
+  order by term <> {q(P.FALLBACK_TOPIC)}, md5({q(P.SEED + ':')} || term) limit 1)""", extra={
+    "base": _BASE, "young": f"""select * from (
+  select *, age as age_text, {_TERMS}[cast(length(para) % {len(P.SEARCH_TERMS)} as int) + 1] as term from base
+  where page_id % 3 = 1) where {AGE_MIN} <= {60 * P.NEWS_MAX_AGE_HOURS}"""})
+
 ORACLES["news_union"] = with_views("""
 select 'top_headlines' as feed, url, 'Finance' as search_term, sha256(description) as description_hash
 from art where description is not null

@@ -11,7 +11,7 @@ from tidepool.plans.catalog import QUERIES
 from tidepool.session import build_session
 
 DEFAULT = ["triage_queue", "anti_seen_news", "sync_tables", "first_accepted_attempt",
-           "near_dup_vs_latest", "keep_one_reply", "dim_settings"]
+           "near_dup_vs_latest", "keep_one_reply", "dim_settings", "term_frequencies", "near_dup_pairs"]
 
 
 def main(argv):

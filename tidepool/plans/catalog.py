@@ -412,10 +412,7 @@ def _sync_copies(t: Tables):
 @query
 def sync_tables(spark, sf_dir):
     from tidepool.sources import history as H
-    a, b = _sync_copies(Tables(spark, sf_dir))
-    new_a, new_b = H.sync_tables(a, b, two_way=True)
-    return (new_a.withColumn("side", F.lit("a"))
-            .unionByName(new_b.withColumn("side", F.lit("b"))))
+    return H.sync_sides(*_sync_copies(Tables(spark, sf_dir)))
 
 
 @query

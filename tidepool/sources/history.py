@@ -170,27 +170,38 @@ def history_backup(df: DataFrame, backup_root: str, as_of: str) -> bool:
     return True
 
 
-def missing_rows(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Rows of ``source`` with no whole-row equal in ``target`` (NULL equals
-    NULL; duplicates of a missing row all kept).  Columns pair by position.
+def sync_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Every distinct row of the two tables (columns pair by position, NULL equals
+    NULL) with its number of copies in each: ``__a`` and ``__b``.
 
-    A null-safe equi anti-join: Spark plans it as a hash / sort-merge join on
-    every column, never a nested loop.
+    Both tables are read once and counted map-side; a row repeated in a third of a
+    table is one row after that.
     """
-    t = target.toDF(*[f"__t{i}" for i in range(len(target.columns))])
-    cond = None
-    for i, c in enumerate(source.columns):
-        e = source[c].eqNullSafe(t[f"__t{i}"])
-        cond = e if cond is None else cond & e
-    return source.join(t, cond, "left_anti")
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    both = a.withColumns({"__a": one, "__b": none}).union(
+        b.toDF(*a.columns).withColumns({"__a": none, "__b": one}))
+    return both.groupBy(*a.columns).agg(F.sum("__a").alias("__a"), F.sum("__b").alias("__b"))
+
+
+def copies_after(own: str, other: str) -> Column:
+    """Copies of a row after synchronising: a side keeps its own; a row it lacks
+    comes over with all its duplicates."""
+    return F.when(F.col(own) > 0, F.col(own)).otherwise(F.col(other))
+
+
+def sync_sides(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Both tables after a two-way sync, in one pass, with a column ``side``."""
+    sides = F.explode(F.create_map(F.lit("a"), copies_after("__a", "__b"), F.lit("b"), copies_after("__b", "__a")))
+    per_side = sync_counts(a, b).select(*a.columns, sides.alias("side", "__n"))
+    return per_side.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("bigint"), "__n"))).drop("__n", "__i")
 
 
 def sync_tables(a: DataFrame, b: DataFrame, two_way: bool = True) -> tuple[DataFrame, DataFrame]:
     """New contents of (a, b) after synchronising: b gains a's missing rows,
     and with ``two_way`` a gains b's (both judged against the old tables)."""
-    new_b = b.unionByName(missing_rows(a, b).toDF(*b.columns))
-    new_a = a.unionByName(missing_rows(b, a).toDF(*a.columns)) if two_way else a
-    return new_a, new_b
+    both = sync_sides(a, b)
+    new_b = both.where("side = 'b'").drop("side").toDF(*b.columns)
+    return (both.where("side = 'a'").drop("side") if two_way else a), new_b
 
 
 def sync_all(a: dict[str, DataFrame], b: dict[str, DataFrame], two_way: bool = True) \

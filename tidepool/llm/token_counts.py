@@ -120,19 +120,14 @@ class RankSyncCounter:
         return rank
 
     def count(self, texts: list) -> np.ndarray:
-        out, part, held = np.zeros(len(texts), dtype=np.int64), [], 0
+        out, part, held = [], [], 0
         for t in texts:
             part.append(self.bpe.pieces(t or ""))
             held += len(t or "")
-            if held > self.SYMBOLS:
-                out[self._done:self._done + len(part)] = self._count(part)
-                self._done += len(part)
+            if held > self.SYMBOLS:  # bounds the arrays, not the texts
+                out += self._count(part)
                 part, held = [], 0
-        out[self._done:] = self._count(part)
-        self._done = 0
-        return out
-
-    _done = 0
+        return np.array(out + self._count(part), dtype=np.int64)
 
     def _count(self, texts: list[list[str]]) -> list[int]:
         known = self.known

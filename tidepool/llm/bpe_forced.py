@@ -34,7 +34,7 @@ class ForcedBoundaryEncoder:
             inside[raw[:-1] * 256 + raw[1:]] = True
         self.joinable = inside
         self._inside = inside.tolist()
-        self.fragments = PieceCache(self._merge)
+        self.fragments = PieceCache(self._merge, limit=20_000)
         self.pieces = PieceCache(self._piece)
 
     def cuts(self, raw: bytes) -> list[bytes]:

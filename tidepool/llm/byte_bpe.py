@@ -117,7 +117,7 @@ class PieceCache(dict):
     new pieces are held they become the old generation and the previous old one
     goes, so frequent pieces stay."""
 
-    def __init__(self, make: Callable[[str], object], limit: int = 300_000):
+    def __init__(self, make: Callable[[str], object], limit: int = 150_000):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 

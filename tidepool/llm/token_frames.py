@@ -146,7 +146,8 @@ def _library_pieces(path: str) -> PieceCache:
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(path)
-    return PieceCache(lambda p: np.array(lib.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes())
+    return PieceCache(lambda p: np.array(lib.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes(),
+                      limit=300_000)
 
 
 def write_token_files(docs: DataFrame, folder: str, vocab_path: str, end_id: int,

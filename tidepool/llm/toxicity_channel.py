@@ -184,7 +184,7 @@ class Reader:
 
     def __init__(self, channel: Channel):
         self.channel = channel
-        self.plain = PieceCache(self._plain, limit=150_000)
+        self.plain = PieceCache(self._plain, limit=50_000)
 
     def _plain(self, word: str) -> tuple[str, ...]:
         core = word.lower().lstrip(_TRIM_LEFT).rstrip(_TRIM_RIGHT)
@@ -205,7 +205,7 @@ class Model:
 
     def __post_init__(self):
         self.reader = Reader(self.channel)
-        self.votes = PieceCache(self._vote, limit=300_000)
+        self.votes = PieceCache(self._vote)
 
     def __getstate__(self):
         return {"channel": self.channel, "bias": self.bias, "weights": self.weights}

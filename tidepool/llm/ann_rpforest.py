@@ -215,9 +215,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id"
         return pa.table({"query_id": pa.array(q_ids[best.q], pa.int64()), "query": pa.array(keys[best.q], pa.int64()),
                          "vec_id": pa.array(best.ids, pa.int64()), "score": pa.array(best.scores, pa.float64())})
 
-    held = "task long, leaf long, vec_id long, vec array<double>, query long"
-    indexed = rows.select("vec_id", "vec").mapInArrow(index, held)
-    asked = rows.where(is_query).select("vec_id", "vec", "query").mapInArrow(ask, held)
+    # Vectors travel in the width they came in; single floats are exact as doubles.
+    kind = vectors.schema[vec_col].dataType.elementType.simpleString()
+    kind = f"array<{'float' if kind == 'float' else 'double'}>"
+    held = f"task long, leaf long, vec_id long, vec {kind}, query long"
+    sent = rows.withColumn("vec", F.col("vec").cast(kind))
+    indexed = sent.select("vec_id", "vec").mapInArrow(index, held)
+    asked = sent.where(is_query).select("vec_id", "vec", "query").mapInArrow(ask, held)
     found = indexed.unionByName(asked).groupBy("task").applyInArrow(score, schema)
     return best_per_query(_once_per_tree(found, trees), k)
 

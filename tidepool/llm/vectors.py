@@ -18,10 +18,10 @@ def usable(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def matrix(column) -> np.ndarray:
-    """An Arrow list column of equal lengths as a 2-d array."""
+    """An Arrow list column of equal lengths as a 2-d array of doubles."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 

@@ -57,6 +57,12 @@ def test_query_on_whole_table(spark):
     ("MY_PWD=Zx81kQp0LmNv73\nDB_PWD=${MY_PWD}", ["Zx81kQp0LmNv73"]),
     ('"privateKey" => \'Zx81kQp0LmNv73\'', ["Zx81kQp0LmNv73"]),
     ('password = "changeme"', []), ("PASSWORD = ${FOO_BAR}", []), ("the key: something", []),
+    ("Note: private_key = 'Xk93jd82LqZZ'", ["Xk93jd82LqZZ"]), ("- run: DB_PWD=Zx81kQp0LmNv73", ["Zx81kQp0LmNv73"]),
+    ("INFO: pwd=Zx81kQp0LmNv73", ["Zx81kQp0LmNv73"]), ('password: str = "Xk93jd82LqZZ"', ["Xk93jd82LqZZ"]),
+    ('let authKey: String = "Xk93jd82LqZZ"', ["Xk93jd82LqZZ"]), ("pwd: string | null = 'Xk93jd82LqZZ'", ["Xk93jd82LqZZ"]),
+    ('passphrase: Optional[Dict[str, str]] = "Xk93jd82LqZZ"', ["Xk93jd82LqZZ"]),
+    ('secretKey = k = "Xk93jd82LqZZ"', ["Xk93jd82LqZZ"]), ("pwd = Zx81kQp0LmNv73a=", ["Zx81kQp0LmNv73a="]),
+    ("level: x=1,pwd=Zx81kQp0LmNv73", ["Zx81kQp0LmNv73"]), ('x = "pwd=Zx81kQp0LmNv73"', []),
     ('colour = "Zx81kQp0LmNv73"', []), ("author: somebody12345", []), ("password == other_value99", []),
 ])
 def test_lexer(text, found):
@@ -74,7 +80,7 @@ def test_doubling_constants_stay_bounded():
 
 def test_long_hostile_texts_are_linear():
     for t in ("token" + " " * 300000, 'a="' * 100000, "key='" * 50000, "a: " * 200000, "password=" * 50000,
-              "pass:" + "x." * 200000, "+a" * 200000 + "pass="):
+              "pass:" + "x." * 200000, "+a" * 200000 + "pass=", "pwd: str=" * 50000, "pwd = " * 50000, "pass=" + "a-" * 200000):
         S.scan(t)
 
 

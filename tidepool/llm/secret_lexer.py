@@ -18,6 +18,7 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -33,6 +34,8 @@ MIN_SCORE = 0.5
 #: A name is followed while the constant it helps to build has so many characters
 #: (x = x + x, again and again, would double for ever).
 FOLLOWED = 65536
+#: First characters of a constant that are kept; longer than every placeholder word.
+HEAD = 16
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                      re.ASCII | re.IGNORECASE)
@@ -55,14 +58,25 @@ _PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|nil|true|false|undefine
                           r"placeholder|redacted|\[secret\]|your[_-].*|<.*>|\$\{.*\}|%.*%)$")
 
 _LITERAL = r""""[^"\n]*"|'[^'\n]*'"""
-_STATEMENT = re.compile(
-    rf"""(?<![\w.])(?P<quote>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.-]*)(?P=quote)[ \t]{{0,8}}(?::=|=>|=(?!=)|:(?!:))[ \t]{{0,8}}"""
-    rf"""(?P<value>(?:{_LITERAL}|\$\{{?\w+\}}?|[^\s"',;(){{}}\[\]<>+]+)"""
-    rf"""(?:[ \t]{{0,8}}\+[ \t]{{0,8}}(?:{_LITERAL}|[A-Za-z_]\w*))*)""", re.ASCII)
+_SEP = r"(?::=|=>|=(?!=)|:(?!:))"
+# A name and a separator.  Names are tried once per run of name characters: at its
+# first part (cut at dashes) that starts like a name.
+_HEAD = re.compile(
+    rf"""(?:(?<![\w.-])(?:(?![A-Za-z_])[A-Za-z0-9_.]*+-)*+|(?<=-)(?=["']))"""
+    rf"""(?P<quote>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)(?P=quote)[ \t]{{0,8}}+(?P<sep>{_SEP})[ \t]{{0,8}}+""", re.ASCII)
+# The type of a declaration, up to its value: ``: str =``, ``: Option<String> =``,
+# ``: string | null =``, ``: &'static str =``.  It holds no single colon, so no
+# stretch of text is read twice.
+_ATOM = r"""[&*]*+(?:'\w++[ \t]++)?(?:(?:mut|const|dyn)[ \t]++)?[A-Za-z_][\w.]*+(?:::\w++)*+(?:[<\[][\w \t.,<>\[\]|?&*]*+)?[?*]*+"""
+_TYPE = re.compile(rf"""{_ATOM}(?:[ \t]*+\|[ \t]*+{_ATOM})*+[ \t]*+=(?![=>])[ \t]*+""", re.ASCII)
+_BARE = re.compile(r"""[^\s"',;(){}\[\]<>+]+""", re.ASCII)
+_QUOTED = re.compile(rf"""{_LITERAL}|\$\{{?\w+\}}?""", re.ASCII)
+_TAIL = re.compile(rf"""(?:[ \t]{{0,8}}+\+[ \t]{{0,8}}+(?P<last>{_LITERAL}|[A-Za-z_]\w*+))*+""", re.ASCII)
+_GOES_ON = re.compile(rf"""[ \t]{{0,8}}+{_SEP}""")
 _KEY_VALUE = re.compile(
     r"""(?:key|name)[ \t]{0,8}=[ \t]{0,8}["'](?P<name>[A-Za-z_][A-Za-z0-9_.-]*)["'][ \t]{1,8}value[ \t]{0,8}=[ \t]{0,8}"""
     rf"""(?P<value>{_LITERAL})""", re.ASCII)
-_PART = re.compile(rf"""{_LITERAL}|\$\{{?\w+\}}?|[^\s+]+""", re.ASCII)
+_PART = re.compile(rf"""{_LITERAL}|[A-Za-z_]\w*""", re.ASCII)
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
@@ -85,51 +99,156 @@ def name_weight(name: str) -> float:
     return max((SENSITIVE.get(r, SENSITIVE.get(r.rstrip("s"), 0.0)) for r in runs), default=0.0)
 
 
-def literal_weight(value: str) -> float:
+class Constant(NamedTuple):
+    """What a right-hand side stands for, as far as its weight needs it."""
+
+    n: int = 0
+    counts: Counter = Counter()
+    head: str = ""  # the first HEAD characters
+    last: str = ""
+    places: tuple = ()
+
+    @classmethod
+    def of(cls, text: str, start: int, end: int) -> Constant:
+        return cls(end - start, Counter(text[start:end]), text[start:min(end, start + HEAD)], text[max(start, end - 1):end],
+                   ((start, end),))
+
+    def __add__(self, other: Constant) -> Constant:
+        return Constant(self.n + other.n, self.counts + other.counts, (self.head + other.head)[:HEAD],
+                        other.last or self.last, self.places + other.places)
+
+
+def literal_weight(value: Constant) -> float:
     """How much a literal looks like a secret: length, entropy, character classes."""
-    if len(value) < 8 or _PLACEHOLDER.match(value) or any(c.isspace() for c in value):
+    n, counts = value.n, value.counts
+    if n < 8 or any(c.isspace() for c in counts) or _is_placeholder(value):
         return 0.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    classes = sum(any(t(c) for c in value) for t in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    if classes == 1 and not value.isdigit() and n < 20:
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    classes = sum(any(t(c) for c in counts) for t in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    if classes == 1 and n < 20 and not all(c.isdigit() for c in counts):
         return 0.0  # a plain word
-    return min(1.0, entropy / 3.5) * min(1.0, 0.4 + 0.2 * classes) * min(1.0, n / 12)
+    return min(1.0, entropy / 3.5) * min(1.0, 0.4 + 0.2 * classes) * (1.0 if n >= 12 else n / 12)
+
+
+def _is_placeholder(value: Constant) -> bool:
+    """The pattern looks at both ends, at the whole of a short value, or for one sign alone."""
+    ends = value.head if value.n <= HEAD else value.head + value.last
+    if not _PLACEHOLDER.match(ends):
+        return False
+    return value.n <= HEAD or ends[0] not in "xX*." or len({c.lower() for c in value.counts}) == 1
+
+
+def _targets(text: str) -> dict[int, list[str]]:
+    """Where values start, and the names that hold each.
+
+    A bare value may be a name or NAME=value itself: it is scanned again, so inner
+    pairs count too.  ``a = b = value`` and ``a: type = value`` give a the value.
+    """
+    out: dict[int, list[str]] = {}
+    chain: list[str] = []
+    at = run = 0  # run: end of the bare run last met
+    while m := _HEAD.search(text, at):
+        start = m.start("quote")
+        if start != at:
+            chain = []
+        name, value = m["name"], m.end()
+        out.setdefault(value, []).append(name)
+        inner = _HEAD.match(text, value)
+        if m["sep"] == ":" and (typed := _TYPE.match(text, value)):
+            out.setdefault(typed.end(), []).append(name)
+            if not inner:
+                value = typed.end()
+        if m["sep"] in ("=", ":=") and inner:
+            chain.append(name)  # one list: the last value of a chain is everybody's
+        elif chain:
+            out[m.end()] += chain
+            chain = []
+        at = value
+        if not inner and value >= run:
+            if first := _QUOTED.match(text, value):
+                at = first.end()
+            elif first := _BARE.match(text, value):
+                run = first.end()
+                if "=" not in first[0] and ":" not in first[0] and not _GOES_ON.match(text, run):
+                    at = run
+            if at > value:
+                tail = _TAIL.match(text, at)
+                last = tail["last"]
+                at = tail.end()
+                if last and last[0] not in "\"'" and _GOES_ON.match(text, at):
+                    at = tail.start("last")
+    for m in _KEY_VALUE.finditer(text):
+        out.setdefault(m.start("value"), []).append(m["name"])
+    return out
 
 
 def lexed_spans(text: str) -> list[tuple[int, int, str]]:
     low = text.lower()
     if not any(s in low for s in _STEMS) or not ("=" in text or ":" in text):
         return []
-    known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+    known: dict[str, Constant] = {}
     out: set[tuple[int, int, str]] = set()
-    statements = sorted([*_STATEMENT.finditer(text), *_KEY_VALUE.finditer(text)], key=lambda m: m.start())
-    for m in statements:
-        value, places = _evaluate(m["value"], m.start("value"), known)
-        known[m["name"]] = (value, places)
-        if name_weight(m["name"]) * literal_weight(value) >= MIN_SCORE:
-            out.update((a, b, "lexed") for a, b in places)
+    run = _Run()
+    for at, names in sorted(_targets(text).items()):
+        value = _evaluate(text, at, known, run)
+        if value is None:
+            continue
+        known.update(dict.fromkeys(names, value))
+        weight = max(map(name_weight, names))
+        if weight and weight * literal_weight(value) >= MIN_SCORE:
+            out.update((a, b, "lexed") for a, b in value.places)
     return list(out)
 
 
-def _evaluate(source: str, at: int, known: dict) -> tuple[str, list[tuple[int, int]]]:
+class _Run:
+    """The bare run last met.  Values that start inside it share its end and what
+    follows; their counts are what is left of its counts."""
+
+    def __init__(self):
+        self.at = self.end = self.stop = 0
+        self.counts: Counter = Counter()
+        self.tail = Constant()
+
+    def open(self, text: str, at: int, end: int, tail: Constant) -> None:
+        self.at, self.end, self.tail = at, end, tail
+        self.stop = at + len(text[at:end].rstrip(".:!?"))
+        self.counts = Counter(text[at:self.stop])
+
+    def rest(self, text: str, at: int) -> Constant:
+        stop = max(at, self.stop)
+        self.counts -= Counter(text[self.at:min(at, self.stop)])
+        self.at = at
+        return Constant(stop - at, self.counts.copy(), text[at:min(stop, at + HEAD)], text[max(at, stop - 1):stop],
+                        ((at, stop),)) + self.tail
+
+
+def _evaluate(text: str, at: int, known: dict, run: _Run) -> Constant | None:
     """The constant a right-hand side stands for, and where its literals are."""
-    value, places = "", []
-    for p in _PART.finditer(source):
-        part = p[0]
-        if part[0] in "\"'":
-            value += part[1:-1]
-            places.append((at + p.start() + 1, at + p.end() - 1))
-            continue
-        name = part.strip("${}").rstrip(".")
-        if name in known and len(value) + len(known[name][0]) <= FOLLOWED:
-            value += known[name][0]
-            places += known[name][1]
-        else:
-            bare = part.rstrip(".:!?")
-            value += bare
-            places.append((at + p.start(), at + p.start() + len(bare)))
-    return value, places
+    if at < run.end:
+        return run.rest(text, at)
+    first = _QUOTED.match(text, at) or _BARE.match(text, at)
+    if first is None:
+        return None
+    end = first.end()
+    tail = Constant()
+    for p in _PART.finditer(text, end, _TAIL.match(text, end).end()):
+        tail = _followed(tail, _part(text, p, known), text, p)
+    if first[0][0] in "\"'" or first[0].strip("${}").rstrip(".") in known or first.re is _QUOTED:
+        return _followed(_part(text, first, known), tail, text, first)
+    run.open(text, at, end, tail)
+    return run.rest(text, at)
+
+
+def _part(text: str, p: re.Match, known: dict) -> Constant:
+    if p[0][0] in "\"'":
+        return Constant.of(text, p.start() + 1, p.end() - 1)
+    name = p[0].strip("${}").rstrip(".")
+    return known[name] if name in known else Constant.of(text, p.start(), p.start() + len(p[0].rstrip(".:!?")))
+
+
+def _followed(value: Constant, more: Constant, text: str, p: re.Match) -> Constant:
+    """Both as one; beyond FOLLOWED the name itself stands for what it holds."""
+    return value + (more if value.n + more.n <= FOLLOWED else Constant.of(text, *p.span()))
 
 
 def scan(text: str | None) -> list[tuple[int, int, str]]:

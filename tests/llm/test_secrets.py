@@ -63,6 +63,9 @@ def test_query_on_whole_table(spark):
     ('passphrase: Optional[Dict[str, str]] = "Xk93jd82LqZZ"', ["Xk93jd82LqZZ"]),
     ('secretKey = k = "Xk93jd82LqZZ"', ["Xk93jd82LqZZ"]), ("pwd = Zx81kQp0LmNv73a=", ["Zx81kQp0LmNv73a="]),
     ("level: x=1,pwd=Zx81kQp0LmNv73", ["Zx81kQp0LmNv73"]), ('x = "pwd=Zx81kQp0LmNv73"', []),
+    ('pwd' + " " * 20 + '=' + "\t" * 12 + '"Xk93jd82LqZZ"', ["Xk93jd82LqZZ"]),
+    ("private_key" + " " * 300 + ":= 'Xk93jd82' +" + " " * 9 + "'LqZZ'", ["Xk93jd82", "LqZZ"]),
+    ('<add key' + " " * 9 + '= "ClientSecret"' + " " * 9 + 'value = "qwErty12!@zz"/>', ["qwErty12!@zz"]),
     ('colour = "Zx81kQp0LmNv73"', []), ("author: somebody12345", []), ("password == other_value99", []),
 ])
 def test_lexer(text, found):
@@ -80,7 +83,8 @@ def test_doubling_constants_stay_bounded():
 
 def test_long_hostile_texts_are_linear():
     for t in ("token" + " " * 300000, 'a="' * 100000, "key='" * 50000, "a: " * 200000, "password=" * 50000,
-              "pass:" + "x." * 200000, "+a" * 200000 + "pass=", "pwd: str=" * 50000, "pwd = " * 50000, "pass=" + "a-" * 200000):
+              "pass:" + "x." * 200000, "+a" * 200000 + "pass=", "pwd: str=" * 50000, "key" + " =" + " " * 300000,
+              "pwd=a" + " " * 300000 + "+", ("key" + " " * 500) * 600, "pwd = a" + " +" * 100000, "pwd = " * 50000, "pass=" + "a-" * 200000):
         S.scan(t)
 
 

@@ -63,7 +63,7 @@ _SEP = r"(?::=|=>|=(?!=)|:(?!:))"
 # first part (cut at dashes) that starts like a name.
 _HEAD = re.compile(
     rf"""(?:(?<![\w.-])(?:(?![A-Za-z_])[A-Za-z0-9_.]*+-)*+|(?<=-)(?=["']))"""
-    rf"""(?P<quote>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)(?P=quote)[ \t]{{0,8}}+(?P<sep>{_SEP})[ \t]{{0,8}}+""", re.ASCII)
+    rf"""(?P<quote>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)(?P=quote)[ \t]*+(?P<sep>{_SEP})[ \t]*+""", re.ASCII)
 # The type of a declaration, up to its value: ``: str =``, ``: Option<String> =``,
 # ``: string | null =``, ``: &'static str =``.  It holds no single colon, so no
 # stretch of text is read twice.
@@ -71,10 +71,10 @@ _ATOM = r"""[&*]*+(?:'\w++[ \t]++)?(?:(?:mut|const|dyn)[ \t]++)?[A-Za-z_][\w.]*+
 _TYPE = re.compile(rf"""{_ATOM}(?:[ \t]*+\|[ \t]*+{_ATOM})*+[ \t]*+=(?![=>])[ \t]*+""", re.ASCII)
 _BARE = re.compile(r"""[^\s"',;(){}\[\]<>+]+""", re.ASCII)
 _QUOTED = re.compile(rf"""{_LITERAL}|\$\{{?\w+\}}?""", re.ASCII)
-_TAIL = re.compile(rf"""(?:[ \t]{{0,8}}+\+[ \t]{{0,8}}+(?P<last>{_LITERAL}|[A-Za-z_]\w*+))*+""", re.ASCII)
-_GOES_ON = re.compile(rf"""[ \t]{{0,8}}+{_SEP}""")
+_TAIL = re.compile(rf"""(?:[ \t]*+\+[ \t]*+(?P<last>{_LITERAL}|[A-Za-z_]\w*+))*+""", re.ASCII)
+_GOES_ON = re.compile(rf"""[ \t]*+{_SEP}""")
 _KEY_VALUE = re.compile(
-    r"""(?:key|name)[ \t]{0,8}=[ \t]{0,8}["'](?P<name>[A-Za-z_][A-Za-z0-9_.-]*)["'][ \t]{1,8}value[ \t]{0,8}=[ \t]{0,8}"""
+    r"""(?:key|name)[ \t]*+=[ \t]*+["'](?P<name>[A-Za-z_][A-Za-z0-9_.-]*)["'][ \t]++value[ \t]*+=[ \t]*+"""
     rf"""(?P<value>{_LITERAL})""", re.ASCII)
 _PART = re.compile(rf"""{_LITERAL}|[A-Za-z_]\w*""", re.ASCII)
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")

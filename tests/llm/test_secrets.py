@@ -72,6 +72,19 @@ def test_lexer(text, found):
     assert [text[a:b] for a, b, k in S.scan(text) if k == "lexed"] == found
 
 
+def test_every_sensitive_name_is_read_alone_in_every_spelling():
+    value = "Xk93jd82LqZZ"
+    for name in S.SENSITIVE:
+        first, *more = name.split("_")
+        for spelt in (name, first + "".join(w.title() for w in more), name.replace("_", "."), name.replace("_", "-"),
+                      name.upper(), name + "s", f"{name[:2]}_{name[2:]}" if not more else name):
+            assert S.name_weight(spelt) == pytest.approx(S.SENSITIVE[name])
+            text = f'{spelt} = "{value}"'
+            assert {text[a:b] for a, b, _ in S.lexed_spans(text)} == {value}, text
+    text = 'connectionString = "postgres://svc:Xk93jd82Lq@db1/prod"'
+    assert [text[a:b] for a, b, _ in S.scan(text)] == ["postgres://svc:Xk93jd82Lq@db1/prod"]
+
+
 def test_lexed_spans_inside_base_spans_add_nothing():
     text = 'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"'
     assert [s[2] for s in S.scan(text)] == ["assign", "hex"]

@@ -53,7 +53,9 @@ SENSITIVE = {
     "signing_key": 0.9, "encryption_key": 0.9, "auth_key": 0.9, "credential": 0.9, "credentials": 0.9, "bearer": 0.8,
     "authorization": 0.8, "auth": 0.7, "client_secret": 1.0, "connection_string": 0.8, "key": 0.55,
 }
-_STEMS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth", "connection_string")
+# Every spelling that name_weight accepts holds one of these once its separators are taken out.
+_JOINED = {name.replace("_", "") for name in SENSITIVE}
+_STEMS = sorted(s for s in _JOINED if not any(o in s for o in _JOINED - {s}))
 _PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|nil|true|false|undefined|changeme|change_me|todo|test|example|"
                           r"placeholder|redacted|\[secret\]|your[_-].*|<.*>|\$\{.*\}|%.*%)$")
 
@@ -183,8 +185,10 @@ def _targets(text: str) -> dict[int, list[str]]:
 
 
 def lexed_spans(text: str) -> list[tuple[int, int, str]]:
-    low = text.lower()
-    if not any(s in low for s in _STEMS) or not ("=" in text or ":" in text):
+    if not ("=" in text or ":" in text):
+        return []
+    low = text.lower().replace("_", "").replace(".", "").replace("-", "")
+    if not any(s in low for s in _STEMS):
         return []
     known: dict[str, Constant] = {}
     out: set[tuple[int, int, str]] = set()

@@ -26,11 +26,20 @@ def model(tables):
     ("1d10t", "idiot"), ("m0r0n!!", "moron"), ("$cum", "scum"), ("tr@sh", "trash"), ("looooser", "loser"),
     ("MOOOORON", "moron"), ("5tup1d", "stupid"), ("st-up-id", "stupid"), ("p4th3t1c", "pathetic"), ("plain", "plain"),
     ("4550829304294745", "4550829304294745"), ("the&&&", "the"), ("108.51.216.133", "108.51.216.133"), ("été", "été"),
+    ("idio+", "idiot"), ("idio+.", "idiot"), ("(lown", "clown"), ("|diot", "idiot"), ("tras#", "trash"), ("a$$", "as"),
+    ("moroon", "moron"), ("iddiot", "idiot"), ("MOROON!", "moron"), ("(loser)", "loser"), ("*loser*", "loser"),
+    ("#loser", "loser"), ("loser!", "loser"), ("loser.!!", "loser"), ("the$$$", "the"), ("(the", "the"), ("|", ""),
 ])
 def test_restored_words(model, written, meant):
     assert model.restored(written) == meant
 
 
+def test_ordinary_doubled_letters_and_numbers_count_as_written_too(model):
+    for word in ("good", "ass", "1990s"):
+        assert word in model.reader.forms(word)
+    assert model.reader.forms("moroon!") == ("moron", "moroon") and model.reader.forms("(the)") == ("the",)
+
+
 def test_spaced_letters_are_joined(model):
     assert "idiot" in model.restored("you i d i o t you").split()
 
@@ -83,6 +92,8 @@ def test_held_out_labels_are_never_learnt(spark, tables, model):
 
 def test_planted_disguised_documents(model):
     clean = "Thent ereding of that inon heer and the thing with esea ndre on for whou "
+    for words in (["idio+", "(lown", "|diot", "tras#"], ["moroon", "iddiot", "clownn", "trrash"]):
+        assert model.score(clean + " ".join(words) + " " + clean) > model.score(clean + " ".join(["thon"] * 4) + " " + clean)
     disguised = ["1d10t", "m0r0n", "tr@sh", "l0ser", "cl0wn", "stup1d"]
     assert model.score(clean * 3) < 0.5
     assert model.score(clean + " ".join(TOXIC) + " " + clean) >= 0.5

@@ -2,13 +2,13 @@
 
 1. A character trigram model is counted over all texts (one pass; at most the cube
    of a small alphabet comes back as rows).
-2. A word that may be written in disguise (digits and signs among letters, a letter
-   three times in a row, dots or dashes inside, letters spaced out) becomes a
-   lattice: every character stands for itself or for the letters it imitates,
-   repeats may shrink, separators may vanish.  Viterbi decoding under the trigram
+2. A word that may be written in disguise (digits and signs among or beside letters,
+   a letter twice or more in a row, dots or dashes inside, letters spaced out)
+   becomes a lattice: every character stands for itself or for the letters it
+   imitates, repeats may shrink, separators and signs at the edges may vanish.  Viterbi decoding under the trigram
    model restores the likeliest text.  A word with letters only has one path, itself.
 3. A linear model scores the restored text: each distinct word and its beginnings
-   vote.  It is fitted on a bounded sample of labelled rows.
+   vote, and so does a restored word as it was written.  It is fitted on a bounded sample of labelled rows.
 
 Scoring is one narrow pass; model and trigram table are fixed-size and travel with
 the tasks.  Distinct words are decoded once while they stay in a bounded cache.
@@ -21,6 +21,7 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -51,6 +52,10 @@ SEPARATORS = ".-_ *~'`"
 # Costs in nats: a sign read as a letter, a sign kept, a separator dropped or kept,
 # a repeat dropped, a second letter of three or more kept.
 C_IMITATE, C_KEEP_SIGN, C_DROP_SEP, C_KEEP_SEP, C_DROP_REPEAT, C_KEEP_TWO = 0.7, 9.0, 0.7, 2.0, 0.2, 1.2
+# Costs of dropping one or two equal signs at a word's edge, by how seldom they stand
+# there in plain text (a closing ! or a hashtag's # is as cheap as a separator, three
+# or more in a row are an ornament).
+C_DROP_EDGE = {"(": 4.0, "|": 7.0, "#": 4.5, "+": 4.0, "$": 12.0, "*": 3.0}
 #: Cells of the hashed features, features kept, labelled rows fitted on (at most),
 #: labelled rows of class 1 a feature needs.
 CELLS, KEPT, SAMPLE_LABELS, MIN_ROWS = 1 << 20, 4096, 10_000, 4
@@ -90,26 +95,35 @@ class Channel:
         p3 = (n + 5 * p2) / (n.sum(axis=2, keepdims=True) + 5)
         self.cost = (-np.log(p3)).astype(np.float32)
 
-    def restore(self, word: str) -> str:
-        """The likeliest plain text of a lower-case string, words split by spaces."""
-        cost = self.cost
+    def __getstate__(self):
+        return {"cost": self.cost}
+
+    @cached_property
+    def _flat(self) -> list[float]:
+        return self.cost.ravel().tolist()
+
+    def restore(self, word: str, left: int = 0, right: int = 0) -> str:
+        """The likeliest plain text of a lower-case string, words split by spaces; of
+        its signs the first ``left`` and the last ``right`` are edge signs."""
+        cost = self._flat
         # state: the last two codes -> (cost, text as linked parts)
         beam: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for i, end in _runs(word):
             c, n = word[i], end - i
             new: dict[tuple[int, int], tuple[float, tuple]] = {}
-            for text, price in _readings(c, n):
+            readings = _edge_readings(c, n, i < left) if i < left or end > len(word) - right else _readings(c, n)
+            for text, price in readings:
+                zs = [code_of(ch) for ch in text]
                 for (a, b), (so_far, parts) in beam.items():
                     total, x, y = so_far + price, a, b
-                    for ch in text:
-                        z = code_of(ch)
-                        if not (z == 0 and y == 0):
-                            total += float(cost[x, y, z])
+                    for z in zs:
+                        if z or y:
+                            total += cost[(x * LETTERS + y) * LETTERS + z]
                         x, y = y, z
                     if (x, y) not in new or total < new[x, y][0]:
                         new[x, y] = (total, (parts, text) if text else parts)
             beam = new
-        best = min(beam.items(), key=lambda s: s[1][0] + float(cost[s[0][0], s[0][1], 0]))[1][1]
+        best = min(beam.items(), key=lambda s: s[1][0] + cost[(s[0][0] * LETTERS + s[0][1]) * LETTERS])[1][1]
         out = []
         while best:
             best, text = best
@@ -117,6 +131,7 @@ class Channel:
         return " ".join("".join(reversed(out)).split())
 
 
+@lru_cache(4096)
 def code_of(ch: str) -> int:
     point = ord(ch)
     return int(_CODE[point]) if point < 0x250 else OTHER
@@ -154,20 +169,48 @@ def _readings(c: str, n: int) -> list[tuple[str, float]]:
     return out
 
 
+def _edge_readings(c: str, n: int, front: bool) -> list[tuple[str, float]]:
+    """As _readings, for a run at a word's edge: it may also be no part of the word."""
+    letters = [r for r in _readings(c, n) if r[0].strip()]
+    plain = n > 2 or (front and c == "#")
+    return [*letters, ("", C_DROP_SEP if plain else C_DROP_EDGE.get(c, C_DROP_SEP))]
+
+
 _TRIM_LEFT = " \t\n\r\v\f\"'([{<#*-.,;:~_`>|"
 _TRIM_RIGHT = " \t\n\r\v\f\"')]}>.,;:!?#*-%&$+~_`|"
-_THRICE = re.compile(r"([^\W\d_])\1\1")
+_TWICE = re.compile(r"([^\W\d_])\1")
 _INSIDE = re.compile(r"[^\W\d_]")
 _SPACED = re.compile(r"(?<!\w)[^\W_][ .\-_*](?:[^\W_][ .\-_*]){1,}[^\W_](?!\w)")
 
 
+def core_and_edges(word: str) -> tuple[str, int, int]:
+    """A lower-case word without what surrounds it, and how many signs at its front
+    and at its end may be letters of it: those beside it that imitate letters and
+    are no pair around it."""
+    rest = word.lstrip(_TRIM_LEFT)
+    core = rest.rstrip(_TRIM_RIGHT)
+    if not core:
+        return "", 0, 0
+    before, after = word[:len(word) - len(rest)], rest[len(core):]
+    left, right = len(before), 0
+    while left and before[left - 1] in IMITATES:
+        left -= 1
+    while right < len(after) and after[right] in IMITATES:
+        right += 1
+    front, end = before[left:], after[:right]
+    if front and front == end[::-1]:
+        front = end = ""
+    elif front == "(" and ")" in after:
+        front = ""
+    return front + core + end, len(front), len(end)
+
+
 def in_disguise(core: str) -> bool:
     """Whether a trimmed lower-case word is written with anything but plain letters
-    (numbers are none), or with a letter three times in a row."""
+    (words without any letter are numbers), or with a letter twice in a row."""
     if core.isalpha():
-        return _THRICE.search(core) is not None
-    letters = len(_INSIDE.findall(core))
-    return letters >= 2 and letters * 2 >= len(set(core)) - 1
+        return _TWICE.search(core) is not None
+    return _INSIDE.search(core) is not None
 
 
 def cell(feature: str) -> int:
@@ -185,12 +228,21 @@ class Reader:
     def __init__(self, channel: Channel):
         self.channel = channel
         self.plain = PieceCache(self._plain, limit=50_000)
+        self.read = PieceCache(self.forms, limit=50_000)
 
     def _plain(self, word: str) -> tuple[str, ...]:
-        core = word.lower().lstrip(_TRIM_LEFT).rstrip(_TRIM_RIGHT)
+        core, left, right = core_and_edges(word.lower())
         if not core:
             return ()
-        return tuple(self.channel.restore(core).split()) if in_disguise(core) else (core,)
+        if in_disguise(core):
+            return tuple(self.channel.restore(core, left, right).split())
+        return (core[left:len(core) - right],)
+
+    def forms(self, word: str) -> tuple[str, ...]:
+        """The restored words and, where it differs, the word as written without edge
+        signs: a doubled letter or a digit may well be meant (good, 1990s)."""
+        core, left, right = core_and_edges(word.lower())
+        return tuple(dict.fromkeys([*self._plain(word), *([core[left:len(core) - right]] if core else [])]))
 
     def spaced(self, text: str) -> list[str]:
         """Restored words of letters spaced out over several words of the text."""
@@ -219,7 +271,7 @@ class Model:
         return sum(get(c, 0.0) for c in cells_of(plain))
 
     def _vote(self, word: str) -> float:
-        return sum(self._weigh(p) for p in self.reader._plain(word))
+        return sum(self._weigh(p) for p in self.reader.forms(word))
 
     def score(self, text: str | None) -> float:
         """Probability of label 1; the bias alone for a text without words."""
@@ -268,7 +320,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for t in b.column(1).to_pylist():
                 t, seen = t or "", Counter()
                 for w in set(t.split()):
-                    for p in reader.plain[w]:
+                    for p in reader.read[w]:
                         seen.update(cells_of(p))
                 for p in set(reader.spaced(t)):
                     seen.update(cells_of(p))

@@ -160,6 +160,16 @@ def test_term_counts_match_python(spark):
     assert got == {(1, "a"): 1, (1, "b"): 2, (4, "été"): 2, (4, "x"): 3}
 
 
+def test_near_dup_members_name_every_copy(spark):
+    texts = ["a b c", "a b c", "lone copies", "a b c d", "lone copies", None, "single", None, "lone copies"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("rep", F.lit("x"))
+    got = {r["doc_id"]: r["rep"] for r in SIM.near_dup_members(docs, "doc_id", "text").collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 2, 5: None, 6: 6, 7: None, 8: 2}
+    sizes = Counter(got.values())
+    for p in SIM.near_dup_pairs(docs, "doc_id", "text", 0.6).collect():
+        assert (sizes[p["a_id"]], sizes[p["b_id"]]) == (p["a_copies"], p["b_copies"])
+
+
 def test_near_dup_pairs_hot_token_blocks(spark):
     # a token in all texts, cut into many blocks: the same pairs as without cutting
     docs = Tables(spark, SF_SMALL).documents.select("doc_id", F.concat(F.lit("the "), "text").alias("text"))

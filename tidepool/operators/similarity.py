@@ -127,6 +127,18 @@ def near_dup_vs_latest(candidates: DataFrame, cand_id: str, cand_text: str,
     return candidates.join(near, candidates[cand_id] == near["__c"], "left_anti")
 
 
+def near_dup_members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(``id_col``, rep), one row per row of ``docs``: the representative that stands
+    for its text in ``near_dup_pairs`` (the smallest id of the exact copies; null
+    for a null text, which is in no pair).
+
+    Hashes travel, not texts; a hot text is a skewed side that AQE splits.
+    """
+    rows = docs.select(F.col(id_col), sha256_hex(text_col).alias("__hash"))
+    reps = rows.where(F.col("__hash").isNotNull()).groupBy("__hash").agg(F.min(id_col).alias("rep"))
+    return rows.join(reps, "__hash", "left").select(id_col, "rep")
+
+
 def near_dup_pairs(docs: DataFrame, id_col: str, text_col: str, min_cos: float,
                    index_mass: float | None = None, hot_df: int = 2048,
                    cut_base: float = 1.5, n_cuts: int = 60) -> DataFrame:
@@ -134,7 +146,8 @@ def near_dup_pairs(docs: DataFrame, id_col: str, text_col: str, min_cos: float,
 
     1. Exact copies collapse to one representative (smallest id) carrying a
        copy count: a text repeated a million times costs one vector and no
-       quadratic fan-out.  Pairs are reported between representatives.
+       quadratic fan-out.  Pairs are reported between representatives;
+       ``near_dup_members`` names the members of each.
     2. Tokens are ordered globally by document frequency (rare first).  The
        *prefix* of a vector is its leading tokens while the remaining squared
        mass is >= ``index_mass`` (default ``min_cos**2``); the rest is its

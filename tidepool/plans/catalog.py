@@ -593,6 +593,12 @@ def near_dup_pairs(spark, sf_dir):
     return out.withColumn("cosine", F.round("cosine", 6))
 
 
+@query
+def near_dup_members(spark, sf_dir):
+    from tidepool.operators import similarity as SIM
+    return SIM.near_dup_members(Tables(spark, sf_dir).documents, "doc_id", "text")
+
+
 # ---- news ---------------------------------------------------------------------
 
 @query

@@ -464,6 +464,9 @@ where {_cos('d.dot', 'na.n2', 'nb.n2')} >= {P.PAIR_MIN_COS}""", extra={
     "d": "select x.rep as a, y.rep as b, sum(x.tf * y.tf) as dot from tv x join tv y "
          "on x.tok = y.tok and x.rep < y.rep group by 1, 2"})
 
+ORACLES["near_dup_members"] = """
+select doc_id, case when text is not null then min(doc_id) over (partition by text) end as rep from documents"""
+
 # ---- news ---------------------------------------------------------------------
 
 _BASE = f"""select page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) as title,

@@ -94,6 +94,19 @@ def test_doubling_constants_stay_bounded():
     assert S.scan('x = "ab"\n' + "x = x + x\n" * 200 + "password = x") is not None
 
 
+def test_constants_are_followed_without_limit():
+    value = "Zx81kQp0LmNv73"
+    text = f'base = "{value}"\n' + f'k = base + "{"ab3X" * 20000}"\n' + "k = k + base\n" * 5 + "auth_key = k"
+    spans = [text[a:b] for a, b, _ in S.lexed_spans(text)]
+    assert sorted(map(len, spans)) == [len(value), 80000] and value in spans
+    for first in ('x = ""\n', 'x = "ab3X"\n', f'x = "{value}"\n'):
+        text = first + "x = x + x\n" * 5000 + "password = x"
+        found = [text[a:b] for a, b, _ in S.scan(text) if a < b]
+        assert found == ([value] if value in first else ["ab3X"] if "ab3X" in first else [])
+    text = "".join(f'pwd = pwd + "k{i}X"\n' for i in range(5000))
+    assert len(S.scan(text)) == 5001  # each literal and the first, unknown name
+
+
 def test_long_hostile_texts_are_linear():
     for t in ("token" + " " * 300000, 'a="' * 100000, "key='" * 50000, "a: " * 200000, "password=" * 50000,
               "pass:" + "x." * 200000, "+a" * 200000 + "pass=", "pwd: str=" * 50000, "key" + " =" + " " * 300000,

@@ -18,7 +18,6 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter
-from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -31,9 +30,8 @@ from tidepool.llm.common import map_texts
 KINDS = ("assign", "access", "hex", "lexed")
 #: A lexed literal's score must reach this.
 MIN_SCORE = 0.5
-#: A name is followed while the constant it helps to build has so many characters
-#: (x = x + x, again and again, would double for ever).
-FOLLOWED = 65536
+#: Counts of a constant are scaled down beyond so many bits (x = x + x doubles them).
+COUNT_BITS = 512
 #: First characters of a constant that are kept; longer than every placeholder word.
 HEAD = 16
 
@@ -101,23 +99,49 @@ def name_weight(name: str) -> float:
     return max((SENSITIVE.get(r, SENSITIVE.get(r.rstrip("s"), 0.0)) for r in runs), default=0.0)
 
 
-class Constant(NamedTuple):
-    """What a right-hand side stands for, as far as its weight needs it."""
+class Constant:
+    """What a right-hand side stands for, as far as its weight needs it: length and
+    character counts (in units of 2 ** scale), both ends, and where its literals are
+    (its own place, or those of its parts, which constants share)."""
 
-    n: int = 0
-    counts: Counter = Counter()
-    head: str = ""  # the first HEAD characters
-    last: str = ""
-    places: tuple = ()
+    __slots__ = ("n", "counts", "head", "last", "place", "parts", "scale", "told")
+
+    def __init__(self, n: int, counts: Counter, head: str, last: str, place: tuple | None = None, parts: tuple = (),
+                 scale: int = 0):
+        self.n, self.counts, self.head, self.last = n, counts, head, last
+        self.place, self.parts, self.scale, self.told = place, parts, scale, False
 
     @classmethod
-    def of(cls, text: str, start: int, end: int) -> Constant:
-        return cls(end - start, Counter(text[start:end]), text[start:min(end, start + HEAD)], text[max(start, end - 1):end],
-                   ((start, end),))
+    def of(cls, text: str, start: int, end: int, counts: Counter | None = None) -> Constant:
+        counts = Counter(text[start:end]) if counts is None else counts
+        return cls(end - start, counts, text[start:min(end, start + HEAD)], text[max(start, end - 1):end], (start, end))
 
     def __add__(self, other: Constant) -> Constant:
-        return Constant(self.n + other.n, self.counts + other.counts, (self.head + other.head)[:HEAD],
-                        other.last or self.last, self.places + other.places)
+        if not self.n or not other.n:
+            return self if self.n else other
+        scale = max(self.scale, other.scale)
+        counts = _scaled(self.counts, scale - self.scale) + _scaled(other.counts, scale - other.scale)
+        n = sum(counts.values())
+        if n.bit_length() > COUNT_BITS:
+            counts, scale = _scaled(counts, COUNT_BITS // 2), scale + COUNT_BITS // 2
+            n = sum(counts.values())
+        head = self.head if len(self.head) == HEAD else (self.head + other.head)[:HEAD]
+        return Constant(n, counts, head, other.last, None, (self, other), scale)
+
+    def tell(self, out: set) -> None:
+        """Add its places to ``out``; those told before are there already."""
+        todo = [self]
+        while todo:
+            value = todo.pop()
+            if not value.told:
+                value.told = True
+                if value.place:
+                    out.add((*value.place, "lexed"))
+                todo += value.parts
+
+
+def _scaled(counts: Counter, bits: int) -> Counter:
+    return Counter({c: max(1, k >> bits) for c, k in counts.items()}) if bits else counts
 
 
 def literal_weight(value: Constant) -> float:
@@ -200,7 +224,7 @@ def lexed_spans(text: str) -> list[tuple[int, int, str]]:
         known.update(dict.fromkeys(names, value))
         weight = max(map(name_weight, names))
         if weight and weight * literal_weight(value) >= MIN_SCORE:
-            out.update((a, b, "lexed") for a, b in value.places)
+            value.tell(out)
     return list(out)
 
 
@@ -211,7 +235,7 @@ class _Run:
     def __init__(self):
         self.at = self.end = self.stop = 0
         self.counts: Counter = Counter()
-        self.tail = Constant()
+        self.tail = Constant.of("", 0, 0)
 
     def open(self, text: str, at: int, end: int, tail: Constant) -> None:
         self.at, self.end, self.tail = at, end, tail
@@ -222,8 +246,7 @@ class _Run:
         stop = max(at, self.stop)
         self.counts -= Counter(text[self.at:min(at, self.stop)])
         self.at = at
-        return Constant(stop - at, self.counts.copy(), text[at:min(stop, at + HEAD)], text[max(at, stop - 1):stop],
-                        ((at, stop),)) + self.tail
+        return Constant.of(text, at, stop, self.counts.copy()) + self.tail
 
 
 def _evaluate(text: str, at: int, known: dict, run: _Run) -> Constant | None:
@@ -234,11 +257,11 @@ def _evaluate(text: str, at: int, known: dict, run: _Run) -> Constant | None:
     if first is None:
         return None
     end = first.end()
-    tail = Constant()
+    tail = Constant.of("", 0, 0)
     for p in _PART.finditer(text, end, _TAIL.match(text, end).end()):
-        tail = _followed(tail, _part(text, p, known), text, p)
+        tail += _part(text, p, known)
     if first[0][0] in "\"'" or first[0].strip("${}").rstrip(".") in known or first.re is _QUOTED:
-        return _followed(_part(text, first, known), tail, text, first)
+        return _part(text, first, known) + tail
     run.open(text, at, end, tail)
     return run.rest(text, at)
 
@@ -250,11 +273,6 @@ def _part(text: str, p: re.Match, known: dict) -> Constant:
     return known[name] if name in known else Constant.of(text, p.start(), p.start() + len(p[0].rstrip(".:!?")))
 
 
-def _followed(value: Constant, more: Constant, text: str, p: re.Match) -> Constant:
-    """Both as one; beyond FOLLOWED the name itself stands for what it holds."""
-    return value + (more if value.n + more.n <= FOLLOWED else Constant.of(text, *p.span()))
-
-
 def scan(text: str | None) -> list[tuple[int, int, str]]:
     """All spans (start, end, kind), by start, then kind as in KINDS, then end."""
     text = text or ""

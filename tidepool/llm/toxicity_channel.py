@@ -108,12 +108,19 @@ class Channel:
         cost = self._flat
         # state: the last two codes -> (cost, text as linked parts)
         beam: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-        for i, end in _runs(word):
-            c, n = word[i], end - i
+        at = 0
+        while at < len(word):
+            if len(beam) == 1 and (m := _STRETCH.match(word, at)) and m[0].isalpha():
+                # One path and one reading: what it costs is the same for every end.
+                ((state, (so_far, parts)),) = beam.items()
+                x, y = (*state, *[code_of(ch) for ch in m[0][-2:]])[-2:]
+                beam, at = {(x, y): (so_far, (parts, m[0]))}, m.end()
+                continue
+            i, at = at, _RUN.match(word, at).end()
+            c, n, end = word[i], at - i, at
             new: dict[tuple[int, int], tuple[float, tuple]] = {}
-            readings = _edge_readings(c, n, i < left) if i < left or end > len(word) - right else _readings(c, n)
-            for text, price in readings:
-                zs = [code_of(ch) for ch in text]
+            edge = 1 if i < left else 2 if end > len(word) - right else 0
+            for text, price, zs in _options(c, n, edge):
                 for (a, b), (so_far, parts) in beam.items():
                     total, x, y = so_far + price, a, b
                     for z in zs:
@@ -137,6 +144,11 @@ def code_of(ch: str) -> int:
     return int(_CODE[point]) if point < 0x250 else OTHER
 
 
+_RUN = re.compile(r"(.)\1*", re.DOTALL)
+#: Letters of which none stands twice.
+_STRETCH = re.compile(r"(?:([^\W\d_])(?!\1))+")
+
+
 def _runs(word: str) -> list[tuple[int, int]]:
     out, i = [], 0
     while i < len(word):
@@ -176,6 +188,13 @@ def _edge_readings(c: str, n: int, front: bool) -> list[tuple[str, float]]:
     return [*letters, ("", C_DROP_SEP if plain else C_DROP_EDGE.get(c, C_DROP_SEP))]
 
 
+@lru_cache(4096)
+def _options(c: str, n: int, edge: int) -> list[tuple[str, float, list[int]]]:
+    """The readings of a run inside (0), at the front (1) or at the end (2), with codes."""
+    readings = _edge_readings(c, n, edge == 1) if edge else _readings(c, n)
+    return [(text, price, [code_of(ch) for ch in text]) for text, price in readings]
+
+
 _TRIM_LEFT = " \t\n\r\v\f\"'([{<#*-.,;:~_`>|"
 _TRIM_RIGHT = " \t\n\r\v\f\"')]}>.,;:!?#*-%&$+~_`|"
 _TWICE = re.compile(r"([^\W\d_])\1")
@@ -187,6 +206,8 @@ def core_and_edges(word: str) -> tuple[str, int, int]:
     """A lower-case word without what surrounds it, and how many signs at its front
     and at its end may be letters of it: those beside it that imitate letters and
     are no pair around it."""
+    if word.isalpha():
+        return word, 0, 0
     rest = word.lstrip(_TRIM_LEFT)
     core = rest.rstrip(_TRIM_RIGHT)
     if not core:
@@ -231,18 +252,22 @@ class Reader:
         self.read = PieceCache(self.forms, limit=50_000)
 
     def _plain(self, word: str) -> tuple[str, ...]:
-        core, left, right = core_and_edges(word.lower())
-        if not core:
-            return ()
-        if in_disguise(core):
-            return tuple(self.channel.restore(core, left, right).split())
-        return (core[left:len(core) - right],)
+        return self._both(word)[0]
 
     def forms(self, word: str) -> tuple[str, ...]:
         """The restored words and, where it differs, the word as written without edge
         signs: a doubled letter or a digit may well be meant (good, 1990s)."""
+        plain, written = self._both(word)
+        return plain if not written or written in plain else (*plain, written)
+
+    def _both(self, word: str) -> tuple[tuple[str, ...], str]:
         core, left, right = core_and_edges(word.lower())
-        return tuple(dict.fromkeys([*self._plain(word), *([core[left:len(core) - right]] if core else [])]))
+        if not core:
+            return (), ""
+        written = core[left:len(core) - right]
+        if in_disguise(core):
+            return tuple(self.channel.restore(core, left, right).split()), written
+        return (written,), written
 
     def spaced(self, text: str) -> list[str]:
         """Restored words of letters spaced out over several words of the text."""

@@ -132,7 +132,7 @@ def near_dup_members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     for its text in ``near_dup_pairs`` (the smallest id of the exact copies; null
     for a null text, which is in no pair).
 
-    Hashes travel, not texts; a hot text is a skewed side that AQE splits.
+    Hashes travel, not texts; a hot text is a skewed side that AQE splits once it is large.
     """
     rows = docs.select(F.col(id_col), sha256_hex(text_col).alias("__hash"))
     reps = rows.where(F.col("__hash").isNotNull()).groupBy("__hash").agg(F.min(id_col).alias("rep"))

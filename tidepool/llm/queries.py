@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm import (
-    ann_rpforest, bpe_forced, license_positional, mixing, secret_lexer, simhash_vptree, token_counts, token_frames,
+    ann_rpforest, bpe_forced, decontaminate_prefix, license_positional, mixing, secret_lexer, simhash_vptree, token_counts, token_frames,
     topk_branch_bound, toxicity_channel)
 from tidepool.llm.common import table
 from tidepool.session import shared_dir
@@ -63,10 +63,16 @@ def op10_branch_bound_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_branch_bound.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_decontaminate_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate_prefix.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return decontaminate_prefix.digests(found)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_simhash_near_dedup, op2_secret_spans, op3_toxicity_scores, op4_bpe_round_trip, op5_mix_to_targets,
-        op6_rp_forest_neighbours, op7_license_labels, op8_token_counts, op9_token_files, op10_branch_bound_top_k)}
+        op6_rp_forest_neighbours, op7_license_labels, op8_token_counts, op9_token_files, op10_branch_bound_top_k,
+        op11_decontaminate_items)}
 
 ORACLES: dict[str, str] = {
     "op10_branch_bound_top_k": """
@@ -84,4 +90,28 @@ ORACLES: dict[str, str] = {
             SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
             FROM pairs)
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op11_decontaminate_items": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (
+            SELECT item_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        iw AS (
+            SELECT DISTINCT item_id, least(10, len(w)) AS n, list_slice(w, i, i + least(10, len(w)) - 1) AS win
+            FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
+        dw AS (
+            SELECT r, n, i, list_slice(w, i, i + n - 1) AS win
+            FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i
+                  FROM d CROSS JOIN (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+        hit AS (SELECT r, i, dw.n, item_id FROM dw JOIN iw USING (win)),
+        words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r),
+        items AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+                  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item_id FROM hit WHERE item_id IS NOT NULL) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+               CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
 }

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm import (
-    ann_rpforest, bpe_forced, decontaminate_prefix, license_positional, mixing, secret_lexer, simhash_vptree, token_counts, token_frames,
-    topk_branch_bound, toxicity_channel)
+    ann_rpforest, bpe_forced, decontaminate_prefix, license_positional, merkle_witness, mixing,
+    secret_lexer, simhash_vptree, token_counts, token_frames, topk_branch_bound, toxicity_channel)
 from tidepool.llm.common import table
 from tidepool.session import shared_dir
 
@@ -68,11 +68,19 @@ def op11_decontaminate_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate_prefix.digests(found)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    one_more = [F.col(f).cast("decimal(38,0)") + 1 if f == "n_chars" else F.col(f) for f in merkle_witness.FIELDS]
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    manifest = merkle_witness.build(docs, carried={"now": F.when(touched, merkle_witness.leaf_digest(one_more))})
+    return merkle_witness.audited(manifest.witnesses(), "now")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_simhash_near_dedup, op2_secret_spans, op3_toxicity_scores, op4_bpe_round_trip, op5_mix_to_targets,
         op6_rp_forest_neighbours, op7_license_labels, op8_token_counts, op9_token_files, op10_branch_bound_top_k,
-        op11_decontaminate_items)}
+        op11_decontaminate_items, op12_merkle_manifest)}
 
 ORACLES: dict[str, str] = {
     "op10_branch_bound_top_k": """
@@ -114,4 +122,57 @@ ORACLES: dict[str, str] = {
                CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
+    "op12_merkle_manifest": """
+        WITH RECURSIVE docs AS (
+            SELECT row_number() OVER () AS r, *, CASE WHEN doc_id IS NULL THEN FALSE ELSE xor(4294967295, list_reduce(
+                list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(
+                    string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+                lambda a, x: CASE WHEN x >= 0 THEN xor(a, x)
+                                  ELSE xor(a // 2, CASE WHEN a % 2 = 1 THEN 3988292384 ELSE 0 END) END)) % 7 = 0 END AS touched
+            FROM documents),
+        fields AS (
+            SELECT r, doc_id, lang,
+                coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-')
+                    || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+                coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS n_then,
+                CAST(CAST(n_chars AS HUGEINT) + CASE WHEN touched THEN 1 ELSE 0 END AS VARCHAR) AS n_now,
+                coalesce(strlen(text) || ':' || text, '-') AS z
+            FROM docs),
+        leaves AS (
+            SELECT r, doc_id, lang, sha256(a || n_then || z) AS leaf,
+                   sha256(a || coalesce(strlen(n_now) || ':' || n_now, '-') || z) AS now FROM fields),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+                   count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+        tree(lang, level, idx, n, d) AS (
+            SELECT lang, 0, idx, n, leaf FROM ranked
+            UNION ALL
+            SELECT lang, level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY idx)) FROM tree
+            WHERE n > 1 GROUP BY lang, level, idx // 2, n),
+        subs AS (
+            SELECT lang, d, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM tree WHERE n = 1),
+        top(level, idx, n, d) AS (
+            SELECT 0, idx, n, d FROM subs
+            UNION ALL
+            SELECT level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY idx)) FROM top
+            WHERE n > 1 GROUP BY level, idx // 2, n),
+        path AS (
+            SELECT k.r, l.level, k.idx // CAST(power(2, l.level) AS BIGINT) % 2 AS side, t.d
+            FROM ranked k JOIN (SELECT DISTINCT lang, level FROM tree WHERE n > 1) l ON l.lang IS NOT DISTINCT FROM k.lang
+            LEFT JOIN tree t ON t.lang IS NOT DISTINCT FROM k.lang AND t.level = l.level
+                AND t.idx = xor(k.idx // CAST(power(2, l.level) AS BIGINT), 1)
+            UNION ALL
+            SELECT k.r, 1000 + l.level, s.idx // CAST(power(2, l.level) AS BIGINT) % 2, t.d
+            FROM ranked k JOIN subs s ON s.lang IS NOT DISTINCT FROM k.lang CROSS JOIN (SELECT DISTINCT level FROM top WHERE n > 1) l
+            LEFT JOIN top t ON t.level = l.level AND t.idx = xor(s.idx // CAST(power(2, l.level) AS BIGINT), 1)),
+        steps AS (
+            SELECT r, string_agg(d, '' ORDER BY level) AS proof,
+                   list(CASE WHEN d IS NULL THEN '-' WHEN side = 1 THEN '<' || d ELSE '>' || d END ORDER BY level) AS s
+            FROM path GROUP BY r),
+        folded AS (
+            SELECT k.r, k.doc_id, k.leaf, s.d AS subroot, (SELECT d FROM top WHERE n = 1) AS root, sha256(coalesce(p.proof, '')) AS proof_sha256,
+                list_reduce(list_concat([k.now], coalesce(p.s, [])),
+                    lambda a, x: CASE x[1] WHEN '<' THEN sha256(x[2:] || a) WHEN '>' THEN sha256(a || x[2:]) ELSE sha256(a) END) AS folded_root
+            FROM ranked k JOIN subs s ON s.lang IS NOT DISTINCT FROM k.lang LEFT JOIN steps p USING (r))
+        SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded""",
 }

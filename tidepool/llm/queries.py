@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm import (
-    ann_rpforest, bpe_forced, decontaminate_prefix, license_positional, merkle_witness, mixing,
+    ann_rpforest, bpe_forced, decontaminate_prefix, divergence_bitmaps, license_positional, merkle_witness, mixing,
     secret_lexer, simhash_vptree, token_counts, token_frames, topk_branch_bound, toxicity_channel)
 from tidepool.llm.common import table
 from tidepool.session import shared_dir
@@ -76,11 +76,15 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_witness.audited(manifest.witnesses(), "now")
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_bitmaps.audit(table(spark, sf_dir, "documents"), min_docs=10, top=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_simhash_near_dedup, op2_secret_spans, op3_toxicity_scores, op4_bpe_round_trip, op5_mix_to_targets,
         op6_rp_forest_neighbours, op7_license_labels, op8_token_counts, op9_token_files, op10_branch_bound_top_k,
-        op11_decontaminate_items, op12_merkle_manifest)}
+        op11_decontaminate_items, op12_merkle_manifest, op13_source_divergence)}
 
 ORACLES: dict[str, str] = {
     "op10_branch_bound_top_k": """
@@ -175,4 +179,35 @@ ORACLES: dict[str, str] = {
                     lambda a, x: CASE x[1] WHEN '<' THEN sha256(x[2:] || a) WHEN '>' THEN sha256(a || x[2:]) ELSE sha256(a) END) AS folded_root
             FROM ranked k JOIN subs s ON s.lang IS NOT DISTINCT FROM k.lang LEFT JOIN steps p USING (r))
         SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded""",
+    "op13_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        occ AS (SELECT r, lang, source, term, count(*) AS c FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+        vocab AS (SELECT lang, term, sum(c) AS c FROM occ GROUP BY lang, term HAVING count(*) >= 10),
+        sizes AS (SELECT lang, count(*) AS v, sum(c) AS n FROM vocab GROUP BY lang),
+        held AS (SELECT lang, source, term, sum(o.c) AS c FROM occ o JOIN vocab USING (lang, term) GROUP BY lang, source, term),
+        sums AS (SELECT lang, source, sum(c) AS n FROM held GROUP BY lang, source),
+        groups AS (SELECT DISTINCT lang, source FROM d),
+        p AS (
+            SELECT g.lang, g.source, t.term, coalesce(h.c, 0) AS c,
+                   1 + (1000000000 * CAST(coalesce(h.c, 0) + 2 AS HUGEINT)) // (coalesce(s.n, 0) + 2 * z.v) AS p,
+                   1 + (1000000000 * CAST(t.c + 2 AS HUGEINT)) // (z.n + 2 * z.v) AS q
+            FROM groups g JOIN vocab t USING (lang) JOIN sizes z USING (lang)
+            LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source
+            LEFT JOIN held h ON h.lang = g.lang AND h.source = g.source AND h.term = t.term),
+        pairs AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+            FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY a.lang, a.source, b.source),
+        items AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+            FROM groups a JOIN groups b ON b.lang = a.lang AND b.source <> a.source
+            LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE c > 0 AND p > q),
+        ranked AS (
+            SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+                   CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM items)
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10""",
 }

@@ -21,6 +21,7 @@ The driver sees one row per file (path and counts).
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -35,13 +36,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.byte_bpe import PieceCache, ids_of, load_byte_bpe
+from tidepool.llm.byte_bpe import load_byte_bpe
 from tidepool.llm.common import cut_lineage, id_and_text, shuffle_partitions
 
 # Fixed values of the public seekable zstandard format.
 SEEK_MAGIC, SKIPPABLE_SEEK, SKIPPABLE_DOCS = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 SEEK_ENTRY, SEEK_FOOTER = struct.Struct("<III"), struct.Struct("<IBI")
 SKIPPABLE_HEADER = struct.Struct("<II")
+#: Characters of a run of texts whose unknown pieces are encoded together, and pieces of one call.
+RUN_CHARS, MISSES_AT_ONCE = 2_000_000, 4096
 DOC = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("start", "<u8"), ("n_tokens", "<u8")])
 
 
@@ -139,15 +142,57 @@ class FrameReader:
         return np.concatenate(parts) if len(parts) > 1 else parts[0]
 
 
+class LibraryPieces:
+    """piece -> ids as bytes, by the library.  The unknown pieces of a run of texts are
+    encoded in one call; known ones are kept in two generations of ``limit`` pieces, so
+    frequent pieces stay.  Long pieces hardly repeat and are not kept."""
+
+    def __init__(self, path: str, limit: int = 200_000):
+        from tokenizers import Tokenizer
+
+        self.lib, self.limit = Tokenizer.from_file(path), limit
+        self.held: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def of(self, wanted: set[str]) -> dict[str, bytes]:
+        """All wanted pieces with their ids."""
+        out = {p: ids for p in wanted if (ids := self.held.get(p) or self.old.get(p))}
+        missing = [p for p in wanted if p not in out]
+        for i in range(0, len(missing), MISSES_AT_ONCE):
+            part = missing[i:i + MISSES_AT_ONCE]
+            for p, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False)):
+                ids = e.ids
+                out[p] = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self.held) + len(missing) > self.limit:
+            self.old, self.held = self.held, {}
+        self.held.update((p, out[p]) for p in wanted if len(p) < 100)
+        return out
+
+
 @lru_cache(maxsize=2)
-def _library_pieces(path: str) -> PieceCache:
-    """piece -> ids as bytes, by the library; each distinct piece is encoded once
-    for as long as it stays in the cache."""
-    from tokenizers import Tokenizer
+def _library_pieces(path: str) -> LibraryPieces:
+    # Spark runs a worker per core: the library's own threads would only compete.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return LibraryPieces(path)
+
+
+def encoded(texts: Iterable[str], vocab_path: str) -> Iterator[np.ndarray]:
+    """The ids of each text, a run of about RUN_CHARS characters at a time."""
+    bpe, library = load_byte_bpe(vocab_path), _library_pieces(vocab_path)
+    run, size = [], 0
+
+    def settled() -> Iterator[np.ndarray]:
+        ids = library.of(set().union(*run))
+        for pieces in run:
+            yield np.frombuffer(b"".join([ids[p] for p in pieces]), dtype="<u4")
 
-    lib = Tokenizer.from_file(path)
-    return PieceCache(lambda p: np.array(lib.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes(),
-                      limit=300_000)
+    for text in texts:
+        run.append(bpe.pieces(text))
+        size += len(text)
+        if size > RUN_CHARS:
+            yield from settled()
+            run, size = [], 0
+    yield from settled()
 
 
 def write_token_files(docs: DataFrame, folder: str, vocab_path: str, end_id: int,
@@ -177,13 +222,14 @@ def write_token_files(docs: DataFrame, folder: str, vocab_path: str, end_id: int
         store.create_dir(root, recursive=True)
         name = f"{root}/part-{part:06d}.tokens.zst"
         draft = f"{name}.{task.taskAttemptId()}.draft"
-        bpe, cache, end = load_byte_bpe(vocab_path), _library_pieces(vocab_path), np.array([end_id], "<u4")
+        end = np.array([end_id], "<u4")
         with store.open_output_stream(draft) as out:
             writer = FrameWriter(out, frame_tokens)
             b: pa.RecordBatch | None = first
             while b is not None:
-                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    writer.add(doc_id, np.concatenate([ids_of(cache, bpe.pieces(text or "")), end]))
+                texts = (text or "" for text in b.column(1).to_pylist())
+                for doc_id, ids in zip(b.column(0).to_pylist(), encoded(texts, vocab_path)):
+                    writer.add(doc_id, np.concatenate([ids, end]))
                 b = next(batches, None)
             writer.close()
         store.move(draft, name)

@@ -40,8 +40,18 @@ def test_ordinary_doubled_letters_and_numbers_count_as_written_too(model):
     assert model.reader.forms("moroon!") == ("moron", "moroon") and model.reader.forms("(the)") == ("the",)
 
 
-def test_spaced_letters_are_joined(model):
-    assert "idiot" in model.restored("you i d i o t you").split()
+@pytest.mark.parametrize("spaced", ["i d i o t", "i - d - i - o - t", "i  d  i  o  t", "i\nd\ni\no\nt", "I. d. 1. 0. t"])
+def test_spaced_letters_are_joined(model, spaced):
+    assert "idiot" in model.restored(f"you {spaced} you").split()
+
+
+def test_repeats_are_decoded_as_in_the_whole_word(spark, tables, model):
+    words = {w.lower() for r in tables[0].limit(300).collect() for w in (r.text or "").split()}
+    words = [w for w in words if w.isalpha() and T._REPEAT.search(w)]
+    words += ["aab", "baa", "aa", "aabb", "aaab", "mmoroonn", "xaaay", "iddiot", "moooooooron", "ssttuuppiidd", "ééa"]
+    assert len(words) > 100
+    for w in words:
+        assert model.channel.restore_letters(w) == model.channel.restore(w)
 
 
 def test_viterbi_finds_the_cheapest_reading(model):

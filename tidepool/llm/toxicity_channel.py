@@ -18,8 +18,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
-from collections import Counter
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
 
@@ -56,10 +54,10 @@ C_IMITATE, C_KEEP_SIGN, C_DROP_SEP, C_KEEP_SEP, C_DROP_REPEAT, C_KEEP_TWO = 0.7,
 # there in plain text (a closing ! or a hashtag's # is as cheap as a separator, three
 # or more in a row are an ornament).
 C_DROP_EDGE = {"(": 4.0, "|": 7.0, "#": 4.5, "+": 4.0, "$": 12.0, "*": 3.0}
-#: Cells of the hashed features, features kept, labelled rows fitted on (at most),
-#: labelled rows of class 1 a feature needs.
-CELLS, KEPT, SAMPLE_LABELS, MIN_ROWS = 1 << 20, 4096, 10_000, 4
-PREFIXES = (5, 6, 7)
+#: Features kept, labelled rows fitted on (at most), labelled rows of class 1 a feature needs.
+KEPT, SAMPLE_LABELS, MIN_ROWS = 4096, 10_000, 4
+#: Lengths of the beginnings that are features, and what marks them (no word holds it).
+PREFIXES, START = (5, 6, 7), "\t"
 
 
 def codes(text: str) -> np.ndarray:
@@ -102,6 +100,32 @@ class Channel:
     def _flat(self) -> list[float]:
         return self.cost.ravel().tolist()
 
+    @cached_property
+    def _repeats(self) -> dict[tuple[str, str, int, str], str]:
+        return {}
+
+    def restore_letters(self, word: str) -> str:
+        """restore() of a lower-case word with letters only.  All readings of a repeated
+        letter end in the same state two letters further on, so the best one follows
+        from the two letters before and behind it, and is looked up.  Repeats closer
+        together than that are decoded with the whole word."""
+        out, at, known = [], 0, self._repeats
+        for m in _REPEAT.finditer(word):
+            i, j = m.span()
+            if out and i - at < 2:
+                return self.restore(word)
+            before, behind = word[max(0, i - 2):i], word[j:j + 2]
+            key = (before, word[i], min(j - i, 3), behind)
+            reading = known.get(key)
+            if reading is None:
+                whole = self.restore(before + word[i] * key[2] + behind)
+                reading = whole[len(before):len(whole) - len(behind)]
+                if len(known) < KNOWN_REPEATS:
+                    known[key] = reading
+            out += [word[at:i], reading]
+            at = j
+        return "".join([*out, word[at:]])
+
     def restore(self, word: str, left: int = 0, right: int = 0) -> str:
         """The likeliest plain text of a lower-case string, words split by spaces; of
         its signs the first ``left`` and the last ``right`` are edge signs."""
@@ -145,6 +169,9 @@ def code_of(ch: str) -> int:
 
 
 _RUN = re.compile(r"(.)\1*", re.DOTALL)
+_REPEAT = re.compile(r"([^\W\d_])\1+")
+#: Repeated letters with their neighbours whose reading is kept.
+KNOWN_REPEATS = 200_000
 #: Letters of which none stands twice.
 _STRETCH = re.compile(r"(?:([^\W\d_])(?!\1))+")
 
@@ -199,7 +226,8 @@ _TRIM_LEFT = " \t\n\r\v\f\"'([{<#*-.,;:~_`>|"
 _TRIM_RIGHT = " \t\n\r\v\f\"')]}>.,;:!?#*-%&$+~_`|"
 _TWICE = re.compile(r"([^\W\d_])\1")
 _INSIDE = re.compile(r"[^\W\d_]")
-_SPACED = re.compile(r"(?<!\w)[^\W_][ .\-_*](?:[^\W_][ .\-_*]){1,}[^\W_](?!\w)")
+#: Single letters with one to three signs or white spaces between them.
+_SPACED = re.compile(r"(?<!\w)[^\W_](?:[\s.\-_*]{1,3}[^\W_]){2,}(?!\w)")
 
 
 def core_and_edges(word: str) -> tuple[str, int, int]:
@@ -234,13 +262,9 @@ def in_disguise(core: str) -> bool:
     return _INSIDE.search(core) is not None
 
 
-def cell(feature: str) -> int:
-    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % CELLS
-
-
-def cells_of(plain: str) -> list[int]:
-    """Feature cells of a restored word: itself and its beginnings."""
-    return [cell(plain), *(cell(f"{n}^{plain[:n]}") for n in PREFIXES if len(plain) >= n)]
+def features_of(plain: str) -> list[str]:
+    """Features of a restored word: itself and, each behind a START, its beginnings."""
+    return [plain, *[START + plain[:n] for n in PREFIXES if len(plain) >= n]]
 
 
 class Reader:
@@ -265,24 +289,31 @@ class Reader:
         if not core:
             return (), ""
         written = core[left:len(core) - right]
+        if core.isalpha():
+            return (self.channel.restore_letters(core),) if _TWICE.search(core) else (core,), written
         if in_disguise(core):
             return tuple(self.channel.restore(core, left, right).split()), written
         return (written,), written
 
     def spaced(self, text: str) -> list[str]:
         """Restored words of letters spaced out over several words of the text."""
-        return [w for m in _SPACED.finditer(text) if " " in m[0] for w in self.channel.restore(m[0].lower()).split()]
+        parts = [m[0].lower().split() for m in _SPACED.finditer(text)]
+        return [w for p in parts if len(p) > 1 for w in self.channel.restore(" ".join(p)).split()]
 
 
 @dataclass
 class Model:
+    """``weights``: feature (a word, or START and a beginning) -> weight."""
+
     channel: Channel
     bias: float
-    weights: dict[int, float]
+    weights: dict[str, float]
 
     def __post_init__(self):
         self.reader = Reader(self.channel)
         self.votes = PieceCache(self._vote)
+        self.words = {f: w for f, w in self.weights.items() if not f.startswith(START)}
+        self.starts = {f[1:]: w for f, w in self.weights.items() if f.startswith(START)}
 
     def __getstate__(self):
         return {"channel": self.channel, "bias": self.bias, "weights": self.weights}
@@ -292,11 +323,18 @@ class Model:
         self.__post_init__()
 
     def _weigh(self, plain: str) -> float:
-        get = self.weights.get
-        return sum(get(c, 0.0) for c in cells_of(plain))
+        total, starts = self.words.get(plain, 0.0), self.starts
+        for n in PREFIXES:
+            if len(plain) < n:
+                break
+            total += starts.get(plain[:n], 0.0)
+        return total
 
     def _vote(self, word: str) -> float:
-        return sum(self._weigh(p) for p in self.reader.forms(word))
+        low = word.lower()
+        if low.isalpha() and not _TWICE.search(low):  # one reading, itself
+            return self._weigh(low)
+        return sum([self._weigh(p) for p in self.reader.forms(word)])
 
     def score(self, text: str | None) -> float:
         """Probability of label 1; the bias alone for a text without words."""
@@ -343,16 +381,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in it:
             out = []
             for t in b.column(1).to_pylist():
-                t, seen = t or "", Counter()
+                t, seen = t or "", set()
                 for w in set(t.split()):
                     for p in reader.read[w]:
-                        seen.update(cells_of(p))
+                        seen.update(features_of(p))
                 for p in set(reader.spaced(t)):
-                    seen.update(cells_of(p))
+                    seen.update(features_of(p))
                 out.append(list(seen))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], names=["y", "cells"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], names=["y", "held"])
 
-    seen = cut_lineage(labelled.mapInArrow(features, "y int, cells array<int>"))
+    seen = cut_lineage(labelled.mapInArrow(features, "y int, held array<string>"))
     totals = dict(seen.groupBy("y").count().collect())
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     prior = math.log((n1 + 0.5) / (n0 + 0.5)) if n1 + n0 else -3.0
@@ -361,37 +399,37 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     in1, in0 = F.sum("y"), F.count("*") - F.sum("y")
     odds = F.log((in1 + 0.5) / (n1 - in1 + 0.5)) - F.log((in0 + 0.5) / (n0 - in0 + 0.5))
     spread = F.sqrt(1 / (in1 + 0.5) + 1 / (in0 + 0.5))
-    chosen = (seen.select("y", F.explode("cells").alias("cell")).groupBy("cell")
+    chosen = (seen.select("y", F.explode("held").alias("feature")).groupBy("feature")
               .agg(in1.alias("in1"), (odds / spread).alias("z"))
               .where((F.col("in1") >= MIN_ROWS) & (F.col("z") > 3))
-              .orderBy(F.col("z").desc(), "cell").limit(KEPT).collect())
+              .orderBy(F.col("z").desc(), "feature").limit(KEPT).collect())
     if not chosen:
         return Model(channel, prior, {})
-    cells = [r.cell for r in chosen]
-    keep = F.array_intersect("cells", F.array(*[F.lit(c) for c in cells])).alias("cells")
-    sample = seen.select("y", keep).collect()  # at most sample_labels rows of few cells
-    return Model(channel, *_fit(cells, sample, prior))
+    names = [r.feature for r in chosen]
+    keep = F.array_intersect("held", F.array(*[F.lit(f) for f in names])).alias("held")
+    sample = seen.select("y", keep).collect()  # at most sample_labels rows of few features
+    return Model(channel, *_fit(names, sample, prior))
 
 
-def _fit(cells: list[int], sample: list, prior: float) -> tuple[float, dict[int, float]]:
-    """Logistic regression on the chosen cells with an L2 penalty, by gradient
+def _fit(names: list[str], sample: list, prior: float) -> tuple[float, dict[str, float]]:
+    """Logistic regression on the chosen features with an L2 penalty, by gradient
     descent with momentum; deterministic."""
-    column = {c: i for i, c in enumerate(cells)}
+    column = {f: i for i, f in enumerate(names)}
     rows, cols, y = [], [], np.array([r.y for r in sample], dtype=np.float64)
     for i, r in enumerate(sample):
-        rows += [i] * len(r.cells)
-        cols += [column[c] for c in r.cells]
+        rows += [i] * len(r.held)
+        cols += [column[f] for f in sorted(r.held)]
     rows, cols = np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64)
-    w, b, vw, vb = np.zeros(len(cells)), prior, np.zeros(len(cells)), 0.0
-    # Scale by how often a cell stands, so rare and frequent ones learn alike.
-    rate = 0.5 / np.sqrt(np.bincount(cols, minlength=len(cells)) + 1.0)
+    w, b, vw, vb = np.zeros(len(names)), prior, np.zeros(len(names)), 0.0
+    # Scale by how often a feature stands, so rare and frequent ones learn alike.
+    rate = 0.5 / np.sqrt(np.bincount(cols, minlength=len(names)) + 1.0)
     for _ in range(400):
         p = 1 / (1 + np.exp(-np.clip(b + np.bincount(rows, w[cols], minlength=len(y)), -30, 30)))
         err = p - y
-        vw = 0.9 * vw - rate * (np.bincount(cols, err[rows], minlength=len(cells)) * 0.1 + 0.02 * w)
+        vw = 0.9 * vw - rate * (np.bincount(cols, err[rows], minlength=len(names)) * 0.1 + 0.02 * w)
         vb = 0.9 * vb - 0.05 * err.mean() * 10
         w, b = w + vw, b + vb
-    return float(b), {c: float(x) for c, x in zip(cells, w) if abs(x) > 1e-6}
+    return float(b), {f: float(x) for f, x in zip(names, w) if abs(x) > 1e-6}
 
 
 def score_column(text: Column, model: Model) -> Column:

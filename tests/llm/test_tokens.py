@@ -62,6 +62,26 @@ def test_counter_equals_library_with_small_tables():
     assert counter.count(texts[:9]).tolist() == [len(ids_of(t)) for t in texts[:9]]   # and again
 
 
+def test_counter_keeps_no_long_pieces():
+    counter = token_counts.RankSyncCounter(load_byte_bpe(PATH))
+    texts = ["x" * 5000 + " ab", "y" * 101, "z" * 100, "a b"]
+    assert counter.count(texts).tolist() == [len(ids_of(t)) for t in texts]
+    assert max(map(len, counter.known)) == 100
+
+
+def test_batches_of_unknown_pieces_equal_the_library(monkeypatch):
+    texts = [*odd_texts(), "", "z" * 300]
+    want = [ids_of(t) for t in texts]
+    monkeypatch.setattr(token_frames, "MISSES_AT_ONCE", 7)
+    for run_chars in (1, 500, 10**7):
+        monkeypatch.setattr(token_frames, "RUN_CHARS", run_chars)
+        token_frames._library_pieces.cache_clear()
+        token_frames._library_pieces(PATH).limit = 40
+        assert [ids.tolist() for ids in token_frames.encoded(texts, PATH)] == want
+        assert len(token_frames._library_pieces(PATH).old) <= max(40, len(token_frames._library_pieces(PATH).held)) + 5000
+    token_frames._library_pieces.cache_clear()
+
+
 def test_piece_cache_is_bounded():
     cache = PieceCache(len, limit=10)
     assert [cache["x" * (i % 37)] for i in range(200)] == [i % 37 for i in range(200)]

@@ -25,8 +25,9 @@ NO_PAIR = np.iinfo(np.int32).max
 
 
 class RankSyncCounter:
-    #: Known pre-tokens kept between batches, and symbols merged at once.
-    KNOWN, SYMBOLS = 400_000, 4_000_000
+    #: Known pre-tokens kept between batches, their length at most (long ones hardly
+    #: repeat), and symbols merged at once.
+    KNOWN, LONG, SYMBOLS = 400_000, 100, 4_000_000
 
     def __init__(self, bpe: ByteBpe):
         self.bpe = bpe
@@ -139,7 +140,11 @@ class RankSyncCounter:
             known.update(zip(ordinary, self.survivors([p.encode("utf-8") for p in ordinary]).tolist()))
         known.update((p, 1) for p in fresh if p in self.bpe.specials)
         get = known.__getitem__
-        return [sum([get(p) for p in t]) for t in texts]
+        counts = [sum([get(p) for p in t]) for t in texts]
+        for p in fresh:
+            if len(p) > self.LONG:
+                del known[p]
+        return counts
 
 
 @lru_cache(maxsize=4)

@@ -43,8 +43,9 @@ from tidepool.llm.common import cut_lineage, id_and_text, shuffle_partitions
 SEEK_MAGIC, SKIPPABLE_SEEK, SKIPPABLE_DOCS = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 SEEK_ENTRY, SEEK_FOOTER = struct.Struct("<III"), struct.Struct("<IBI")
 SKIPPABLE_HEADER = struct.Struct("<II")
-#: Characters of a run of texts whose unknown pieces are encoded together, and pieces of one call.
-RUN_CHARS, MISSES_AT_ONCE = 2_000_000, 4096
+#: Characters of a run of texts whose unknown pieces are encoded together, pieces of one
+#: call, and words of one text of it.
+RUN_CHARS, MISSES_AT_ONCE, JOINED = 4_000_000, 16_384, 50
 DOC = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("start", "<u8"), ("n_tokens", "<u8")])
 
 
@@ -151,23 +152,48 @@ class LibraryPieces:
         from tokenizers import Tokenizer
 
         self.lib, self.limit = Tokenizer.from_file(path), limit
+        self.token_size = np.array([len(t) for t in load_byte_bpe(path).token_bytes])
         self.held: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def of(self, wanted: set[str]) -> dict[str, bytes]:
         """All wanted pieces with their ids."""
-        out = {p: ids for p in wanted if (ids := self.held.get(p) or self.old.get(p))}
-        missing = [p for p in wanted if p not in out]
+        held, old = self.held, self.old
+        out = {p: held[p] for p in wanted & held.keys()}
+        rest = wanted - held.keys()
+        out.update((p, old[p]) for p in rest & old.keys())
+        missing = list(rest - old.keys())
         for i in range(0, len(missing), MISSES_AT_ONCE):
-            part = missing[i:i + MISSES_AT_ONCE]
-            for p, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False)):
-                ids = e.ids
-                out[p] = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self.held) + len(missing) > self.limit:
-            self.old, self.held = self.held, {}
-        self.held.update((p, out[p]) for p in wanted if len(p) < 100)
+            out.update(self._encoded(missing[i:i + MISSES_AT_ONCE]))
+        if len(held) + len(rest) > self.limit:
+            self.old, self.held = held, {}
+            rest = wanted
+        self.held.update((p, out[p]) for p in rest if len(p) < 100)
         return out
 
+    def _encoded(self, missing: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Words behind a space are encoded JOINED at a time, since the library parts them
+        there in any case; the bytes of their tokens tell where each one ends."""
+        words = [p for p in missing if p[0] == " " and p[1:].isalpha()]
+        other = [p for p in missing if not (p[0] == " " and p[1:].isalpha())]
+        for p, e in zip(other, self.lib.encode_batch_fast(other, add_special_tokens=False)):
+            ids = e.ids
+            yield p, struct.pack(f"<{len(ids)}I", *ids)
+        texts = ["".join(words[i:i + JOINED]) for i in range(0, len(words), JOINED)]
+        ids = [np.array(e.ids, "<u4") for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        if not words:
+            return
+        flat = np.concatenate(ids)
+        ends = np.cumsum(self.token_size[flat])
+        stops = np.cumsum([len(p.encode()) for p in words])
+        at = np.searchsorted(ends, stops)
+        if (ends[np.minimum(at, len(ends) - 1)] != stops).any():
+            raise ValueError("a token of the library spans two words")
+        raw, start = flat.tobytes(), 0
+        for p, end in zip(words, ((at + 1) * 4).tolist()):
+            yield p, raw[start:end]
+            start = end
+
 
 @lru_cache(maxsize=2)
 def _library_pieces(path: str) -> LibraryPieces:

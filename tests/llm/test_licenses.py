@@ -27,7 +27,7 @@ def check(rows, texts):
         assert r.base_labels == ",".join(sorted(k for k, p in base.items() if p))
         labels = {t.label for t in (*L.BASE, *L.MORE) if places(words, t.key)}
         assert r.labels == ",".join(sorted(labels))
-        assert 0 <= r.score <= 1 + 1e-9 and (r.score > 0) == bool(labels)
+        assert 0 <= r.score <= 1 and (r.score > 0) == bool(labels)
 
 
 TEXTS = [

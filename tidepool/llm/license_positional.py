@@ -24,7 +24,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between two words: ASCII but for digits and lower-case letters.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 KELVIN = "K"  # the one sign beyond ASCII whose lower case is an ASCII letter
 
 
@@ -76,7 +77,7 @@ def words_of(text: Column) -> Column:
     changes signs beyond ASCII, but none of those becomes an ASCII letter except the
     Kelvin sign, which is therefore replaced by another letter first."""
     plain = F.lower(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit(KELVIN), F.lit("é")))
-    return F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(plain, BETWEEN), "")
 
 
 def document_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> tuple[int, dict[str, int]]:
@@ -159,4 +160,4 @@ def scan(docs: DataFrame, base: tuple[Template, ...] = BASE, more: tuple[Templat
         "doc_id", F.size("words").cast("long").alias("n_words"), F.size(starts).cast("long").alias("n_base"),
         F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
         joined(found[:len(base)]).alias("base_labels"), joined(found).alias("labels"),
-        F.greatest(*[_likeness(t, p, idf) for t, p in zip(templates, at)]).alias("score"))
+        F.least(F.lit(1.0), F.greatest(*[_likeness(t, p, idf) for t, p in zip(templates, at)])).alias("score"))

@@ -123,12 +123,39 @@ def test_full_search_is_exact_with_hot_vector_and_lengths(spark):
     assert lists(out.collect()) == brute(rows, lambda q: q % 9 == 0, 6, dot)
 
 
+def test_every_vector_length_is_searched(spark, monkeypatch):
+    monkeypatch.setattr(A, "QUERY_ROWS", 3)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=2 if i % 7 < 3 else 3).tolist()) for i in range(70)] + [(200, [1.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows, lambda q: q % 20 == 0, 4, dot)
+    got = lists(A.nearest(df, F.col("vec_id") % 20 == 0, 4, search_share=1.0, leaf_sample=4, shard_rows=5).collect())
+    assert got == {q: found for q, found in want.items() if found} and set(want) - set(got) == {200}
+
+
+def test_recall_with_one_vector_in_a_third_of_the_rows(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2000, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(10_001 + i, x[5].tolist()) for i in range(1000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = lists(A.nearest(df, F.col("vec_id") % 20 == 0, 20).collect())
+    ids, every = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    hits = total = 0
+    for q, found in got.items():
+        scores = every @ every[ids == q][0]
+        scores[ids == q] = -INF
+        # copies tie: what counts is how many of the found reach the 20th best score
+        hits += sum(s >= np.sort(scores)[-20] - 1e-9 for s, _ in found)
+        total += 20
+    assert len(got) == 150 and hits / total >= 0.9
+
+
 def test_nearest_edges(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [3.0, -1.0])]
     zero = [(9, [0.0, 0.0]), (10, [1.0, 2.0, 3.0])]
     df = spark.createDataFrame([*rows, *zero, *BAD, (1, [1.0, 2.0])], "vec_id long, embedding array<double>")
     got = lists(A.nearest(df, F.col("vec_id") >= 0, 20, search_share=1.0).collect())
-    assert got == brute(rows, lambda q: True, 20, dot)
+    assert got == brute(rows, lambda q: True, 20, dot)  # 10 is alone in its length
     assert A.nearest(df.where("false"), F.col("vec_id") >= 0, 5).count() == 0
     alone = lists(A.nearest(df.where("vec_id = 0"), F.col("vec_id") >= 0, 5).collect())
     assert alone == {}

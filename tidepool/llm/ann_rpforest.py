@@ -13,7 +13,8 @@ Search: one priority queue per query is shared by all trees.  It always opens th
 branch whose sum of squared distances to the crossed hyperplanes is smallest, until
 the opened leaves hold ``search_share`` of the distinct sample.  The query then
 visits the shards of these leaves, where the leaves' candidates are scored
-exactly; the best k of each task merge into the final k.
+exactly; the best k of each task merge into the final k.  Queries beyond QUERY_ROWS
+are dealt into blocks as well: a task is a block of a shard and a block of queries.
 
 The model (a few thousand hyperplanes at most) is all that travels with the tasks.
 """
@@ -22,17 +23,20 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm.common import cut_lineage
 from tidepool.llm.vectors import Best, best_per_query, matrix, usable
 
 #: Vectors the trees are fitted on (at most), vectors of it in a leaf, trees, the
-#: share of the sample a query's leaves must hold, and index rows of one task.
-SAMPLE_ROWS, LEAF_SAMPLE, TREES, SEARCH_SHARE, SHARD_ROWS = 16384, 32, 4, 0.75, 16384
+#: share of the sample a query's leaves must hold, index rows and queries of one task.
+SAMPLE_ROWS, LEAF_SAMPLE, TREES, SEARCH_SHARE, SHARD_ROWS, QUERY_ROWS = 16384, 32, 4, 0.75, 16384, 16384
+FOUND = "query_id long, query long, vec_id long, score double"
 SEED = 42
 
 
@@ -146,24 +150,43 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id"
 
     ``is_query`` is a condition on column ``vec_id``.  Rows with a null id or with a
     vector that is null, all zero, or holds null or non-finite components take no
-    part, nor do vectors of another length than the most frequent one (ties: the
-    shorter).  A query's own row is every row with its id; rows equal in id and vector
-    count once.  With ``search_share=1`` every leaf is opened and the result is exact.
+    part.  A query's candidates are the vectors of its own length: every length has a
+    forest of its own, over a sample of its distinct vectors.  A query's own row is every
+    row with its id; rows equal in id and vector count once.  With ``search_share=1``
+    every leaf is opened and the result is exact.
     """
     if k < 1 or not 0 < search_share <= 1:
         raise ValueError("k must be 1 or more, search_share above 0 and at most 1")
-    spark = vectors.sparkSession
     rows = usable(vectors, id_col, vec_col)
     square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
     rows = rows.where(F.exists("vec", lambda x: x != 0)).withColumn("query", F.xxhash64("vec_id", "vec"))
-    lengths = rows.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), F.max(square).alias("far")).collect()
-    schema = "query_id long, query long, vec_id long, score double"
-    if not lengths:
-        return best_per_query(spark.createDataFrame([], schema), k)
-    usual = max(lengths, key=lambda r: (r.n, -r.dim))
-    rows = rows.where(F.size("vec") == usual.dim)
-    sample = rows.orderBy("query", "vec_id").limit(sample_rows).select("vec").collect()
-    forest = Forest(np.array([r.vec for r in sample]), float(np.sqrt(usual.far)), trees, leaf_sample)
+    lengths = rows.groupBy(F.size("vec").alias("dim")).agg(
+        F.count("*").alias("n"), F.max(square).alias("far"), F.count_if(is_query).alias("asked")).collect()
+    # Vectors travel in the width they came in; single floats are exact as doubles.
+    kind = vectors.schema[vec_col].dataType.elementType.simpleString()
+    kind = f"array<{'float' if kind == 'float' else 'double'}>"
+    found = [_found(rows.where(F.size("vec") == r.dim), is_query, k, kind, float(np.sqrt(r.far)), r.asked,
+                    trees, leaf_sample, search_share, sample_rows, shard_rows)
+             for r in sorted(lengths, key=lambda r: r.dim) if r.asked]
+    if not found:
+        found = [vectors.sparkSession.createDataFrame([], FOUND)]
+    return best_per_query(reduce(DataFrame.unionAll, found), k)
+
+
+def _distinct_sample(rows: DataFrame, sample_rows: int) -> np.ndarray:
+    """At most sample_rows distinct vectors, those of the smallest hashes; only hashes are
+    shuffled to find them, however often a vector stands in the table."""
+    key = F.xxhash64("vec")
+    few = cut_lineage(rows.select(key.alias("wanted")).distinct().orderBy("wanted").limit(sample_rows))
+    held = rows.select("vec", key.alias("key")).join(F.broadcast(few), F.col("key") == F.col("wanted"), "left_semi")
+    return np.array([r.vec for r in held.groupBy("key").agg(F.min("vec").alias("vec")).orderBy("key").collect()])
+
+
+def _found(rows: DataFrame, is_query: Column, k: int, kind: str, longest: float, n_queries: int, trees: int,
+           leaf_sample: int, search_share: float, sample_rows: int, shard_rows: int) -> DataFrame:
+    """Candidates (FOUND) of the queries among ``rows``, vectors of one length."""
+    forest = Forest(_distinct_sample(rows, sample_rows), longest, trees, leaf_sample)
+    turns = -(-n_queries // QUERY_ROWS)  # blocks of queries; each meets a block of a leaf in a task of its own
 
     def count(it):
         n = np.zeros(len(forest.members), dtype=np.int64)
@@ -182,20 +205,22 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id"
             for t in range(leaves.shape[1]):
                 leaf = leaves[:, t]
                 task = first_task[leaf] + np.arange(len(leaf)) % blocks[leaf]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(task), pa.array(leaf), ids, vec, pa.nulls(len(leaf), pa.int64())],
-                    names=["task", "leaf", "vec_id", "vec", "query"])
+                for turn in range(turns):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(task * turns + turn), pa.array(leaf), ids, vec, pa.nulls(len(leaf), pa.int64())],
+                        names=["task", "leaf", "vec_id", "vec", "query"])
 
     def ask(it):
         for b in it:
             opened = forest.search(matrix(b.column(1)), search_share)
             row = np.repeat(np.arange(len(opened)), [len(o) for o in opened])
             leaf = np.concatenate([np.array(o, dtype=np.int64) for o in opened])
+            turn = (b.column(2).to_numpy() % turns)[row]
             for k_ in range(int(blocks[leaf].max(initial=0))):  # a query meets every block of a leaf
                 on = blocks[leaf] > k_
                 at = pa.array(row[on])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(first_task[leaf[on]] + k_), pa.array(leaf[on]), b.column(0).take(at),
+                    [pa.array((first_task[leaf[on]] + k_) * turns + turn[on]), pa.array(leaf[on]), b.column(0).take(at),
                      b.column(1).take(at), b.column(2).take(at)], names=["task", "leaf", "vec_id", "vec", "query"])
 
     def score(key, part):
@@ -215,15 +240,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id"
         return pa.table({"query_id": pa.array(q_ids[best.q], pa.int64()), "query": pa.array(keys[best.q], pa.int64()),
                          "vec_id": pa.array(best.ids, pa.int64()), "score": pa.array(best.scores, pa.float64())})
 
-    # Vectors travel in the width they came in; single floats are exact as doubles.
-    kind = vectors.schema[vec_col].dataType.elementType.simpleString()
-    kind = f"array<{'float' if kind == 'float' else 'double'}>"
     held = f"task long, leaf long, vec_id long, vec {kind}, query long"
     sent = rows.withColumn("vec", F.col("vec").cast(kind))
     indexed = sent.select("vec_id", "vec").mapInArrow(index, held)
     asked = sent.where(is_query).select("vec_id", "vec", "query").mapInArrow(ask, held)
-    found = indexed.unionByName(asked).groupBy("task").applyInArrow(score, schema)
-    return best_per_query(_once_per_tree(found, trees), k)
+    return _once_per_tree(indexed.unionByName(asked).groupBy("task").applyInArrow(score, FOUND), trees)
 
 
 def _once_per_tree(found: DataFrame, trees: int) -> DataFrame:

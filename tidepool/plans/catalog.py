@@ -779,3 +779,34 @@ def stream_dedup(spark, sf_dir):
     again = ev.where(F.col("event_id") % 200 == 7)
     J.run_rounds(spark, [*_thirds(ev, "event_id"), again], run, batch_fn=J.dedup_batch_fn(spark, run["sink"], "event_id"))
     return _sink(spark, run, "event_id", "user_id", "event_type", "value")
+
+
+@query
+def stream_dedup_bounded(spark, sf_dir):
+    """The month's events in three rounds, with state for two days only.  Each round sends
+    some events again: of its own time, within the watermark, and long behind it; the
+    last one also brings events of the first days that had not arrived yet."""
+    from tidepool.streaming import jobs as J
+    t = Tables(spark, sf_dir)
+    run = J.new_run(spark, "stream_dedup_bounded")
+    ev = t.events.select("event_id", "ts", "user_id", "event_type")
+    missed = (F.col("event_id") % 50 == 3) & (F.dayofmonth("ts") <= 4)
+    third = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2))
+    first, second, last = (ev.where((third == i) & ~missed) for i in range(3))
+    again = ev.where((F.col("event_id") % 200 == 7) & ~missed)
+    J.run_bounded_dedup(spark, [first.unionByName(again.where(third == 0)), second.unionByName(again.where(third <= 1)),
+                                last.unionByName(again).unionByName(ev.where(missed))], run, "event_id", "ts", "2 days")
+    return J.read_deduped(spark, run, ["event_id", "user_id", "event_type"])
+
+
+@query
+def stream_mentions_lookup(spark, sf_dir):
+    """The mentions loop without a state store, with the history read in every round."""
+    from tidepool.streaming import jobs as J
+    t = Tables(spark, sf_dir)
+    run = J.new_run(spark, "stream_mentions_lookup")
+    first, second, third = _thirds(t.mentions, "mention_id")
+    again = first.where(F.col("user_id") % 2 == 0)
+    J.run_rounds(spark, [first, second, third.unionByName(again)], run,
+                 batch_fn=J.mentions_batch_fn(spark, lambda: t.mentions_history, run["sink"]))
+    return _sink(spark, run, "in_reply_to_status_id", "in_reply_to_text_hash", "status")

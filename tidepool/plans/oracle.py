@@ -594,3 +594,5 @@ def _stream_news_sql(n_batches: int = 3) -> str:
 
 
 ORACLES["stream_news"] = _stream_news_sql()
+ORACLES["stream_dedup_bounded"] = "select event_id, user_id, event_type from events"
+ORACLES["stream_mentions_lookup"] = ORACLES["stream_mentions"]

@@ -145,54 +145,54 @@ class FrameReader:
 
 class LibraryPieces:
     """piece -> ids as bytes, by the library.  The unknown pieces of a run of texts are
-    encoded in one call; known ones are kept in two generations of ``limit`` pieces, so
-    frequent pieces stay.  Long pieces hardly repeat and are not kept."""
+    encoded in a few calls; known ones are kept in two generations of about ``limit``
+    pieces, so frequent pieces stay.  Long pieces hardly repeat and go with their run."""
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.lib, self.limit = Tokenizer.from_file(path), limit
         self.token_size = np.array([len(t) for t in load_byte_bpe(path).token_bytes])
         self.held: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.long: list[str] = []
 
     def of(self, wanted: set[str]) -> dict[str, bytes]:
-        """All wanted pieces with their ids."""
+        """A table that has all wanted pieces; it holds until the next call."""
+        for p in self.long:
+            del self.held[p]
+        if len(self.held) > self.limit:
+            self.old, self.held = self.held, {}
         held, old = self.held, self.old
-        out = {p: held[p] for p in wanted & held.keys()}
-        rest = wanted - held.keys()
-        out.update((p, old[p]) for p in rest & old.keys())
-        missing = list(rest - old.keys())
+        rest = wanted.difference(held)
+        kept = {p: old[p] for p in rest if p in old}
+        held.update(kept)
+        missing = list(rest.difference(kept))
+        self.long = [p for p in missing if len(p) >= 100]
         for i in range(0, len(missing), MISSES_AT_ONCE):
-            out.update(self._encoded(missing[i:i + MISSES_AT_ONCE]))
-        if len(held) + len(rest) > self.limit:
-            self.old, self.held = held, {}
-            rest = wanted
-        self.held.update((p, out[p]) for p in rest if len(p) < 100)
-        return out
-
-    def _encoded(self, missing: list[str]) -> Iterator[tuple[str, bytes]]:
+            self._encode(missing[i:i + MISSES_AT_ONCE])
+        return held
+
+    def _encode(self, missing: list[str]) -> None:
         """Words behind a space are encoded JOINED at a time, since the library parts them
         there in any case; the bytes of their tokens tell where each one ends."""
-        words = [p for p in missing if p[0] == " " and p[1:].isalpha()]
-        other = [p for p in missing if not (p[0] == " " and p[1:].isalpha())]
+        words, other = [], []
+        for p in missing:
+            (words if p[0] == " " and p[1:].isalpha() else other).append(p)
         for p, e in zip(other, self.lib.encode_batch_fast(other, add_special_tokens=False)):
             ids = e.ids
-            yield p, struct.pack(f"<{len(ids)}I", *ids)
-        texts = ["".join(words[i:i + JOINED]) for i in range(0, len(words), JOINED)]
-        ids = [np.array(e.ids, "<u4") for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+            self.held[p] = struct.pack(f"<{len(ids)}I", *ids)
         if not words:
             return
-        flat = np.concatenate(ids)
+        texts = ["".join(words[i:i + JOINED]) for i in range(0, len(words), JOINED)]
+        flat = np.array([i for e in self.lib.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], "<u4")
         ends = np.cumsum(self.token_size[flat])
-        stops = np.cumsum([len(p.encode()) for p in words])
+        stops = np.cumsum(np.fromiter(map(len, map(str.encode, words)), np.int64, len(words)))
         at = np.searchsorted(ends, stops)
         if (ends[np.minimum(at, len(ends) - 1)] != stops).any():
             raise ValueError("a token of the library spans two words")
-        raw, start = flat.tobytes(), 0
-        for p, end in zip(words, ((at + 1) * 4).tolist()):
-            yield p, raw[start:end]
-            start = end
+        raw, cuts = flat.tobytes(), [0, *((at + 1) * 4).tolist()]
+        self.held.update(zip(words, map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
 
 
 @lru_cache(maxsize=2)
@@ -208,9 +208,9 @@ def encoded(texts: Iterable[str], vocab_path: str) -> Iterator[np.ndarray]:
     run, size = [], 0
 
     def settled() -> Iterator[np.ndarray]:
-        ids = library.of(set().union(*run))
+        ids_of = library.of(set().union(*run)).__getitem__
         for pieces in run:
-            yield np.frombuffer(b"".join([ids[p] for p in pieces]), dtype="<u4")
+            yield np.frombuffer(b"".join(map(ids_of, pieces)), dtype="<u4")
 
     for text in texts:
         run.append(bpe.pieces(text))

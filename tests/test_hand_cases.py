@@ -35,10 +35,10 @@ def test_clean_post_order(spark):
 def test_hashtag_ratio_boundaries(spark):
     six = "alpha beta gamma delta epsilon zeta"   # 6 words, >= 20 chars, no tag -> 0.6
     five = "alpha beta gamma delta epsilon"       # 5 words -> 0.5, not > 0.5
-    assert abs(one(spark, X.hashtag_ratio, six) - 0.6) < 1e-12
-    assert one(spark, X.hashtag_ratio_ok, six) is True
-    assert one(spark, X.hashtag_ratio_ok, five) is False
-    assert one(spark, X.hashtag_ratio, "short text") is None   # under 20 chars
+    posts = spark.createDataFrame([(1, six), (2, five), (3, "short text"), (4, None)], "post_id long, full_text string")
+    r = {x["post_id"]: x["r"] for x in X.with_hashtag_ratio(posts, "full_text", "r").collect()}
+    assert abs(r[1] - 0.6) < 1e-12 and abs(r[2] - 0.5) < 1e-12 and r[3] is None is r[4]   # 3: under 20 chars
+    assert [x["post_id"] for x in gates.hashtag_ratio_gate(posts).collect()] == [1]
 
 
 def test_shorten_overlong(spark):

@@ -2,6 +2,7 @@
 reference semantics, compared on every row of the small fixture."""
 
 import math
+import random
 import re
 import string
 from collections import Counter
@@ -36,9 +37,31 @@ def py_cos(a, b):
     return 0.0 if not den else num / den
 
 
+def odd_posts(n=400):
+    """Texts of awkward words in awkward white space."""
+    rng = random.Random(11)
+    parts = ["http", "http:", "xhttp://y", "https://a.b/c#d@e", "@", "@bob", "a@b", "#", "#tag", "x#y#z", "$A", "a$", "1", "a1", "a²b",
+             "a٣", "x", "", "été", "日本語", "a①b", "word", "another", "#été", "##t", "http\u3000z", "longer words here"]
+    spaces = [" ", "  ", "\n", "\t ", "\x1c", "\u3000", "\xa0", "\u2028", "\x85"]
+    return [("".join(rng.choice(parts) + rng.choice(spaces) for _ in range(rng.randint(0, 14))),) for _ in range(n)] + [("",)]
+
+
+def py_clean(text):
+    text = re.sub(r"http\S+", "", text)
+    kept = [w for w in text.split() if len(w) > 1 and "$" not in w and not w[1].isdigit()]
+    text = " ".join(w for w in " ".join(kept).split() if "#" not in w)
+    return re.sub(r"\s+", " ", re.sub(r"@\S+", "", text))
+
+
+def test_clean_post_matches_python(spark):
+    posts = Tables(spark, SF_SMALL).posts.select("full_text").unionByName(spark.createDataFrame(odd_posts(), "full_text string"))
+    for row in posts.select("full_text", X.clean_post("full_text").alias("clean")).collect():
+        assert row["clean"] == py_clean(row["full_text"]), row["full_text"]
+
+
 def test_hashtag_ratio_matches_python(spark):
-    posts = Tables(spark, SF_SMALL).posts.select("full_text", X.hashtag_ratio("full_text").alias("r"))
-    for row in posts.collect():
+    posts = Tables(spark, SF_SMALL).posts.select("full_text").unionByName(spark.createDataFrame(odd_posts(), "full_text string"))
+    for row in X.with_hashtag_ratio(posts, "full_text", "r").collect():
         want = py_ratio(row["full_text"])
         assert (want is None and row["r"] is None) or abs(want - row["r"]) < 1e-12
 

@@ -33,8 +33,6 @@ RANDOM_CATEGORY_TERMS = {"Discoveries": ("general", "technology")}
 DEFAULT_CATEGORY = "business"
 # Response length limits per job: posts 280, mentions 280, news 250.
 MAX_LEN_POSTS = 280
-MAX_LEN_MENTIONS = 280
-MAX_LEN_NEWS = 250
 
 
 def _col(c) -> Column:

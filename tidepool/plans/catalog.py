@@ -372,14 +372,13 @@ def snapshot_write(spark, sf_dir):
 def fresh_snapshot(spark, sf_dir):
     """Rows of a snapshot's files that are younger than 5 hours (by file
     modification time) at a given time: the part written before it is stale."""
-    import time
     from tidepool.session import shared_dir
     from tidepool.sources import history as H
     t = Tables(spark, sf_dir)
     path, posts = shared_dir(spark, "snapshot"), t.posts.select("post_id", "lang")
     posts.where(F.col("lang") != "en").withColumn("hashtag", F.lit("stale")).write.parquet(path)
-    time.sleep(1.1)
-    as_of = H.newest_file_time(spark, path) + 0.5 + 5 * 3600
+    as_of = H.newest_file_time(spark, path) + 3600
+    H.set_file_times(spark, path, as_of - 6 * 3600)
     posts.where(F.col("lang") == "en").withColumn("hashtag", F.lit(P.SEARCH_TAG)).write.mode("append").parquet(path)
     return H.fresh_snapshot(spark, path, 5, as_of).select("post_id", "hashtag")
 
@@ -415,6 +414,40 @@ def sync_tables(spark, sf_dir):
     return H.sync_sides(*_sync_copies(Tables(spark, sf_dir)))
 
 
+@query
+def sync_digest(spark, sf_dir):
+    """What each of two large stores lacks, found by their digests: the copies of
+    sync_tables, where only one row in 500 differs."""
+    from tidepool.session import shared_dir
+    from tidepool.sources import history as H
+    t = Tables(spark, sf_dir)
+    one = t.posts.select(F.col("post_id").alias("input_tweet_id"), X.sha256_hex("full_text").alias("input_tweet_hash"),
+                         F.when(F.col("post_id") % 20 != 0, F.lit("ok")).alias("status"))
+    twice = F.when(F.col("input_tweet_id") % 1000 == 7, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    a = one.withColumn("turn", F.explode(twice)).drop("turn").where(F.col("input_tweet_id") % 500 != 3)
+    b = one.where(F.col("input_tweet_id") % 500 != 7)
+    at_a, at_b = shared_dir(spark, "store-a"), shared_dir(spark, "store-b")
+    H.digest_write(a, at_a)
+    H.digest_write(b, at_b)
+    lacks_a, lacks_b = H.sync_digest(spark, at_a, at_b)
+    return lacks_a.withColumn("side", F.lit("a")).unionByName(lacks_b.withColumn("side", F.lit("b")))
+
+
+@query
+def snapshot_cached(spark, sf_dir):
+    """The young snapshot is used as it is; a part that has no snapshot yet is computed."""
+    from tidepool.session import shared_dir
+    from tidepool.sources import history as H
+    t = Tables(spark, sf_dir)
+    path, missing = shared_dir(spark, "snapshot"), shared_dir(spark, "snapshot")
+    posts = t.posts.select("post_id", "lang")
+    posts.where(F.col("lang") == "en").select("post_id", F.lit("cached").alias("hashtag")).write.parquet(path)
+    now = H.newest_file_time(spark, path) + 3600
+    cached = H.snapshot_or_recompute(spark, path, 5, now, lambda: posts.select("post_id"), "fetched")
+    fetched = H.snapshot_or_recompute(spark, missing, 5, now, lambda: posts.where(F.col("lang") != "en").select("post_id"), "fetched")
+    return cached.unionByName(fetched)
+
+
 @query
 def sync_all_tables(spark, sf_dir):
     """Every history table of one store against the other store's: mentions and
@@ -789,7 +822,7 @@ def stream_dedup_bounded(spark, sf_dir):
     from tidepool.streaming import jobs as J
     t = Tables(spark, sf_dir)
     run = J.new_run(spark, "stream_dedup_bounded")
-    ev = t.events.select("event_id", "ts", "user_id", "event_type")
+    ev = t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
     missed = (F.col("event_id") % 50 == 3) & (F.dayofmonth("ts") <= 4)
     third = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2))
     first, second, last = (ev.where((third == i) & ~missed) for i in range(3))

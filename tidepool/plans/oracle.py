@@ -596,3 +596,11 @@ def _stream_news_sql(n_batches: int = 3) -> str:
 ORACLES["stream_news"] = _stream_news_sql()
 ORACLES["stream_dedup_bounded"] = "select event_id, user_id, event_type from events"
 ORACLES["stream_mentions_lookup"] = ORACLES["stream_mentions"]
+_STORE = """select post_id as input_tweet_id, sha256(full_text) as input_tweet_hash,
+  case when post_id % 20 <> 0 then 'ok' end as status from posts"""
+ORACLES["sync_digest"] = with_views("""
+select 'a' as side, * from store where input_tweet_id % 500 = 3
+union all select 'b', * from store where input_tweet_id % 500 = 7
+union all select 'b', * from store where input_tweet_id % 1000 = 7""", "posts", extra={"store": _STORE})
+ORACLES["snapshot_cached"] = with_views(
+    "select post_id, case when lang = 'en' then 'cached' else 'fetched' end as hashtag from posts where lang is not null", "posts")

@@ -29,6 +29,12 @@ HISTORY_FIELDS = {
 }
 
 
+#: Copies of a row that one row of a task stands for while they are made.
+COPY_PIECE = 1 << 16
+#: Folders of a digested store, and parts of a folder with a digest of their own.
+DIGEST_BUCKETS, DIGEST_PARTS = 64, 256
+#: Tasks that write a bucket.
+DIGEST_SALTS = 8
 # Backups are due in the first minutes of every so many hours (UTC).
 BACKUP_MINUTES, BACKUP_HOURS = 2, 8
 
@@ -139,28 +145,52 @@ def fresh_snapshot(spark: SparkSession, path: str, max_age_hours: float,
     return (df.where(F.unix_micros(F.col("_metadata.file_modification_time")) / 1e6 >= cutoff))
 
 
+def file_times(spark: SparkSession, path: str) -> list[float]:
+    """Modification times (epoch seconds) of the data files under a path, from the file
+    system's listing; none if the path is missing or holds no file."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    times, files = [], fs.listFiles(p, True)
+    while files.hasNext():
+        f = files.next()
+        if f.getPath().getName()[0] not in "_.":
+            times.append(f.getModificationTime() / 1000)
+    return times
+
+
+def set_file_times(spark: SparkSession, path: str, epoch: float) -> None:
+    """Give every file under a path this modification time (a part restored from a
+    backup keeps the age it had)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = fs.listFiles(p, True)
+    while files.hasNext():
+        fs.setTimes(files.next().getPath(), int(epoch * 1000), -1)
+
+
 def newest_file_time(spark: SparkSession, path: str) -> float:
-    """Modification time (epoch seconds) of the newest file under a path."""
-    newest = F.max(F.unix_micros(F.col("_metadata.file_modification_time")))
-    return (spark.read.parquet(path).agg(newest).first()[0] or 0) / 1e6
+    """Modification time (epoch seconds) of the newest file under a path, 0 without any."""
+    return max(file_times(spark, path), default=0.0)
 
 
 def snapshot_or_recompute(spark: SparkSession, path: str, max_age_hours: float, as_of_epoch: float,
                           compute: Callable[[], DataFrame], tag: str | None = None) -> DataFrame:
-    """The snapshot if its newest file is young enough; otherwise it is computed
-    anew, written over the old one, and read back."""
-    if newest_file_time(spark, path) < as_of_epoch - max_age_hours * 3600.0:
+    """The snapshot if its newest file is young enough; otherwise, or if there is none
+    yet, it is computed anew, written over the old one, and read back.
+
+    A young snapshot without rows is a snapshot: nothing was found then.  A folder without
+    any file (a write that failed) is none."""
+    times = file_times(spark, path)
+    if not times or max(times) < as_of_epoch - max_age_hours * 3600.0:
         snapshot_write(compute(), path, tag)
     return spark.read.parquet(path)
 
 
-def backup_due(ts: Column) -> Column:
-    """Backups run in the first 3 minutes of every 8th UTC hour."""
-    return (F.minute(ts) <= BACKUP_MINUTES) & (F.hour(ts) % BACKUP_HOURS == 0)
-
-
 def history_backup(df: DataFrame, backup_root: str, as_of: str) -> bool:
-    """Write a full copy under ``snapshot_ts=yyyy_MM_dd_HH_mm`` when due."""
+    """Write a full copy under ``snapshot_ts=yyyy_MM_dd_HH_mm`` when due: in the first
+    minutes of every BACKUP_HOURS-th UTC hour."""
     at = datetime.strptime(as_of, "%Y-%m-%d %H:%M:%S")
     if not (at.minute <= BACKUP_MINUTES and at.hour % BACKUP_HOURS == 0):
         return False
@@ -183,25 +213,39 @@ def sync_counts(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy(*a.columns).agg(F.sum("__a").alias("__a"), F.sum("__b").alias("__b"))
 
 
-def copies_after(own: str, other: str) -> Column:
-    """Copies of a row after synchronising: a side keeps its own; a row it lacks
-    comes over with all its duplicates."""
-    return F.when(F.col(own) > 0, F.col(own)).otherwise(F.col(other))
+def repeated(rows: DataFrame, n_col: str) -> DataFrame:
+    """Each row ``n_col`` times, without that column.  Copies are made a piece of at most
+    COPY_PIECE at a time; the pieces of a much repeated row are dealt to many tasks."""
+    n, piece = F.col(n_col), F.lit(COPY_PIECE)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # pieces are small rows: not to be put together
+    few = rows.where(n <= piece)
+    many = (rows.where(n > piece)
+            .withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / piece))))
+            .withColumn(n_col, F.least(piece, n - F.col("__piece") * piece)).repartition(tasks, "__piece").drop("__piece"))
+    turns = F.explode(F.sequence(F.lit(1).cast("bigint"), n))
+    return few.unionByName(many).withColumn("__i", turns).drop(n_col, "__i")
+
+
+def missing_rows(counts: DataFrame, own: str, other: str, columns: Sequence[str]) -> DataFrame:
+    """Rows that a side lacks, with all the other side's copies."""
+    return repeated(counts.where((F.col(own) == 0) & (F.col(other) > 0)).select(*columns, F.col(other).alias("__n")), "__n")
 
 
 def sync_sides(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Both tables after a two-way sync, in one pass, with a column ``side``."""
-    sides = F.explode(F.create_map(F.lit("a"), copies_after("__a", "__b"), F.lit("b"), copies_after("__b", "__a")))
-    per_side = sync_counts(a, b).select(*a.columns, sides.alias("side", "__n"))
-    return per_side.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("bigint"), "__n"))).drop("__n", "__i")
+    """Both tables after a two-way sync with a column ``side``: a side's own rows as they
+    are, and those it lacked."""
+    counts = sync_counts(a, b)
+    parts = [own.toDF(*a.columns).unionByName(missing_rows(counts, x, y, a.columns)).withColumn("side", F.lit(side))
+             for side, own, x, y in (("a", a, "__a", "__b"), ("b", b, "__b", "__a"))]
+    return parts[0].unionByName(parts[1])
 
 
 def sync_tables(a: DataFrame, b: DataFrame, two_way: bool = True) -> tuple[DataFrame, DataFrame]:
     """New contents of (a, b) after synchronising: b gains a's missing rows,
     and with ``two_way`` a gains b's (both judged against the old tables)."""
-    both = sync_sides(a, b)
-    new_b = both.where("side = 'b'").drop("side").toDF(*b.columns)
-    return (both.where("side = 'a'").drop("side") if two_way else a), new_b
+    counts = sync_counts(a, b)
+    new_b = b.toDF(*a.columns).unionByName(missing_rows(counts, "__b", "__a", a.columns)).toDF(*b.columns)
+    return (a.unionByName(missing_rows(counts, "__a", "__b", a.columns)) if two_way else a), new_b
 
 
 def sync_all(a: dict[str, DataFrame], b: dict[str, DataFrame], two_way: bool = True) \
@@ -209,3 +253,75 @@ def sync_all(a: dict[str, DataFrame], b: dict[str, DataFrame], two_way: bool = T
     """:func:`sync_tables` for every table of ``a``; a table that ``b`` lacks
     starts empty there (as a copy of ``a``'s columns)."""
     return {name: sync_tables(df, b.get(name, df.limit(0)), two_way) for name, df in a.items()}
+
+
+# ---- large stores: digests first, then only what differs -----------------------
+
+def row_hash(columns: Sequence[str]) -> Column:
+    """A row's place in a digested store.  Equal rows hash alike, also with NULLs: each
+    column goes in beside a mark that it is NULL."""
+    return F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
+
+
+def digest_write(df: DataFrame, path: str) -> None:
+    """Store a table for :func:`sync_digest`: rows in ``bucket=`` folders by their hash,
+    sorted by ``__part`` within, and beside them one digest per part that does not depend
+    on the rows' order: their number and two sums over their hashes."""
+    columns = df.columns
+    h = row_hash(columns)
+    placed = df.withColumns({"bucket": F.pmod(h, F.lit(DIGEST_BUCKETS)).cast("int"),
+                             "__part": F.pmod(F.shiftright(h, 20), F.lit(DIGEST_PARTS)).cast("int")})
+    # equal rows share a bucket; the row's number deals them to several tasks all the same
+    (placed.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(DIGEST_SALTS)))
+     .repartition("bucket", "__salt").drop("__salt").sortWithinPartitions("bucket", "__part")
+     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows"))
+    df.limit(0).write.mode("overwrite").parquet(f"{path}/columns")   # a store may be empty
+    digest_of(digest_read(df.sparkSession, path), columns).write.mode("overwrite").parquet(f"{path}/digests")
+
+
+def digest_of(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(bucket, part, n, sum1, sum2), combined map-side; sums are exact decimals."""
+    second = F.xxhash64(F.lit("second"), *[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
+    return rows.groupBy("bucket", F.col("__part").alias("part")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(row_hash(columns).cast("decimal(38,0)")).alias("sum1"),
+        F.sum(second.cast("decimal(38,0)")).alias("sum2"))
+
+
+def digest_read(spark: SparkSession, path: str) -> DataFrame:
+    columns = spark.read.parquet(f"{path}/columns").schema
+    return spark.read.schema(columns.add("bucket", "integer").add("__part", "integer")).parquet(f"{path}/rows")
+
+
+def differing_parts(spark: SparkSession, path_a: str, path_b: str) -> dict[int, list[int]]:
+    """bucket -> parts whose digests differ.  The digest tables hold at most
+    DIGEST_BUCKETS * DIGEST_PARTS rows each, whatever the stores' size; they are compared
+    by bucket first, and only differing buckets are compared by part."""
+    a, b = (spark.read.parquet(f"{p}/digests") for p in (path_a, path_b))
+
+    def whole(d: DataFrame) -> DataFrame:
+        return d.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("n", "sum1", "sum2")])
+
+    def unequal(x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
+        y = y.select(*keys, *[F.col(c).alias(f"{c}_b") for c in ("n", "sum1", "sum2")])
+        same = [F.col(c).eqNullSafe(F.col(f"{c}_b")) for c in ("n", "sum1", "sum2")]
+        return x.join(y, keys, "full").where(~(same[0] & same[1] & same[2])).select(*keys)
+
+    buckets = [r[0] for r in unequal(whole(a), whole(b), ["bucket"]).collect()]
+    out: dict[int, list[int]] = {k: [] for k in buckets}
+    below = [d.where(F.col("bucket").isin(buckets)) for d in (a, b)]
+    for r in unequal(below[0], below[1], ["bucket", "part"]).collect():
+        out[r["bucket"]].append(r["part"])
+    return out
+
+
+def sync_digest(spark: SparkSession, path_a: str, path_b: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that a lacks, rows that b lacks), each with all the other side's copies; own
+    rows plus these are :func:`sync_tables`' result.  Of both stores only the differing
+    buckets' folders are opened, and in them only the differing parts are read."""
+    parts = differing_parts(spark, path_a, path_b)
+    wanted = F.col("bucket").isin(list(parts)) & F.struct("bucket", "__part").isin(
+        [F.struct(F.lit(b).alias("bucket"), F.lit(p).alias("__part")) for b, ps in parts.items() for p in ps])
+    some = sorted({p for ps in parts.values() for p in ps})
+    a, b = (digest_read(spark, p).where(wanted & F.col("__part").isin(some)).drop("bucket", "__part") for p in (path_a, path_b))
+    counts = sync_counts(a, b.select(*a.columns))
+    return missing_rows(counts, "__a", "__b", a.columns), missing_rows(counts, "__b", "__a", a.columns)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tidepool.session import checkpoint_root
 from tidepool.functions import text as X
 
 # Roles of a chat log.
@@ -101,7 +102,9 @@ def topic_fallback(survivors: DataFrame, topic_col: str, requested: str, seed: s
     One partial aggregate over topics, then a semi-join against the chosen
     topic: a global aggregate, so exactly one row (a proven broadcast bound).
     """
-    survivors = survivors.where(F.col(topic_col) != "")   # a post without a tag has no topic
+    # A post without a tag has no topic.  Both branches read what the gates left, once.
+    checkpoint_root(survivors.sparkSession)
+    survivors = survivors.where(F.col(topic_col) != "").checkpoint()
     counts = survivors.groupBy(topic_col).agg(F.count(F.lit(1)).alias("n"))
     order = F.struct((F.col(topic_col) != F.lit(requested)).alias("not_req"),
                      F.md5(F.concat(F.lit(seed + ":"), F.col(topic_col))).alias("h"))

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import sha256_hex, tokens
+from tidepool.operators.classes import components_and_links
 from tidepool.session import checkpoint_root
 
 
@@ -81,7 +82,9 @@ def cosine_pairs(pairs: DataFrame, a_col: str, b_col: str, texts_a: DataFrame,
 
     Only texts that stand in a pair are tokenised; norms come from their own rows.
     """
-    p = pairs.select(F.col(a_col).alias("__a"), F.col(b_col).alias("__b")).distinct()
+    # three branches read the pairs: both sides' texts, and the join that puts them together
+    checkpoint_root(pairs.sparkSession)
+    p = pairs.select(F.col(a_col).alias("__a"), F.col(b_col).alias("__b")).distinct().checkpoint()
 
     def vectors(texts: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
         used = texts.select(F.col(id_col).alias(key), F.col(text_col).alias("__text")).join(
@@ -132,11 +135,37 @@ def near_dup_members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     for its text in ``near_dup_pairs`` (the smallest id of the exact copies; null
     for a null text, which is in no pair).
 
-    Hashes travel, not texts; a hot text is a skewed side that AQE splits once it is large.
+    Hashes travel, not texts.  The representatives are written down first: the join then
+    has two exchanges of its own, and Spark can split the rows of a hot text.
     """
     rows = docs.select(F.col(id_col), sha256_hex(text_col).alias("__hash"))
-    reps = rows.where(F.col("__hash").isNotNull()).groupBy("__hash").agg(F.min(id_col).alias("rep"))
-    return rows.join(reps, "__hash", "left").select(id_col, "rep")
+    checkpoint_root(docs.sparkSession)
+    reps = rows.where(F.col("__hash").isNotNull()).groupBy("__hash").agg(F.min(id_col).alias("rep")).checkpoint()
+    known = rows.where(F.col("__hash").isNotNull()).join(reps, "__hash").select(id_col, "rep")
+    return known.unionByName(rows.where(F.col("__hash").isNull()).select(id_col, F.lit(None).cast(known.schema["rep"].dataType).alias("rep")))
+
+
+def near_dup_classes(docs: DataFrame, id_col: str, text_col: str, min_cos: float) -> DataFrame:
+    """(``id_col``, rep, class, cosine, links), one row per row of ``docs``.
+
+    Two documents are in one class if a chain of ``near_dup_pairs`` leads from one text to
+    the other; ``class`` is its smallest representative.  ``cosine`` is the text's score
+    against the class's text (1.0 for itself; a chain's ends may be below ``min_cos``),
+    ``links`` the number of distinct other texts it is paired with.  The pairs themselves
+    are never written; a null text has no class.
+    """
+    members = near_dup_members(docs, id_col, text_col)
+    pairs = near_dup_pairs(docs, id_col, text_col, min_cos)
+    found = components_and_links(pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))).checkpoint()
+    texts = docs.join(found.select(F.col("node").alias(id_col)), id_col, "left_semi").where(F.col(text_col).isNotNull()) \
+        .groupBy(id_col).agg(F.min(text_col).alias(text_col))
+    scores = cosine_pairs(found.where(F.col("node") != F.col("class")), "node", "class", texts, texts, id_col, text_col, id_col, text_col)
+    linked = found.join(scores, ["node", "class"], "left").select(
+        F.col("node").alias("rep"), "class", "links", F.coalesce("cosine", F.lit(1.0)).alias("cosine")).checkpoint()
+    out = members.join(linked, "rep", "left")
+    alone = F.when(F.col("rep").isNotNull(), F.lit(1.0))
+    return out.select(id_col, "rep", F.coalesce("class", "rep").alias("class"), F.coalesce("cosine", alone).alias("cosine"),
+                      F.when(F.col("rep").isNotNull(), F.coalesce("links", F.lit(0).cast("bigint"))).alias("links"))
 
 
 def near_dup_pairs(docs: DataFrame, id_col: str, text_col: str, min_cos: float,
@@ -190,15 +219,18 @@ def near_dup_pairs(docs: DataFrame, id_col: str, text_col: str, min_cos: float,
     jdf = F.least(F.lit(n_cuts - 1), F.floor(F.log(float(cut_base), F.col("dfreq"))).cast("int"))
     w2 = F.col("w") * F.col("w")
     no_suffix = F.struct(F.lit(1 << 62).cast("bigint").alias("d"), F.lit("").alias("t"))
-    info = (tvd.withColumn("jdf", jdf).groupBy("rep").agg(
-        F.first("norm2").alias("norm2"), F.first("copies").alias("copies"),
-        F.min(F.when(~F.col("in_prefix"), F.struct(F.col("dfreq").alias("d"), F.col("token").alias("t"))))
-        .alias("__g"),
-        F.max(F.when(~F.col("in_prefix"), F.col("rest2") / F.col("norm2"))).alias("__smass"),
-        *[F.sum(F.when(F.col("jdf") >= j, w2).otherwise(F.lit(0.0))).alias(f"__m{j}") for j in range(n_cuts)])
-        .select("rep", "norm2", "copies", F.coalesce("__g", no_suffix).alias("g"),
-                F.coalesce("__smass", F.lit(0.0)).alias("smass"),
-                F.array(*[F.col(f"__m{j}") for j in range(n_cuts)]).alias("beyond")))
+    # first one row per (vector, step of the frequency), then an array per vector
+    step = (tvd.withColumn("jdf", jdf).groupBy("rep", "jdf").agg(
+        F.first("norm2").alias("norm2"), F.first("copies").alias("copies"), F.sum(w2).alias("w2"),
+        F.min(F.when(~F.col("in_prefix"), F.struct(F.col("dfreq").alias("d"), F.col("token").alias("t")))).alias("g"),
+        F.max(F.when(~F.col("in_prefix"), F.col("rest2") / F.col("norm2"))).alias("smass")))
+    mass = F.transform(F.sequence(F.lit(0), F.lit(n_cuts - 1)), lambda j: F.aggregate(
+        "steps", F.lit(0.0), lambda s, x: s + F.when(x["jdf"] >= j, x["w2"]).otherwise(F.lit(0.0))))
+    info = (step.groupBy("rep").agg(
+        F.first("norm2").alias("norm2"), F.first("copies").alias("copies"), F.min("g").alias("g"),
+        F.max("smass").alias("smass"), F.collect_list(F.struct("jdf", "w2")).alias("steps"))   # at most n_cuts
+        .select("rep", "norm2", "copies", F.coalesce("g", no_suffix).alias("g"),
+                F.coalesce("smass", F.lit(0.0)).alias("smass"), mass.alias("beyond")).checkpoint())
     # A hot token's holders are cut into ``k`` blocks by document hash; block i
     # meets block j in a task of its own, so no task pairs more than about
     # ``hot_df`` holders with as many others, however frequent the token.

@@ -632,6 +632,15 @@ def near_dup_members(spark, sf_dir):
     return SIM.near_dup_members(Tables(spark, sf_dir).documents, "doc_id", "text")
 
 
+@query
+def near_dup_classes(spark, sf_dir):
+    """One row per document: its class of near duplicates, the score against the class's
+    text and the number of its links; the pairs are thinned where they are found."""
+    from tidepool.operators import similarity as SIM
+    out = SIM.near_dup_classes(Tables(spark, sf_dir).documents, "doc_id", "text", P.PAIR_MIN_COS)
+    return out.withColumn("cosine", F.round("cosine", 6))
+
+
 # ---- news ---------------------------------------------------------------------
 
 @query

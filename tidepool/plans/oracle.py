@@ -604,3 +604,20 @@ union all select 'b', * from store where input_tweet_id % 500 = 7
 union all select 'b', * from store where input_tweet_id % 1000 = 7""", "posts", extra={"store": _STORE})
 ORACLES["snapshot_cached"] = with_views(
     "select post_id, case when lang = 'en' then 'cached' else 'fetched' end as hashtag from posts where lang is not null", "posts")
+_NEAR = {
+    "reps": "select sha256(text) as h, min(doc_id) as rep, arg_min(text, doc_id) as t from documents where text is not null group by 1",
+    "tv": _tv("rep", "rep", "t", "reps"),
+    "n": "select rep, sum(tf * tf) as n2 from tv group by rep",
+    "d": "select x.rep as a, y.rep as b, sum(x.tf * y.tf) as dot from tv x join tv y on x.tok = y.tok and x.rep <> y.rep group by 1, 2",
+    "s": f"select d.a, d.b, {_cos('d.dot', 'na.n2', 'nb.n2')} as cosine from d join n na on na.rep = d.a join n nb on nb.rep = d.b",
+    "e": f"select a, b from s where cosine >= {P.PAIR_MIN_COS}",
+    "reach": "(select a, a as b from e union select a, b from e) union select r.a, e.b from reach r join e on e.a = r.b",
+    "k": "select a as rep, min(b) as class from reach group by a",
+    "l": "select a as rep, count(*) as links from e group by a"}
+ORACLES["near_dup_classes"] = with_views("""
+select m.doc_id, m.rep, coalesce(k.class, m.rep) as class,
+  round(case when m.rep is null then null when coalesce(k.class, m.rep) = m.rep then 1.0 else coalesce(s.cosine, 0.0) end, 6) as cosine,
+  case when m.rep is not null then coalesce(l.links, 0) end as links
+from (select doc_id, case when text is not null then min(doc_id) over (partition by text) end as rep from documents) m
+left join k on k.rep = m.rep left join l on l.rep = m.rep left join s on s.a = m.rep and s.b = k.class""",
+                                        extra=_NEAR).replace("WITH ", "WITH RECURSIVE ", 1)

@@ -508,6 +508,59 @@ def semi_exists(spark, sf_dir):
     return dedup.semi_exists(c, "full_text_hash", t.replied_tweets, "input_tweet_hash").select("post_id")
 
 
+def _index(spark, history: DataFrame, key):
+    from tidepool.operators.key_index import KeyIndex
+    return KeyIndex(spark).build(history, key)
+
+
+@query
+def anti_seen_hash_indexed(spark, sf_dir):
+    """As anti_seen_hash, against the history's keys as they lie in buckets; half of them
+    were appended later."""
+    t = Tables(spark, sf_dir)
+    c = dedup.with_hash(t.posts, "full_text", "full_text_hash")
+    late = F.pmod(F.xxhash64("input_tweet_hash"), F.lit(2)) == 0
+    index = _index(spark, t.replied_tweets.where(~late), "input_tweet_hash").append(t.replied_tweets, "input_tweet_hash")
+    return index.unseen(c, "full_text_hash").select("post_id")
+
+
+@query
+def anti_seen_news_indexed(spark, sf_dir):
+    """As anti_seen_news, with an index for each of the two keys."""
+    t = Tables(spark, sf_dir)
+    n = dedup.with_hash(t.news, "description", "description_hash")
+    n = _index(spark, t.timeline_posts, "description_hash").unseen(n, "description_hash")
+    return _index(spark, t.timeline_posts, "input_text_url").unseen(n, "url").select("news_id")
+
+
+@query
+def anti_seen_mention_indexed(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    index = _index(spark, t.mentions_history, F.col("in_reply_to_status_id").cast("bigint"))
+    return index.unseen(t.mentions, "mention_id").select("mention_id")
+
+
+@query
+def semi_exists_indexed(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    c = dedup.with_hash(t.posts, "full_text", "full_text_hash")
+    return _index(spark, t.replied_tweets, "input_tweet_hash").seen(c, "full_text_hash").select("post_id")
+
+
+@query
+def phrase_hits(spark, sf_dir):
+    """Posts against a phrase table that grows with the documents (five phrases of two to
+    six words from each): distinct phrases, places, and the first one's position."""
+    from tidepool.operators.phrases import phrase_hits as hits
+    t = Tables(spark, sf_dir)
+    words = X.tokens(F.lower("text"))
+    cuts = [F.array_join(F.slice("w", at, n), " ") for at, n in P.PHRASE_CUTS]
+    phrases = t.documents.select(words.alias("w")).select(F.explode(F.array(*cuts)).alias("phrase"))
+    found = hits(t.posts, "post_id", "full_text", phrases, "phrase")
+    return found.groupBy("post_id").agg(F.count_distinct("phrase").alias("n_phrases"), F.count(F.lit(1)).alias("n_places"),
+                                        F.min("position").cast("bigint").alias("first_position"))
+
+
 @query
 def mention_reply_join(spark, sf_dir):
     from tidepool.operators import replies as RP

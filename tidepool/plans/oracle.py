@@ -621,3 +621,17 @@ select m.doc_id, m.rep, coalesce(k.class, m.rep) as class,
 from (select doc_id, case when text is not null then min(doc_id) over (partition by text) end as rep from documents) m
 left join k on k.rep = m.rep left join l on l.rep = m.rep left join s on s.a = m.rep and s.b = k.class""",
                                         extra=_NEAR).replace("WITH ", "WITH RECURSIVE ", 1)
+for _key in ("anti_seen_hash", "anti_seen_news", "anti_seen_mention", "semi_exists"):
+    ORACLES[f"{_key}_indexed"] = ORACLES[_key]
+
+_LOW = r"regexp_extract_all(lower({0}), '([\p{{L}}\p{{N}}_]+)')"
+ORACLES["phrase_hits"] = with_views("""
+select post_id, count(distinct phrase) as n_phrases, count(*) as n_places, cast(min(pos) as bigint) as first_position
+from grams join phrases using (words) group by post_id""", "posts", extra={
+    "phrases": "select distinct words, array_to_string(words, ' ') as phrase from (" + " union all ".join(
+        f"select list_slice({_LOW.format('text')}, {at}, {at + n - 1}) as words from documents" for at, n in P.PHRASE_CUTS)
+    + ") where len(words) > 0",
+    "lengths": "select distinct len(words) as n from phrases",
+    "tokens": f"select post_id, {_LOW.format('full_text')} as w from posts",
+    "grams": "select post_id, i - 1 as pos, list_slice(w, i, i + n - 1) as words from (select post_id, w, n, "
+             "unnest(range(1, len(w) - n + 2)) as i from tokens cross join lengths where len(w) >= n)"})

@@ -44,3 +44,4 @@ TEMPERATURES = (0.7, 0.8, 0.9, 1.0)
 STREAM_MIN_LEN = 300             # stream_length_gate
 STREAM_BLOCK_WORDS = ("Thheouble",)   # stream_news
 STREAM_MAX_AGE_HOURS = 24 * 15
+PHRASE_CUTS = ((1, 2), (3, 3), (6, 4), (10, 5), (15, 6))   # (first word, words) of a document's phrases

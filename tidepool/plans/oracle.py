@@ -625,13 +625,16 @@ for _key in ("anti_seen_hash", "anti_seen_news", "anti_seen_mention", "semi_exis
     ORACLES[f"{_key}_indexed"] = ORACLES[_key]
 
 _LOW = r"regexp_extract_all(lower({0}), '([\p{{L}}\p{{N}}_]+)')"
+_LONGEST = max(n for _, n in P.PHRASE_CUTS)
 ORACLES["phrase_hits"] = with_views("""
 select post_id, count(distinct phrase) as n_phrases, count(*) as n_places, cast(min(pos) as bigint) as first_position
-from grams join phrases using (words) group by post_id""", "posts", extra={
-    "phrases": "select distinct words, array_to_string(words, ' ') as phrase from (" + " union all ".join(
-        f"select list_slice({_LOW.format('text')}, {at}, {at + n - 1}) as words from documents" for at, n in P.PHRASE_CUTS)
-    + ") where len(words) > 0",
-    "lengths": "select distinct len(words) as n from phrases",
-    "tokens": f"select post_id, {_LOW.format('full_text')} as w from posts",
-    "grams": "select post_id, i - 1 as pos, list_slice(w, i, i + n - 1) as words from (select post_id, w, n, "
-             "unnest(range(1, len(w) - n + 2)) as i from tokens cross join lengths where len(w) >= n)"})
+from grams join phrases using (phrase) group by post_id""", "posts", extra={
+    "phrases": "select distinct phrase from (" + " union all ".join(
+        f"select array_to_string(list_slice({_LOW.format('text')}, {at}, {at + n - 1}), ' ') as phrase from documents"
+        for at, n in P.PHRASE_CUTS) + ") where phrase <> ''",
+    "words": f"select post_id, unnest(w) as w0, generate_subscripts(w, 1) - 1 as pos from "
+             f"(select post_id, {_LOW.format('full_text')} as w from posts)",
+    "ahead": "select post_id, pos, w0" + "".join(f", lead(w0, {i}) over o as w{i}" for i in range(1, _LONGEST))
+             + " from words window o as (partition by post_id order by pos)",
+    "grams": " union all ".join("select post_id, pos, " + " || ' ' || ".join(f"w{i}" for i in range(n)) + " as phrase from ahead"
+                                for n in range(1, _LONGEST + 1))})

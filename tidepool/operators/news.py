@@ -100,10 +100,25 @@ def article_feed_from_pages(pages: DataFrame) -> DataFrame:
     return _articles(_page_fields(pages))
 
 
+def search_feed_from_pages(pages: DataFrame) -> DataFrame:
+    """Fixture: every page as a raw search hit."""
+    return _search_hits(_page_fields(pages))
+
+
+def snippet_feed_from_pages(pages: DataFrame) -> DataFrame:
+    """Fixture: every page as a raw snippet with its age."""
+    return _snippets(_page_fields(pages))
+
+
+def _search_hits(fields: DataFrame) -> DataFrame:
+    return fields.select("url", F.col("para").alias("body"))
+
+
+def _snippets(fields: DataFrame) -> DataFrame:
+    return fields.select(F.col("para").alias("snippet"), F.col("url").alias("link"), F.col("age").alias("date"))
+
+
 def raw_feeds_from_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fixture: three raw feed shapes cut from ``pages`` by ``page_id % 3``."""
     base, p = _page_fields(pages), F.col("page_id")
-    f1 = base.where(p % 3 == 0).select("url", F.col("para").alias("body"))
-    f2 = base.where(p % 3 == 1).select(F.col("para").alias("snippet"), F.col("url").alias("link"),
-                                       F.col("age").alias("date"))
-    return f1, f2, _articles(base.where(p % 3 == 2))
+    return _search_hits(base.where(p % 3 == 0)), _snippets(base.where(p % 3 == 1)), _articles(base.where(p % 3 == 2))

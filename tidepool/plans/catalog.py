@@ -706,18 +706,32 @@ def news_normalized(spark, sf_dir):
                         N.normalize_article_feed(f3, "Finance"))
 
 
+def _feeds(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Every page as a search hit, and as a snippet of a term that its length decides."""
+    from tidepool.operators import news as N
+    pages = Tables(spark, sf_dir).pages
+    terms = F.array(*[F.lit(s) for s in P.SEARCH_TERMS])
+    term = F.element_at(terms, (F.length("snippet") % len(P.SEARCH_TERMS) + 1).cast("int"))
+    return (N.normalize_search_feed(N.search_feed_from_pages(pages), "Finance"),
+            N.normalize_snippet_feed(N.snippet_feed_from_pages(pages), term))
+
+
 @query
 def news_feed_choice(spark, sf_dir):
     """Young snippets of the requested term; it has none, so a seeded other term."""
     from tidepool.operators import news as N
-    f1, f2, _ = N.raw_feeds_from_pages(Tables(spark, sf_dir).pages)
-    terms = F.array(*[F.lit(s) for s in P.SEARCH_TERMS])
-    term = F.element_at(terms, (F.length("snippet") % len(P.SEARCH_TERMS) + 1).cast("int"))
-    chosen = N.choose_feed(N.normalize_search_feed(f1, "Finance"), N.normalize_snippet_feed(f2, term),
-                           P.FALLBACK_TOPIC, P.SEED, max_age_hours=P.NEWS_MAX_AGE_HOURS)
+    chosen = N.choose_feed(*_feeds(spark, sf_dir), P.FALLBACK_TOPIC, P.SEED, max_age_hours=P.NEWS_MAX_AGE_HOURS)
     return chosen.select("feed", "url", "search_term", "age_text", "body_hash")
 
 
+@query
+def news_feed_search(spark, sf_dir):
+    """The other choice of the caller: the search feed, of any age."""
+    from tidepool.operators import news as N
+    chosen = N.choose_feed(*_feeds(spark, sf_dir), "Finance", P.SEED, use_snippets=False)
+    return chosen.select("feed", "url", "search_term", "body_hash")
+
+
 @query
 def news_union(spark, sf_dir):
     """Headlines + articles (UNION ALL: the same article may come twice)."""

@@ -494,8 +494,7 @@ select 'news_snippets' as feed, url, term as search_term, age_text, sha256(para)
 from young where term = (select term from (select distinct term from young)
   order by term <> {q(P.FALLBACK_TOPIC)}, md5({q(P.SEED + ':')} || term) limit 1)""", extra={
     "base": _BASE, "young": f"""select * from (
-  select *, age as age_text, {_TERMS}[cast(length(para) % {len(P.SEARCH_TERMS)} as int) + 1] as term from base
-  where page_id % 3 = 1) where {AGE_MIN} <= {60 * P.NEWS_MAX_AGE_HOURS}"""})
+  select *, age as age_text, {_TERMS}[cast(length(para) % {len(P.SEARCH_TERMS)} as int) + 1] as term from base) where {AGE_MIN} <= {60 * P.NEWS_MAX_AGE_HOURS}"""})
 
 ORACLES["news_union"] = with_views("""
 select 'top_headlines' as feed, url, 'Finance' as search_term, sha256(description) as description_hash
@@ -638,3 +637,5 @@ from grams join phrases using (phrase) group by post_id""", "posts", extra={
              + " from words window o as (partition by post_id order by pos)",
     "grams": " union all ".join("select post_id, pos, " + " || ' ' || ".join(f"w{i}" for i in range(n)) + " as phrase from ahead"
                                 for n in range(1, _LONGEST + 1))})
+ORACLES["news_feed_search"] = with_views(
+    "select 'news_search' as feed, url, 'Finance' as search_term, sha256(para) as body_hash from base", extra={"base": _BASE})

@@ -118,3 +118,20 @@ def test_a_row_repeated_ten_million_times(spark):
     assert rows_of(lacks_a) == [(2, "b")] and lacks_b.count() == n
     per_task = [r[1] for r in lacks_b.groupBy(F.spark_partition_id()).count().collect()]
     assert len(per_task) > 1 and max(per_task) < n / 2
+
+
+def test_latest_of_a_history_by_day(spark):
+    order = [F.col("date").desc(), F.col("k").desc()]
+    rows = spark.range(90).select(F.col("id").alias("k"), F.when(F.col("id") % 30 != 7, F.timestamp_seconds(
+        F.lit(1_700_000_000) + F.floor(F.col("id") / 3) * 86_400)).alias("date"))
+    path = shared_dir(spark, "by-day")
+    assert H.latest_by_day(spark, path, rows.schema, ["k"], 5, order).count() == 0
+    H.write_by_day(rows, path)
+    for n in (1, 3, 7, 50, 88, 200):
+        got = [r["k"] for r in H.latest_by_day(spark, path, rows.schema, ["k"], n, order).collect()]
+        assert got == [r["k"] for r in rows.orderBy(*order).limit(n).collect()]
+    assert H.days_of(spark, path)[-1] is None and len(H.days_of(spark, path)) == 31
+    plan = H.latest_by_day(spark, path, rows.schema, ["k"], 7, order)._jdf.queryExecution().executedPlan().toString()
+    days = plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    newest = H.days_of(spark, path)
+    assert newest[0] in days and newest[3] in days and newest[4] not in days   # four days hold seven rows

@@ -287,6 +287,17 @@ def history_latest(spark, sf_dir):
     return H.latest_records(t.timeline_posts, ["body", "news_id"], P.LATEST_N, latest_order())
 
 
+@query
+def history_latest_pruned(spark, sf_dir):
+    """As history_latest, of a history stored by day: older days are not opened."""
+    from tidepool.session import shared_dir
+    from tidepool.sources import history as H
+    rows = Tables(spark, sf_dir).timeline_posts.select("date", "news_id", "body")
+    path = shared_dir(spark, "history-by-day")
+    H.write_by_day(rows, path)
+    return H.latest_by_day(spark, path, rows.schema, ["body", "news_id"], P.LATEST_N, latest_order())
+
+
 @query
 def history_append(spark, sf_dir):
     """Triage rows written to ``replied_tweets``: aligned by name (unknown

@@ -639,3 +639,4 @@ from grams join phrases using (phrase) group by post_id""", "posts", extra={
                                 for n in range(1, _LONGEST + 1))})
 ORACLES["news_feed_search"] = with_views(
     "select 'news_search' as feed, url, 'Finance' as search_term, sha256(para) as body_hash from base", extra={"base": _BASE})
+ORACLES["history_latest_pruned"] = ORACLES["history_latest"]

@@ -130,6 +130,40 @@ def latest_records(df: DataFrame, columns: Sequence[str], n: int,
     return df.orderBy(*order).limit(n).select(*columns)
 
 
+def write_by_day(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Store a history in ``day=`` folders of its ``date`` (rows without one apart)."""
+    df.withColumn("day", F.to_date("date")).write.mode(mode).partitionBy("day").parquet(path)
+
+
+def days_of(spark: SparkSession, path: str) -> list[str | None]:
+    """The days a history by day has, newest first, None (rows without a date) last; from
+    the folder listing, one name per day."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    days = [n.removeprefix("day=") for n in names if n.startswith("day=")]
+    dated = sorted((d for d in days if not d.startswith("__HIVE")), reverse=True)
+    return [*dated, *[None] * (len(dated) < len(days))]
+
+
+def latest_by_day(spark: SparkSession, path: str, schema: T.StructType, columns: Sequence[str], n: int,
+                  order: Sequence[Column]) -> DataFrame:
+    """:func:`latest_records` of a history by day, by an order that begins with ``date``
+    descending: the newest days are taken, twice as many each time, until they hold ``n``
+    rows (a count from the files' footers); older days are not opened."""
+    days, take = days_of(spark, path), 1
+    if not days:
+        return spark.createDataFrame([], schema).select(*columns)
+    stored = spark.read.schema(T.StructType([*schema.fields, T.StructField("day", T.DateType())])).parquet(path)
+    while True:
+        dated = [d for d in days[:take] if d is not None]
+        known = F.col("day").isin([F.lit(d).cast("date") for d in dated]) if dated else F.lit(False)
+        newest = stored.where(known if None not in days[:take] else known | F.col("day").isNull())
+        if take >= len(days) or newest.count() >= n:
+            return latest_records(newest, columns, n, order)
+        take *= 2
+
+
 def snapshot_write(df: DataFrame, path: str, tag: str | None = None) -> None:
     """Overwrite a snapshot, stamping every row with the searched tag."""
     if tag is not None:

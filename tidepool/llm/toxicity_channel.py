@@ -101,7 +101,7 @@ class Channel:
         return self.cost.ravel().tolist()
 
     @cached_property
-    def _repeats(self) -> dict[tuple[str, str, int, str], str]:
+    def _repeats(self) -> dict[str, str]:
         return {}
 
     def restore_letters(self, word: str) -> str:
@@ -115,10 +115,11 @@ class Channel:
             if out and i - at < 2:
                 return self.restore(word)
             before, behind = word[max(0, i - 2):i], word[j:j + 2]
-            key = (before, word[i], min(j - i, 3), behind)
+            run = word[i] * min(j - i, 3)
+            key = f"{before} {run} {behind}"
             reading = known.get(key)
             if reading is None:
-                whole = self.restore(before + word[i] * key[2] + behind)
+                whole = self.restore(before + run + behind)
                 reading = whole[len(before):len(whole) - len(behind)]
                 if len(known) < KNOWN_REPEATS:
                     known[key] = reading
@@ -171,7 +172,7 @@ def code_of(ch: str) -> int:
 _RUN = re.compile(r"(.)\1*", re.DOTALL)
 _REPEAT = re.compile(r"([^\W\d_])\1+")
 #: Repeated letters with their neighbours whose reading is kept.
-KNOWN_REPEATS = 200_000
+KNOWN_REPEATS = 50_000
 #: Letters of which none stands twice.
 _STRETCH = re.compile(r"(?:([^\W\d_])(?!\1))+")
 

@@ -6,22 +6,29 @@ cut at all such pairs, the fragments are merged independently and the ids are
 concatenated.  The result equals the library's for the same vocabulary file.
 
 The work is one narrow pass over the texts (no shuffle, nothing broadcast but
-the file's path).  A fragment is merged through a heap over a linked list, so a
-very long fragment costs n log n.
+the file's path).  The distinct fragments of a run of texts are merged together,
+as ragged arrays; a long one goes through a heap over a linked list instead, so it
+costs n log n.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidepool.llm.byte_bpe import ByteBpe, PieceCache, ids_of, load_byte_bpe
+from tidepool.llm.byte_bpe import ByteBpe, load_byte_bpe
 from tidepool.llm.common import map_texts
+from tidepool.llm.token_counts import RankSyncCounter
+
+#: Pieces of a generation of the known ones, characters of a run of texts whose unknown
+#: pieces are merged together, pieces merged at once, and bytes of a short fragment.
+KNOWN, RUN_CHARS, MISSES_AT_ONCE, SHORT = 150_000, 2_000_000, 20_000, 64
 
 
 class ForcedBoundaryEncoder:
@@ -34,8 +41,10 @@ class ForcedBoundaryEncoder:
             inside[raw[:-1] * 256 + raw[1:]] = True
         self.joinable = inside
         self._inside = inside.tolist()
-        self.fragments = PieceCache(self._merge, limit=20_000)
-        self.pieces = PieceCache(self._piece)
+        self.arrays = RankSyncCounter(bpe)
+        self.held: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.long: list[str] = []
 
     def cuts(self, raw: bytes) -> list[bytes]:
         """The fragments between certain cuts, in order."""
@@ -47,39 +56,49 @@ class ForcedBoundaryEncoder:
         out.append(raw[start:])
         return out
 
-    def _piece(self, piece: str) -> bytes:
-        special = self.bpe.specials.get(piece)
-        if special is not None:
-            return np.array([special], dtype="<u4").tobytes()
-        parts = self.cuts(piece.encode("utf-8"))
-        if len(parts) == 1:
-            return self._merge(parts[0])
-        get = self.fragments.__getitem__
-        return b"".join([get(p) for p in parts])
+    def table(self, wanted: set[str]) -> dict[str, bytes]:
+        """A table piece -> ids as bytes that has all wanted pieces; it holds until the next
+        call.  Known pieces stay in two generations of about KNOWN, long ones do not."""
+        for p in self.long:
+            del self.held[p]
+        if len(self.held) > KNOWN:
+            self.old, self.held = self.held, {}
+        held, old = self.held, self.old
+        rest = wanted.difference(held)
+        kept = {p: old[p] for p in rest if p in old}
+        held.update(kept)
+        missing = list(rest.difference(kept))
+        self.long = [p for p in missing if len(p) >= 100]
+        for i in range(0, len(missing), MISSES_AT_ONCE):
+            part = missing[i:i + MISSES_AT_ONCE]
+            cut = {p: self.cuts(p.encode("utf-8")) for p in part if p not in self.bpe.specials}
+            ids = self._merge_all(list({f for fragments in cut.values() for f in fragments}))
+            for p in part:
+                fragments = cut.get(p)
+                held[p] = b"".join([ids[f] for f in fragments]) if fragments else \
+                    np.array([self.bpe.specials[p]], dtype="<u4").tobytes()
+        return held
+
+    def _merge_all(self, fragments: list[bytes]) -> dict[bytes, bytes]:
+        """fragment -> ids as bytes."""
+        out = {f: self._merge(f) for f in fragments if len(f) > SHORT}
+        short = [f for f in fragments if len(f) <= SHORT]
+        if not short:
+            return out
+        left: list[tuple[np.ndarray, np.ndarray]] = []
+        counts = self.arrays.survivors(short, left)
+        seq, sym = (np.concatenate(x) for x in zip(*left))
+        raw = sym[np.argsort(seq, kind="stable")].astype("<u4").tobytes()
+        ends = [0, *(np.cumsum(counts) * 4).tolist()]
+        out.update(zip(short, map(raw.__getitem__, map(slice, ends, ends[1:]))))
+        return out
 
     def _merge(self, raw: bytes) -> bytes:
         ids = [self.bpe.byte_id[b] for b in raw]
         if len(ids) > 1:
-            ids = self._merge_short(ids) if len(ids) <= 48 else self._merge_long(ids)
+            ids = self._merge_long(ids)
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _merge_short(self, ids: list[int]) -> list[int]:
-        rank_of, merged = self.bpe.pair_rank.get, self.bpe.merged
-        none = len(merged)
-        ranks = [rank_of(p, none) for p in zip(ids, ids[1:])]
-        while ranks:
-            best = min(ranks)
-            if best == none:
-                break
-            i = ranks.index(best)
-            ids[i:i + 2] = [merged[best]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank_of((ids[i - 1], ids[i]), none)
-            if i < len(ranks):
-                ranks[i] = rank_of((ids[i], ids[i + 1]), none)
-        return ids
-
     def _merge_long(self, ids: list[int]) -> list[int]:
         rank_of, merged = self.bpe.pair_rank.get, self.bpe.merged
         n = len(ids)
@@ -103,7 +122,23 @@ class ForcedBoundaryEncoder:
         return [x for x in ids if x >= 0]
 
     def encode(self, text: str | None) -> np.ndarray:
-        return ids_of(self.pieces, self.bpe.pieces(text or ""))
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list) -> Iterator[np.ndarray]:
+        """The ids of each text (null: none), a run of about RUN_CHARS characters at a time."""
+        run, size = [], 0
+        for text in texts:
+            run.append(self.bpe.pieces(text or ""))
+            size += len(text or "")
+            if size > RUN_CHARS:
+                yield from self._settled(run)
+                run, size = [], 0
+        yield from self._settled(run)
+
+    def _settled(self, run: list[list[str]]) -> Iterator[np.ndarray]:
+        ids_of = self.table(set().union(*run)).__getitem__
+        for pieces in run:
+            yield np.frombuffer(b"".join(map(ids_of, pieces)), dtype="<u4")
 
 
 @lru_cache(maxsize=4)
@@ -124,7 +159,7 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id",
 
     def encode(texts: list) -> dict:
         enc = encoder(vocab_path)
-        return {"token_ids": _ragged([enc.encode(t) for t in texts])}
+        return {"token_ids": _ragged(list(enc.encode_all(texts)))}
 
     return map_texts(docs, encode, "token_ids array<int>", id_col, text_col)
 
@@ -156,8 +191,7 @@ def round_trip_digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id",
         enc = encoder(vocab_path)
         decimal = _decimal_commas(vocab_path)
         n, of_ids, of_text, kept = [], [], [], []
-        for t in texts:
-            array = enc.encode(t)
+        for array in enc.encode_all(texts):
             ids = array.tolist()
             kept += [array] if keep_ids else []
             n.append(len(ids))

@@ -13,7 +13,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
 
-import numpy as np
 import regex
 
 # Character classes of the split pattern below U+0250, where almost all Latin
@@ -131,9 +130,3 @@ class PieceCache(dict):
         if len(piece) < 100:  # long pieces hardly repeat
             self[piece] = value
         return value
-
-
-def ids_of(cache: PieceCache, pieces: list[str]) -> np.ndarray:
-    """Concatenated ids; the cache holds each piece's ids as uint32 bytes."""
-    get = cache.__getitem__
-    return np.frombuffer(b"".join([get(p) for p in pieces]), dtype="<u4")

@@ -71,8 +71,10 @@ class RankSyncCounter:
             open_ = open_[~hit & (held != -1)]
         return out
 
-    def survivors(self, raws: list[bytes]) -> np.ndarray:
-        """Symbols left in each sequence after all merges."""
+    def survivors(self, raws: list[bytes], left: list[tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
+        """Number of symbols left in each sequence after all merges.  ``left`` takes the
+        symbols themselves: arrays (sequence, symbol) as sequences finish, each sequence
+        in one of them, in order."""
         sizes = np.array([len(r) for r in raws], dtype=np.int64)
         counts = sizes.copy()
         sym = self.byte_id[np.frombuffer(b"".join(raws), dtype=np.uint8)]
@@ -85,6 +87,8 @@ class RankSyncCounter:
             if not alive.all():  # finished sequences leave
                 lens = np.diff(np.r_[starts, len(seq)])
                 keep = np.repeat(alive, lens)
+                if left is not None:
+                    left.append((seq[~keep], sym[~keep]))
                 sym, seq, rank = sym[keep], seq[keep], rank[keep]
                 if not len(sym):
                     break

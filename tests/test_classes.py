@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from tidepool.operators import classes as C
@@ -66,3 +67,13 @@ def test_no_links_and_no_documents(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")
     assert sorted(r["class"] for r in SIM.near_dup_classes(docs, "doc_id", "text", 0.9).collect()) == [1, 2]
     assert SIM.near_dup_classes(docs.limit(0), "doc_id", "text", 0.9).count() == 0
+
+
+def test_links_are_thinned_where_a_task_finds_them(spark, monkeypatch):
+    monkeypatch.setattr(C, "LINKS_AT_ONCE", 7)
+    links = sorted({(min(x), max(x)) for x in CASES["random"]} | {(a + 500, b + 500) for a, b in CASES["clique"]})
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
+    rows = [r for out in C.thinned([batch, batch.slice(0, 0)]) for r in out.to_pylist()]
+    df = spark.createDataFrame([(r["a"], r["b"], r["n"]) for r in rows], C.FOREST)
+    assert {r["node"]: (r["class"], r["links"]) for r in C.components_of_forests(df).collect()} == plain(links)
+    assert sum(r["b"] is not None for r in rows) < sum(r["b"] is None for r in rows) < len(links)

@@ -29,7 +29,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -38,6 +37,7 @@ from pyspark.sql import functions as F
 
 from tidepool.llm.byte_bpe import load_byte_bpe
 from tidepool.llm.common import cut_lineage, id_and_text, shuffle_partitions
+from tidepool.session import open_store
 
 # Fixed values of the public seekable zstandard format.
 SEEK_MAGIC, SKIPPABLE_SEEK, SKIPPABLE_DOCS = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
@@ -49,15 +49,6 @@ RUN_CHARS, MISSES_AT_ONCE, JOINED = 4_000_000, 16_384, 50
 DOC = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("start", "<u8"), ("n_tokens", "<u8")])
 
 
-def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path: a plain path, or any URI pyarrow can open."""
-    if "://" not in uri and not uri.startswith("file:"):
-        return pafs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
-
-
 class FrameWriter:
     """Writes one file; memory is one frame plus the document index."""
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,46 +25,61 @@ from tidepool.session import shared_dir
 
 #: Nodes of a forest that a task holds before it hands it on.
 FOREST_NODES = 200_000
+#: Links whose nodes are looked up together.
+LINKS_AT_ONCE = 10_000
+#: Columns of a forest's rows.
+FOREST = "a bigint, b bigint, n bigint"
 
 
 def spanning_forests(links: DataFrame) -> DataFrame:
     """(a, b, n) from links (a, b) of whole numbers, each link once: edges of spanning
     forests (n null), and links per node as (node, null, n) in parts to be added up."""
-
-    def thin(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        above: dict[int, int] = {}
-        degree: dict[int, int] = {}
-        edges: list[tuple[int, int]] = []
-
-        def top(x: int) -> int:
-            while above.setdefault(x, x) != x:
-                above[x] = above[above[x]]
-                x = above[x]
-            return x
-
-        def handed_on() -> pa.RecordBatch:
-            nodes = list(degree)
-            a = [x for x, _ in edges] + nodes
-            b = [y for _, y in edges] + [None] * len(nodes)
-            n = [None] * len(edges) + [degree[x] for x in nodes]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, n)], names=["a", "b", "n"])
-
-        for batch in it:
-            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                degree[x], degree[y] = degree.get(x, 0) + 1, degree.get(y, 0) + 1
-                u, v = top(x), top(y)
-                if u != v:
-                    above[max(u, v)] = min(u, v)
-                    edges.append((x, y))
+    pairs = links.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
+    return pairs.mapInArrow(thinned, FOREST)
+
+
+def thinned(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``spanning_forests`` of the links in the first two columns, within a task.
+
+    Most links of a dense group join what is joined already: a batch's links are compared
+    by the tops of their nodes, and only those that differ are walked one by one."""
+    above: dict[int, int] = {}
+    degree: dict[int, int] = {}
+    edges: list[tuple[int, int]] = []
+
+    def top(x: int) -> int:
+        while above.setdefault(x, x) != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    def handed_on() -> pa.RecordBatch:
+        nodes = list(degree)
+        a = [x for x, _ in edges] + nodes
+        b = [y for _, y in edges] + [None] * len(nodes)
+        n = [None] * len(edges) + [degree[x] for x in nodes]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, n)], names=["a", "b", "n"])
+
+    for whole in it:
+        for at in range(0, whole.num_rows, LINKS_AT_ONCE):
+            batch = whole.slice(at, LINKS_AT_ONCE)
+            x, y = (batch.column(k).cast(pa.int64()).to_numpy() for k in (0, 1))
+            nodes, of, n = np.unique(np.concatenate([x, y]), return_inverse=True, return_counts=True)
+            for node, k in zip(nodes.tolist(), n.tolist()):
+                degree[node] = degree.get(node, 0) + k
+            tops = np.array([top(node) for node in nodes.tolist()], np.int64)[of]
+            apart = tops[:len(x)] != tops[len(x):]
+            for u, v in zip(x[apart].tolist(), y[apart].tolist()):
+                p, q = top(u), top(v)
+                if p != q:
+                    above[max(p, q)] = min(p, q)
+                    edges.append((u, v))
             if len(degree) > FOREST_NODES:
                 yield handed_on()
                 above.clear()
                 degree.clear()
                 edges.clear()
-        yield handed_on()
-
-    pairs = links.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
-    return pairs.mapInArrow(thin, "a bigint, b bigint, n bigint")
+    yield handed_on()
 
 
 def _kept(df: DataFrame, name: str) -> DataFrame:
@@ -101,6 +117,11 @@ def contract(edges: DataFrame) -> DataFrame:
 
 def components_and_links(links: DataFrame) -> DataFrame:
     """(node, class, links) of every node that stands in a link."""
-    found = _kept(spanning_forests(links), "forests")
+    return components_of_forests(spanning_forests(links))
+
+
+def components_of_forests(forests: DataFrame) -> DataFrame:
+    """(node, class, links) from the rows of ``spanning_forests``."""
+    found = _kept(forests, "forests")
     degrees = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     return contract(found.where(F.col("b").isNotNull()).select("a", "b")).join(degrees, "node")

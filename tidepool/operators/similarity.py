@@ -12,22 +12,25 @@ Scale notes
   only their vectors (a bound fixed by ``n``), joins candidate *occurrences* to
   them and sums per (candidate, history) pair map-side;
 * ``near_dup_pairs`` is an all-pairs similarity join: exact copies are
-  collapsed first, then a lossless prefix filter (Bayardo et al., 2007)
-  keeps only the rare-token prefix of each vector for candidate generation,
-  and candidates are verified against the full vectors.
+  collapsed first, then every two blocks of vectors meet in a task, where a
+  bound that loses no pair picks the candidates (``text_blocks``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import sha256_hex, tokens
-from tidepool.operators.classes import components_and_links
+from tidepool.operators.classes import FOREST, components_of_forests, thinned
+from tidepool.operators.text_blocks import block_pairs, near_in_blocks, write_blocks
 from tidepool.session import checkpoint_root
 
+#: Texts of a block at most, unless the caller gives another number.
+BLOCK_TEXTS = 8192
+
 
 def sum_sq_counts(toks: Column) -> Column:
     """Sum over distinct tokens of count^2, in-row: sort, then run lengths.
@@ -155,8 +158,9 @@ def near_dup_classes(docs: DataFrame, id_col: str, text_col: str, min_cos: float
     are never written; a null text has no class.
     """
     members = near_dup_members(docs, id_col, text_col)
-    pairs = near_dup_pairs(docs, id_col, text_col, min_cos)
-    found = components_and_links(pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))).checkpoint()
+    # the pairs are thinned in the task that finds them: no row of Spark is a pair
+    forests = _block_pairs(docs, id_col, text_col, BLOCK_TEXTS).mapInArrow(lambda it: thinned(near_in_blocks(it, min_cos)), FOREST)
+    found = components_of_forests(forests).checkpoint()
     texts = docs.join(found.select(F.col("node").alias(id_col)), id_col, "left_semi").where(F.col(text_col).isNotNull()) \
         .groupBy(id_col).agg(F.min(text_col).alias(text_col))
     scores = cosine_pairs(found.where(F.col("node") != F.col("class")), "node", "class", texts, texts, id_col, text_col, id_col, text_col)
@@ -168,109 +172,31 @@ def near_dup_classes(docs: DataFrame, id_col: str, text_col: str, min_cos: float
                       F.when(F.col("rep").isNotNull(), F.coalesce("links", F.lit(0).cast("bigint"))).alias("links"))
 
 
-def near_dup_pairs(docs: DataFrame, id_col: str, text_col: str, min_cos: float,
-                   index_mass: float | None = None, hot_df: int = 2048,
-                   cut_base: float = 1.5, n_cuts: int = 60) -> DataFrame:
+def near_dup_pairs(docs: DataFrame, id_col: str, text_col: str, min_cos: float, hot_df: int = BLOCK_TEXTS) -> DataFrame:
     """All pairs of distinct texts with cosine >= ``min_cos`` (exact).
 
     1. Exact copies collapse to one representative (smallest id) carrying a
        copy count: a text repeated a million times costs one vector and no
        quadratic fan-out.  Pairs are reported between representatives;
        ``near_dup_members`` names the members of each.
-    2. Tokens are ordered globally by document frequency (rare first).  The
-       *prefix* of a vector is its leading tokens while the remaining squared
-       mass is >= ``index_mass`` (default ``min_cos**2``); the rest is its
-       *suffix* (common tokens, norm < sqrt(index_mass) <= min_cos).
-    3. Candidates: pairs sharing a prefix token (lossless: without one, the
-       dot product lives in a suffix and is < min_cos).  The prefix self-join
-       also accumulates the exact dot over shared prefix tokens.
-    4. Bound: the rest of the dot lies in the suffix of the vector whose
-       suffix starts first (x), so dot <= pp + |suffix(x)| * |y after x's
-       suffix start|; the second factor is bounded by y's mass beyond the
-       nearest document-frequency cut (``cut_base`` log-spaced cuts) and by
-       sqrt(1 - py).  Candidates under ``min_cos`` are dropped here.
-    5. Verify survivors exactly over suffix(x) only (common tokens; short),
-       then score from integer sums exactly as the reference does.
+    2. The vectors are cut into blocks of at most ``hot_df`` texts, so no task
+       pairs more holders of a token with as many others, however frequent it
+       is.  The blocks are files in the shared folder.
+    3. A task reads two blocks.  A bound that loses no pair leaves few
+       candidates (``text_blocks``); each is scored from integer sums over its
+       whole vectors, exactly as the reference does.
     """
-    s2 = (min_cos * min_cos if index_mass is None else index_mass) - 1e-9
+    pairs = _block_pairs(docs, id_col, text_col, hot_df)
+    rep = docs.schema[id_col].dataType.simpleString()
+    return pairs.mapInArrow(lambda it: near_in_blocks(it, min_cos),
+                            f"a_id {rep}, b_id {rep}, cosine double, a_copies bigint, b_copies bigint")
+
+
+def _block_pairs(docs: DataFrame, id_col: str, text_col: str, block_texts: int) -> DataFrame:
+    """Every two blocks of the distinct texts' vectors; a text without tokens has none."""
     reps = (docs.where(F.col(text_col).isNotNull())
             .groupBy(sha256_hex(text_col).alias("__hash"))
             .agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("copies"),
                  F.min_by(F.col(text_col), F.col(id_col)).alias("__t")))
-    tv = term_frequencies(reps, "rep", "__t", "copies")
-    dfreq = tv.groupBy("token").agg(F.count(F.lit(1)).alias("dfreq"))
-    whole = Window.partitionBy("rep")
-    rest = (Window.partitionBy("rep").orderBy(F.col("dfreq").desc(), F.col("token").desc())
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    sq = F.col("tf") * F.col("tf")
-    tvd = (tv.join(dfreq, "token")
-           .withColumn("norm2", F.sum(sq).over(whole))
-           .withColumn("rest2", F.sum(sq).over(rest))
-           .withColumn("w", F.col("tf") / F.sqrt(F.col("norm2").cast("double")))
-           .withColumn("in_prefix", F.col("rest2").cast("double") >= F.col("norm2").cast("double") * s2))
-    # Three branches read these weighted vectors; materialise them once in
-    # the shared checkpoint folder (reliable, lineage cut) instead of
-    # re-running the two windows per branch.
-    checkpoint_root(docs.sparkSession)
-    tvd = tvd.checkpoint()
-    # per representative: squared norm, where its suffix starts, suffix mass,
-    # and its unit mass beyond each document-frequency cut (log-spaced), an
-    # upper bound for "its mass after another vector's suffix start".
-    jdf = F.least(F.lit(n_cuts - 1), F.floor(F.log(float(cut_base), F.col("dfreq"))).cast("int"))
-    w2 = F.col("w") * F.col("w")
-    no_suffix = F.struct(F.lit(1 << 62).cast("bigint").alias("d"), F.lit("").alias("t"))
-    # first one row per (vector, step of the frequency), then an array per vector
-    step = (tvd.withColumn("jdf", jdf).groupBy("rep", "jdf").agg(
-        F.first("norm2").alias("norm2"), F.first("copies").alias("copies"), F.sum(w2).alias("w2"),
-        F.min(F.when(~F.col("in_prefix"), F.struct(F.col("dfreq").alias("d"), F.col("token").alias("t")))).alias("g"),
-        F.max(F.when(~F.col("in_prefix"), F.col("rest2") / F.col("norm2"))).alias("smass")))
-    mass = F.transform(F.sequence(F.lit(0), F.lit(n_cuts - 1)), lambda j: F.aggregate(
-        "steps", F.lit(0.0), lambda s, x: s + F.when(x["jdf"] >= j, x["w2"]).otherwise(F.lit(0.0))))
-    info = (step.groupBy("rep").agg(
-        F.first("norm2").alias("norm2"), F.first("copies").alias("copies"), F.min("g").alias("g"),
-        F.max("smass").alias("smass"), F.collect_list(F.struct("jdf", "w2")).alias("steps"))   # at most n_cuts
-        .select("rep", "norm2", "copies", F.coalesce("g", no_suffix).alias("g"),
-                F.coalesce("smass", F.lit(0.0)).alias("smass"), mass.alias("beyond")).checkpoint())
-    # A hot token's holders are cut into ``k`` blocks by document hash; block i
-    # meets block j in a task of its own, so no task pairs more than about
-    # ``hot_df`` holders with as many others, however frequent the token.
-    k = F.ceil(F.col("dfreq") / F.lit(hot_df)).cast("int")
-    block = F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-    prefix = tvd.where("in_prefix").select("rep", "token", "tf", "w", k.alias("k"))
-    pa = prefix.select(F.col("rep").alias("a"), "token", F.col("tf").alias("tfa"), F.col("w").alias("wa"),
-                       block.alias("i"), others.alias("j"))
-    pb = prefix.select(F.col("rep").alias("b"), "token", F.col("tf").alias("tfb"), F.col("w").alias("wb"),
-                       others.alias("i"), block.alias("j"))
-    cands = (pa.join(pb, ["token", "i", "j"]).where(F.col("a") < F.col("b"))
-             .groupBy("a", "b").agg(F.sum(F.col("tfa") * F.col("tfb")).alias("pp"),
-                                    F.sum(F.col("wa") * F.col("wb")).alias("ppw"),
-                                    F.sum(F.col("wa") * F.col("wa")).alias("pa2"),
-                                    F.sum(F.col("wb") * F.col("wb")).alias("pb2")))
-    ia = info.select(*[F.col(c).alias(f"{c}_a") for c in info.columns])
-    ib = info.select(*[F.col(c).alias(f"{c}_b") for c in info.columns])
-    c = cands.join(ia, F.col("a") == F.col("rep_a")).join(ib, F.col("b") == F.col("rep_b"))
-    a_first = F.col("g_a") <= F.col("g_b")
-    x = F.when(a_first, F.col("a")).otherwise(F.col("b"))
-    y = F.when(a_first, F.col("b")).otherwise(F.col("a"))
-    smass_x = F.when(a_first, F.col("smass_a")).otherwise(F.col("smass_b"))
-    py = F.when(a_first, F.col("pb2")).otherwise(F.col("pa2"))
-    g_x = F.when(a_first, F.col("g_a")).otherwise(F.col("g_b"))
-    beyond_y = F.when(a_first, F.col("beyond_b")).otherwise(F.col("beyond_a"))
-    j_x = F.least(F.lit(n_cuts - 1), F.floor(F.log(float(cut_base), g_x["d"])).cast("int"))
-    y_after = F.least(1 - py, F.element_at(beyond_y, j_x + 1))
-    bound = F.col("ppw") + F.sqrt(smass_x) * F.sqrt(F.greatest(F.lit(0.0), y_after))
-    surv = (c.where(bound >= F.lit(min_cos - 1e-9))
-            .select("a", "b", "pp", x.alias("x"), y.alias("y"), "norm2_a", "norm2_b",
-                    "copies_a", "copies_b"))
-    sx = tvd.where(~F.col("in_prefix")).select(F.col("rep").alias("x"), "token", F.col("tf").alias("tfx"))
-    ty = tvd.select(F.col("rep").alias("y"), "token", F.col("tf").alias("tfy"))
-    # one pass over the survivors: left joins keep pairs without suffix overlap
-    keys = ["x", "y", "a", "b", "pp", "norm2_a", "norm2_b", "copies_a", "copies_b"]
-    scored = (surv.join(sx, "x", "left").join(ty, ["y", "token"], "left")
-              .groupBy(*keys).agg(F.sum(F.col("tfx") * F.col("tfy")).alias("rest"))
-              .withColumn("cosine", cosine_expr(F.col("pp") + F.coalesce(F.col("rest"), F.lit(0)),
-                                                F.col("norm2_a"), F.col("norm2_b")))
-              .where(F.col("cosine") >= F.lit(min_cos)))
-    return scored.select(F.col("a").alias("a_id"), F.col("b").alias("b_id"), "cosine",
-                         F.col("copies_a").alias("a_copies"), F.col("copies_b").alias("b_copies"))
+    vectors = reps.where(F.col("rep").isNotNull()).select("rep", "copies", term_counts("__t").alias("terms"))
+    return block_pairs(write_blocks(vectors.where(F.col("terms").isNotNull()), block_texts), block_texts)

@@ -77,3 +77,14 @@ def test_links_are_thinned_where_a_task_finds_them(spark, monkeypatch):
     df = spark.createDataFrame([(r["a"], r["b"], r["n"]) for r in rows], C.FOREST)
     assert {r["node"]: (r["class"], r["links"]) for r in C.components_of_forests(df).collect()} == plain(links)
     assert sum(r["b"] is not None for r in rows) < sum(r["b"] is None for r in rows) < len(links)
+
+
+def test_scores_against_the_class_text_by_files(spark):
+    # a file per text: a class vector travels to the file of each of its nodes
+    from tidepool.operators import text_blocks as T
+    docs = spark.createDataFrame([(i, " ".join(["same"] * 9 + ["a"] * i)) for i in range(12)], "doc_id long, text string")
+    manifest = SIM._text_blocks(docs, "doc_id", "text", 1)
+    wanted = spark.createDataFrame([(i, c) for i in range(1, 12) for c in (0, 5) if c < i], "node long, class long")
+    got = {(r["node"], r["class"]): r["cosine"] for r in T.scores_of(manifest, wanted).collect()}
+    cos = lambda a, b: (81 + a * b) / ((81 + a * a) ** 0.5 * (81 + b * b) ** 0.5)
+    assert manifest.count() == 12 and got == {(i, c): pytest.approx(cos(i, c), abs=1e-12) for i in range(1, 12) for c in (0, 5) if c < i}

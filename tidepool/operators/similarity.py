@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions.text import sha256_hex, tokens
 from tidepool.operators.classes import FOREST, components_of_forests, thinned
-from tidepool.operators.text_blocks import block_pairs, near_in_blocks, write_blocks
+from tidepool.operators.text_blocks import block_pairs, near_in_blocks, scores_of, write_blocks
 from tidepool.session import checkpoint_root
 
 #: Texts of a block at most, unless the caller gives another number.
@@ -159,11 +159,10 @@ def near_dup_classes(docs: DataFrame, id_col: str, text_col: str, min_cos: float
     """
     members = near_dup_members(docs, id_col, text_col)
     # the pairs are thinned in the task that finds them: no row of Spark is a pair
-    forests = _block_pairs(docs, id_col, text_col, BLOCK_TEXTS).mapInArrow(lambda it: thinned(near_in_blocks(it, min_cos)), FOREST)
+    manifest = _text_blocks(docs, id_col, text_col, BLOCK_TEXTS)
+    forests = block_pairs(manifest, BLOCK_TEXTS).mapInArrow(lambda it: thinned(near_in_blocks(it, min_cos)), FOREST)
     found = components_of_forests(forests).checkpoint()
-    texts = docs.join(found.select(F.col("node").alias(id_col)), id_col, "left_semi").where(F.col(text_col).isNotNull()) \
-        .groupBy(id_col).agg(F.min(text_col).alias(text_col))
-    scores = cosine_pairs(found.where(F.col("node") != F.col("class")), "node", "class", texts, texts, id_col, text_col, id_col, text_col)
+    scores = scores_of(manifest, found.where(F.col("node") != F.col("class")).select("node", "class"))
     linked = found.join(scores, ["node", "class"], "left").select(
         F.col("node").alias("rep"), "class", "links", F.coalesce("cosine", F.lit(1.0)).alias("cosine")).checkpoint()
     out = members.join(linked, "rep", "left")
@@ -186,17 +185,17 @@ def near_dup_pairs(docs: DataFrame, id_col: str, text_col: str, min_cos: float,
        candidates (``text_blocks``); each is scored from integer sums over its
        whole vectors, exactly as the reference does.
     """
-    pairs = _block_pairs(docs, id_col, text_col, hot_df)
+    pairs = block_pairs(_text_blocks(docs, id_col, text_col, hot_df), hot_df)
     rep = docs.schema[id_col].dataType.simpleString()
     return pairs.mapInArrow(lambda it: near_in_blocks(it, min_cos),
                             f"a_id {rep}, b_id {rep}, cosine double, a_copies bigint, b_copies bigint")
 
 
-def _block_pairs(docs: DataFrame, id_col: str, text_col: str, block_texts: int) -> DataFrame:
-    """Every two blocks of the distinct texts' vectors; a text without tokens has none."""
+def _text_blocks(docs: DataFrame, id_col: str, text_col: str, block_texts: int) -> DataFrame:
+    """Files of the distinct texts' vectors; a text without tokens has none."""
     reps = (docs.where(F.col(text_col).isNotNull())
             .groupBy(sha256_hex(text_col).alias("__hash"))
             .agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("copies"),
                  F.min_by(F.col(text_col), F.col(id_col)).alias("__t")))
     vectors = reps.where(F.col("rep").isNotNull()).select("rep", "copies", term_counts("__t").alias("terms"))
-    return block_pairs(write_blocks(vectors.where(F.col("terms").isNotNull()), block_texts), block_texts)
+    return write_blocks(vectors.where(F.col("terms").isNotNull()), block_texts)

@@ -113,9 +113,7 @@ def load(paths: tuple[str, ...]) -> Block:
     parts: dict[str, list[pa.Array]] = {}
     tokens, n_words = [], 0
     for path in paths:
-        store, name = open_store(path)
-        with store.open_input_stream(name) as file:
-            row = pa.ipc.open_stream(file).read_all().combine_chunks().to_batches()[0]
+        row = _rows(path)
         for k in row.schema.names:
             parts.setdefault(k, []).append(row[k].values)
         tokens.append(parts["token"][-1].to_numpy() + n_words)
@@ -272,3 +270,63 @@ def near_in_blocks(it: Iterable[pa.RecordBatch], min_cos: float) -> Iterator[pa.
                      pc.if_else(turned, copies[1], copies[0]), pc.if_else(turned, copies[0], copies[1])],
                     names=["a_id", "b_id", "cosine", "a_copies", "b_copies"])
                 yield out.filter(pc.less(out["a_id"], out["b_id"]))
+
+
+def _rows(path: str) -> pa.RecordBatch:
+    store, name = open_store(path)
+    with store.open_input_stream(name) as file:
+        return pa.ipc.open_stream(file).read_all().combine_chunks().to_batches()[0]
+
+
+def scores_of(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (node, class: ids of texts, whole numbers) with the cosine of each pair.
+
+    A class's vector travels once to every file that holds a node of it, and a task scores
+    the nodes of one file."""
+    def places(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for path in batch["path"].to_pylist():
+                ids = _rows(path)["rep"].values.cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, pa.array([path] * len(ids), pa.string())], names=["id", "path"])
+
+    def vectors(key, ids):
+        row = _rows(key[0].as_py())
+        size, tf = row["size"].values.to_numpy(), row["tf"].values
+        ends = np.cumsum(size)
+        at = pc.index_in(ids["class"].combine_chunks(), row["rep"].values.cast(pa.int64())).to_numpy()
+        entry = pa.array(_ranges(ends[at] - size[at], size[at]))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(size[at])]), pa.int32())
+        words = row["words"].values.take(row["token"].values.take(entry))
+        return pa.table({"class": ids["class"], "words": pa.ListArray.from_arrays(offsets, words.cast(pa.string())),
+                         "tfs": pa.ListArray.from_arrays(offsets, tf.take(entry))})
+
+    def score(key, nodes, classes):
+        row = _rows(key[0].as_py())
+        size, token, tf = (row[k].values.to_numpy() for k in ("size", "token", "tf"))
+        ends, words = np.cumsum(size), row["words"].values
+        at = pc.index_in(nodes["node"].combine_chunks(), row["rep"].values.cast(pa.int64())).to_numpy()
+        of = pc.index_in(nodes["class"].combine_chunks(), classes["of"].combine_chunks()).to_numpy()
+        w, k = classes["words"].combine_chunks(), classes["tfs"].combine_chunks()
+        here = pc.index_in(w.flatten(), words.cast(pa.string())).fill_null(len(words)).to_numpy().astype(np.int64)
+        counts, stops = k.flatten().to_numpy(), np.cumsum(pc.list_value_length(w).to_numpy())
+        count, out, last = np.zeros(len(words) + 1, np.int64), np.zeros(len(at)), None
+        for i in np.argsort(of, kind="stable").tolist():
+            if of[i] != last:
+                count[:] = 0
+                last = of[i]
+                own = slice(stops[last - 1] if last else 0, stops[last])
+                count[here[own]] = counts[own]
+                count[-1] = 0
+                norm = np.sqrt(float((counts[own] * counts[own]).sum()))
+            entries = slice(ends[at[i]] - size[at[i]], ends[at[i]])
+            mine = tf[entries]
+            out[i] = float((count[token[entries]] * mine).sum()) / (np.sqrt(float((mine * mine).sum())) * norm)
+        return pa.table({"node": nodes["node"], "class": nodes["class"], "cosine": pa.array(out)})
+
+    places_of = manifest.select("path").mapInArrow(places, "id bigint, path string").groupBy("id").agg(F.min("path").alias("path"))
+    at_node = wanted.join(places_of.withColumnRenamed("id", "node"), "node").select("path", "node", "class").checkpoint()
+    classes = at_node.select("class").distinct().join(places_of.withColumnRenamed("id", "class"), "class")
+    found = classes.groupBy("path").applyInArrow(vectors, "class bigint, words array<string>, tfs array<bigint>")
+    needed = at_node.select("path", "class").distinct().join(found, "class").select(
+        F.col("path").alias("file"), F.col("class").alias("of"), "words", "tfs")
+    return at_node.groupBy("path").cogroup(needed.groupBy("file")).applyInArrow(score, "node bigint, class bigint, cosine double")

@@ -87,6 +87,23 @@ def test_thousands_of_phrases_in_one_join(spark, no_broadcast):
     assert len(re.findall("Join", hits._jdf.queryExecution().optimizedPlan().toString())) == 1
 
 
+def test_frequent_phrases_are_found_in_the_scan_and_few_other_places_shuffled(spark, no_broadcast, monkeypatch):
+    monkeypatch.setattr(phrases, "HOT", 40)
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(30)]
+    table = [" ".join(rng.choices(vocabulary, k=rng.randint(1, 7))) for _ in range(400)]
+    texts = [(i % 50 or None, " ".join(rng.choices(vocabulary, k=40))) for i in range(60)] + [(7, None)]
+    df, ps = spark.createDataFrame(texts, "id long, t string"), spark.createDataFrame([(p,) for p in table], "p string")
+    hits = phrases.phrase_hits(df, "id", "t", ps, "p")
+    want = brute([t for t in texts if t[1]], table, True)
+    assert sorted(map(tuple, hits.collect()), key=repr) == want
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 2   # frequent phrases, and the bits of the others
+    index = phrases.phrase_index(ps, "p")
+    grams = phrases._grams(df, "id", "t", {1: 1, 2: 2, 3: 3, 4: 7}, True)
+    assert phrases._with_bit(grams, index, index.count()).count() < grams.count() / 2
+
+
 def test_equal_to_the_inline_form_where_both_apply(spark):
     posts = Tables(spark, SF_SMALL).posts.select("post_id", F.regexp_replace(F.lower("full_text"), r"[^\p{L}\p{N}_]+", " ").alias("full_text"))
     some = [r[0] for r in posts.select(F.array_join(F.slice(F.split("full_text", " "), 3, 2), " ")).limit(15).collect()]

@@ -567,8 +567,8 @@ def phrase_hits(spark, sf_dir):
     words = X.tokens(F.lower("text"))
     cuts = [F.array_join(F.slice("w", at, n), " ") for at, n in P.PHRASE_CUTS]
     phrases = t.documents.select(words.alias("w")).select(F.explode(F.array(*cuts)).alias("phrase"))
-    found = hits(t.posts, "post_id", "full_text", phrases, "phrase")
-    return found.groupBy("post_id").agg(F.count_distinct("phrase").alias("n_phrases"), F.count(F.lit(1)).alias("n_places"),
+    found = hits(t.posts, "post_id", "full_text", phrases, "phrase", phrase_ids=True)
+    return found.groupBy("post_id").agg(F.count_distinct("phrase_id").alias("n_phrases"), F.count(F.lit(1)).alias("n_places"),
                                         F.min("position").cast("bigint").alias("first_position"))
 
 

@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 from tests.conftest import SF_SMALL
 from tidepool.llm import bpe_forced, token_counts, token_frames
 from tidepool.llm.byte_bpe import PieceCache, load_byte_bpe
+from tidepool.llm.common import parts_of
 from tidepool.session import shared_dir
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -83,6 +84,26 @@ def test_batches_of_unknown_pieces_equal_the_library(monkeypatch):
     token_frames._library_pieces.cache_clear()
 
 
+def test_known_pieces_of_many_batches_stay():
+    library = token_frames.LibraryPieces(PATH)
+    first = {f" {i}" for i in range(300_000)}
+    library.held = dict.fromkeys(first, b"1234")
+    library.held.update(dict.fromkeys((f"x{i}" for i in range(300_000)), b"1234"))
+    library.of({" 1", " 2"})
+    assert not library.old   # 600,000 pieces are one generation
+
+
+def test_a_batch_is_worked_on_in_parts_by_bytes():
+    import pyarrow as pa
+
+    texts = ["a" * 30, None, "é" * 30, "", "b" * 500, "c", None, "d" * 99]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(parts_of(batch, 100))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(8))
+    assert [p.num_rows for p in parts] == [4, 1, 3]
+    assert list(parts_of(batch.slice(0, 0), 100)) == []
+
+
 def test_piece_cache_is_bounded():
     cache = PieceCache(len, limit=10)
     assert [cache["x" * (i % 37)] for i in range(200)] == [i % 37 for i in range(200)]

@@ -122,3 +122,13 @@ def test_edges(spark, tables, model):
     assert T.score_documents(none, T.train(none, labels)).count() == 0
     one_class = T.train(tables[0], labels)
     assert one_class.weights == {} and 0 < one_class.score("anything") < 1
+
+
+def test_a_task_leaves_no_known_words_behind():
+    model = T.Model(T.Channel(np.ones(T.LETTERS ** 3, dtype=np.int64)), 0.0, {"idiot": 1.0})
+    texts = ["an idi0t, goood", "a b c d", "plain words"]
+    scores = [model.score(t) for t in texts]
+    assert model.votes
+    model.forget()
+    assert not any((model.votes, model.votes.old, model.reader.plain, model.reader.read, model.channel._repeats))
+    assert [model.score(t) for t in texts] == scores

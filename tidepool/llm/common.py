@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.session import checkpoint_root, shared_dir
 
+#: Bytes of the texts of a batch that are worked on together.
+PART_BYTES = 2_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -21,21 +26,32 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def parts_of(batch: pa.RecordBatch, part_bytes: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch (id, text), each time of about ``part_bytes`` of text."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        done = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + part_bytes, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def map_texts(docs: DataFrame, fn: Callable[[list], dict], fields: str,
               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``fn(list of texts) -> {column: values}`` per Arrow batch, one row out per
-    row in, the id carried through.  ``fields`` is the DDL of fn's columns."""
+    """``fn(list of texts) -> {column: values}`` per Arrow batch or part of one (about
+    PART_BYTES of text, so that a worker never holds the results of a whole batch), one
+    row out per row in, the id carried through.  ``fields`` is the DDL of fn's columns."""
     rows = id_and_text(docs, id_col, text_col)
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def batches(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            if not b.num_rows:
-                continue
-            out = fn(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(v if isinstance(v, pa.Array) else pa.array(v) for v in out.values())],
-                names=["doc_id", *out])
+            for part in parts_of(b):
+                out = fn(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *(v if isinstance(v, pa.Array) else pa.array(v) for v in out.values())],
+                    names=["doc_id", *out])
 
     return rows.mapInArrow(batches, f"doc_id {id_type}, {fields}")
 

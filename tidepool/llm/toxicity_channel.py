@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
 
@@ -345,6 +346,14 @@ class Model:
         total = self.bias + sum([get(w) for w in words]) + sum(self._weigh(p) for p in set(self.reader.spaced(text)))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
 
+    def forget(self) -> None:
+        """Drops the known words; they would stay in memory as long as the cycles that the
+        model and its tables form."""
+        for known in (self.votes, self.reader.plain, self.reader.read, self.channel._repeats):
+            known.clear()
+        for known in (self.votes, self.reader.plain, self.reader.read):
+            known.old = {}
+
     def restored(self, text: str | None) -> str:
         """The text's words as they are scored (for inspection)."""
         text = text or ""
@@ -437,8 +446,12 @@ def score_column(text: Column, model: Model) -> Column:
     """Probability of label 1 of each text; null counts as empty."""
 
     @pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t) for t in texts], dtype="float64")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for texts in batches:
+                yield pd.Series([model.score(t) for t in texts], dtype="float64")
+        finally:
+            model.forget()   # the worker goes on to other tasks, with a model of their own
 
     return score(text.cast("string"))
 

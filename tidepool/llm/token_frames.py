@@ -139,7 +139,7 @@ class LibraryPieces:
     encoded in a few calls; known ones are kept in two generations of about ``limit``
     pieces, so frequent pieces stay.  Long pieces hardly repeat and go with their run."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 800_000):
         from tokenizers import Tokenizer
 
         self.lib, self.limit = Tokenizer.from_file(path), limit

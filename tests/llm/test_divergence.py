@@ -93,3 +93,20 @@ def test_shares_are_exact_beyond_64_bits():
 def test_query_matches_its_sql(spark):
     status = compare(spark, SF_SMALL, keys=["op13_source_divergence"], verbose=False)["op13_source_divergence"]
     assert status[0] == "OK" and not status[3], status
+
+
+def test_terms_meet_in_one_shuffle_and_handed_on_parts_add_up(spark, monkeypatch):
+    monkeypatch.setattr(V, "HELD_ENTRIES", 20)
+    monkeypatch.setattr(V, "HANDED_ON", 7)
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["en", None]), rng.choice(["a", "b"]), " ".join(f"t{'x' * rng.randint(0, 9)}" for _ in range(12))) for i in range(60)]
+    counted = V.term_counts(spark.createDataFrame(rows, SCHEMA))
+    want: dict = {}
+    for _, lang, source, text in rows:
+        for word, n in Counter(text.split()).items():
+            at = want.setdefault((lang or "", source, word), [0, 0])
+            at[0] += n
+            at[1] += 1
+    assert {tuple(r)[:3]: list(r)[3:] for r in counted.collect()} == want
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(lang#\d+, source", plan)   # no sums of single tasks on the way

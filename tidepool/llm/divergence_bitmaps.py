@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,9 @@ from tidepool.session import shared_dir
 #: Terms of a stretch (64 a word), and groups of a block.
 CHUNK, GROUP_BLOCK = 256, 32
 #: (group, term) entries that a task counts in memory before it hands them on.
-HELD_ENTRIES = 200_000
+HELD_ENTRIES = 600_000
+#: Entries of a batch.
+HANDED_ON = 50_000
 #: Shares are whole numbers of parts of this.
 SCALE = 1_000_000_000
 #: Bytes of a term: A-Z become a-z, other ASCII signs part terms, the rest stays.
@@ -54,37 +57,33 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
 
     def handed_on(held: dict) -> Iterator[pa.RecordBatch]:
-        for (lang, source), terms in held.items():
-            words = list(terms)
-            if not words:
-                continue
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(words)), pa.array([source] * len(words)), pa.array(words, pa.binary()).cast(pa.string()),
-                 pa.array([terms[w][0] for w in words], pa.int64()), pa.array([terms[w][1] for w in words], pa.int64())],
-                names=["lang", "source", "term", "n", "docs"])
+        for (lang, source), (n, in_docs) in held.items():
+            for i in range(0, len(n), HANDED_ON):
+                words = list(islice(n, i, i + HANDED_ON))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(lang, len(words)), pa.repeat(source, len(words)), pa.array(words, pa.binary()).cast(pa.string()),
+                     *(pa.array(list(map(x.__getitem__, words)), pa.int64()) for x in (n, in_docs))],
+                    names=["lang", "source", "term", "n", "docs"])
 
     def count(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, dict] = {}
+        held: dict[tuple, tuple[Counter, Counter]] = {}
         size = 0
         for b in it:
-            for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                terms = held.setdefault((lang, source), {})
-                size -= len(terms)
-                for word, n in Counter(text.translate(_AS_TERMS).split()).items():
-                    entry = terms.get(word)
-                    if entry is None:
-                        terms[word] = [n, 1]
-                    else:
-                        entry[0] += n
-                        entry[1] += 1
-                size += len(terms)
+            for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                n, in_docs = held.setdefault((lang, source), (Counter(), Counter()))
+                words = text.as_py().translate(_AS_TERMS).split()
+                size -= len(n)
+                n.update(words)
+                in_docs.update(set(words))
+                size += len(n)
                 if size > HELD_ENTRIES:
                     yield from handed_on(held)
                     held, size = {}, 0
         yield from handed_on(held)
 
     counted = rows.mapInArrow(count, "lang string, source string, term string, n long, docs long")
-    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # A task has summed up most of what it can: the rest is summed where a term's rows meet.
+    return counted.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def vocabulary(counts: DataFrame, min_docs: int) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tidepool.operators import similarity as SIM
@@ -88,3 +89,36 @@ def test_counts_beyond_doubles_are_still_whole(tmp_path):
     order = [(a.rep[i].as_py(), b.rep[j].as_py()) for i, j, _ in got]
     assert sorted(order) == sorted(sizes)
     assert all(abs(c - sizes[k][0] / math.sqrt(sizes[k][1] * sizes[k][2])) < 1e-12 for k, (_, _, c) in zip(order, got))
+
+
+def test_scoring_visits_shared_tokens_only(monkeypatch, tmp_path):
+    # 40 texts near each other, each with 60 words of its own: no text's words are walked for each of its pairs
+    monkeypatch.setattr(T, "OWN", 4)
+    same = ["the"] * 30 + ["of"] * 20 + [f"c{i}" for i in range(4)]
+    texts = [" ".join(same + [f"own{i}_{k}" for k in range(60)]) for i in range(40)]
+    a, b = block(texts[:20], tmp_path, "a"), block(texts[20:], tmp_path, "b")
+    visited, ranges = [], T._ranges
+    monkeypatch.setattr(T, "_ranges", lambda starts, sizes: visited.append(int(np.sum(sizes))) or ranges(starts, sizes))
+    assert sum(len(x) for x, _, _ in T.near(a, b, 0.9)) == 400
+    shared = 20 * 20 * 4
+    assert sum(visited) <= shared + 2 * len(a.token) + 2 * len(b.token) < 400 * 60
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 40])
+def test_every_two_blocks_meet_once_in_few_runs(spark, n):
+    runs = [tuple(r) for r in T.block_pairs(spark, n).collect()]
+    pairs = [(k, j) for i, first, stop in runs for j in range(first, stop) for k in range(i, min(i + 2, j + 1))]
+    assert sorted(pairs) == [(i, j) for i in range(n) for j in range(i, n)]
+    assert len(runs) <= 4 * int(spark.conf.get("spark.sql.shuffle.partitions")) + n
+
+
+def test_small_files_are_put_together_once(spark):
+    rows = made(60, 3)
+    docs = spark.createDataFrame(rows, "id long, t string").repartition(9)
+    assert docs.count() == len(rows)
+    many = SIM._text_blocks(docs, "id", "t", 2)
+    one = SIM._text_blocks(docs, "id", "t", 8192)
+    assert many.count() >= 40 and one.count() == 1
+    reps = [sorted(x for r in m.collect() for x in T.load((r.path,)).rep.to_pylist()) for m in (many, one)]
+    assert reps[0] == reps[1] and [r.texts for r in one.collect()] == [len(reps[0])]
+    assert set(T.heaviest_words(one)) == set(T.heaviest_words(many)) and T.heaviest_words(one)[0] == "the"

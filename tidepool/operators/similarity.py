@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions.text import sha256_hex, tokens
 from tidepool.operators.classes import FOREST, components_of_forests, thinned
-from tidepool.operators.text_blocks import block_pairs, near_in_blocks, scores_of, write_blocks
+from tidepool.operators.text_blocks import block_files, block_pairs, heaviest_words, near_in_blocks, scores_of, write_blocks
 from tidepool.session import checkpoint_root
 
 #: Texts of a block at most, unless the caller gives another number.
@@ -160,7 +160,8 @@ def near_dup_classes(docs: DataFrame, id_col: str, text_col: str, min_cos: float
     members = near_dup_members(docs, id_col, text_col)
     # the pairs are thinned in the task that finds them: no row of Spark is a pair
     manifest = _text_blocks(docs, id_col, text_col, BLOCK_TEXTS)
-    forests = block_pairs(manifest, BLOCK_TEXTS).mapInArrow(lambda it: thinned(near_in_blocks(it, min_cos)), FOREST)
+    files, own = block_files(manifest), heaviest_words(manifest)
+    forests = block_pairs(docs.sparkSession, len(files)).mapInArrow(lambda it: thinned(near_in_blocks(it, min_cos, files, own)), FOREST)
     found = components_of_forests(forests).checkpoint()
     scores = scores_of(manifest, found.where(F.col("node") != F.col("class")).select("node", "class"))
     linked = found.join(scores, ["node", "class"], "left").select(
@@ -185,10 +186,11 @@ def near_dup_pairs(docs: DataFrame, id_col: str, text_col: str, min_cos: float,
        candidates (``text_blocks``); each is scored from integer sums over its
        whole vectors, exactly as the reference does.
     """
-    pairs = block_pairs(_text_blocks(docs, id_col, text_col, hot_df), hot_df)
+    manifest = _text_blocks(docs, id_col, text_col, hot_df)
+    files, own = block_files(manifest), heaviest_words(manifest)
     rep = docs.schema[id_col].dataType.simpleString()
-    return pairs.mapInArrow(lambda it: near_in_blocks(it, min_cos),
-                            f"a_id {rep}, b_id {rep}, cosine double, a_copies bigint, b_copies bigint")
+    return block_pairs(docs.sparkSession, len(files)).mapInArrow(
+        lambda it: near_in_blocks(it, min_cos, files, own), f"a_id {rep}, b_id {rep}, cosine double, a_copies bigint, b_copies bigint")
 
 
 def _text_blocks(docs: DataFrame, id_col: str, text_col: str, block_texts: int) -> DataFrame:

@@ -4,12 +4,14 @@ A join on tokens writes a row for every pair of texts that share one; in prose t
 nearly every pair.  Here the texts' vectors stand in block files in the shared folder,
 and a task reads two blocks and finds their near pairs in memory:
 
-1. Fold: the OWN heaviest tokens that both blocks hold have a dimension each, the others
-   share SHARED dimensions, where a vector has the root of its squared mass.  By
+1. Fold: the OWN heaviest tokens of all texts have a dimension each, the others share
+   SHARED dimensions by hash, where a vector has the root of its squared mass.  By
    Cauchy-Schwarz the folded product is never below the cosine, so no pair is lost.
-   It is taken tile by tile, first in few dimensions, then in all for what is left.
+   It is taken tile by tile, in few dimensions, in more for what is left, then in all.
+   A block is folded once for all blocks it meets.
 2. Every pair whose folded product reaches the threshold is scored from integer sums
-   over its whole vectors, by matrices where its tokens have dimensions of their own.
+   over its whole vectors: tokens with dimensions of their own by the product of counts
+   that the last look has taken, the others from the texts that hold the same token.
 
 Nothing is written per pair of texts, and a block's tokens are numbered within the block
 only: there is no table of all tokens.
@@ -17,51 +19,49 @@ only: there is no table of all tokens.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.session import checkpoint_root, open_store, shared_dir
 
 #: Entries (distinct tokens of texts) of a block at most, unless one text has more.
-BLOCK_ENTRIES = 2_000_000
-#: Dimensions of tokens on their own, shared ones, and those of the first look.
-OWN, SHARED = 256, 1024
-FIRST_LOOK = [*range(24), *range(24, OWN, 58), *range(OWN, OWN + SHARED, 128)]
-#: Texts of a tile, and entries that are looked up at once.
-TILE, AT_ONCE = 1024, 2_000_000
+BLOCK_ENTRIES = 3_000_000
+#: Dimensions of tokens on their own, and shared ones.
+OWN, SHARED = 1024, 512
+#: Where the dimensions of the first and of the second look start.
+FIRST_LOOK = [*range(64), *range(64, OWN, 60), *range(OWN, OWN + SHARED, 32)]
+SECOND_LOOK = [*range(128), *range(128, OWN, 14), *range(OWN, OWN + SHARED, 8)]
+#: Texts of a tile, places of the same token that are summed up at once, and pairs that
+#: are scored or handed on at once.
+TILE, AT_ONCE, PAIRS_AT_ONCE = 1024, 200_000, 1_000_000
+#: Pairs of texts for each of which both hold a token, from which on it has a dimension.
+DENSE = 900
 #: More than the rounding of a product of folded vectors in single precision.
 SLACK = 1e-4
 
 
 def write_blocks(vectors: DataFrame, block_texts: int) -> DataFrame:
-    """(path, texts, entries), one row per block file, from vectors (rep, copies, terms:
-    array<struct<token, tf>>); written down, so that each later job sees the same files."""
+    """(path, texts, entries, top), one row per block file, from vectors (rep, copies, terms:
+    array<struct<token, tf>>); written down, so that each later job sees the same files.
+    ``top`` has the file's heaviest words and their squared mass."""
     checkpoint_root(vectors.sparkSession)
     folder = shared_dir(vectors.sparkSession, "text-blocks")
 
     def write(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        store, root = open_store(folder)
-        store.create_dir(root, recursive=True)
         held: list[pa.RecordBatch] = []
         texts = entries = n_files = 0
 
         def written() -> pa.RecordBatch:
-            name = f"{task.partitionId():06d}-{task.taskAttemptId()}-{n_files:04d}.arrow"
-            block = _as_row(pa.Table.from_batches(held))
-            options = pa.ipc.IpcWriteOptions(compression="zstd")
-            with store.open_output_stream(f"{root}/{name}") as out, pa.ipc.new_stream(out, block.schema, options=options) as file:
-                file.write_batch(block)
-            return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "texts": pa.array([texts], pa.int64()),
-                                               "entries": pa.array([entries], pa.int64())})
+            return _filed(_as_row(pa.Table.from_batches(held)), folder, f"{task.partitionId():06d}-{task.taskAttemptId()}-{n_files:04d}")
 
         for batch in it:
             ends = np.cumsum(pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False))
@@ -80,7 +80,47 @@ def write_blocks(vectors: DataFrame, block_texts: int) -> DataFrame:
         if held:
             yield written()
 
-    return vectors.select("rep", "copies", "terms").mapInArrow(write, "path string, texts long, entries long").checkpoint()
+    def merge(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        for batch in it:
+            for k, files in enumerate(batch["files"].to_pylist()):
+                yield _filed(_merged([_rows(path) for path in files]), folder, f"m{task.partitionId():06d}-{task.taskAttemptId()}-{k:04d}")
+
+    files = vectors.select("rep", "copies", "terms").mapInArrow(write, _FILE).checkpoint()
+    # a file is read as often as there are others: small ones are put together once
+    blocks = _filled(files.select("path", "texts", "entries").orderBy("path").collect(), block_texts)   # a row per file
+    small = [(b,) for b in blocks if len(b) > 1]
+    if not small:
+        return files
+    spark = vectors.sparkSession
+    merged = spark.createDataFrame(spark.sparkContext.parallelize(small, len(small)), "files array<string>").mapInArrow(merge, _FILE)
+    alone = [b[0] for b in blocks if len(b) == 1]
+    return merged.unionAll(files.where(F.col("path").isin(alone))).checkpoint() if alone else merged.checkpoint()
+
+
+def _filled(files: list, block_texts: int) -> list[list[str]]:
+    """The files (path, texts, entries) that fill a block together."""
+    blocks: list[list[str]] = []
+    texts = entries = 0
+    for r in files:
+        if not blocks or texts + r.texts > block_texts or entries + r.entries > BLOCK_ENTRIES:
+            blocks.append([])
+            texts = entries = 0
+        blocks[-1].append(r.path)
+        texts, entries = texts + r.texts, entries + r.entries
+    return blocks
+
+
+def _filed(block: pa.RecordBatch, folder: str, name: str) -> pa.RecordBatch:
+    """Writes a block file; its row of the list of files."""
+    store, root = open_store(folder)
+    store.create_dir(root, recursive=True)
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    with store.open_output_stream(f"{root}/{name}.arrow") as out, pa.ipc.new_stream(out, block.schema, options=options) as file:
+        file.write_batch(block)
+    return pa.RecordBatch.from_pydict({
+        "path": [f"{folder}/{name}.arrow"], "texts": pa.array([len(block["size"].values)], pa.int64()),
+        "entries": pa.array([len(block["token"].values)], pa.int64()), "top": pa.array([_heaviest(block)], _TOP)})
 
 
 def _as_row(table: pa.Table) -> pa.RecordBatch:
@@ -88,9 +128,31 @@ def _as_row(table: pa.Table) -> pa.RecordBatch:
     rep, copies, terms = (table.column(i).combine_chunks() for i in range(3))
     token, tf = terms.flatten().flatten()
     coded = token.dictionary_encode()
+    hashes = pa.array((crc32(w.encode()) for w in coded.dictionary.to_pylist()), pa.int64(), size=len(coded.dictionary))
     columns = {"rep": rep, "copies": copies, "size": pc.list_value_length(terms).cast(pa.int64()),
-               "token": coded.indices, "tf": tf, "words": coded.dictionary}
-    return pa.RecordBatch.from_arrays([pa.LargeListArray.from_arrays([0, len(v)], v) for v in columns.values()], names=list(columns))
+               "token": coded.indices, "tf": tf, "words": coded.dictionary, "hashes": hashes}
+    return _in_order(columns)
+
+
+#: Columns of a list of files.
+_FILE = "path string, texts long, entries long, top array<struct<word string, mass double>>"
+_TOP = pa.list_(pa.struct([("word", pa.string()), ("mass", pa.float64())]))
+
+
+def _heaviest(block: pa.RecordBatch) -> list[dict]:
+    """The OWN words of a block file with the largest squared mass in its texts."""
+    size, token, tf = (block[k].values.to_numpy() for k in ("size", "token", "tf"))
+    text, words = np.repeat(np.arange(len(size)), size), block["words"].values
+    squares = tf.astype(float) ** 2
+    mass = np.bincount(token, squares / np.bincount(text, squares)[text], len(words))
+    top = np.argsort(-mass, kind="stable")[:OWN]
+    return [{"word": w, "mass": m} for w, m in zip(words.take(pa.array(top)).to_pylist(), mass[top].tolist())]
+
+
+def heaviest_words(manifest: DataFrame) -> list[str]:
+    """The words that get a dimension on their own: any will do, the heaviest tell most."""
+    each = manifest.select(F.explode("top").alias("t")).groupBy(F.col("t.word").alias("word")).agg(F.sum("t.mass").alias("mass"))
+    return [r.word for r in each.orderBy(F.col("mass").desc(), "word").limit(OWN).collect()]
 
 
 @dataclass
@@ -102,37 +164,44 @@ class Block:
     token: np.ndarray      # of an entry, a number into words
     tf: np.ndarray
     text: np.ndarray       # of an entry
-    w2: np.ndarray         # of an entry: tf^2 / norm2
     words: pa.Array
-    mass: np.ndarray       # of a word: its w2 in all texts
-
-
-@lru_cache(maxsize=2)
-def load(paths: tuple[str, ...]) -> Block:
-    """The texts of some block files as one block, texts with the same heaviest token together."""
-    parts: dict[str, list[pa.Array]] = {}
-    tokens, n_words = [], 0
-    for path in paths:
-        row = _rows(path)
-        for k in row.schema.names:
-            parts.setdefault(k, []).append(row[k].values)
-        tokens.append(parts["token"][-1].to_numpy() + n_words)
-        n_words += len(parts["words"][-1])
-    coded = pa.concat_arrays(parts["words"]).dictionary_encode()
-    copies, size, tf = (pa.concat_arrays(parts[k]).to_numpy() for k in ("copies", "size", "tf"))
-    token = coded.indices.to_numpy()[np.concatenate(tokens)]
+    hashes: np.ndarray     # of a word
+
+
+def load(files: tuple[str, ...]) -> Block:
+    """The texts of some block files as one block."""
+    row = _merged([_rows(path) for path in files])
+    size, tf = row["size"].values.to_numpy(), row["tf"].values.to_numpy()
     start = np.concatenate([[0], np.cumsum(size)])
-    norm2 = np.add.reduceat(tf * tf, start[:-1])
-    text = np.repeat(np.arange(len(size)), size)
-    most = np.maximum.reduceat(tf, start[:-1])
-    heavy = np.minimum.reduceat(np.where(tf == most[text], token, n_words), start[:-1])
-    order = np.argsort(heavy, kind="stable")
-    entry = _ranges(start[order], size[order])
-    size, norm2, token, tf = size[order], norm2[order], token[entry], tf[entry]
-    text = np.repeat(np.arange(len(size)), size)
-    w2 = tf.astype(float) ** 2 / norm2[text]
-    return Block(pa.concat_arrays(parts["rep"]).take(pa.array(order)), copies[order], norm2, np.concatenate([[0], np.cumsum(size)]),
-                 token, tf, text, w2, coded.dictionary, np.bincount(token, w2, len(coded.dictionary)))
+    return Block(row["rep"].values, row["copies"].values.to_numpy(), np.add.reduceat(tf * tf, start[:-1]), start, row["token"].values.to_numpy(),
+                 tf.astype(np.int32), np.repeat(np.arange(len(size), dtype=np.int32), size), row["words"].values, row["hashes"].values.to_numpy())
+
+
+def _merged(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Block files as one, texts with the same heaviest token together."""
+    if len(parts) == 1:
+        return parts[0]
+    column = {k: pa.concat_arrays([row[k].values for row in parts]) for k in parts[0].schema.names}
+    first = np.cumsum([0, *(len(row["words"].values) for row in parts)])
+    token = np.concatenate([row["token"].values.to_numpy() + first[k] for k, row in enumerate(parts)])
+    coded = column["words"].dictionary_encode()
+    of = coded.indices.to_numpy()
+    hashes = np.empty(len(coded.dictionary), np.int64)
+    hashes[of] = column["hashes"].to_numpy()
+    return _in_order({**column, "token": pa.array(of[token], pa.int32()), "words": coded.dictionary, "hashes": pa.array(hashes)})
+
+
+def _in_order(column: dict[str, pa.Array]) -> pa.RecordBatch:
+    """One row of arrays, texts with the same heaviest token together."""
+    size, token, tf = (column[k].to_numpy() for k in ("size", "token", "tf"))
+    start = np.cumsum(size) - size
+    if len(size):
+        most = np.repeat(np.maximum.reduceat(tf, start), size)
+        heavy = np.minimum.reduceat(np.where(tf == most, token, len(column["words"])), start)
+        order = np.argsort(heavy, kind="stable")
+        entry = _ranges(start[order], size[order])
+        column = {k: v.take(pa.array(order if k in ("rep", "copies", "size") else entry)) if k not in ("words", "hashes") else v for k, v in column.items()}
+    return pa.RecordBatch.from_arrays([pa.LargeListArray.from_arrays([0, len(v)], v) for v in column.values()], names=list(column))
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -141,135 +210,229 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
-def _folded(block: Block, dim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The vectors in all dimensions and in those of the first look; ``dim`` of a word, or -1."""
-    n, at = len(block.norm2), dim[block.token]
-    used = at >= 0
-    squares = np.bincount(block.text[used] * (OWN + SHARED) + at[used], block.w2[used], n * (OWN + SHARED)).reshape(n, -1)
-    return tuple(np.sqrt(x).astype("f4") for x in (squares, np.add.reduceat(squares, FIRST_LOOK, axis=1)))
-
-
-def _counts(block: Block, dim: np.ndarray) -> np.ndarray:
-    """Counts of the tokens that have a dimension on their own; whole numbers as doubles."""
-    at = dim[block.token]
-    used = (at >= 0) & (at < OWN)
-    return np.bincount(block.text[used] * OWN + at[used], block.tf[used], len(block.norm2) * OWN).reshape(-1, OWN)
-
-
-def near(a: Block, b: Block, min_cos: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _looks() -> list[list[int]]:
+    """Where the dimensions of a look start, of all dimensions."""
+    return [[d for d in look if d < OWN + SHARED] for look in (FIRST_LOOK, SECOND_LOOK)]
+
+
+class Folded:
+    """A block's vectors in the dimensions of ``own`` words and in the shared ones."""
+
+    def __init__(self, block: Block, own: Sequence[str]):
+        n, every = len(block.norm2), OWN + SHARED
+        at = pc.index_in(block.words, pa.array(own, block.words.type)).fill_null(-1).to_numpy()
+        self.dim = np.where(at >= 0, at, OWN + block.hashes % max(1, SHARED)).astype(np.int32)   # of a word
+        # counts are whole in single precision up to here
+        self.counts = np.zeros((n, OWN), "f4" if int(block.norm2.max(initial=0)) < 2 ** 48 else "f8")
+        self.shared = np.zeros((n, SHARED), "f4")
+        self.norm = np.sqrt(block.norm2.astype(float))
+        self.looks = [np.zeros((n, len(look)), "f4") for look in _looks()]
+        for i in range(0, n, TILE):
+            end = min(n, i + TILE)
+            entries = slice(block.start[i], block.start[end])
+            text, dim, tf = block.text[entries], self.dim[block.token[entries]], block.tf[entries]
+            w2 = tf.astype(float) ** 2 / block.norm2[text]
+            squares = np.bincount((text - i).astype(np.int64) * every + dim, w2, (end - i) * every).reshape(-1, every)
+            self.shared[i:end] = np.sqrt(squares[:, OWN:])
+            for seen, look in zip(self.looks, _looks()):
+                seen[i:end] = np.sqrt(np.add.reduceat(squares, look, axis=1))
+            on_own = dim < OWN
+            self.counts[text[on_own], dim[on_own]] = tf[on_own]
+
+    def holders(self, block: Block, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Texts and counts of the tokens that share dimensions (``every``: of all tokens),
+        by token, and where a token's start."""
+        if getattr(self, "_holders", (None,))[0] is not every:
+            entry = np.arange(len(block.token)) if every else np.flatnonzero(self.dim[block.token] >= OWN)
+            token = block.token[entry]
+            entry = entry[np.argsort(token)]
+            start = np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(block.words)))])
+            self._holders = every, (block.text[entry], block.tf[entry], start.astype(np.int32 if len(entry) < 2 ** 31 else np.int64))
+        return self._holders[1]
+
+
+def folded(block: Block, own: Sequence[str]) -> Folded:
+    """The block folded; kept as long as the block is, for the same list of words."""
+    if getattr(block, "_folded", (None,))[0] is not own:
+        block._folded = own, Folded(block, own)
+    return block._folded[1]
+
+
+def _own_words(a: Block, b: Block) -> list[str]:
+    """The heaviest words of two blocks."""
+    mass: dict[str, float] = {}
+    for block in (a, b):
+        of = np.bincount(block.token, block.tf.astype(float) ** 2 / block.norm2[block.text], len(block.words))
+        top = np.argsort(-of, kind="stable")[:OWN]
+        for w, m in zip(block.words.take(pa.array(top)).to_pylist(), of[top].tolist()):
+            mass[w] = mass.get(w, 0) + m
+    return sorted(mass, key=lambda w: (-mass[w], w))[:OWN]
+
+
+def near(a: Block, b: Block, min_cos: float, own: Sequence[str] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(texts of a, texts of b, cosines) of all pairs of at least ``min_cos``, in parts; of
-    a block with itself, each pair once."""
-    n_words = len(a.words)
-    if a is b:
-        in_a, mass = np.arange(n_words), a.mass
-    else:
-        in_a = pc.index_in(b.words, a.words).fill_null(-1).to_numpy().astype(np.int64)
-        mass = np.bincount(in_a[in_a >= 0], b.mass[in_a >= 0], n_words)
-    both = a.mass * mass
-    dim = np.where(both > 0, OWN + np.arange(n_words) % SHARED, -1)
-    top = np.argpartition(-both, OWN)[:OWN] if n_words > OWN else np.arange(n_words)
-    top = top[np.argsort(-both[top])]
-    dim[top] = np.where(both[top] > 0, np.arange(len(top)), -1)
-    dim_b = dim if a is b else np.where(in_a >= 0, dim[in_a], -1)
-    all_a, first_a = _folded(a, dim)
-    all_b, first_b = (all_a, first_a) if a is b else _folded(b, dim_b)
-    scores = None
+    a block with itself, each pair once.  ``own``: words with a dimension on their own, OWN
+    at most."""
+    own = _own_words(a, b) if own is None else own
+    fold_a, fold_b = folded(a, own), folded(b, own)
+    scores = _Scores(a, b, fold_a, fold_b)
     least = np.float32(min_cos - SLACK)
-    for i in range(0, len(all_a), TILE):
-        for j in range(i if a is b else 0, len(all_b), TILE):
-            seen = first_a[i:i + TILE] @ first_b[j:j + TILE].T >= least
-            rows, cols = np.flatnonzero(seen.any(1)), np.flatnonzero(seen.any(0))
-            if not len(rows):
-                continue
-            seen = all_a[i + rows] @ all_b[j + cols].T >= least
-            if a is b and i == j:
-                seen &= rows[:, None] < cols
-            x, y = np.nonzero(seen)
-            if not len(x):
-                continue
-            scores = scores or _Scores(a, b, dim, dim_b, in_a)
-            dot = scores.of(i + rows, j + cols, x, y)
-            x, y = i + rows[x], j + cols[y]
-            cosine = dot / (np.sqrt(a.norm2[x].astype(float)) * np.sqrt(b.norm2[y].astype(float)))
-            kept = (dot > 0) & (cosine >= min_cos)
-            if kept.any():
-                yield x[kept], y[kept], cosine[kept]
+    for i in range(0, len(a.norm2), TILE):
+        held: list[tuple[np.ndarray, ...]] = []
+        for j in range(i if a is b else 0, len(b.norm2), TILE):
+            rows, cols = np.arange(i, min(i + TILE, len(a.norm2))), np.arange(j, min(j + TILE, len(b.norm2)))
+            for look_a, look_b in zip(fold_a.looks, fold_b.looks):
+                seen = look_a[rows] @ look_b[cols].T >= least
+                rows, cols = rows[seen.any(1)], cols[seen.any(0)]
+                if not len(rows):
+                    break
+            else:
+                dot = scores.on_own(rows, cols)
+                bound = dot / (fold_a.norm[rows].astype("f4")[:, None] * fold_b.norm[cols].astype("f4"))
+                bound += fold_a.shared[rows] @ fold_b.shared[cols].T
+                seen = bound >= least
+                if a is b and i == j:
+                    seen &= rows[:, None] < cols
+                x, y = np.nonzero(seen)
+                if len(x):
+                    held.append((rows[x], cols[y], dot[x, y]))
+            if held and (sum(len(h[0]) for h in held) > PAIRS_AT_ONCE or j + TILE >= len(b.norm2)):
+                x, y, dot = (np.concatenate(c) for c in zip(*held))
+                held = []
+                dot = scores.whole(x, y, dot)
+                cosine = dot / (fold_a.norm[x] * fold_b.norm[y])
+                kept = (dot > 0) & (cosine >= min_cos)
+                if kept.any():
+                    yield x[kept], y[kept], cosine[kept]
 
 
 class _Scores:
     """Integer products of pairs of two blocks' texts: of the tokens with a dimension on
-    their own by matrices, of the others by looking up b's entries in a's counts."""
-
-    def __init__(self, a: Block, b: Block, dim: np.ndarray, dim_b: np.ndarray, in_a: np.ndarray):
-        self.a, self.n_words = a, len(a.words)
-        # doubles hold every sum up to this; beyond, all tokens are looked up
-        by_matrix = max(a.norm2.max(), b.norm2.max()) < 2 ** 53
-        self.own = (_counts(a, dim), _counts(b, dim_b)) if by_matrix else None
-        used = (dim_b >= (OWN if by_matrix else 0))[b.token]
-        self.token, self.tf = in_a[b.token[used]], b.tf[used]
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(b.text[used], minlength=len(b.norm2)))])
-        self.count = np.zeros(self.n_words, np.int64)
-
-    def of(self, rows: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """For pairs (rows[x], cols[y]), sorted by x."""
-        out = np.zeros(len(x), np.int64)
-        by_tile = self.own and len(x) * 16 > len(rows) * len(cols)
-        if by_tile:
-            out += (self.own[0][rows] @ self.own[1][cols].T)[x, y].astype(np.int64)
-        a, count, texts = self.a, self.count, cols[y]
-        sizes = self.start[texts + 1] - self.start[texts]
-        firsts = np.flatnonzero(np.diff(x, prepend=-1))
-        for lo, hi in zip(firsts, [*firsts[1:], len(x)]):
-            own = slice(a.start[rows[x[lo]]], a.start[rows[x[lo]] + 1])
-            count[a.token[own]] = a.tf[own]
-            step = max(1, AT_ONCE // max(1, int(sizes[lo:hi].max())))
-            for k in range(lo, hi, step):
-                end = min(hi, k + step)
-                entry = _ranges(self.start[texts[k:end]], sizes[k:end])
-                sums = np.concatenate([[0], np.cumsum(count[self.token[entry]] * self.tf[entry])])
-                ends = np.cumsum(sizes[k:end])
-                out[k:end] += sums[ends] - sums[ends - sizes[k:end]]
-                if self.own and not by_tile:
-                    out[k:end] += (self.own[1][texts[k:end]] @ self.own[0][rows[x[lo]]]).astype(np.int64)
-            count[a.token[own]] = 0
-        return out
-
-
-def block_pairs(manifest: DataFrame, block_texts: int) -> DataFrame:
-    """(a, b): the files of two blocks, every two blocks once, each with itself too.  Small
-    files stand together; the driver sees one row per file."""
-    spark = manifest.sparkSession
-    blocks: list[list[str]] = []
-    texts = entries = 0
-    for r in manifest.orderBy("path").collect():
-        if not blocks or texts + r.texts > block_texts or entries + r.entries > BLOCK_ENTRIES:
-            blocks.append([])
-            texts = entries = 0
-        blocks[-1].append(r.path)
-        texts, entries = texts + r.texts, entries + r.entries
-    rows = spark.createDataFrame(list(enumerate(blocks)), "i int, files array<string>")
-    n = max(1, len(blocks) * (len(blocks) + 1) // 2)
-    parts = min(n, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    second = F.broadcast(rows.select(F.col("i").alias("j"), F.col("files").alias("b")))   # a path per file
-    return rows.join(second, F.col("i") <= F.col("j")).select("i", "j", F.col("files").alias("a"), "b") \
-        .repartition(parts).sortWithinPartitions("i", "j").select("a", "b")
-
-
-def near_in_blocks(it: Iterable[pa.RecordBatch], min_cos: float) -> Iterator[pa.RecordBatch]:
+    their own by matrices, of the others from b's texts that hold a's token."""
+
+    def __init__(self, a: Block, b: Block, fold_a: Folded, fold_b: Folded):
+        self.a, self.b, self.fold_a, self.fold_b = a, b, fold_a, fold_b
+        # doubles hold every sum up to this; beyond, all tokens are summed as whole numbers
+        self.by_matrix = max(int(a.norm2.max(initial=0)), int(b.norm2.max(initial=0))) < 2 ** 53
+        self.in_b = None
+
+    def on_own(self, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        """Products over the tokens with a dimension on their own; no sum is above the
+        product of two norms, and single precision holds whole numbers below 2^24."""
+        x, y = self.fold_a.counts[rows], self.fold_b.counts[cols]
+        if self.fold_a.norm[rows].max() * self.fold_b.norm[cols].max() >= 2 ** 24:
+            x, y = x.astype("f8"), y.astype("f8")
+        return x @ y.T
+
+    def whole(self, x: np.ndarray, y: np.ndarray, dot: np.ndarray) -> np.ndarray:
+        """The products over all tokens of pairs (x, y), from those of ``on_own``."""
+        a, b = self.a, self.b
+        if self.in_b is None:
+            self.in_b = np.arange(len(a.words)) if a is b else pc.index_in(a.words, b.words).fill_null(-1).to_numpy()
+        text, tf, start = self.fold_b.holders(b, not self.by_matrix)
+        rows, row_of = _numbered(x, len(a.norm2))
+        cols, col_of = _numbered(y, len(b.norm2))
+        col = col_of[text]
+        there = col >= 0
+        before = np.zeros(len(there) + 1, start.dtype)
+        np.cumsum(there, dtype=start.dtype, out=before[1:])
+        there, start = np.flatnonzero(there), before[start]
+        col, tf = col[there], tf[there]
+        entry = _ranges(a.start[rows], a.start[rows + 1] - a.start[rows])
+        if self.by_matrix:
+            entry = entry[self.fold_a.dim[a.token[entry]] >= OWN]
+        token = self.in_b[a.token[entry]]
+        n = np.where(token >= 0, start[token + 1] - start[token], 0)
+        entry, token, n = entry[n > 0], token[n > 0], n[n > 0]
+        row = row_of[a.text[entry]].astype(np.int64)
+        mine = a.tf[entry].astype("f8" if self.by_matrix else "i8")
+        sums = np.zeros((len(rows), len(cols)), mine.dtype)
+        if self.by_matrix:
+            # what many of both hold: a matrix is cheaper than a place for each two holders
+            many = np.bincount(token, minlength=len(start) - 1) * np.diff(start) * DENSE > sums.size
+            kind = "f4" if self.fold_a.norm[rows].max() * self.fold_b.norm[cols].max() < 2 ** 24 else "f8"
+            dims = np.flatnonzero(many)
+            dim_of = np.zeros(len(many), np.int64)
+            dim_of[dims] = np.arange(len(dims))
+            heavy = many[token]
+            dim, row_at, count = dim_of[token[heavy]], row[heavy], mine[heavy]
+            for lo in range(0, len(dims), OWN):
+                part = dims[lo:lo + OWN]
+                here = (dim >= lo) & (dim < lo + OWN)
+                left, right = np.zeros((len(rows), len(part)), kind), np.zeros((len(cols), len(part)), kind)
+                left[row_at[here], dim[here] - lo] = count[here]
+                sizes = start[part + 1] - start[part]
+                place = _ranges(start[part], sizes)
+                right[col[place], np.repeat(np.arange(len(part)), sizes)] = tf[place]
+                sums += left @ right.T
+            row, mine, token, n = row[~heavy], mine[~heavy], token[~heavy], n[~heavy]
+        first = start[token]
+        ends = np.searchsorted(row, np.arange(len(rows)), side="right")   # of a row's entries
+        done = np.concatenate([[0], np.cumsum(n)])
+        lo = 0
+        while lo < len(rows):
+            at = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(done[ends], done[at] + AT_ONCE, side="right")))
+            part = slice(at, int(ends[hi - 1]))
+            place = _ranges(first[part], n[part])
+            key = np.repeat((row[part] - lo) * len(cols), n[part]) + col[place]
+            product = np.repeat(mine[part], n[part]) * tf[place]
+            if self.by_matrix:
+                sums[lo:hi] += np.bincount(key, product, (hi - lo) * len(cols)).reshape(-1, len(cols))
+            else:
+                np.add.at(sums[lo:hi].reshape(-1), key, product)
+            lo = hi
+        found = sums[row_of[x], col_of[y]].astype(np.int64)
+        return found + dot.astype(np.int64) if self.by_matrix else found
+
+
+def _numbered(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values (below n) in order, and the number of each value, or -1."""
+    there = np.zeros(n, bool)
+    there[values] = True
+    distinct = np.flatnonzero(there)
+    number = np.full(n, -1, np.int32)
+    number[distinct] = np.arange(len(distinct))
+    return distinct, number
+
+
+def block_files(manifest: DataFrame) -> list[str]:
+    return [r.path for r in manifest.select("path").orderBy("path").collect()]   # a row per file
+
+
+def block_pairs(spark: SparkSession, n: int) -> DataFrame:
+    """(i, first, stop): two of n blocks, i and i + 1, and the run of blocks that they meet
+    in a task.  Every two blocks meet once, each with itself too; a few runs for each
+    partition of a shuffle, and one for each two blocks at least."""
+    run = max(1, -(-n * (n + 1) // (8 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    runs = [(i, j, min(j + run, n)) for i in range(0, n, 2) for j in range(i, n, run)]
+    return spark.createDataFrame(spark.sparkContext.parallelize(runs, max(1, len(runs))), "i int, first int, stop int")
+
+
+def near_in_blocks(it: Iterable[pa.RecordBatch], min_cos: float, files: Sequence[str], own: Sequence[str]) -> Iterator[pa.RecordBatch]:
     """(a_id, b_id, cosine, a_copies, b_copies) with a_id < b_id, from ``block_pairs``."""
     for batch in it:
-        for one, other in zip(batch["a"].to_pylist(), batch["b"].to_pylist()):
-            a = load(tuple(one))
-            b = a if one == other else load(tuple(other))
-            for x, y, cosine in near(a, b, min_cos):
-                ids = a.rep.take(pa.array(x)), b.rep.take(pa.array(y))
-                copies = pa.array(a.copies[x]), pa.array(b.copies[y])
-                turned = pc.greater(*ids)
-                out = pa.RecordBatch.from_arrays(
-                    [pc.if_else(turned, ids[1], ids[0]), pc.if_else(turned, ids[0], ids[1]), pa.array(cosine),
-                     pc.if_else(turned, copies[1], copies[0]), pc.if_else(turned, copies[0], copies[1])],
-                    names=["a_id", "b_id", "cosine", "a_copies", "b_copies"])
-                yield out.filter(pc.less(out["a_id"], out["b_id"]))
+        for i, first, stop in zip(*(batch[k].to_pylist() for k in ("i", "first", "stop"))):
+            two = {k: load((files[k],)) for k in range(i, min(i + 2, stop))}
+            for j in range(first, stop):
+                b = two[j] if j in two else load((files[j],))
+                for k in range(i, min(i + 2, j + 1)):
+                    yield from _pairs_of(two[k], b, min_cos, own)
+                del b   # before the next one comes
+
+
+def _pairs_of(a: Block, b: Block, min_cos: float, own: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    for found in near(a, b, min_cos, own):
+        for at in range(0, len(found[0]), PAIRS_AT_ONCE):
+            x, y, cosine = (v[at:at + PAIRS_AT_ONCE] for v in found)
+            ids = a.rep.take(pa.array(x)), b.rep.take(pa.array(y))
+            copies = pa.array(a.copies[x]), pa.array(b.copies[y])
+            turned = pc.greater(*ids)
+            out = pa.RecordBatch.from_arrays(
+                [pc.if_else(turned, ids[1], ids[0]), pc.if_else(turned, ids[0], ids[1]), pa.array(cosine),
+                 pc.if_else(turned, copies[1], copies[0]), pc.if_else(turned, copies[0], copies[1])],
+                names=["a_id", "b_id", "cosine", "a_copies", "b_copies"])
+            yield out.filter(pc.less(out["a_id"], out["b_id"]))
 
 
 def _rows(path: str) -> pa.RecordBatch:

@@ -3,11 +3,14 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
-from tidepool.operators import gates, phrases
+from tidepool.functions.text import first_words, tokens
+from tidepool.operators import gates, phrase_scan, phrases
 from tidepool.operators.key_index import KeyIndex
 from tidepool.sources.tables import Tables
 
@@ -113,3 +116,42 @@ def test_equal_to_the_inline_form_where_both_apply(spark):
     table = phrases.phrase_gate(rest, "post_id", "full_text", spark.createDataFrame([(p,) for p in some], "p string"), "p")
     both = [sorted(r["post_id"] for r in df.select("post_id").collect()) for df in (inline, table)]
     assert both[0] == both[1] and len(both[0]) < rest.count()
+
+
+def test_the_first_words_are_those_of_the_whole_text(spark):
+    texts = ["one two three four", "  ?! one\n\ttwo--three", "one", "", "?!", None, "été déjà_vu Ⅷ x\U0001d400 y", "a" * 5000 + " b c d", "- " * 5000 + "a b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (1, 2, 3, 20):
+        got = df.select(tokens(first_words("t", n)).alias("a"), F.slice(tokens("t"), 1, n).alias("b"), F.length(first_words("t", n)).alias("n")).collect()
+        assert all(r["a"] == r["b"] for r in got) and any(r["b"] for r in got)
+
+
+def test_phrases_are_found_without_a_row_for_each_n_gram(spark, no_broadcast, monkeypatch):
+    monkeypatch.setattr(phrases, "HOT", 2)
+    monkeypatch.setattr(phrase_scan, "WORDS_AT_ONCE", 7)
+    texts = [(i, "a b, c d a b c " + "x " * i + "d e f g h i") for i in range(9)] + [(20, None), (21, "")]
+    table = ["a b", "a-b", "a", "c d a", "b c", "d e f g h i", "d e f g h j", "x x x x x", "x d", "no"]
+    df, ps = spark.createDataFrame(texts, "id string, t string"), spark.createDataFrame([(p,) for p in table], "p string")
+    hits = phrases.phrase_hits(df, "id", "t", ps, "p")
+    assert sorted(map(tuple, hits.collect()), key=repr) == brute([(str(i), t) for i, t in texts], table, True)
+    assert "Generate " not in hits._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_of_a_trie_and_a_table_of_bits():
+    rng = random.Random(3)
+    some = [[rng.choice("abcdé") * rng.randint(1, 3) for _ in range(rng.randint(1, 6))] for _ in range(300)]
+    text = [rng.choice("abcdé") * rng.randint(1, 3) for _ in range(3000)]
+    trie = phrase_scan.Trie(pa.array(some), np.arange(len(some)))
+    left = len(text) - np.arange(len(text))
+    got = sorted((int(a), int(p)) for at, ids in trie.places(pa.array(text), left) for a, p in zip(at, ids))
+    assert got == sorted((a, p) for p, w in enumerate(some) for a in range(len(text)) if text[a:a + len(w)] == w)
+    keys = [w[:4] for w in some]
+    n_bits = phrase_scan.n_bits_for(len(keys))
+    parts = pa.Table.from_batches(phrase_scan.bits_of(n_bits)([pa.RecordBatch.from_arrays([pa.array(keys)], names=["words"])]))
+    table = phrase_scan.table_of(parts, n_bits)
+    batch = pa.RecordBatch.from_arrays([pa.array([9]), pa.array([text])], names=["__id", "__words"])
+    rows = [r for b in phrase_scan.maybe_of(table, {1: 1, 2: 2, 3: 3, 4: 6})([batch]) for r in b.to_pylist()]
+    there = {(r["position"], r["__n"]): r["__ahead"] for r in rows}
+    true = {(a, len(k)) for k in map(tuple, keys) for a in range(len(text)) if tuple(text[a:a + len(k)]) == k}
+    assert true <= there.keys() and len(there) < 1.1 * len(true) + 100
+    assert all(v.split(" ") == text[a:a + {1: 1, 2: 2, 3: 3, 4: 6}[n]] for (a, n), v in there.items())

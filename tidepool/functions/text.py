@@ -124,6 +124,12 @@ def tokens(text) -> Column:
     return F.regexp_extract_all(_c(text), F.lit(TOKEN_RE), 1)
 
 
+def first_words(text, n: int) -> Column:
+    """The start of a text up to the end of its n-th word: ``tokens`` of it are the first n."""
+    word, other = TOKEN_RE[1:-1], TOKEN_RE[1:-1].replace("[", "[^").replace("+", "*")
+    return F.regexp_extract(_c(text), f"^(?:{other}{word}){{0,{n}}}", 0)
+
+
 def with_hashtag_ratio(df, text_col: str, out_col: str = "hashtag_ratio"):
     """Words per hashtag / 10 after cleaning; NULL when under 20 chars.
 

@@ -564,7 +564,7 @@ def phrase_hits(spark, sf_dir):
     six words from each): distinct phrases, places, and the first one's position."""
     from tidepool.operators.phrases import phrase_hits as hits
     t = Tables(spark, sf_dir)
-    words = X.tokens(F.lower("text"))
+    words = X.tokens(X.first_words(F.lower("text"), max(at + n - 1 for at, n in P.PHRASE_CUTS)))
     cuts = [F.array_join(F.slice("w", at, n), " ") for at, n in P.PHRASE_CUTS]
     phrases = t.documents.select(words.alias("w")).select(F.explode(F.array(*cuts)).alias("phrase"))
     found = hits(t.posts, "post_id", "full_text", phrases, "phrase", phrase_ids=True)

@@ -122,3 +122,20 @@ def test_small_files_are_put_together_once(spark):
     reps = [sorted(x for r in m.collect() for x in T.load((r.path,)).rep.to_pylist()) for m in (many, one)]
     assert reps[0] == reps[1] and [r.texts for r in one.collect()] == [len(reps[0])]
     assert set(T.heaviest_words(one)) == set(T.heaviest_words(many)) and T.heaviest_words(one)[0] == "the"
+
+
+def test_words_are_counted_many_texts_at_once(spark, monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(T, "WORDS_AT_ONCE", 50)
+    texts = [t.split() for _, t in made(40, 5) if t and t.split()]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([1] * len(texts)), pa.array(texts)], names=["rep", "copies", "words"])
+    parts = list(T._counted(batch.slice(3)))
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert [r["rep"] for r in rows] == list(range(3, len(texts))) and len(parts) > 5
+    assert [{t["token"]: t["tf"] for t in r["terms"]} for r in rows] == [dict(Counter(w)) for w in texts[3:]]
+    # no array function of Spark walks the words of a text
+    docs = spark.createDataFrame(made(20, 6), "id long, t string")
+    plans, write = [], SIM.write_blocks
+    monkeypatch.setattr(SIM, "write_blocks", lambda df, n: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, n))
+    SIM.near_dup_classes(docs, "id", "t", 0.9)
+    assert plans and all("lambda" not in p for p in plans)

@@ -199,5 +199,5 @@ def _text_blocks(docs: DataFrame, id_col: str, text_col: str, block_texts: int)
             .groupBy(sha256_hex(text_col).alias("__hash"))
             .agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("copies"),
                  F.min_by(F.col(text_col), F.col(id_col)).alias("__t")))
-    vectors = reps.where(F.col("rep").isNotNull()).select("rep", "copies", term_counts("__t").alias("terms"))
-    return write_blocks(vectors.where(F.col("terms").isNotNull()), block_texts)
+    words = reps.where(F.col("rep").isNotNull()).select("rep", "copies", tokens("__t").alias("words"))
+    return write_blocks(words.where(F.size("words") > 0), block_texts)

@@ -36,6 +36,8 @@ from tidepool.session import checkpoint_root, open_store, shared_dir
 BLOCK_ENTRIES = 3_000_000
 #: Dimensions of tokens on their own, and shared ones.
 OWN, SHARED = 1024, 512
+#: Words that are counted together, unless one text has more.
+WORDS_AT_ONCE = 1_000_000
 #: Where the dimensions of the first and of the second look start.
 FIRST_LOOK = [*range(64), *range(64, OWN, 60), *range(OWN, OWN + SHARED, 32)]
 SECOND_LOOK = [*range(128), *range(128, OWN, 14), *range(OWN, OWN + SHARED, 8)]
@@ -48,12 +50,13 @@ DENSE = 900
 SLACK = 1e-4
 
 
-def write_blocks(vectors: DataFrame, block_texts: int) -> DataFrame:
-    """(path, texts, entries, top), one row per block file, from vectors (rep, copies, terms:
-    array<struct<token, tf>>); written down, so that each later job sees the same files.
+def write_blocks(texts: DataFrame, block_texts: int) -> DataFrame:
+    """(path, texts, entries, top), one row per block file, from texts (rep, copies, words:
+    array<string>, one at least); written down, so that each later job sees the same files.
     ``top`` has the file's heaviest words and their squared mass."""
-    checkpoint_root(vectors.sparkSession)
-    folder = shared_dir(vectors.sparkSession, "text-blocks")
+    spark = texts.sparkSession
+    checkpoint_root(spark)
+    folder = shared_dir(spark, "text-blocks")
 
     def write(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -63,7 +66,7 @@ def write_blocks(vectors: DataFrame, block_texts: int) -> DataFrame:
         def written() -> pa.RecordBatch:
             return _filed(_as_row(pa.Table.from_batches(held)), folder, f"{task.partitionId():06d}-{task.taskAttemptId()}-{n_files:04d}")
 
-        for batch in it:
+        for batch in (part for whole in it for part in _counted(whole)):
             ends = np.cumsum(pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False))
             at = done = 0
             while at < batch.num_rows:
@@ -86,13 +89,12 @@ def write_blocks(vectors: DataFrame, block_texts: int) -> DataFrame:
             for k, files in enumerate(batch["files"].to_pylist()):
                 yield _filed(_merged([_rows(path) for path in files]), folder, f"m{task.partitionId():06d}-{task.taskAttemptId()}-{k:04d}")
 
-    files = vectors.select("rep", "copies", "terms").mapInArrow(write, _FILE).checkpoint()
+    files = texts.select("rep", "copies", "words").mapInArrow(write, _FILE).checkpoint()
     # a file is read as often as there are others: small ones are put together once
     blocks = _filled(files.select("path", "texts", "entries").orderBy("path").collect(), block_texts)   # a row per file
     small = [(b,) for b in blocks if len(b) > 1]
     if not small:
         return files
-    spark = vectors.sparkSession
     merged = spark.createDataFrame(spark.sparkContext.parallelize(small, len(small)), "files array<string>").mapInArrow(merge, _FILE)
     alone = [b[0] for b in blocks if len(b) == 1]
     return merged.unionAll(files.where(F.col("path").isin(alone))).checkpoint() if alone else merged.checkpoint()
@@ -123,6 +125,23 @@ def _filed(block: pa.RecordBatch, folder: str, name: str) -> pa.RecordBatch:
         "entries": pa.array([len(block["token"].values)], pa.int64()), "top": pa.array([_heaviest(block)], _TOP)})
 
 
+def _counted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """(rep, copies, terms: list of (token, tf)) from (rep, copies, words), some texts at a time."""
+    sizes = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - sizes[lo] + WORDS_AT_ONCE, side="right")))
+        part = batch.slice(lo, hi - lo)
+        coded = part.column(2).flatten().dictionary_encode()
+        n_words = max(1, len(coded.dictionary))
+        key, tf = np.unique(np.repeat(np.arange(hi - lo), sizes[lo:hi]) * n_words + coded.indices.to_numpy(), return_counts=True)
+        start = np.searchsorted(key, np.arange(hi - lo + 1) * n_words)
+        term = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(key % n_words)), pa.array(tf, pa.int64())], names=["token", "tf"])
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(start, pa.int32()), term)],
+                                         names=["rep", "copies", "terms"])
+        lo = hi
+
+
 def _as_row(table: pa.Table) -> pa.RecordBatch:
     """Vectors as one row of arrays; tokens as numbers of the block's own list of words."""
     rep, copies, terms = (table.column(i).combine_chunks() for i in range(3))
